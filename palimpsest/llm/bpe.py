@@ -109,7 +109,7 @@ class Trie:
     up to ``remember`` nodes, after which they are forgotten together.
     """
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, remember: int = 1_000_000):
         self.v, self.remember = vocabulary, remember
         self.good = PairMemo(vocabulary)
         self.nodes: dict[bytes, int] = {}  # prefix -> last token * 256 + its length
@@ -181,7 +181,7 @@ def chunks(text: str) -> list[str]:
 class Encoder:
     """Chunks -> ids through the trie, with remembered chunks and pieces."""
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, remember: int = 600_000):
         self.v = Vocabulary(path)
         self.trie = Trie(self.v)
         self.chunks = Cached(lambda c: None, remember)
@@ -216,7 +216,7 @@ def decode(ids: list[int], table: dict[int, bytes]) -> str:
     return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def grouped(batches: Iterator, column: str, size: int = 4_000_000) -> Iterator:
+def grouped(batches: Iterator, column: str, size: int = 12_000_000) -> Iterator:
     """Arrow batches joined until ``column`` holds about ``size`` bytes: the more distinct words at once, the more prefixes they share."""
     import pyarrow as pa
 
