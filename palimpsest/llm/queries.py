@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, quality, simhash, toxicity
+from . import bpe, fingerprint, mixing, quality, simhash, toxicity
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predicted(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.balanced(documents(spark, sf_dir))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(documents(spark, sf_dir))
 
@@ -31,7 +35,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_fingerprints, op4_quality, op5_simhash, op9_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_quality, op5_simhash, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
