@@ -18,11 +18,15 @@ from pyspark.sql.window import Window
 BATCH_ROWS = 512
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches stay short however long the texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, in a session whose Arrow batches stay short however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bounded_batches(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, quality, simhash, toxicity
+from . import bpe, fingerprint, mixing, pii, quality, simhash, toxicity
 from .common import documents
 
 
@@ -34,8 +34,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_in(documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_quality, op5_simhash, op9_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_quality, op5_simhash, op9_bpe, op10_pii, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -102,7 +102,35 @@ def grouped(docs: DataFrame, k: int = 3) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 3) -> DataFrame:
-    """docs without the rows whose group has a row of a smaller id; of rows with one id (or none) the first by text stays."""
-    keep = grouped(docs, k).filter("doc_id = component_id or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    """docs with one row of each group: the least id, of rows with that id the first by text; a group without ids keeps its first text.
+
+    The texts are moved only for ids that are kept and occur more than once.
+    """
+    groups = grouped(docs, k)
+    tied = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = written(tied.withColumnRenamed("doc_id", "_id"), "simhash-kept")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    single = docs.join(kept.filter("n = 1"), docs["doc_id"] == kept["_id"], "left_semi")
+    several = docs.join(kept.filter("n > 1"), docs["doc_id"] == kept["_id"], "left_semi")
+    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
+    out = single.unionByName(first.select("_row.*"))
+    nameless = groups.filter("component_id is null").select("fingerprint").distinct()
+    if nameless.isEmpty():
+        return out
+    own = docs.filter("doc_id is null")
+    own = own.withColumn("_fp", _fingerprint_of(F.col("text"), k))
+    first = own.join(nameless, own["_fp"] == nameless["fingerprint"], "left_semi").groupBy("_fp").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
+    return out.unionByName(first.select("_row.*"))
+
+
+def _fingerprint_of(text: Column, k: int) -> Column:
+    """The same fingerprint as a column, for the few rows without an id."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: f"{simhash((t or '').encode(), k) & ((1 << 64) - 1):016x}")
+
+    return of(text)
+
+
