@@ -66,6 +66,7 @@ class Vocabulary:
             self.merge_of.setdefault((left, right), (rank, whole))
             self.parts_of.setdefault(whole, (rank, left, right))
         self.longest = max(map(len, self.id_of))
+        self.number = {i: i for i in self.bytes_of}  # one object for each id, however often it is kept
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merged(self, ids: list[int]) -> list[int]:
@@ -96,7 +97,7 @@ class Vocabulary:
             ra, rb = parts.get(a, (-1, 0, 0))[0], parts.get(b, (-1, 0, 0))[0]
             if ra < 0 and rb < 0:
                 return True
-            if ra > rb or (ra == rb and False):
+            if ra > rb:
                 undone, from_left, a = ra, True, parts[a][2]
             else:
                 undone, from_left, b = rb, False, parts[b][1]
@@ -109,7 +110,7 @@ class Trie:
     up to ``remember`` nodes, after which they are forgotten together.
     """
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, remember: int = 600_000):
         self.v, self.remember = vocabulary, remember
         self.good = PairMemo(vocabulary)
         self.nodes: dict[bytes, int] = {}  # prefix -> last token * 256 + its length
@@ -121,7 +122,7 @@ class Trie:
         id_of, longest, good = self.v.id_of.get, self.v.longest, self.good
         if len(self.nodes) > self.remember:
             self.nodes = {}
-        nodes, known = self.nodes, self.nodes.get
+        nodes, known, number = self.nodes, self.nodes.get, self.v.number
         ids: list[int] = [-1]  # last token of the prefix of each length on the current path
         back: list[int] = [0]  # its length
         path = b""
@@ -136,7 +137,7 @@ class Trie:
                 if not fresh:
                     node = known(word[:end])
                     if node is not None:
-                        ids.append(node >> 8)
+                        ids.append(number[node >> 8])
                         back.append(node & 255)
                         end += 1
                         continue
@@ -181,7 +182,7 @@ def chunks(text: str) -> list[str]:
 class Encoder:
     """Chunks -> ids through the trie, with remembered chunks and pieces."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 350_000):
         self.v = Vocabulary(path)
         self.trie = Trie(self.v)
         self.chunks = Cached(lambda c: None, remember)
@@ -216,7 +217,7 @@ def decode(ids: list[int], table: dict[int, bytes]) -> str:
     return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def grouped(batches: Iterator, column: str, size: int = 12_000_000) -> Iterator:
+def grouped(batches: Iterator, column: str, size: int = 6_000_000) -> Iterator:
     """Arrow batches joined until ``column`` holds about ``size`` bytes: the more distinct words at once, the more prefixes they share."""
     import pyarrow as pa
 
