@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, pii, quality, simhash, toxicity
+from . import bpe, fingerprint, langid, mixing, pii, quality, simhash, toxicity
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(documents(spark, sf_dir))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_quality, op5_simhash, op9_bpe, op10_pii, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_quality, op5_simhash, op6_language, op9_bpe, op10_pii, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
