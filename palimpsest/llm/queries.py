@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, langid, lm, mixing, pii, quality, simhash, toxicity
+from . import bitplane, bpe, fingerprint, langid, lm, mixing, pii, quality, simhash, toxicity
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(documents(spark, sf_dir))
 
 
+def op7_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane.round_trip(documents(spark, sf_dir))
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(documents(spark, sf_dir))
 
@@ -53,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_quality, op5_simhash, op6_language, op8_lm, op9_bpe, op10_pii, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_quality, op5_simhash, op6_language, op7_bitplane, op8_lm, op9_bpe, op10_pii, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
