@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import text as fn
 from ..functions import versions as vs
 
-CHUNK = T.StructType().add("doc_path", "string").add("heading_path", T.ArrayType(T.StringType())).add("part", "int").add("text", "string").add("version_low", "string").add("version_high", "string")
+CHUNK = T.StructType().add("doc_path", "string").add("heading_path", T.ArrayType(T.StringType())).add("part", "integer").add("text", "string").add("version_low", "string").add("version_high", "string")
 EXAMPLE = T.StructType().add("question", "string").add("target_version", "string").add("positive_chunk_id", "string").add("hard_negative_ids", T.ArrayType(T.StringType())).add("retriever_negative_ids", T.ArrayType(T.StringType())).add("family_id", "string").add("source", "string").add("unanswerable", "boolean").add("notes", "string")
 
 
