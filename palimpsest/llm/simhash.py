@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,26 +108,26 @@ def deduplicated(docs: DataFrame, k: int = 3) -> DataFrame:
     The texts are moved only for ids that are kept and occur more than once.
     """
     groups = grouped(docs, k)
-    tied = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = written(tied.withColumnRenamed("doc_id", "_id"), "simhash-kept")
+    own = F.col("doc_id") == F.col("component_id")
+    ids = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(own).alias("own"))
+    kept = written(ids.filter("own").select(F.col("doc_id").alias("_id"), "n"), "simhash-kept")
     names = [F.col(f"`{c}`") for c in docs.columns]
     single = docs.join(kept.filter("n = 1"), docs["doc_id"] == kept["_id"], "left_semi")
-    several = docs.join(kept.filter("n > 1"), docs["doc_id"] == kept["_id"], "left_semi")
-    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
+    several = docs.join(kept.filter("n > 1"), docs["doc_id"] == kept["_id"], "left_semi").withColumn("_fp", _fingerprint_of(F.col("text"), k))
+    marks = groups.filter(own).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_mark")).distinct()
+    first = several.join(marks, (several["doc_id"] == marks["_id"]) & (several["_fp"] == marks["_mark"]), "left_semi")
+    first = first.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
     out = single.unionByName(first.select("_row.*"))
     nameless = groups.filter("component_id is null").select("fingerprint").distinct()
     if nameless.isEmpty():
         return out
-    own = docs.filter("doc_id is null")
-    own = own.withColumn("_fp", _fingerprint_of(F.col("text"), k))
-    first = own.join(nameless, own["_fp"] == nameless["fingerprint"], "left_semi").groupBy("_fp").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
+    rest = docs.filter("doc_id is null").withColumn("_fp", _fingerprint_of(F.col("text"), k))
+    first = rest.join(nameless, rest["_fp"] == nameless["fingerprint"], "left_semi").groupBy("_fp").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
     return out.unionByName(first.select("_row.*"))
 
 
 def _fingerprint_of(text: Column, k: int) -> Column:
     """The same fingerprint as a column, for the few rows without an id."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: f"{simhash((t or '').encode(), k) & ((1 << 64) - 1):016x}")
