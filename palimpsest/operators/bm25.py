@@ -45,14 +45,14 @@ def scores(queries: DataFrame, passages: DataFrame, qid: str, query_terms: Colum
     return hit.groupBy(qid, id_).agg(F.sum(part).alias("score"))
 
 
-def top_k(scored: DataFrame, queries: DataFrame, candidates: DataFrame, qid: str, id_: str, k: int, digits: int = 6) -> DataFrame:
+def top_k(scored: DataFrame, queries: DataFrame, candidates: DataFrame, qid: str, id_: str, k: int, digits: int = 4) -> DataFrame:
     """(qid, id, score, rank): the k best of the candidates (qid, id) of each query, ties by id, unscored candidates as 0."""
     all_ = candidates.join(scored, [qid, id_], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), digits))
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), id_)
     return all_.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(qid, id_, "score", "rank")
 
 
-def padded_top_k(scored: DataFrame, queries: DataFrame, passages: DataFrame, qid: str, id_: str, k: int, digits: int = 6) -> DataFrame:
+def padded_top_k(scored: DataFrame, queries: DataFrame, passages: DataFrame, qid: str, id_: str, k: int, digits: int = 4) -> DataFrame:
     """top_k over all passages, without pairing each query with each passage.
 
     Only queries with fewer than k positive scores need passages that score 0, and those lie among the first k + s ids, s being

@@ -46,7 +46,7 @@ st AS (SELECT count(*) AS n, avg(dl) AS al FROM dl), df AS (SELECT term, count(*
 raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st), idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
 qt AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_PARTS.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
 sc AS (SELECT qt.item_id, p.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al))) AS s FROM qt JOIN post p USING (term) JOIN idf USING (term) JOIN dl ON dl.doc_id = p.doc_id, st GROUP BY 1, 2)"""
-_ALL_SCORES = "al AS (SELECT b.item_id, d.doc_id, coalesce(round(s, 6), 0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN sc ON sc.item_id = b.item_id AND sc.doc_id = d.doc_id{})"
+_ALL_SCORES = "al AS (SELECT b.item_id, d.doc_id, coalesce(round(s, 4), 0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN sc ON sc.item_id = b.item_id AND sc.doc_id = d.doc_id{})"
 _TOP = "SELECT * FROM (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM al) WHERE rank <= 20"
 _WINDOW = " WHERE (b.item_id % 12) BETWEEN d.doc_id % 6 AND d.doc_id % 6 + 4"
 
