@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -66,7 +67,6 @@ class Vocabulary:
             self.merge_of.setdefault((left, right), (rank, whole))
             self.parts_of.setdefault(whole, (rank, left, right))
         self.longest = max(map(len, self.id_of))
-        self.number = {i: i for i in self.bytes_of}  # one object for each id, however often it is kept
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merged(self, ids: list[int]) -> list[int]:
@@ -104,27 +104,22 @@ class Vocabulary:
 
 
 class Trie:
-    """Encodes sets of byte words; last tokens of shared prefixes are computed once.
+    """Encodes sets of byte words; last tokens of shared prefixes are computed once."""
 
-    Nodes live on the stack of the depth-first walk; those of shared prefixes are also remembered between calls, by prefix,
-    up to ``remember`` nodes, after which they are forgotten together.
-    """
-
-    def __init__(self, vocabulary: Vocabulary, remember: int = 600_000):
-        self.v, self.remember = vocabulary, remember
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
         self.good = PairMemo(vocabulary)
-        self.nodes: dict[bytes, int] = {}  # prefix -> last token * 256 + its length
         self.wholes: dict[int, bool] = {}
 
-    def encode(self, words: set[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Depth-first over the trie of words: sorted order visits it so, with the path kept as a stack of last tokens."""
-        out: dict[bytes, tuple[int, ...]] = {}
+    def encode(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Each word's ids (little-endian u32), depth-first over the trie of words.
+
+        Sorted order visits the trie so; the current path is a stack of last tokens and their lengths.
+        """
+        out: dict[bytes, bytes] = {}
         id_of, longest, good = self.v.id_of.get, self.v.longest, self.good
-        if len(self.nodes) > self.remember:
-            self.nodes = {}
-        nodes, known, number = self.nodes, self.nodes.get, self.v.number
-        ids: list[int] = [-1]  # last token of the prefix of each length on the current path
-        back: list[int] = [0]  # its length
+        ids: list[int] = [-1]
+        back: list[int] = [0]
         path = b""
         for word in sorted(words):
             n = len(word)
@@ -132,16 +127,7 @@ class Trie:
             while shared < most and word[shared] == path[shared]:
                 shared += 1
             del ids[shared + 1 :], back[shared + 1 :]
-            end, fresh = shared + 1, False
-            while end <= n:
-                if not fresh:
-                    node = known(word[:end])
-                    if node is not None:
-                        ids.append(number[node >> 8])
-                        back.append(node & 255)
-                        end += 1
-                        continue
-                    fresh = True
+            for end in range(shared + 1, n + 1):
                 for start in range(end - longest if end > longest else 0, end):
                     token = id_of(word[start:end])
                     if token is not None and (good[ids[start] << 20 | token] if start else self.whole(token)):
@@ -150,15 +136,12 @@ class Trie:
                     raise ValueError("a byte is not in the vocabulary")
                 ids.append(token)
                 back.append(end - start)
-                if end <= 12:
-                    nodes[word[:end]] = token << 8 | end - start
-                end += 1
             path = word
             found, end = [], n
             while end:
                 found.append(ids[end])
                 end -= back[end]
-            out[word] = tuple(found[::-1])
+            out[word] = array("I", found[::-1]).tobytes()
         return out
 
     def whole(self, token: int) -> bool:
@@ -170,7 +153,7 @@ class Trie:
 
 class PairMemo(Cached):
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__(lambda p: vocabulary.compatible(p >> 20, p & 0xFFFFF), 300_000)
+        super().__init__(lambda p: vocabulary.compatible(p >> 20, p & 0xFFFFF), 200_000)
 
 
 def chunks(text: str) -> list[str]:
@@ -182,7 +165,7 @@ def chunks(text: str) -> list[str]:
 class Encoder:
     """Chunks -> ids through the trie, with remembered chunks and pieces."""
 
-    def __init__(self, path: str, remember: int = 350_000):
+    def __init__(self, path: str, remember: int = 250_000):
         self.v = Vocabulary(path)
         self.trie = Trie(self.v)
         self.chunks = Cached(lambda c: None, remember)
@@ -194,8 +177,8 @@ class Encoder:
             return [y for x in parts for y in ([self.v.special[x]] if x in self.v.special else [p.encode() for p in PIECES.findall(x)])]
         return [p.encode() for p in PIECES.findall(chunk)]
 
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
-        """For each text the ids of its chunks, in order."""
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [chunks(t) for t in texts]
         entries, fresh = self.chunks.fresh(set().union(*cut))
         split = {c: self.pieces(c) for c in fresh}
@@ -205,11 +188,11 @@ class Encoder:
         coded.update(found)
         made = {}
         for c, ps in split.items():
-            made[c] = coded[ps[0]] if len(ps) == 1 and isinstance(ps[0], bytes) else tuple([i for p in ps for i in ([p] if isinstance(p, int) else coded[p])])
+            made[c] = b"".join([array("I", [p]).tobytes() if isinstance(p, int) else coded[p] for p in ps])
         self.chunks.learn(made)
         entries.update(made)
         look = entries.__getitem__
-        return [list(map(look, c)) for c in cut]
+        return [np.frombuffer(b"".join(map(look, c)), np.uint32) for c in cut]
 
 
 def decode(ids: list[int], table: dict[int, bytes]) -> str:
@@ -217,7 +200,7 @@ def decode(ids: list[int], table: dict[int, bytes]) -> str:
     return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def grouped(batches: Iterator, column: str, size: int = 6_000_000) -> Iterator:
+def grouped(batches: Iterator, column: str, size: int) -> Iterator:
     """Arrow batches joined until ``column`` holds about ``size`` bytes: the more distinct words at once, the more prefixes they share."""
     import pyarrow as pa
 
@@ -232,17 +215,18 @@ def grouped(batches: Iterator, column: str, size: int = 6_000_000) -> Iterator:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, remember: int) -> Encoder:
+    """One encoder for each worker process; a task that asks for another one drops the last."""
+    if (path, remember) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, remember] = Encoder(path, remember)
+    return _ENCODERS[path, remember]
 
 
-def with_encoding(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+def with_encoding(docs: DataFrame, path: str | None = None, text: str = "text", remember: int = 100_000) -> DataFrame:
     """docs (its columns renamed away from clashes by the caller) with ``ids`` array<int> and ``decoded`` string."""
     path = path or default_vocabulary()
     from pyspark.sql import types as T
@@ -253,27 +237,29 @@ def with_encoding(docs: DataFrame, path: str | None = None, text: str = "text")
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        enc = encoder(path)
-        for batch in grouped(batches, text):
-            flat = [list(chain.from_iterable(doc)) for doc in enc.encode_batch([t or "" for t in batch.column(text).to_pylist()])]
-            decoded = pa.array([decode(ids, enc.v.bytes_of) for ids in flat], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(flat, pa.list_(pa.int32())), decoded], names=[*kept, "ids", "decoded"])
+        enc = encoder(path, remember)
+        for batch in grouped(batches, text, 15 * remember):
+            coded = enc.encode_batch([t or "" for t in batch.column(text).to_pylist()])
+            decoded = pa.array([decode(ids.tolist(), enc.v.bytes_of) for ids in coded], pa.string())
+            ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids, decoded], names=[*kept, "ids", "decoded"])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, remember: int = 250_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of every whole text."""
     path = path or default_vocabulary()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        enc = encoder(path)
-        for batch in grouped(batches, "text"):
+        enc = encoder(path, remember)
+        for batch in grouped(batches, "text", 15 * remember):
             count, shas, back = [], [], []
             for doc in enc.encode_batch([t or "" for t in batch.column("text").to_pylist()]):
-                ids = list(chain.from_iterable(doc))
+                ids = doc.tolist()
                 count.append(len(ids))
                 shas.append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
                 back.append(hashlib.sha256(decode(ids, enc.v.bytes_of).encode()).hexdigest())
