@@ -11,7 +11,7 @@ the documents' ids and lengths; the tail says where the index is. A reader needs
     tail:  offset of the index u64, its length u64, number of the range u64, "BPFILE01"
 
 Files are written and read by Spark (one text row a record, ``binaryFile``), so any store that Spark reaches will do. Ids come from
-the tokenizers library, asked once for each distinct run between safe spaces (see ``bpe.chunks``). Null texts count as empty: their
+the tokenizers library, asked once for each distinct run between safe spaces (see ``bpe.cuts``). Null texts count as empty: their
 one id is the end id. Null ids come first, equal ids by text. An empty table makes no file with documents.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import chunks, default_vocabulary
+from .bpe import cuts, default_vocabulary
 from .common import Cached, ordered_cuts, range_of, scratch_path, written
 
 BLOCK, END_ID, LEVEL = 1 << 16, 0, 3
@@ -144,29 +145,42 @@ class Reader:
 
 
 class Ids:
-    """Little-endian u32 ids of texts by the tokenizers library."""
+    """Little-endian u32 ids of texts by the tokenizers library, asked once for each chunk that is remembered."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
-        self.seen = Cached(lambda c: None, remember)
+        self.seen = Cached(lambda c: None, remember)  # chunks without the space before them
+
+    def _asked(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 5000):
+            for e in self.t.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) for t in texts]
+        cut = [cuts(t) for t in texts]
+        heads = self._asked([c.pop(0) for c in cut])
         known, fresh = self.seen.fresh(set().union(*cut))
-        fresh = list(fresh)
-        made = {}
-        for i in range(0, len(fresh), 5000):
-            part = fresh[i : i + 5000]
-            for c, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False)):
-                made[c] = np.array(e.ids, "<u4").tobytes()
+        rest = list(fresh)
+        made = dict(zip(rest, self._asked([" " + c for c in rest])))
         self.seen.learn(made)
         known.update(made)
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        look = known.__getitem__
+        return [head + b"".join(map(look, c)) for head, c in zip(heads, cut)]
+
+
+_SOURCES: dict[str, Ids] = {}
+
+
+def source(path: str) -> Ids:
+    """One for each worker process, so that what it remembers serves its later tasks."""
+    if path not in _SOURCES:
+        _SOURCES[path] = Ids(path)
+    return _SOURCES[path]
 
 
 def write(docs: DataFrame, where: str, path: str | None = None, bits: bool = False) -> None:
@@ -182,14 +196,14 @@ def write(docs: DataFrame, where: str, path: str | None = None, bits: bool = Fal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        source, writer = Ids(path), None
+        encode, writer = source(path).batch, None
         end = np.array([END_ID], "<u4").tobytes()
 
         def out(records: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
         for batch in batches:
-            coded = source.batch([t or "" for t in batch.column("text").to_pylist()])
+            coded = encode([t or "" for t in batch.column("text").to_pylist()])
             for at, doc_id, ids in zip(batch.column("at").to_pylist(), batch.column("doc_id").to_pylist(), coded):
                 if writer is None:
                     writer = Writer(at, bits)

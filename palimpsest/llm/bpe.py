@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from .common import Cached
 
 #: Fixed value: the public byte-level pre-tokenizer's pattern.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-DOUBLE_SPACE = regex.compile(r"\s\s|[\x1c-\x1f]")
+DOUBLE_SPACE = re.compile(r"\s\s|[\x1c-\x1f]")
 SAFE_SPACE = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 
 
@@ -156,9 +157,14 @@ class PairMemo(Cached):
         super().__init__(lambda p: vocabulary.compatible(p >> 20, p & 0xFFFFF), 200_000)
 
 
+def cuts(text: str) -> list[str]:
+    """The text cut at each single space between two non-spaces, where a pre-tokenizer piece begins; the spaces are left out."""
+    return text.split(" ") if DOUBLE_SPACE.search(text) is None else SAFE_SPACE.split(text)
+
+
 def chunks(text: str) -> list[str]:
-    """The text cut before each single space between two non-spaces, where every pre-tokenizer piece ends."""
-    cut = text.split(" ") if DOUBLE_SPACE.search(text) is None else SAFE_SPACE.split(text)
+    """cuts() with the space that each but the first begins with."""
+    cut = cuts(text)
     return [cut[0], *(" " + c for c in cut[1:])] if cut[0] else [" " + c for c in cut[1:]]
 
 
