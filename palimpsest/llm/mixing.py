@@ -132,12 +132,23 @@ def balanced(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; columns stay. Rows equal in id, source and size are told apart by text."""
+    """docs with each row repeated as often as the mix takes it; columns stay. Rows equal in id, source and size are told apart by text.
+
+    What is joined to the rows is how many of each such set get 3, 2 and 1 copies, so texts are moved once.
+    """
     names = docs.columns
-    same = Window.partitionBy("_id", "_key", "_size")
-    copies = with_copies(sized(docs)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), "copies")
-    copies = copies.withColumn("_n", F.row_number().over(same.orderBy("copies")))
-    own = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), source_key(F.col("source")).alias("_key"), n_words(F.col("text")).alias("_size"))
-    own = own.withColumn("_n", F.row_number().over(same.orderBy(F.col("_row.text"))))
-    on = own["_id"].eqNullSafe(copies["_id"]) & (own["_key"] == copies["_key"]) & (own["_size"] == copies["_size"]) & (own["_n"] == copies["_n"])
-    return own.join(copies, on).filter("copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"), "_row").select("_row.*")
+    on = ["_id", "_key", "_size"]
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    flag = F.when(F.col("doc_id").isNull(), "n").otherwise("i")
+    some = range(int(MOST), 0, -1)
+    counts = with_copies(sized(docs)).select(id_.alias("_id"), F.concat(flag, F.col("key")).alias("_key"), F.col("size").alias("_size"), "copies")
+    counts = counts.groupBy(*on).agg(*(F.count_if(F.col("copies") == k).alias(f"_c{k}") for k in some))
+    row = F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row")
+    own = docs.select(row, id_.alias("_id"), F.concat(flag, source_key(F.col("source"))).alias("_key"), n_words(F.col("text")).alias("_size"))
+    place = F.row_number().over(Window.partitionBy(*on).orderBy(F.col("_row.text")))
+    copies, upto = None, F.lit(0)
+    for k in some:
+        upto = upto + F.col(f"_c{k}")
+        copies = (F if copies is None else copies).when(F.col("_place") <= upto, k)
+    out = own.join(counts, on).withColumn("_place", place).withColumn("_times", copies).filter("_times is not null")
+    return out.select(F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"), "_row").select("_row.*")
