@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,47 +90,50 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """(fp, root) of every distinct fingerprint in ``rows``."""
+    nodes = written(rows.select("fp").distinct(), "simhash-nodes")
+    roots = connected_components(links(nodes))
+    return written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def grouped(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id) of every row; see the module for nulls and empty texts."""
     rows = written(fingerprints(docs, k), "simhash")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = connected_components(links(nodes))
-    of_fp = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_fp.join(of_root, "root").select("fp", "component_id")
+    of_fp = _named(rows)
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of_fp, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = of_fp.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _row_key(df: DataFrame) -> DataFrame:
+    """df with ``_id`` and ``_th``, which tell rows apart by id and text without moving either."""
+    return df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_th": F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))})
+
+
 def deduplicated(docs: DataFrame, k: int = 3) -> DataFrame:
-    """docs with one row of each group: the least id, of rows with that id the first by text; a group without ids keeps its first text.
+    """docs with one row of each group: the least id (none after all others), of rows with that id the first by a hash of the text.
 
-    The texts are moved only for ids that are kept and occur more than once.
+    Groups are found on fingerprints; the texts are moved once, to meet the keys of the rows that stay, by a join that is dealt by
+    key at every size.
     """
-    groups = grouped(docs, k)
-    own = F.col("doc_id") == F.col("component_id")
-    ids = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(own).alias("own"))
-    kept = written(ids.filter("own").select(F.col("doc_id").alias("_id"), "n"), "simhash-kept")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    single = docs.join(kept.filter("n = 1"), docs["doc_id"] == kept["_id"], "left_semi")
-    several = docs.join(kept.filter("n > 1"), docs["doc_id"] == kept["_id"], "left_semi").withColumn("_fp", _fingerprint_of(F.col("text"), k))
-    marks = groups.filter(own).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_mark")).distinct()
-    first = several.join(marks, (several["doc_id"] == marks["_id"]) & (several["_fp"] == marks["_mark"]), "left_semi")
-    first = first.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
-    out = single.unionByName(first.select("_row.*"))
-    nameless = groups.filter("component_id is null").select("fingerprint").distinct()
-    if nameless.isEmpty():
-        return out
-    rest = docs.filter("doc_id is null").withColumn("_fp", _fingerprint_of(F.col("text"), k))
-    first = rest.join(nameless, rest["_fp"] == nameless["fingerprint"], "left_semi").groupBy("_fp").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
-    return out.unionByName(first.select("_row.*"))
-
-
-def _fingerprint_of(text: Column, k: int) -> Column:
-    """The same fingerprint as a column, for the few rows without an id."""
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: f"{simhash((t or '').encode(), k) & ((1 << 64) - 1):016x}")
-
-    return of(text)
+    names = docs.columns
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for batch in batches:
+            fp = [simhash(t, k) for t in raw_texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), batch.column("_none"), pa.array(fp, pa.int64())], names=["_id", "_th", "_none", "fp"])
+
+    keyed = _row_key(docs.select("doc_id", "text")).select("_id", "_th", F.col("doc_id").isNull().alias("_none"), "text")
+    rows = written(keyed.mapInArrow(run, "_id long, _th long, _none boolean, fp long"), "simhash")
+    best = rows.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_th")).alias("b"), F.count("*").alias("n"))
+    best = best.join(_named(rows), "fp").groupBy("root").agg(F.min("b").alias("b"))
+    kept = best.select("b._id", "b._th")
+    repeated = rows.join(kept, ["_id", "_th"]).groupBy("_id", "_th").agg(F.count("*").alias("n")).filter("n > 1")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), "doc_id", "text")
+    own = _row_key(own).select("_row", "_id", "_th").join(kept.hint("shuffle_hash"), ["_id", "_th"], "left_semi")
+    if not repeated.isEmpty():
+        own = own.groupBy("_id", "_th").agg(F.first("_row").alias("_row"))
+    return own.select("_row.*")
