@@ -84,12 +84,12 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return words.join(F.broadcast(patterns.select("left").distinct()), "left").groupBy("left").agg(F.count("*").alias("total"))
 
 
-def bootstrapped(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Spans (rid, kind, start, end) that contexts add to the rules' finds ``found`` in docs."""
+def bootstrapped(docs: DataFrame, found: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Spans (rid, kind, start, end) that contexts add to the rules' finds ``found`` in docs; words are counted over ``corpus``."""
     seeds = found.filter("left <> ''").groupBy("left", "kind").agg(F.count("*").alias("hits"), F.countDistinct("hit").alias("distinct_hits")).filter(F.col("distinct_hits") >= SUPPORT)
     best = Window.partitionBy("kind").orderBy(F.col("distinct_hits").desc(), "left")
     seeds = written(seeds.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= PATTERNS).drop("_n"), "pii-patterns")
-    totals = written(occurrences(docs, seeds), "pii-totals")
+    totals = written(occurrences(corpus, seeds), "pii-totals")
     shaped = F.array(*(F.when(F.lower("hit").rlike(SHAPES[k]), F.lit(k)) for k in KINDS))
     spans = found.select("rid", F.col("start").alias("_from"), F.col("end").alias("_to"))
     loose = tokens(docs).filter("left <> ''").join(F.broadcast(seeds.select("left").distinct()), "left")  # at most 4 * PATTERNS words
@@ -118,10 +118,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["k"].cast("int")), s["a"].cast("string"), s["b"].cast("string"))), ",")
 
 
-def spans_of(docs: DataFrame) -> DataFrame:
-    """(rid, base, added): each document's spans, for documents (rid, text) that have any."""
+def spans_of(docs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(rid, base, spans): each document's spans, for documents (rid, text) that have any. ``corpus`` holds docs and all texts without a digit or an @."""
     found = written(ruled(docs), "pii-ruled")
-    added = bootstrapped(docs, found)
+    added = bootstrapped(docs, found, corpus)
     both = found.select("rid", "kind", "start", "end", F.lit(True).alias("base")).unionByName(added.withColumn("base", F.lit(False)))
     span = F.struct("kind", "start", "end")
     return both.groupBy("rid").agg(F.collect_list(F.when(F.col("base"), span)).alias("base"), F.collect_list(span).alias("spans"))
@@ -135,7 +135,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 def found_in(docs: DataFrame) -> DataFrame:
     """doc_id, counts and digest of the rules' finds, and all spans, of every row of docs."""
     docs = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = docs.select("doc_id", "rid").join(spans_of(docs), "rid", "left")
+    rows = docs.select("doc_id", "rid").join(spans_of(docs, docs), "rid", "left")
     base = F.coalesce("base", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))
     of_kind = lambda k: F.filter(base, lambda s: s["kind"] == k)
     count = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
@@ -145,12 +145,12 @@ def found_in(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of ``text`` replaced by its kind in brackets; overlapping spans are replaced once, by the first's kind.
 
-    Texts without a digit or an @ can hold no span and skip the join.
+    Texts without a digit or an @ can hold no span and skip the join; their words still count in the patterns' totals.
     """
     names = docs.columns
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     some = numbered(docs.filter(may).select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), F.col("doc_id"), F.col("text")))
-    per = spans_of(some.select("rid", "text")).select("rid", F.explode("spans").alias("s")).select("rid", "s.*")
+    per = spans_of(some.select("rid", "text"), docs.select("text")).select("rid", F.explode("spans").alias("s")).select("rid", "s.*")
     rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     before = Window.partitionBy("rid").orderBy("start", rank).rowsBetween(Window.unboundedPreceding, -1)
     apart = per.withColumn("seen", F.coalesce(F.max("end").over(before), F.lit(0))).filter(F.col("end") > F.col("seen"))

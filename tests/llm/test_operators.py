@@ -464,3 +464,11 @@ def test_redaction(spark, odd, none):
     out = pii.redacted(odd)
     assert out.columns == odd.columns and out.count() == len(odd_rows())
     assert pii.found_in(odd).count() == len(odd_rows()) and pii.found_in(none).count() == 0 and pii.redacted(none).count() == 0
+
+
+def test_redaction_masks_what_is_found(spark):
+    rows = [(i, f"call zq +49 30 1234567{i} now") for i in range(3)] + [(10, "then zq 030/1234567 again")] + [(20 + i, "nothing but zq here") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {g.doc_id: g.spans for g in pii.found_in(docs).collect()}
+    masked = by_row(pii.redacted(docs), "doc_id", "text")
+    assert spans[10] == "" and {i for i, t in masked if "[" in t} == {i for i, s in spans.items() if s} == {0, 1, 2}
