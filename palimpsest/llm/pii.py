@@ -5,7 +5,7 @@ seeds. The word to the left of a seed is a lexical pattern. In rounds, a pattern
 it introduces an accepted instance of that kind, over all times it occurs in the corpus (so "the" never gets far), and an
 unaccepted identifier-like token (with a digit or @, not inside a rule's find) is accepted for a kind whose shape it has once
 the patterns before it leave little doubt (noisy or over the distinct patterns it follows). Accepted tokens are instances in the
-next round. Patterns need ``SUPPORT`` distinct seeds; at most ``PATTERNS`` a kind, the best supported, are scored.
+next round, in which they raise and make patterns. A pattern needs ``SUPPORT`` distinct instances; all that have them are scored.
 
 Everything is DataFrame functions. Text is split at a rule's matches: pieces and matches give positions in code points by running
 sums. Patterns are written with possessive loops, so that neither deep recursion nor repeated scans of a long run occur; texts
@@ -31,7 +31,9 @@ RULES = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^0-9@\x20\x09-\x0D]*+[0-9@])[^\x20\x09-\x0D]++"
 SHAPES = {"email": r"^[^@]+@[^@]*[a-z]", "ip": r"^[0-9a-f]+([.:][0-9a-f]+){3}", "card": r"^([^0-9]*[0-9]){12,19}[^0-9]*$", "phone": r"^[+(]?([^0-9]*[0-9]){7,15}[^0-9]*$"}
-SUPPORT, PATTERNS, ROUNDS, SURE = 3, 500, 3, 0.6
+SUPPORT, ROUNDS, SURE = 3, 3, 0.6
+#: Parts in which the tokens after one word are joined.
+SALTS = 16
 SPACE = r"[\x20\x09-\x0D]"
 #: Code points of a piece kept at each end for contexts; longer words make no pattern.
 AROUND = 48
@@ -78,37 +80,43 @@ def tokens(docs: DataFrame) -> DataFrame:
     return _hits(docs, [_cut("token", TOKEN, "[0-9@]")]).drop("kind")
 
 
-def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(left, total): how often each pattern's word occurs in docs. ``patterns`` has at most PATTERNS rows a kind."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(left, total): how often each word that can be a pattern occurs in docs. Tasks count before the shuffle, so a hot word is a row a task."""
     words = docs.filter("text is not null").select(F.explode(F.split(F.lower("text"), f"{SPACE}+")).alias("left"))
-    return words.join(F.broadcast(patterns.select("left").distinct()), "left").groupBy("left").agg(F.count("*").alias("total"))
+    return words.filter(F.length("left").between(1, AROUND)).groupBy("left").agg(F.count("*").alias("total"))
 
 
 def bootstrapped(docs: DataFrame, found: DataFrame, corpus: DataFrame) -> DataFrame:
     """Spans (rid, kind, start, end) that contexts add to the rules' finds ``found`` in docs; words are counted over ``corpus``."""
-    seeds = found.filter("left <> ''").groupBy("left", "kind").agg(F.count("*").alias("hits"), F.countDistinct("hit").alias("distinct_hits")).filter(F.col("distinct_hits") >= SUPPORT)
-    best = Window.partitionBy("kind").orderBy(F.col("distinct_hits").desc(), "left")
-    seeds = written(seeds.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= PATTERNS).drop("_n"), "pii-patterns")
-    totals = written(occurrences(corpus, seeds), "pii-totals")
     shaped = F.array(*(F.when(F.lower("hit").rlike(SHAPES[k]), F.lit(k)) for k in KINDS))
     spans = found.select("rid", F.col("start").alias("_from"), F.col("end").alias("_to"))
-    loose = tokens(docs).filter("left <> ''").join(F.broadcast(seeds.select("left").distinct()), "left")  # at most 4 * PATTERNS words
+    loose = tokens(docs).filter("left <> ''")
     over = (loose["rid"] == spans["rid"]) & (spans["_from"] < loose["end"]) & (spans["_to"] > loose["start"])
     loose = loose.join(spans, over, "left_anti").select("rid", "start", "end", F.lower("hit").alias("hit"), "left", F.explode(F.filter(shaped, lambda k: k.isNotNull())).alias("kind"))
     loose = written(loose, "pii-loose")
     edges = loose.groupBy("left", "kind", "hit").agg(F.count("*").alias("times"))
-    accepted = None
+    # Patterns: words whose seeds and shaped tokens together can reach the support; most get it in no round.
+    seeds = found.filter("left <> ''").groupBy("left", "kind", "hit").agg(F.count("*").alias("hits"))
+    both = seeds.select("left", "kind", "hits", F.lit(1).alias("seed")).unionByName(edges.select("left", "kind", F.lit(0).cast("long").alias("hits"), F.lit(0).alias("seed")))
+    ways = both.groupBy("left", "kind").agg(F.sum("hits").alias("hits"), F.sum("seed").alias("distinct_hits"), F.count("*").alias("_most"))
+    ways = written(ways.filter(F.col("_most") >= SUPPORT).drop("_most").join(occurrences(corpus), "left"), "pii-patterns")
+    edges = written(edges.withColumn("salt", F.pmod(F.xxhash64("hit"), F.lit(SALTS)).cast("int")), "pii-edges")
+    salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS))))
+    accepted = known = None
     for _ in range(ROUNDS):
-        known = seeds.select("left", "kind", "hits")
+        known = ways
         if accepted is not None:
-            more = edges.join(accepted, ["kind", "hit"]).groupBy("left", "kind").agg(F.sum("times").alias("more"))
-            known = known.join(more, ["left", "kind"], "left").select("left", "kind", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("hits"))
-        sure = known.join(totals, "left").select("left", "kind", F.least(F.lit(0.999), F.col("hits") / F.col("total")).alias("p"))
-        doubt = edges.join(sure, ["left", "kind"]).groupBy("kind", "hit").agg(F.sum(F.log1p(-F.col("p"))).alias("doubt"))
+            more = edges.join(accepted, ["kind", "hit"]).groupBy("left", "kind").agg(F.sum("times").alias("more"), F.count("*").alias("others"))
+            sums = [(F.col(a) + F.coalesce(b, F.lit(0))).alias(a) for a, b in (("hits", "more"), ("distinct_hits", "others"))]
+            known = known.join(more, ["left", "kind"], "left").select("left", "kind", *sums, "total")
+        known = written(known.filter(F.col("distinct_hits") >= SUPPORT), "pii-known")
+        sure = known.select("left", "kind", F.least(F.lit(0.999), F.col("hits") / F.col("total")).alias("p"), salts.alias("salt"))
+        doubt = edges.join(sure, ["left", "kind", "salt"]).groupBy("kind", "hit").agg(F.sum(F.log1p(-F.col("p"))).alias("doubt"))
         accepted = written(doubt.filter(F.exp("doubt") <= 1 - SURE).select("kind", "hit"), "pii-accepted")
     one = F.row_number().over(Window.partitionBy("rid", "start").orderBy("place"))
     place = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
-    return loose.join(accepted, ["kind", "hit"]).withColumn("place", place).withColumn("_n", one).filter("_n = 1").select("rid", "kind", "start", "end")
+    added = loose.join(accepted, ["kind", "hit"]).join(known.select("left").distinct(), "left", "left_semi")
+    return added.withColumn("place", place).withColumn("_n", one).filter("_n = 1").select("rid", "kind", "start", "end")
 
 
 def _joined(spans: Column) -> Column:

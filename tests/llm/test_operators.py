@@ -472,3 +472,19 @@ def test_redaction_masks_what_is_found(spark):
     spans = {g.doc_id: g.spans for g in pii.found_in(docs).collect()}
     masked = by_row(pii.redacted(docs), "doc_id", "text")
     assert spans[10] == "" and {i for i, t in masked if "[" in t} == {i for i, s in spans.items() if s} == {0, 1, 2}
+
+
+def test_patterns_beyond_the_best_supported(spark):
+    letters = "abcdefghij"
+    hot = ["q" + "".join(letters[int(c)] for c in f"{i:03d}") for i in range(510)]
+    rows = [(i, " and ".join([f"{w} m{i}n{j}@b.cc" for j in range(4)] + [w] * 20)) for i, w in enumerate(hot)]
+    rows += [(1000 + i, f"so introz p{i}@b.cc ends") for i in range(3)] + [(2000, "so introz bob@localhost ends")]
+    got = {g.doc_id: g.spans for g in pii.found_in(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id >= 1000").collect()}
+    assert got[2000] == "email:10:23", got
+
+
+def test_accepted_instances_make_patterns(spark):
+    rows = [(i, f"so fone: +49 30 123456{i} ends") for i in range(9)] + [(20 + i, f"so fone: 030/765432{i} ends") for i in range(3)]
+    rows += [(30 + i, f"so mobil: 030/765432{i} ends") for i in range(3)] + [(40, "so mobil: 030/7654329 ends"), (41, "so then 030/7654328 ends")]
+    got = {g.doc_id: g.spans for g in pii.found_in(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id >= 20").collect()}
+    assert got[20] == "phone:9:20" and got[30] == got[40] == "phone:10:21" and got[41] == "", got
