@@ -115,26 +115,43 @@ def triplets(examples: DataFrame, negatives: DataFrame, texts: DataFrame) -> Dat
     return examples.select("query_id", "positive_id").join(pos, "positive_id").join(negatives.select("query_id", "id"), "query_id").join(neg, "id").select("query_id", "positive_text", "negative_text")
 
 
-def pairs(examples: DataFrame, family: DataFrame, retriever: DataFrame, most_family: int = 4, most_retriever: int = 6) -> DataFrame:
-    """(query_id, id, label, kind): the positive, and bounded numbers of both kinds of negatives (query_id, id, place)."""
+def pairs(examples: DataFrame, family: DataFrame, retriever: DataFrame, most_family: int = 4, most_retriever: int = 6, random: DataFrame | None = None, most_random: int = 2) -> DataFrame:
+    """(query_id, id, label, kind): the positive, and bounded numbers of each kind of negatives (query_id, id, place)."""
     pos = examples.select("query_id", F.col("positive_id").alias("id"), F.lit(1).alias("label"), F.lit("positive").alias("kind"))
     out = pos
-    for rows, most, kind in ((family, most_family, "family"), (retriever, most_retriever, "retriever")):
-        out = out.unionByName(rows.filter(F.col("place") <= most).select("query_id", "id", F.lit(0).alias("label"), F.lit(kind).alias("kind")))
+    for rows, most, kind in ((family, most_family, "family"), (retriever, most_retriever, "retriever"), (random, most_random, "random")):
+        if rows is not None:
+            out = out.unionByName(rows.filter(F.col("place") <= most).select("query_id", "id", F.lit(0).alias("label"), F.lit(kind).alias("kind")))
     return out
 
 
-def random_negatives(examples: DataFrame, families: DataFrame, count: int = 2, buckets: int = 64, seed: int = SEED) -> DataFrame:
-    """(query_id, id, place): ``count`` passages of other families for each example, from one drawn bucket of passages each.
+def random_negatives(examples: DataFrame, families: DataFrame, count: int = 2, seed: int = SEED) -> DataFrame:
+    """(query_id, id, place): ``count`` passages of other families for each example, or all there are.
 
-    Passages are dealt into buckets by hash and each bucket offers its first 4 * count by hash, so an example meets few rows.
+    Passages are numbered so that a family's numbers adjoin. What is left without the example's own family is cut into ``count``
+    parts, and one number of each part is drawn, so every passage can be drawn and none twice. Numbers come from counts of digest
+    prefixes and a rank within each, so no window holds all passages, families or a whole family.
     """
-    bucket = lambda d: (number(d) % buckets).cast("int")
-    pool = families.select("id", "family", bucket(drawn(seed, F.col("id"))).alias("_b"), drawn(seed + 1, F.col("id")).alias("_d"))
-    pool = pool.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("_d", "id"))).filter(F.col("_n") <= 4 * count)
-    asked = examples.select("query_id", F.col("family").alias("_own"), F.explode(F.array(*(bucket(drawn(seed + 2 + i, F.col("query_id"))) for i in range(2)))).alias("_b")).distinct()
-    w = Window.partitionBy("query_id").orderBy("_d", "id")
-    return asked.join(pool, "_b").filter("family <> _own").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= count).select("query_id", "id", "place")
+    rows = families.filter("family is not null").select("id", "family", drawn(seed + 1, F.col("id")).alias("_d")).withColumn("_s", F.substring("_d", 1, 3))
+    parts = rows.groupBy("family", "_s").agg(F.count("*").alias("_c"))
+    parts = parts.withColumn("_in", F.sum("_c").over(Window.partitionBy("family").orderBy("_s")) - F.col("_c"))
+    sizes = parts.groupBy("family").agg(F.sum("_c").alias("_size")).withColumn("_b", F.substring(drawn(seed, F.col("family")), 1, 3))
+    counts = sizes.groupBy("_b").agg(F.sum("_size").alias("_c"))
+    before = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before"))
+    start = F.col("_before") + F.sum("_size").over(Window.partitionBy("_b").orderBy("family")) - F.col("_size")
+    sizes = sizes.join(before, "_b").select("family", "_size", start.alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("family", "_s").orderBy("_d", "id"))
+    pool = rows.join(parts, ["family", "_s"]).withColumn("_r", rank).join(sizes, "family").select("id", (F.col("_start") + F.col("_in") + F.col("_r") - 1).alias("_at"))
+    whole = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_all"))
+    own = examples.filter("family is not null").select("query_id", "family").distinct().join(sizes, "family", "left").crossJoin(F.broadcast(whole))  # whole is one row
+    own = own.select("query_id", F.coalesce("_start", F.lit(0)).alias("_start"), F.coalesce("_size", F.lit(0)).alias("_size"), "_all").withColumn("_rest", F.col("_all") - F.col("_size"))
+    far = lambda i: F.conv(F.substring(drawn(seed + 2 + i, F.col("query_id")), 1, 15), 16, 10).cast("long")
+    edge = lambda i: F.floor(F.col("_rest") * i / count)
+    draws = F.array(*(F.when(edge(i + 1) > edge(i), F.struct(F.lit(i).alias("i"), (edge(i) + far(i) % (edge(i + 1) - edge(i))).alias("r"))) for i in range(count)))
+    asked = own.select("query_id", "_start", "_size", F.explode(draws).alias("d")).filter("d is not null")
+    asked = asked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("d.i")))
+    at = F.col("d.r") + F.when(F.col("d.r") >= F.col("_start"), F.col("_size")).otherwise(F.lit(0))
+    return asked.withColumn("_at", at).join(pool, "_at").select("query_id", "id", "place")
 
 
 def pair_weights(labelled: DataFrame) -> DataFrame:

@@ -171,6 +171,29 @@ def test_random_negatives_are_of_other_families(spark, data):
     assert max(r.place for r in rows) <= 2
 
 
+def test_random_negatives_fill_and_reach_every_passage(spark):
+    few = spark.createDataFrame([(i, 1) for i in range(300)] + [(1000, 2), (1001, 3)], "id long, family int")
+    asks = spark.createDataFrame([(i, 1) for i in range(40)] + [(50, 2), (60, 9)], "query_id long, family int")
+    rows = datasets.random_negatives(asks, few).collect()
+    of = {q: sorted(r.id for r in rows if r.query_id == q) for q in [*range(40), 50, 60]}
+    assert all(of[q] == [1000, 1001] for q in range(40)) and all(len(set(of[q])) == 2 for q in of) and 1000 not in of[50]
+    assert {(r.query_id, r.place) for r in rows} == {(q, p) for q in of for p in (1, 2)}
+    many = spark.createDataFrame([(i, i % 7) for i in range(2000)], "id long, family int")
+    drawn = datasets.random_negatives(spark.createDataFrame([(i, i % 7) for i in range(10000)], "query_id long, family int"), many).collect()
+    assert len(drawn) == 20000 and all(r.id % 7 != r.query_id % 7 for r in drawn) and len({r.id for r in drawn}) > 1990
+    only = spark.createDataFrame([(1, 1), (2, 2)], "id long, family int")
+    assert [tuple(r) for r in datasets.random_negatives(asks.filter("query_id = 0"), only).collect()] == [(0, 2, 1)]
+    assert datasets.random_negatives(asks, only.limit(0)).count() == 0
+
+
+def test_pairs_have_random_negatives(spark):
+    ask = spark.createDataFrame([(1, 10)], "query_id long, positive_id long")
+    rows = spark.createDataFrame([(1, 20 + i, i) for i in range(1, 9)], "query_id long, id long, place int")
+    got = datasets.pairs(ask, rows, rows, random=rows)
+    assert {r.kind: r["count"] for r in got.groupBy("kind").count().collect()} == {"positive": 1, "family": 4, "retriever": 6, "random": 2}
+    assert datasets.pair_weights(got).first().pos_weight == 12.0
+
+
 def test_sections_keep_fences_whole():
     long = "\n\n".join(["para " * 10] * 4 + ["~~~\n" + "x\n\n" * 50 + "~~~"])
     got = chunking.pieces(chunking.tidy(long), chunking.Sizes(80, 100, 1))
