@@ -1,14 +1,19 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document's terms are its words, lower-cased and without signs at both ends, and their first four, five and six letters, hashed
-into 2^18 buckets; a term that occurs n times has the value min(n, 2) / 2. The machine scores bias + sum of w_i x_i + sum over
-pairs of <v_i, v_j> x_i x_j, so that a pair (an insult with a mention of a group) can count for more than its words alone. It is
-fitted on the driver by full-batch Adam on a bounded sample: at most ``SAMPLE`` labelled rows, taken by hash of the id, and at
-most ``TERMS`` buckets, half by log-likelihood ratio with the label and half by document frequency. Scoring covers every row and
-every word and needs only the model (under 1 MB).
+into 2^18 buckets; a term that occurs n times has the value (1 + log2 n) / 2. The machine scores bias + sum of w_i x_i + sum over
+pairs of <v_i, v_j> x_i x_j, so that a pair (an insult with a mention of a group) can count for more than its words alone.
+
+It is fitted on the driver on a bounded sample, at most ``SAMPLE`` labelled rows, taken by hash of the id. Every bucket that
+``LEAST`` of these rows hold takes part: proximal Adam steps with an L1 threshold on each weight and on the length of each factor
+leave at exactly zero what the labels say nothing about. Steps between full ones run over the buckets that aren't zero; each full
+step puts back those whose gradient passes the threshold. What is sent to score with is what isn't zero. Scoring reads every row
+and every word; a word whose buckets are all zero adds zero.
 
 Null and empty texts are scored by the bias alone. Rows without a label, with a null label or a null id aren't learned from; of
-repeated labels the largest counts. With no labels of either kind, every score is the share of positive ones, or 0.
+repeated labels the largest counts. With no labels of either kind, every score is the share of positive ones, or 0. Rows that
+repeat are scored each, with equal scores; other columns of the documents, whatever their names, are ignored (``without_toxic``
+hands them on). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import Cached, fold, raw_texts
 
-SAMPLE, TERMS, FACTORS, BUCKETS = 5000, 512, 6, 1 << 18
-#: Occurrences of a term beyond this don't raise its value.
-FULL = 2
+SAMPLE, LEAST, FACTORS, BUCKETS = 5000, 3, 6, 1 << 18
+#: Steps of the fit: how many, how many at first with all buckets, and how often all buckets are looked at after them.
+STEPS, FIRST, AGAIN, RATE, THRESHOLD = 45, 6, 12, 0.1, 4e-3
 SIGNS = b".,;:!?\"'`|*#%&$()[]{}<>=+-_~"
 
 
@@ -39,11 +44,11 @@ def buckets(word: bytes) -> tuple[int, ...]:
 def counted(terms: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct terms and their values."""
     at, n = np.unique(np.array(terms, np.int64), return_counts=True)
-    return at, np.minimum(n, FULL) / FULL
+    return at, 0.5 + 0.5 * np.log2(n)
 
 
 class Machine:
-    """Bias, weights and factors of the kept buckets."""
+    """Bias, weights and factors of the buckets that have any."""
 
     def __init__(self, kept: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.at = {int(b): i for i, b in enumerate(kept)}
@@ -60,52 +65,75 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(s, -30, 30))))
 
 
-def _g2(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Log-likelihood ratio of presence and label."""
-    n = n_pos + n_neg
-
-    def part(seen: np.ndarray, rows: np.ndarray | int, cols: np.ndarray | int) -> np.ndarray:
-        return seen * np.log(np.maximum(seen, 1e-12) * n / np.maximum(rows * 1.0 * cols, 1e-12))
-
-    has = pos + neg
-    return 2 * (part(pos, has, n_pos) + part(neg, has, n_neg) + part(n_pos - pos, n - has, n_pos) + part(n_neg - neg, n - has, n_neg))
-
-
-def fit(size: np.ndarray, flat: np.ndarray, values: np.ndarray, labels: np.ndarray, steps: int = 200, rate: float = 0.05, l2: float = 5e-4) -> Machine:
+class _Entries:
+    """The entries (row, column, value) of some columns, in both orders. Each of the columns has an entry."""
+
+    def __init__(self, n: int, row: np.ndarray, col: np.ndarray, x: np.ndarray, columns: np.ndarray):
+        number = np.full(int(col.max(initial=0)) + 1, -1)
+        number[columns] = np.arange(len(columns))
+        use = number[col] >= 0
+        row, self.col, self.x = row[use], number[col[use]], x[use][:, None]
+        self.n, (self.rows, self.row_at) = n, np.unique(row, return_index=True)
+        order = np.argsort(self.col, kind="stable")
+        self.by_row, self.by_x = row[order], self.x[order]
+        self.col_at = np.searchsorted(self.col[order], np.arange(len(columns)))
+
+    def gradient(self, bias: float, theta: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray]:
+        """Of the mean log loss by the bias and by theta (weight, then factors), which is zero outside these columns."""
+        sums, squares = np.zeros((self.n, theta.shape[1]), np.float32), np.zeros(self.n, np.float32)
+        if len(self.rows):
+            part = theta[self.col] * self.x
+            sums[self.rows] = np.add.reduceat(part, self.row_at)
+            squares[self.rows] = np.add.reduceat((part[:, 1:] ** 2).sum(axis=1), self.row_at)
+        z = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)
+        g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / self.n).astype(np.float32)
+        if not len(theta):
+            return float(g.sum()), theta
+        sums[:, 0] = 1
+        out = np.add.reduceat((sums * g[:, None])[self.by_row] * self.by_x, self.col_at)
+        out[:, 1:] -= theta[:, 1:] * np.add.reduceat(g[self.by_row] * self.by_x[:, 0] ** 2, self.col_at)[:, None]
+        return float(g.sum()), out
+
+
+def fit(size: np.ndarray, flat: np.ndarray, values: np.ndarray, labels: np.ndarray, steps: int = STEPS, rate: float = RATE, threshold: float = THRESHOLD) -> Machine:
     """A machine for 0/1 ``labels``; row i has the next size[i] of the buckets ``flat`` with their values."""
     n, n_pos = len(size), int(labels.sum())
     if n == 0 or n_pos in (0, n):
         share = n_pos / n if n else 0.0
         return Machine(np.zeros(0, np.int64), float(np.clip(np.log(max(share, 1e-12) / max(1 - share, 1e-12)), -30, 30)), np.zeros(0), np.zeros((0, FACTORS)))
-    owner = np.repeat(np.arange(n), size)
-    pos = np.bincount(flat, weights=labels[owner], minlength=BUCKETS)
-    has = np.bincount(flat, minlength=BUCKETS)
-    strength = np.where(has >= 3, _g2(pos, has - pos, n_pos, n - n_pos), -1.0)
-    half = TERMS // 2
-    kept = np.union1d(np.argsort(-strength, kind="stable")[:half], np.argsort(-has, kind="stable")[:half])
-    kept = kept[has[kept] >= 3]
+    kept = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= LEAST)
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
     use = place[flat] >= 0
-    col, row, x = place[flat[use]], owner[use], values[use]
-    m = len(kept)
-    rng = np.random.default_rng(7)
-    theta = [np.array([np.log(n_pos / (n - n_pos))]), np.zeros(m), rng.normal(0, 0.01, (m, FACTORS))]
-    first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
+    entry = np.repeat(np.arange(n), size)[use], place[flat[use]], values[use].astype(np.float32)
+    every = _Entries(n, *entry, np.arange(len(kept)))
+    theta = np.zeros((len(kept), 1 + FACTORS), np.float32)
+    theta[:, 1:] = np.random.default_rng(7).normal(0, 0.05, (len(kept), FACTORS))
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    bias, bias_first, bias_second = float(np.log(n_pos / (n - n_pos))), 0.0, 0.0
+    live, some = np.arange(len(kept)), every
     for step in range(1, steps + 1):
-        bias, w, v = theta
-        sums = np.stack([np.bincount(row, weights=v[col, f] * x, minlength=n) for f in range(FACTORS)], axis=1)
-        squares = np.bincount(row, weights=(v * v).sum(axis=1)[col] * x * x, minlength=n)
-        z = bias[0] + np.bincount(row, weights=w[col] * x, minlength=n) + 0.5 * ((sums**2).sum(axis=1) - squares)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        gx = g[row] * x
-        gw = np.bincount(col, weights=gx, minlength=m)
-        gv = np.stack([np.bincount(col, weights=gx * sums[row, f], minlength=m) for f in range(FACTORS)], axis=1) - v * np.bincount(col, weights=gx * x, minlength=m)[:, None]
-        for i, grad in enumerate((np.array([g.sum()]), gw + l2 * w, gv + 4 * l2 * v)):
-            first[i] = 0.9 * first[i] + 0.1 * grad
-            second[i] = 0.999 * second[i] + 0.001 * grad * grad
-            theta[i] = theta[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    return Machine(kept, float(theta[0][0]), theta[1], theta[2])
+        full = step <= FIRST or step % AGAIN == 0
+        at, entries = (np.arange(len(kept)), every) if full else (live, some)
+        slope, gradient = entries.gradient(bias, theta[at], labels)
+        bias_first, bias_second = 0.9 * bias_first + 0.1 * slope, 0.999 * bias_second + 0.001 * slope * slope
+        bias -= rate * (bias_first / (1 - 0.9**step)) / (np.sqrt(bias_second / (1 - 0.999**step)) + 1e-8)
+        first[at] = 0.9 * first[at] + 0.1 * gradient
+        second[at] = 0.999 * second[at] + 0.001 * gradient * gradient
+        if step > FIRST and full:  # those at zero have had no steps since the last full one
+            idle = ~theta.any(axis=1)
+            first[idle] = gradient[idle] * (1 - 0.9**step)
+        pace = rate / (np.sqrt(second[at] / (1 - 0.999**step)) + 1e-5)
+        now = theta[at] - pace * first[at] / (1 - 0.9**step)
+        now[:, 0] = np.sign(now[:, 0]) * np.maximum(np.abs(now[:, 0]) - pace[:, 0] * threshold, 0)
+        length = np.sqrt((now[:, 1:] ** 2).sum(axis=1))
+        now[:, 1:] *= np.maximum(1 - pace[:, 1:].mean(axis=1) * threshold / np.maximum(length, 1e-9), 0)[:, None]
+        theta[at] = now
+        if full and step >= FIRST:
+            live = np.flatnonzero(theta.any(axis=1))
+            some = _Entries(n, *entry, live)
+    live = np.flatnonzero(theta.any(axis=1))
+    return Machine(kept[live], bias, theta[live, 0].astype(float), theta[live, 1:].astype(float))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Machine:
@@ -133,7 +161,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Machine:
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, score) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most TERMS * (FACTORS + 1) numbers
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most BUCKETS * (FACTORS + 1) numbers
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
