@@ -25,7 +25,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Cached
+from .common import Cached, texts_of
 
 #: Fixed value: the public byte-level pre-tokenizer's pattern.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -233,19 +233,20 @@ def encoder(path: str, remember: int) -> Encoder:
 
 
 def with_encoding(docs: DataFrame, path: str | None = None, text: str = "text", remember: int = 100_000) -> DataFrame:
-    """docs (its columns renamed away from clashes by the caller) with ``ids`` array<int> and ``decoded`` string."""
+    """docs with ``ids`` array<int> and ``decoded`` string, which take the place of columns that have these names (in any case)."""
     path = path or default_vocabulary()
     from pyspark.sql import types as T
 
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("ids", "decoded")] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    kept = [f.name for f in schema.fields[:-2]]
+    own = [f for f in docs.schema.fields if f.name.lower() not in ("ids", "decoded")]
+    kept = [f.name for f in own]
+    schema = T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         enc = encoder(path, remember)
         for batch in grouped(batches, text, 15 * remember):
-            coded = enc.encode_batch([t or "" for t in batch.column(text).to_pylist()])
+            coded = enc.encode_batch(texts_of(batch.column(text)))
             decoded = pa.array([decode(ids.tolist(), enc.v.bytes_of) for ids in coded], pa.string())
             ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded).astype(np.int32)))
@@ -264,7 +265,7 @@ def digests(docs: DataFrame, path: str | None = None, remember: int = 250_000) -
         enc = encoder(path, remember)
         for batch in grouped(batches, "text", 15 * remember):
             count, shas, back = [], [], []
-            for doc in enc.encode_batch([t or "" for t in batch.column("text").to_pylist()]):
+            for doc in enc.encode_batch(texts_of(batch.column("text"))):
                 ids = doc.tolist()
                 count.append(len(ids))
                 shas.append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())

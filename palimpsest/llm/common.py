@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,13 +16,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of an Arrow batch: long texts make wide rows, so batches stay short.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, "16m"
+#: Ranges of equal row counts from which one of equal bytes is put together.
+SPLIT = 8
+#: Groups that may be sent to every task; parts of a group's rows where there are more groups.
+NEAR_GROUPS, GROUP_SALTS = 100_000, 32
+#: Bytes of text that a range holds, about.
+RANGE_BYTES = 64 << 20
+
+
+@contextmanager
+def batch_limits(spark: SparkSession, rows: int = BATCH_ROWS, size: str = BATCH_BYTES) -> Iterator[None]:
+    """While it lasts, Arrow batches hold at most ``rows`` rows and about ``size``; the session's own settings come back after it."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n, None) for n in names]
+    for n, v in zip(names, (str(rows), size)):
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in zip(names, before):
+            if v is None:
+                spark.conf.unset(n)
+            else:
+                spark.conf.set(n, v)
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches stay short however long the texts are."""
+    """df, in a session whose Arrow batches stay short however long the texts are.
+
+    Plans are executed after a function returns, so the limit is the session's until the caller sets another one.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 
@@ -55,6 +82,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of groups (one row for each value of keys, nulls are values), left as they are where it has none.
+
+    The groups are sent to all tasks while they are at most NEAR_GROUPS, which is counted. Beyond that both sides are dealt by keys
+    and a salt, so that one key with many rows isn't one task.
+    """
+    few = groups.count() <= NEAR_GROUPS
+    own = groups.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    if few:
+        out = rows.join(F.broadcast(own), same, "left")  # counted: NEAR_GROUPS rows at most
+    else:
+        dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(GROUP_SALTS)).cast("int"))
+        own = own.withColumn("_s", F.explode(F.array(*(F.lit(i) for i in range(GROUP_SALTS)))))
+        out = dealt.join(own, same & (F.col("_salt") == F.col("_s")), "left").drop("_salt", "_s")
+    return out.drop(*(f"_k{i}" for i in range(len(keys))))
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
@@ -104,6 +151,14 @@ def numbers(values: Iterable, words, dtype=np.int64) -> np.ndarray:
     return np.fromiter(map(values.__getitem__, words), dtype, len(words))
 
 
+def texts_of(column) -> list[str]:
+    """Texts of an Arrow string column, "" for null; bytes that aren't UTF-8 become U+FFFD."""
+    try:
+        return [x or "" for x in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [x.decode("utf-8", "replace") for x in raw_texts(column)]
+
+
 def raw_texts(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, b'' for null."""
     import pyarrow as pa
@@ -118,6 +173,26 @@ def ordered_cuts(df: DataFrame, key: str, parts: int) -> list[int]:
     return [] if got["a"] is None else sorted({got["a"], *(got["p"] or [])})
 
 
+def sized_cuts(df: DataFrame, key: str, text: str, most: int) -> list[int]:
+    """Existing values of key that cut df into ranges of about equal bytes of ``text``, as many as there are shuffle partitions or
+    more, so that a range has about ``most`` bytes at most. Ranges are put together from SPLIT times as many of equal row counts."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.coalesce(F.octet_length(text), F.lit(0)) + 16
+    total = df.agg(F.sum(size)).first()[0] or 0
+    parts = max(parts, -(-total // most))
+    fine = ordered_cuts(df, key, SPLIT * parts)
+    if not fine:
+        return []
+    held = {r["at"]: r["n"] for r in df.groupBy(range_of(F.col(key), fine).alias("at")).agg(F.sum(size).alias("n")).collect()}  # SPLIT rows a range
+    cuts, room = [], 0
+    for i, cut in enumerate(fine):
+        if not cuts or held.get(i, 0) / 2 > room:
+            cuts.append(cut)
+            room = total / parts
+        room -= held.get(i, 0)
+    return cuts
+
+
 def range_of(key: Column, cuts: list[int]) -> Column:
     """Index of the range of cuts that holds key; 0 for null and below all. Its size and its cost a row grow as the root of len(cuts)."""
     if len(cuts) < 2:
@@ -144,9 +219,7 @@ def with_next(df: DataFrame, key: str, value: str, out: str, ties: list[str] | N
     One shuffle: rows are dealt by ranges of key whose bounds are keys that exist, and the row at each bound is sent to the
     range before as well, so that no global sort or one-task window is needed.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ordered_cuts(df, key, parts)
+    cuts = sized_cuts(df, key, value, RANGE_BYTES)
     first_null = df.filter(F.col(key).isNull()).limit(1).count() > 0
     n = max(1, len(cuts))
     at = range_of(F.col(key), cuts)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Cached, numbers, with_next
+from .common import Cached, numbers, texts_of, with_next
 
 FRACTION, WORDS = 0.25, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -92,8 +92,7 @@ def compared(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
         held = (None, None)  # the text last looked ahead to comes next
         for batch in batches:
             rows = []
-            for text, following in zip(batch.column("text").to_pylist(), batch.column("following").to_pylist()):
-                text, following = text or "", following or ""
+            for text, following in zip(texts_of(batch.column("text")), texts_of(batch.column("following"))):
                 own = held[1] if held[0] == text else sk.sketch(text)
                 changed = edited(text, following)
                 other = sk.sketch(changed)

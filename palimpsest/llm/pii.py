@@ -1,15 +1,19 @@
 """Personal data: fixed rules, and spans that bootstrapped contexts add.
 
 Rules find email addresses, IPv4 addresses, card numbers (12-19 digits, Luhn) and international phone numbers. Their finds are
-seeds. The word to the left of a seed is a lexical pattern. In rounds, a pattern's confidence for a kind is the number of times
-it introduces an accepted instance of that kind, over all times it occurs in the corpus (so "the" never gets far), and an
-unaccepted identifier-like token (with a digit or @, not inside a rule's find) is accepted for a kind whose shape it has once
-the patterns before it leave little doubt (noisy or over the distinct patterns it follows). Accepted tokens are instances in the
-next round, in which they raise and make patterns. A pattern needs ``SUPPORT`` distinct instances; all that have them are scored.
+seeds. The words to the left and to the right of an instance are lexical patterns. In each round the graph of patterns and tokens is
+scored anew: a pattern's confidence for a kind is the number of times it stands beside an accepted instance of that kind, over all
+times it occurs in the corpus (so "the" never gets far); patterns with ``SUPPORT`` distinct instances and a confidence of at least
+``CONFIDENT`` count. An identifier-like token (with a digit or @, not inside a rule's find) is accepted for a kind whose
+shape it has once the counting patterns beside it, anywhere, leave little doubt (noisy or over distinct patterns). Accepted tokens
+are instances of the next round and so make and raise patterns. Both sets only grow; rounds end when no token is added. An
+accepted token is a span wherever a counting pattern of its kind stands beside it. Nothing caps patterns, tokens or rounds.
 
 Everything is DataFrame functions. Text is split at a rule's matches: pieces and matches give positions in code points by running
 sums. Patterns are written with possessive loops, so that neither deep recursion nor repeated scans of a long run occur; texts
-without the sign a rule needs are skipped. Null texts count as empty; rows with equal ids stay separate.
+without the sign a rule needs are skipped. Null texts count as empty; rows with equal ids stay separate; repeated rows get equal spans.
+Of the kinds that fit a token, the first as listed is its span's. Other columns are ignored, whatever their names (``redacted`` hands
+them on and sets ``n_chars`` anew where a text changes). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,12 +35,12 @@ RULES = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^0-9@\x20\x09-\x0D]*+[0-9@])[^\x20\x09-\x0D]++"
 SHAPES = {"email": r"^[^@]+@[^@]*[a-z]", "ip": r"^[0-9a-f]+([.:][0-9a-f]+){3}", "card": r"^([^0-9]*[0-9]){12,19}[^0-9]*$", "phone": r"^[+(]?([^0-9]*[0-9]){7,15}[^0-9]*$"}
-SUPPORT, ROUNDS, SURE = 3, 3, 0.6
-#: Parts in which the tokens after one word are joined.
+SUPPORT, CONFIDENT, SURE = 3, 0.5, 0.6
+#: Parts in which the tokens beside one word, and the places of one token, are joined.
 SALTS = 16
-SPACE = r"[\x20\x09-\x0D]"
-#: Code points of a piece kept at each end for contexts; longer words make no pattern.
-AROUND = 48
+SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+#: Longer words stand for themselves as a digest.
+LONG = 48
 
 
 def _luhn(digits: Column) -> Column:
@@ -60,14 +64,25 @@ def _cut(kind: str, rule: str, need: str) -> Column:
     return F.struct(F.lit(kind).alias("kind"), F.when(text.rlike(need), pairs).alias("cuts"))
 
 
+def _word(word: Column) -> Column:
+    """What a pattern's word is known by; null for the empty word."""
+    low = F.lower(word)
+    return F.when(F.length(word) > LONG, F.concat(F.lit(" "), F.sha2(low.cast("binary"), 256))).when(word != "", low)
+
+
 def _hits(docs: DataFrame, cuts: list[Column]) -> DataFrame:
-    """(rid, kind, start, end, hit, left): matches with positions and the word to their left, lower-cased, signs at its end kept."""
+    """(rid, kind, start, end, hit, left, right): matches with positions and the whole words beside them, lower-cased, as patterns."""
     rows = docs.select("rid", F.monotonically_increasing_id().alias("row"), F.explode(F.array(*cuts)).alias("c")).filter("c.cuts is not null").select("rid", "row", "c.kind", F.posexplode("c.cuts").alias("i", "cut"))
     piece, hit = F.col("cut.piece"), F.col("cut.hit")
-    rows = rows.select("rid", "row", "kind", "i", hit.alias("hit"), F.length(piece).cast("long").alias("gap"), F.coalesce(F.length(hit), F.lit(0)).cast("long").alias("n"), F.lower(F.regexp_extract(F.right(piece, F.lit(AROUND)), rf"(?:^|{SPACE})([^\x20\x09-\x0D]+){SPACE}+$", 1)).alias("left"))
-    along = Window.partitionBy("rid", "row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(along))
-    return ends.filter("n > 0").select("rid", "kind", (F.col("end") - F.col("n")).alias("start"), "end", "hit", "left").distinct()
+    size = F.coalesce(F.length(hit), F.lit(0)).cast("long")
+    before = _word(F.regexp_extract(piece, rf"(?<!{WORD})({WORD}++){SPACE}++\z", 1))
+    head = rf"\A[^A-Za-z0-9\x20\x09-\x0D]*+{SPACE}++({WORD}++)"  # signs may end the match's own word
+    after = _word(F.when(size > 0, F.regexp_extract(piece, rf"{head}(?={SPACE})", 1)).otherwise(F.regexp_extract(piece, head, 1)))
+    rows = rows.select("rid", "row", "kind", "i", hit.alias("hit"), F.length(piece).cast("long").alias("gap"), size.alias("n"), F.concat(F.lit("<"), before).alias("left"), F.concat(F.lit(">"), after).alias("_after"))
+    order = Window.partitionBy("rid", "row", "kind").orderBy("i")
+    along = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = rows.withColumns({"end": F.sum(F.col("gap") + F.col("n")).over(along), "right": F.lead("_after").over(order)})
+    return ends.filter("n > 0").select("rid", "kind", (F.col("end") - F.col("n")).alias("start"), "end", "hit", "left", "right").distinct()
 
 
 def ruled(docs: DataFrame) -> DataFrame:
@@ -81,42 +96,54 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(left, total): how often each word that can be a pattern occurs in docs. Tasks count before the shuffle, so a hot word is a row a task."""
-    words = docs.filter("text is not null").select(F.explode(F.split(F.lower("text"), f"{SPACE}+")).alias("left"))
-    return words.filter(F.length("left").between(1, AROUND)).groupBy("left").agg(F.count("*").alias("total"))
+    """(word, total): how often each word occurs in docs. Tasks count before the shuffle, so a hot word is a row a task."""
+    words = docs.filter("text is not null").select(F.explode(F.split("text", f"{SPACE}+")).alias("w"))
+    return words.select(_word(F.col("w")).alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("total"))
+
+
+def _beside() -> Column:
+    """A row for each pattern beside a match."""
+    return F.explode(F.filter(F.array("left", "right"), lambda c: c.isNotNull())).alias("context")
+
+
+def _salted(few: DataFrame) -> DataFrame:
+    return few.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
 
 
 def bootstrapped(docs: DataFrame, found: DataFrame, corpus: DataFrame) -> DataFrame:
     """Spans (rid, kind, start, end) that contexts add to the rules' finds ``found`` in docs; words are counted over ``corpus``."""
     shaped = F.array(*(F.when(F.lower("hit").rlike(SHAPES[k]), F.lit(k)) for k in KINDS))
     spans = found.select("rid", F.col("start").alias("_from"), F.col("end").alias("_to"))
-    loose = tokens(docs).filter("left <> ''")
+    loose = tokens(docs)
     over = (loose["rid"] == spans["rid"]) & (spans["_from"] < loose["end"]) & (spans["_to"] > loose["start"])
-    loose = loose.join(spans, over, "left_anti").select("rid", "start", "end", F.lower("hit").alias("hit"), "left", F.explode(F.filter(shaped, lambda k: k.isNotNull())).alias("kind"))
+    loose = loose.join(spans, over, "left_anti").select("rid", "start", "end", F.lower("hit").alias("hit"), "left", "right", F.explode(F.filter(shaped, lambda k: k.isNotNull())).alias("kind"))
     loose = written(loose, "pii-loose")
-    edges = loose.groupBy("left", "kind", "hit").agg(F.count("*").alias("times"))
-    # Patterns: words whose seeds and shaped tokens together can reach the support; most get it in no round.
-    seeds = found.filter("left <> ''").groupBy("left", "kind", "hit").agg(F.count("*").alias("hits"))
-    both = seeds.select("left", "kind", "hits", F.lit(1).alias("seed")).unionByName(edges.select("left", "kind", F.lit(0).cast("long").alias("hits"), F.lit(0).alias("seed")))
-    ways = both.groupBy("left", "kind").agg(F.sum("hits").alias("hits"), F.sum("seed").alias("distinct_hits"), F.count("*").alias("_most"))
-    ways = written(ways.filter(F.col("_most") >= SUPPORT).drop("_most").join(occurrences(corpus), "left"), "pii-patterns")
+    edges = loose.select("kind", "hit", _beside()).groupBy("context", "kind", "hit").agg(F.count("*").alias("times"))
+    seeds = found.select("kind", "hit", _beside()).groupBy("context", "kind", "hit").agg(F.count("*").alias("hits"))
+    # Patterns whose seeds and shaped tokens together can't reach the support never do.
+    both = seeds.select("context", "kind", "hits", F.lit(1).alias("seed")).unionByName(edges.select("context", "kind", F.lit(0).cast("long").alias("hits"), F.lit(0).alias("seed")))
+    ways = both.groupBy("context", "kind").agg(F.sum("hits").alias("hits"), F.sum("seed").alias("distinct_hits"), F.count("*").alias("most")).filter(F.col("most") >= SUPPORT)
+    ways = ways.withColumn("word", F.substring("context", 2, 1 << 30)).join(occurrences(corpus), "word")
+    ways = written(ways.select("context", "kind", "hits", "distinct_hits", "total"), "pii-patterns")
+    edges = edges.join(ways.select("context", "kind"), ["context", "kind"], "left_semi")
     edges = written(edges.withColumn("salt", F.pmod(F.xxhash64("hit"), F.lit(SALTS)).cast("int")), "pii-edges")
-    salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS))))
-    accepted = known = None
-    for _ in range(ROUNDS):
-        known = ways
-        if accepted is not None:
-            more = edges.join(accepted, ["kind", "hit"]).groupBy("left", "kind").agg(F.sum("times").alias("more"), F.count("*").alias("others"))
-            sums = [(F.col(a) + F.coalesce(b, F.lit(0))).alias(a) for a, b in (("hits", "more"), ("distinct_hits", "others"))]
-            known = known.join(more, ["left", "kind"], "left").select("left", "kind", *sums, "total")
-        known = written(known.filter(F.col("distinct_hits") >= SUPPORT), "pii-known")
-        sure = known.select("left", "kind", F.least(F.lit(0.999), F.col("hits") / F.col("total")).alias("p"), salts.alias("salt"))
-        doubt = edges.join(sure, ["left", "kind", "salt"]).groupBy("kind", "hit").agg(F.sum(F.log1p(-F.col("p"))).alias("doubt"))
+    accepted, n = edges.select("kind", "hit").limit(0), 0
+    while True:
+        more = edges.join(accepted, ["kind", "hit"]).groupBy("context", "kind").agg(F.sum("times").alias("more"), F.count("*").alias("others"))
+        sums = [(F.col(a) + F.coalesce(b, F.lit(0))).alias(a) for a, b in (("hits", "more"), ("distinct_hits", "others"))]
+        scored = ways.join(more, ["context", "kind"], "left").select("context", "kind", *sums, "total").withColumn("p", F.least(F.lit(0.999), F.col("hits") / F.col("total")))
+        sure = written(scored.filter((F.col("distinct_hits") >= SUPPORT) & (F.col("p") >= CONFIDENT)).select("context", "kind", "p"), "pii-sure")
+        doubt = edges.join(_salted(sure), ["context", "kind", "salt"]).groupBy("kind", "hit").agg(F.sum(F.log1p(-F.col("p"))).alias("doubt"))
         accepted = written(doubt.filter(F.exp("doubt") <= 1 - SURE).select("kind", "hit"), "pii-accepted")
-    one = F.row_number().over(Window.partitionBy("rid", "start").orderBy("place"))
-    place = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
-    added = loose.join(accepted, ["kind", "hit"]).join(known.select("left").distinct(), "left", "left_semi")
-    return added.withColumn("place", place).withColumn("_n", one).filter("_n = 1").select("rid", "kind", "start", "end")
+        before, n = n, accepted.count()
+        if n == before:  # both sets only grow
+            break
+    salt = F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS)).cast("int")
+    near = loose.select("rid", "start", "end", "kind", "hit", salt.alias("salt"), _beside())
+    added = near.join(_salted(sure), ["context", "kind", "salt"], "left_semi").join(_salted(accepted), ["kind", "hit", "salt"], "left_semi")
+    names = F.array(*(F.lit(k) for k in KINDS))
+    first = added.groupBy("rid", "start", "end").agg(F.min(F.array_position(names, F.col("kind"))).alias("place"))
+    return first.select("rid", F.element_at(names, F.col("place").cast("int")).alias("kind"), "start", "end")
 
 
 def _joined(spans: Column) -> Column:
@@ -168,6 +195,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     pieces = F.transform("cuts", lambda c: F.concat(sub(c["seen"], c["a"] - c["seen"]), F.lit("["), F.upper(c["kind"]), F.lit("]")))
     last = F.element_at("cuts", -1)["end"]
     new = F.when(F.col("cuts").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), sub(last, F.length(text) - last)))
-    done = some.join(apart, "rid", "left").select("_row", new.alias("_text"))
-    done = done.select(*((F.col("_text") if n == "text" else F.col("_row").getField(n)).alias(n) for n in names))
+    done = some.join(apart, "rid", "left").select("_row", new.alias("_text"), F.col("cuts").isNotNull().alias("_changed"))
+    own = {n: F.col("_row").getField(n) for n in names} | {"text": F.col("_text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("_changed"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    done = done.select(*(c.alias(n) for n, c in own.items()))
     return docs.filter(~may).unionByName(done)

@@ -1,13 +1,19 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches per language and source.
 
-Each text is measured once. KLL sketches of four measures are built for every (lang, source), merged up to languages and to all
-documents; a group with fewer than ``LEAST`` measured documents takes its language's sketch, or that of all. From a sketch come
-fences: above, the median plus ``WIDTH`` times the distance from the 10 % quantile to the median; below, the mirror of it. The
-lower half serves for the upper fence, so that junk, which lies above, can't widen it until it is half of a group. Each
-distance has a least value, for groups where most documents are equal. Fences are joined to the documents by (lang, source).
-
-Measures: code points a word; ``#*$%&|<>`` signs a word character; share of repeated lines; share of words in repeated eight-word
-windows. Only the first has a lower fence. Null texts have no words and fail the base rule; null lang and source are groups too.
+Each text is measured once. A sketch of a measure counts documents in buckets whose bounds grow by a fixed ratio, so that a quantile
+is right to ``ACCURACY``; sketches merge by adding counts, in any order, and reruns agree. Those of every (lang, source) merge into
+those of languages and of all documents. A group's median and 10 % quantile are its own as far as it has documents: with n of them,
+n / (n + ``ROWS``) is its own and the rest its language's, which is drawn to that of all documents likewise. The upper fence
+is the median plus ``WIDTH`` times the way from the 10 % quantile up to the median and what the sketch can't tell apart (twice its
+error), the lower fence the mirror of it. The lower half serves for the upper fence, so that junk, which lies above, can't widen it until it is half of a group.
+
+Measures: code points a word; shares of ``#*$%&|<>`` signs in word characters, of repeated lines, and of words in repeated
+eight-word windows. Shares are (count + p) / (size + p), so that they differ between documents that have none, by how much their
+size tells; a document that has none passes. Only the first measure has a lower fence.
+
+Null texts have no words and fail the base rule; null lang and source are groups too. Documents that fail the base rule aren't
+sketched. Equal rows get equal verdicts, each its row; a value on a fence is kept. Other columns, whatever their names, are
+ignored; an empty table gives an empty result; memory for a text is in proportion to it. Bytes that aren't UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -17,12 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import raw_texts, written
+from .common import joined_to_groups, raw_texts, written
 
-LEAST, WIDTH, WINDOW = 100, 6.0, 8
-#: Measure -> least distance from median to 10 % quantile.
-MEASURES = {"word_len": 0.25, "sign_share": 0.006, "line_share": 0.07, "window_share": 0.05}
+ACCURACY, ROWS, WIDTH, WINDOW = 0.01, 20, 8.0, 8
+#: Measure -> count, size, and what is added to both.
+MEASURES = {"word_len": ("word_chars", "n_words", 0.0), "sign_share": ("n_symbols", "word_chars", 4.0), "line_share": ("n_dup_lines", "n_lines", 0.5), "window_share": ("n_repeat_words", "n_words", 8.0)}
 SPACE, SIGNS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
 
@@ -54,7 +61,7 @@ def measure(text: bytes) -> tuple[int, int, int, int, int, int]:
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip()]
     solid = text.translate(None, SPACE)
-    return len(words), len(solid.decode()), len(text) - len(text.translate(None, SIGNS)), len(lines) - len(set(lines)), repeated_words(words), len(lines)
+    return len(words), len(solid.decode("utf-8", "replace")), len(text) - len(text.translate(None, SIGNS)), len(lines) - len(set(lines)), repeated_words(words), len(lines)
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -72,46 +79,61 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _with_measures(counts: DataFrame) -> DataFrame:
-    return counts.withColumns(
-        {
-            "word_len": F.try_divide(F.col("word_chars"), F.col("n_words")),
-            "sign_share": F.try_divide(F.col("n_symbols"), F.col("word_chars")),
-            "line_share": F.try_divide(F.col("n_dup_lines"), F.col("n_lines")),
-            "window_share": F.try_divide(F.col("n_repeat_words"), F.col("n_words")),
-            "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-        }
-    )
+    shares = {m: F.try_divide(F.col(a) + F.lit(p), F.col(b) + F.lit(p)) for m, (a, b, p) in MEASURES.items()}
+    return counts.withColumns({**shares, "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))})
+
+
+_RATIO = (1 + ACCURACY) / (1 - ACCURACY)
+
+
+def sketches(counts: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, n) of the documents that pass the base rule: few rows a group, counted before any shuffle."""
+    place = lambda m: F.ceil(F.log(F.col(m)) / F.log(F.lit(_RATIO))).cast("int")
+    each = F.array(*(F.struct(F.lit(m).alias("measure"), place(m).alias("bucket")) for m in MEASURES))
+    return counts.filter("not base_failed").select("lang", "source", F.explode(each).alias("e")).groupBy("lang", "source", "e.measure", "e.bucket").agg(F.count("*").alias("n"))
+
+
+def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """One sketch for each value of keys."""
+    return sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+
+
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, measure, n (documents), mid (median) and low (10 % quantile) of every sketch."""
+    own = Window.partitionBy(*keys, "measure")  # a row a bucket
+    upto = sketch.withColumns({"upto": F.sum("n").over(own.orderBy("bucket")), "all": F.sum("n").over(own)})
+    at = lambda q: F.lit(2 / (1 + _RATIO)) * F.pow(F.lit(_RATIO), F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bucket"))))
+    return upto.groupBy(*keys, "measure").agg(F.max("all").alias("n"), at(0.5).alias("mid"), at(0.1).alias("low"))
+
+
+def _shrunk(own: DataFrame, wider: DataFrame, keys: list[str]) -> DataFrame:
+    """own with mid and low drawn to those of the wider groups, whose keys are ``keys``."""
+    few = wider.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("measure").alias("_measure"), F.col("mid").alias("_mid"), F.col("low").alias("_low"))
+    same = F.col("measure") == F.col("_measure")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    share = F.col("n") / (F.col("n") + ROWS)
+    drawn = {c: share * F.col(c) + (1 - share) * F.col(f"_{c}") for c in ("mid", "low")}
+    return own.join(few, same).withColumns(drawn).select(*own.columns)
 
 
 def fences(counts: DataFrame) -> DataFrame:
-    """(lang, source, a fence below and above for each measure) from sketches of the documents with 20 words or more."""
-    sketches = [F.kll_sketch_agg_double(m).alias(m) for m in MEASURES]
-    own = written(counts.filter("n_words >= 20").groupBy("lang", "source").agg(F.count("*").alias("n"), *sketches), "quality-sketches")
-    merge = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES)]
-    by_lang = own.groupBy("lang").agg(*merge).select(F.col("lang").alias("_lang"), F.struct("n", *MEASURES).alias("wider"))
-    whole = own.agg(*merge).select(F.struct("n", *MEASURES).alias("widest"))
-    chosen = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).crossJoin(F.broadcast(whole))  # whole is one row
-    pick = F.when(F.col("n") >= LEAST, F.struct("n", *MEASURES)).when(F.col("wider.n") >= LEAST, F.col("wider")).otherwise(F.col("widest"))
-    chosen = chosen.select("lang", "source", pick.alias("s"))
-
-    def at(m: str, q: float) -> Column:
-        return F.kll_sketch_get_quantile_double(F.col(f"s.{m}"), F.lit(q))
-
-    cut: list[Column] = []
-    for m, least in MEASURES.items():
-        low = WIDTH * F.greatest(at(m, 0.5) - at(m, 0.1), F.lit(least))
-        cut.append(F.round(at(m, 0.5) + low, 3).alias(f"{m}_most"))
-        if m == "word_len":
-            cut.append(F.round(at(m, 0.5) - low, 3).alias(f"{m}_least"))
-    return chosen.select("lang", "source", *cut)
+    """(lang, source, a fence above for each measure, one below for word_len)."""
+    own = written(sketches(counts), "quality-sketches")
+    by_lang = _shrunk(quantiles(merged(own, ["lang"]), ["lang"]), quantiles(merged(own, []), []), [])
+    q = _shrunk(quantiles(own, ["lang", "source"]), by_lang, ["lang"])
+    way = WIDTH * (F.col("mid") - F.col("low") + 2 * ACCURACY * F.col("mid"))
+    of = lambda m, c: F.max(F.when(F.col("measure") == m, c))
+    cuts = [of(m, F.col("mid") + way).alias(f"{m}_most") for m in MEASURES]
+    return q.groupBy("lang", "source").agg(*cuts, of("word_len", F.col("mid") - way).alias("word_len_least"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """The counts of every document, base_failed, and kept: not base_failed and within all its group's fences."""
     counts = _with_measures(written(measured(docs), "quality"))
-    cuts = fences(counts).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = counts.join(cuts, counts["lang"].eqNullSafe(cuts["_lang"]) & counts["source"].eqNullSafe(cuts["_source"]), "left")
+    joined = joined_to_groups(counts, written(fences(counts), "quality-fences"), ["lang", "source"])
     inside = F.col("word_len") >= F.col("word_len_least")
-    for m in MEASURES:
-        inside = inside & (F.col(m) <= F.col(f"{m}_most"))
+    for m, (count, _, p) in MEASURES.items():
+        within = F.col(m) <= F.col(f"{m}_most")
+        inside = inside & ((F.col(count) == 0) | within if p else within)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))

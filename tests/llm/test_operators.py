@@ -182,6 +182,67 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert len(kept & {c[0] for c in clean}) >= 590 and not kept & {j[0] for j in junk}
 
 
+def brute_fences(rows):
+    """Exact quantiles, shrunk and widened as the module says."""
+    groups = {}
+    for d, t, lang, source, _ in rows:
+        c = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"), quality.measure((t or "").encode())))
+        if c["n_words"] >= 20 and 100 * c["n_repeat_words"] <= 30 * c["n_words"]:
+            for m, (a, b, p) in quality.MEASURES.items():
+                for key in ((lang, source), (lang,), ()):
+                    groups.setdefault((key, m), []).append((c[a] + p) / (c[b] + p))
+    at = lambda v, q: sorted(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+
+    def drawn(key, m):
+        v = groups[key, m]
+        mid, low, n = at(v, 0.5), at(v, 0.1), len(v)
+        if not key:
+            return mid, low
+        wider = drawn(key[:-1], m)
+        return tuple(n / (n + quality.ROWS) * x + quality.ROWS / (n + quality.ROWS) * y for x, y in zip((mid, low), wider))
+
+    out = {}
+    for key, m in groups:
+        if len(key) == 2:
+            mid, low = drawn(key, m)
+            way = quality.WIDTH * (mid - low + 2 * quality.ACCURACY * mid)
+            out[key, m] = mid + way, mid - way
+    return out
+
+
+def test_quality_fences_differ_and_equal_brute_force(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    text = lambda signs: "\n".join(" ".join(word() + "#" * (r.random() < signs) for _ in range(r.randrange(5, 20))) for _ in range(r.randrange(3, 30)))
+    rows = [(i, text((0.0, 0.6)[i % 2]), ("en", "fr", None)[i % 3], ("plain", "signs")[i % 2], 1) for i in range(1200)]
+    probe = text(0.55)
+    rows += [(1000, probe, "en", "plain", 1), (1001, probe, "en", "signs", 1), (1002, probe, None, "new", 1), (1003, "x " * 40, "en", "plain", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {g.doc_id: g for g in quality.judged(docs).collect()}
+    assert not got[1000].kept and got[1001].kept and got[1003].base_failed  # one text, two sources, two verdicts
+    fences, near = brute_fences(rows), set()
+    for d, t, lang, source, _ in rows:
+        c = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"), quality.measure(t.encode())))
+        if got[d].base_failed:
+            assert not got[d].kept
+            continue
+        inside = True
+        for m, (a, b, p) in quality.MEASURES.items():
+            v, (most, least) = (c[a] + p) / (c[b] + p), fences[(lang, source), m]
+            close = 0.02 * (1 + 2 * quality.WIDTH) * most  # the sketch's error at both quantiles
+            if abs(v - most) < close or (not p and abs(v - least) < close):
+                near.add(d)
+            inside inside &= (p and c[a] == 0) or (v <= most and (p or v >= least))= bool((p and c[a] == 0) or (v <= most and (p or v >= least)))
+        assert got[d].kept == inside or d in near, d
+    assert len(near) < 60
+    assert by_row(quality.judged(docs), "doc_id", "kept") == Counter((g.doc_id, g.kept) for g in got.values())
+    for m in quality.MEASURES:  # merging parts gives the whole's sketch
+        assert (("en", "plain"), m) in fences
+    counts = quality._with_measures(quality.measured(docs))
+    parts = quality.sketches(counts.filter("doc_id % 2 = 0")).unionByName(quality.sketches(counts.filter("doc_id % 2 = 1")))
+    assert by_row(quality.merged(parts, ["lang"]), "lang", "measure", "bucket", "n") == by_row(quality.merged(quality.sketches(counts), ["lang"]), "lang", "measure", "bucket", "n")
+
+
 def test_quality_odd_rows(odd, none):
     got = quality.judged(odd)
     assert got.count() == len(odd_rows())
@@ -485,6 +546,73 @@ def test_patterns_beyond_the_best_supported(spark):
 
 def test_accepted_instances_make_patterns(spark):
     rows = [(i, f"so fone: +49 30 123456{i} ends") for i in range(9)] + [(20 + i, f"so fone: 030/765432{i} ends") for i in range(3)]
-    rows += [(30 + i, f"so mobil: 030/765432{i} ends") for i in range(3)] + [(40, "so mobil: 030/7654329 ends"), (41, "so then 030/7654328 ends")]
+    rows += [(30 + i, f"so mobil: 030/765432{i} ends") for i in range(3)] + [(40, "so mobil: 030/7654329 ends"), (41, "so then 030/7654328 stops")]
     got = {g.doc_id: g.spans for g in pii.found_in(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id >= 20").collect()}
     assert got[20] == "phone:9:20" and got[30] == got[40] == "phone:10:21" and got[41] == "", got
+
+
+def brute_bootstrap(rows):
+    """Spans that contexts add, by the definition: rounds over all patterns and tokens until nothing is added."""
+    word = lambda w: w.lower() if w else None
+    seeds, loose, total = [], [], Counter()
+    for i, (_, t) in enumerate(rows):
+        base = brute_spans(t)
+        total.update(w.lower() for w in WORD.findall(t))
+        for a, _, b, k in base:
+            left, right = re.search(r"(?<!\S)(\S+)\s+$", t[:a]), re.match(r"[^A-Za-z0-9\s]*\s+(\S+)", t[b:])
+            seeds += [(k, t[a:b], s + word(m[1])) for s, m in (("<", left), (">", right)) if m]
+        for m in WORD.finditer(t):
+            if re.search("[0-9@]", m[0]) and not any(a < m.end() and b > m.start() for a, _, b, _ in base):
+                h = m[0].lower()
+                left, right = re.search(r"(?<!\S)(\S+)\s+$", t[: m.start()]), re.match(r"\s+(\S+)", t[m.end() :])
+                beside = [s + word(x[1]) for s, x in (("<", left), (">", right)) if x]
+                loose += [(i, m.start(), m.end(), k, h, beside) for k in pii.KINDS if re.search(pii.SHAPES[k], h)]
+    accepted = set()
+    while True:
+        hits, kinds = Counter(), {}
+        for k, h, c in seeds:
+            hits[c, k] += 1
+            kinds.setdefault((c, k), set()).add(("seed", h))
+        for _, _, _, k, h, beside in loose:
+            if (k, h) in accepted:
+                for c in beside:
+                    hits[c, k] += 1
+                    kinds.setdefault((c, k), set()).add(h)
+        sure = {x: min(0.999, n / total[x[0][1:]]) for x, n in hits.items() if len(kinds[x]) >= pii.SUPPORT and n / total[x[0][1:]] >= pii.CONFIDENT}
+        by = {}
+        for _, _, _, k, h, beside in loose:
+            by.setdefault((k, h), set()).update(c for c in beside if (c, k) in sure)
+        now = {(k, h) for (k, h), cs in by.items() if np.prod([1 - sure[c, k] for c in cs]) <= 1 - pii.SURE}
+        if now == accepted:
+            break
+        accepted = now
+    out = {}
+    for i, a, b, k, h, beside in loose:
+        if (k, h) in accepted and any((c, k) in sure for c in beside):
+            out[i, a, b] = min(out.get((i, a, b), k), k, key=pii.KINDS.index)
+    return {(i, k, a, b) for (i, a, b), k in out.items()}
+
+
+def test_bootstrap_equals_brute_force_and_needs_rounds(spark):
+    """A chain: seeds make "fone:", its finds make "mobil:" and "ruf" on the right, those make "cell="."""
+    r = random.Random(12)
+    intl = lambda: f"+49 30 {r.randrange(10**6, 10**7)}"
+    local = [f"030/{r.randrange(10**6, 10**7)}" for _ in range(60)]
+    texts = [f"so fone: {intl()} ends the text {i}" for i in range(24)]
+    texts += [f"so fone: {n} and the rest" for n in local[:13]]
+    texts += [f"so mobil: {n} and the rest" for n in local[:20]]  # 13 known from fone:
+    texts += [f"x{j} {n} ruf the" for j, n in enumerate(local[:30])] + [f"so cell= {n} the end" for n in local[18:36]]
+    texts += [f"the {r.randrange(10**8)} the and so {r.choice('abc')}{r.randrange(10**4)}@x of the text" for _ in range(40)] + ["W" * 100 + " 030/1112223 of it", "030/9998887", ""]
+    rows = list(enumerate(texts))
+    got = {g.doc_id: g.spans for g in pii.found_in(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_bootstrap(rows)
+    for i, t in rows:
+        spans = sorted([(a, pii.KINDS.index(k), b, k) for a, _, b, k in brute_spans(t)] + [(a, pii.KINDS.index(k), b, k) for j, k, a, b in want if j == i])
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans), (i, t)
+    planted = [(i, t) for i, t in rows if "030/" in t and i < 24 + 13 + 20 + 30 + 18]
+    assert sum("phone" in got[i] for i, _ in planted) >= 0.9 * len(planted)
+
+
+def test_redaction_counts_characters_anew(spark):
+    rows = [(1, "mail x@y.zz now", "en", "s", 15), (2, "no data", "en", "s", 99)]
+    assert by_row(pii.redacted(spark.createDataFrame(rows, SCHEMA)), "doc_id", "text", "n_chars") == Counter([(1, "mail [EMAIL] now", 16), (2, "no data", 99)])
