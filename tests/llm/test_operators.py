@@ -232,7 +232,7 @@ def test_quality_fences_differ_and_equal_brute_force(spark):
             close = 0.02 * (1 + 2 * quality.WIDTH) * most  # the sketch's error at both quantiles
             if abs(v - most) < close or (not p and abs(v - least) < close):
                 near.add(d)
-            inside inside &= (p and c[a] == 0) or (v <= most and (p or v >= least))= bool((p and c[a] == 0) or (v <= most and (p or v >= least)))
+            inside &= bool((p and c[a] == 0) or (v <= most and (p or v >= least)))
         assert got[d].kept == inside or d in near, d
     assert len(near) < 60
     assert by_row(quality.judged(docs), "doc_id", "kept") == Counter((g.doc_id, g.kept) for g in got.values())
