@@ -12,7 +12,8 @@ the documents' ids and lengths; the tail says where the index is. A reader needs
 
 Files are written and read by Spark (one text row a record, ``binaryFile``), so any store that Spark reaches will do. Ids come from
 the tokenizers library, asked once for each distinct run between safe spaces (see ``bpe.cuts``). Null texts count as empty: their
-one id is the end id. Null ids come first, equal ids by text. An empty table makes no file with documents.
+one id is the end id; bytes that aren't UTF-8 become U+FFFD. Null ids come first, equal ids by text, repeated rows one after the
+other. An empty table makes no file with documents. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import cuts, default_vocabulary
-from .common import Cached, ordered_cuts, range_of, scratch_path, written
+from .common import RANGE_BYTES, batch_limits, range_of, scratch_path, sized_cuts, texts_of, written
 
 BLOCK, END_ID, LEVEL = 1 << 16, 0, 3
-#: Documents of a range, about, so that a file stays well under what a task can hold.
-RANGE_ROWS = 1 << 16
 TAIL = b"BPFILE01"
+#: The letter that stands for a space in the names of byte-level tokens; chunks in a joined text.
+SPACE_LETTER, JOINED = "\u0120", 200
 
 
 def block(ids: bytes, bits: bool = False) -> bytes:
@@ -145,31 +146,54 @@ class Reader:
 
 
 class Ids:
-    """Little-endian u32 ids of texts by the tokenizers library, asked once for each chunk that is remembered."""
+    """Little-endian u32 ids of texts by the tokenizers library, asked once for each chunk that is remembered.
 
-    def __init__(self, path: str, remember: int = 700_000):
+    Unknown chunks go to the library joined by single spaces, ``JOINED`` in a text: as a piece begins at each such space, the ids
+    of a joined text are those of its chunks, and each chunk's first id is a token that begins with a space. If it has more such
+    tokens than chunks, its chunks are asked for one by one.
+    """
+
+    def __init__(self, path: str, remember: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
-        self.seen = Cached(lambda c: None, remember)  # chunks without the space before them
+        names = self.t.get_vocab()
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name.startswith(SPACE_LETTER)]] = True
+        self.remember = remember
+        self.seen: dict[str, bytes] = {}  # chunks without the space before them
+        self.before: dict[str, bytes] = {}
 
     def _asked(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 5000):
-            for e in self.t.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False):
+        for i in range(0, len(texts), 512):
+            for e in self.t.encode_batch_fast(texts[i : i + 512], add_special_tokens=False):
                 yield array("I", e.ids).tobytes()
 
+    def _learn(self, chunks: list[str]) -> None:
+        parts = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
+        for part, raw in zip(parts, self._asked([" " + " ".join(p) for p in parts])):
+            at = (4 * np.flatnonzero(self.spaced[np.frombuffer(raw, np.uint32)])).tolist()
+            if len(at) == len(part):
+                self.seen.update(zip(part, [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)])]))
+            else:  # some chunk has runs of spaces inside
+                self.seen.update(zip(part, self._asked([" " + c for c in part])))
+
     def batch(self, texts: list[str]) -> list[bytes]:
         cut = [cuts(t) for t in texts]
         heads = self._asked([c.pop(0) for c in cut])
-        known, fresh = self.seen.fresh(set().union(*cut))
-        rest = list(fresh)
-        made = dict(zip(rest, self._asked([" " + c for c in rest])))
-        self.seen.learn(made)
-        known.update(made)
-        look = known.__getitem__
+        every = set().union(*cut)
+        if len(self.seen) + len(every) > self.remember:  # two generations: frequent chunks stay, memory is bounded
+            self.before, self.seen = self.seen, {}
+        new = every.difference(self.seen)
+        if self.before:
+            old = self.before.keys() & new
+            self.seen.update(zip(old, map(self.before.__getitem__, old)))
+            new -= old
+        self._learn(list(new))
+        look = self.seen.__getitem__
         return [head + b"".join(map(look, c)) for head, c in zip(heads, cut)]
 
 
@@ -186,12 +210,9 @@ def source(path: str) -> Ids:
 def write(docs: DataFrame, where: str, path: str | None = None, bits: bool = False) -> None:
     """Writes the ids of docs (doc_id, text), each with the end id, as files under ``where``."""
     path = path or default_vocabulary()
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("doc_id").count() // RANGE_ROWS)
-    cuts = ordered_cuts(docs, "doc_id", n)
-    n = max(1, len(cuts))
+    cuts = sized_cuts(docs, "doc_id", "text", RANGE_BYTES)
     dealt = docs.select(range_of(F.col("doc_id"), cuts).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = dealt.repartitionById(n, "at").sortWithinPartitions("at", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = dealt.repartitionById(max(1, len(cuts)), "at").sortWithinPartitions("at", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -203,7 +224,7 @@ def write(docs: DataFrame, where: str, path: str | None = None, bits: bool = Fal
             return pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
         for batch in batches:
-            coded = encode([t or "" for t in batch.column("text").to_pylist()])
+            coded = encode(texts_of(batch.column("text")))
             for at, doc_id, ids in zip(batch.column("at").to_pylist(), batch.column("doc_id").to_pylist(), coded):
                 if writer is None:
                     writer = Writer(at, bits)
@@ -212,7 +233,7 @@ def write(docs: DataFrame, where: str, path: str | None = None, bits: bool = Fal
         if writer is not None:
             yield out(list(writer.close()))
 
-    dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.text(where)
+    dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("maxRecordsPerFile", 0).text(where)
 
 
 def read(spark, where: str) -> DataFrame:
@@ -229,13 +250,8 @@ def read(spark, where: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), f.number, np.int64)), ids, pa.array(f.starts.astype(np.int64)), pa.array(f.lengths.astype(np.int64)), pa.array(sums, pa.int64())], names=["at", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").load(where).filter("length > 0").select("content")
-    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(limit)
-    spark.conf.set(limit, "1")  # a file a batch
-    try:
+    with batch_limits(spark, rows=1):  # a file a batch
         rows = written(files.mapInArrow(run, "at long, doc_id long, inside long, n_tokens long, ids_crc32 long"), "planes-read")
-    finally:
-        spark.conf.set(limit, before)
     per = rows.groupBy("at").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     starts = per.select("at", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
