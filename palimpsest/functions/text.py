@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: Headings too general to name a topic.
 GENERIC_HEADINGS = ("overview", "example", "examples", "notes", "summary", "introduction", "what's next", "whats next", "before you begin", "see also", "next steps", "feedback")
 TERM = r"[a-z0-9]+(?:[./-][a-z0-9]+)*"
-_SHORTCODE = r"(?s)\{\{[<%]\s*/?\s*.*?\s*[>%]\}\}"
+#: Template signs and heading anchors of a documentation site.
+SHORTCODE, ANCHOR = r"\{\{[<%](?s:.*?)[>%]\}\}", r"\s*\{#[^}]*\}\s*$"
 
 
 def stable_id(*parts: Column) -> Column:
@@ -70,14 +71,14 @@ def stripped(text: Column) -> Column:
 def normalized(text: Column) -> Column:
     """Line ends to \\n; without HTML comments, shortcode delimiters, blanks at line ends, runs of blank lines and outer white space."""
     t = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\r", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", ""), _SHORTCODE, "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", ""), SHORTCODE, "")
     t = F.regexp_replace(F.regexp_replace(t, r"(?md)[ \t]+$", ""), "\n{3,}", "\n\n")
     return stripped(t)
 
 
 def clean_heading(raw: Column) -> Column:
     """Without shortcode delimiters and a {#anchor} at the end."""
-    return stripped(F.regexp_replace(F.regexp_replace(raw, _SHORTCODE, ""), r"\s*\{#[^}]*\}\s*$", ""))
+    return stripped(F.regexp_replace(F.regexp_replace(raw, SHORTCODE, ""), ANCHOR, ""))
 
 
 def title_from_path(doc_path: Column) -> Column:

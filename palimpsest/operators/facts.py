@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from ..functions import text as fn
 
-#: The sentence forms of a guide.
-_API = r"\*\*([A-Za-z0-9._/-]+)\*\*"
-FORM_1 = rf"(?isU){_API}\s+API\s+versions?\s+of\s+(.+?)\s+(?:is|are)\s+no\s+longer\s+served\s+as\s+of\s+v(\d+\.\d+)"
-FORM_2 = rf"(?sU)([A-Z][A-Za-z0-9]*(?:(?:,\s*|\s+and\s+)[A-Z][A-Za-z0-9]*)*)\s+in\s+the\s+{_API}\s+API\s+version\s+(?:is|are)\s+no\s+longer\s+served\s+as\s+of\s+v(\d+\.\d+)"
-REPLACED = rf"(?isU){_API}\s+API\s+version,\s*available\s+since\s+v(\d+\.\d+)"
+#: The sentence forms of a guide, for text whose white space is single blanks.
+_API, _GONE = r"\*\*([\w./-]+)\*\* API version", r" (?:is|are) no longer served as of v(\d+\.\d+)"
+_KIND = "[A-Z][A-Za-z0-9]*"
+FORM_1 = f"(?i){_API}s? of (.+?){_GONE}"
+FORM_2 = f"({_KIND}(?:(?:, ?| and ){_KIND})*) in the {_API}{_GONE}"
+REPLACED = f"(?i){_API}, ?available since v(\\d+\\.\\d+)"
 
 
 def blocks(guides: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def blocks(guides: DataFrame) -> DataFrame:
 
 
 def _first(form1: int, form2: int) -> Column:
-    one, two = F.regexp_extract("body", FORM_1, form1), F.regexp_extract("body", FORM_2, form2)
-    return F.when(F.col("body").rlike(FORM_1), one).when(F.col("body").rlike(FORM_2), two)
+    one, two = F.regexp_extract("flat", FORM_1, form1), F.regexp_extract("flat", FORM_2, form2)
+    return F.when(F.col("flat").rlike(FORM_1), one).when(F.col("flat").rlike(FORM_2), two)
 
 
 def parsed(guides: DataFrame) -> DataFrame:
@@ -44,10 +45,10 @@ def parsed(guides: DataFrame) -> DataFrame:
 
     The version in the sentence wins over the heading's.
     """
-    out = blocks(guides).withColumns({"api": _first(1, 2), "resources": fn.resources(_first(2, 1)), "removed_in": _first(3, 3)})
-    found = F.col("body").rlike(REPLACED)
-    out = out.withColumns({"replacement": F.when(found, F.regexp_extract("body", REPLACED, 1)), "replacement_since": F.when(found, F.regexp_extract("body", REPLACED, 2))})
-    return out.withColumn("skipped", F.when(F.col("api").isNull(), "no removal sentence").when(F.size("resources") == 0, "no resources"))
+    out = blocks(guides).withColumn("flat", F.regexp_replace("body", r"(?U)\s+", " ")).withColumns({"api": _first(1, 2), "resources": fn.resources(_first(2, 1)), "removed_in": _first(3, 3)})
+    found = F.col("flat").rlike(REPLACED)
+    out = out.withColumns({"replacement": F.when(found, F.regexp_extract("flat", REPLACED, 1)), "replacement_since": F.when(found, F.regexp_extract("flat", REPLACED, 2))})
+    return out.drop("flat").withColumn("skipped", F.when(F.col("api").isNull(), "no removal sentence").when(F.size("resources") == 0, "no resources"))
 
 
 def facts(guides: DataFrame) -> DataFrame:
@@ -64,5 +65,6 @@ def coverage(guides: DataFrame) -> DataFrame:
 
 
 def newest(guides: DataFrame) -> DataFrame:
-    """The guide of the newest version only."""
-    return guides.withColumn("_last", F.max("version").over(Window.partitionBy("doc_path"))).filter("version = _last").drop("_last")
+    """The guides of the one newest version."""
+    last = guides.agg(F.max("version").alias("_last"))  # one row
+    return guides.join(F.broadcast(last), F.col("version") == F.col("_last"), "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as fn
 from palimpsest.functions import versions as vs
 from palimpsest.operators import bm25, chunking, datasets, dense, metrics, ranges, retrieval
-from palimpsest.plans import catalog
+from palimpsest.plans import catalog, retrieval as _queries  # noqa: F401
 from palimpsest.sources import files
 from palimpsest.streaming import ingest
 
@@ -194,13 +194,20 @@ def test_pairs_have_random_negatives(spark):
     assert datasets.pair_weights(got).first().pos_weight == 12.0
 
 
-def test_sections_keep_fences_whole():
-    long = "\n\n".join(["para " * 10] * 4 + ["~~~\n" + "x\n\n" * 50 + "~~~"])
-    got = chunking.pieces(chunking.tidy(long), chunking.Sizes(80, 100, 1))
-    assert sum(p.count("~~~") for p in got) == 2 and any(p.count("~~~") == 2 for p in got)
+def test_pieces_keep_blocks_whole():
+    long = "\n\n".join(["para " * 9 + "para"] * 4 + ["~~~\n" + "x\n\n" * 50 + "~~~", "tail"])
+    got = chunking.pieces(long, chunking.Sizes(110, 100, 1))
+    assert "\n\n".join(got) == long and sum(p.count("~~~") for p in got) == 2 and any(p.count("~~~") == 2 for p in got)
+    assert got[0].count("para") == 20 and max(len(p) for p in got if "~~~" not in p) <= 110
     assert chunking.pieces("", chunking.Sizes()) == [""]
 
 
-def test_tidy_equals_the_column_form(spark):
-    raw = "  a \r\n\r\n\r\n\r\nb<!-- c\nd --> {{< note >}}e{{< /note >}}\t\n\n\nf  "
-    assert spark.createDataFrame([(raw,)], "r string").select(fn.normalized(F.col("r"))).first()[0] == chunking.tidy(raw)
+def test_sections_skip_headings_in_blocks():
+    body = "start\n# A #x\none\n```sh\n# no heading\n~~~\n### nor here\n```\n### C {#c}\nthree\n# {#empty}\nstill three\n## B\n~~~\n## open block\n"
+    got = [(crumbs, text.split()[0]) for crumbs, text in chunking.sections(body, "T") if text.strip()]
+    assert got == [(["T"], "start"), (["T", "A #x"], "one"), (["T", "A #x", "C"], "three"), (["T", "A #x", "B"], "~~~")]
+
+
+def test_normalized_text(spark):
+    raw = "  a \r\n\r\n\r\n\r\nb<!-- c\nd --> {{< note >}}e{{< /note >}}\t\n\n\nf  "
+    assert spark.createDataFrame([(raw,)], "r string").select(fn.normalized(F.col("r"))).first()[0] == "a\n\nb e\n\nf"
