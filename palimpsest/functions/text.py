@@ -98,9 +98,11 @@ def topic(heading_path: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Lower-cased terms in order, duplicates kept; a compound of more than three characters is followed by its parts of more than two."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-    parts = lambda t: F.when((F.length(t) > 3) & t.rlike("[./-]"), F.filter(F.split(t, "[./-]"), lambda p: F.length(p) > 2)).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(found, lambda t: F.concat(F.array(t), parts(t))))
+    low = F.lower(text)
+    found = F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+    compound = lambda t: (F.length(t) > 3) & (F.contains(t, F.lit(".")) | F.contains(t, F.lit("/")) | F.contains(t, F.lit("-")))
+    parts = lambda t: F.when(compound(t), F.filter(F.split(t, "[./-]"), lambda p: F.length(p) > 2)).otherwise(F.array().cast("array<string>"))
+    return F.when(low.rlike("[a-z0-9][./-][a-z0-9]"), F.flatten(F.transform(found, lambda t: F.concat(F.array(t), parts(t))))).otherwise(found)
 
 
 def resources(raw: Column) -> Column:

@@ -6,6 +6,7 @@ their multiplicity; passages without any of them score 0 and fill a ranking up t
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,58 +15,60 @@ from pyspark.sql.window import Window
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(passages: DataFrame, id_: str, terms: Column) -> DataFrame:
-    """(id, term, tf, dl): one row a passage and term."""
-    words = passages.select(id_, terms.alias("_t")).withColumn("dl", F.size("_t"))
-    return words.select(id_, "dl", F.explode("_t").alias("term")).groupBy(id_, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+#: Asked terms that may be sent to every task.
+NEAR_TERMS = 1_000_000
 
 
-def _size(passages: DataFrame, terms: Column) -> DataFrame:
-    n = passages.select(F.size(terms).alias("n"))
-    return n.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
+def tokenized(passages: DataFrame, id_: str, terms: Column) -> DataFrame:
+    """(id, _t, dl), kept on executors as three passes read it; a lost executor's part is made again."""
+    return passages.select(id_, terms.alias("_t")).withColumn("dl", F.size("_t")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def idf(posted: DataFrame, size: DataFrame) -> DataFrame:
-    """(term, idf) with negative values replaced."""
-    raw = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(size.select("n_docs"))  # one row
+def idf(tokens: DataFrame, size: DataFrame) -> DataFrame:
+    """(term, idf) of all terms with negative values replaced; tasks count before the shuffle."""
+    raw = tokens.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size.select("n_docs")))  # one row
     raw = raw.withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(mean).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # mean is one row
 
 
 def scores(queries: DataFrame, passages: DataFrame, qid: str, query_terms: Column, id_: str, terms: Column) -> DataFrame:
-    """(qid, id, score) of the pairs that share a term."""
-    posted = postings(passages, id_, terms)
-    size = _size(passages, terms)
+    """(qid, id, score) of the pairs that share a term, kept on executors. Terms that nobody asks for go before postings are shuffled."""
+    tokens = tokenized(passages, id_, terms)
+    size = tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
     asked = queries.select(qid, F.explode(query_terms).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("qtf"))
+    wanted = asked.select("term").distinct()
+    if wanted.count() <= NEAR_TERMS:  # else the join is dealt by term
+        wanted = F.broadcast(wanted)
+    posted = tokens.select(id_, "dl", F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy(id_, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    # only terms that are asked for take part from here on
-    hit = posted.join(asked, "term").join(idf(posted, size), "term").crossJoin(size.select("avg_len"))
-    return hit.groupBy(qid, id_).agg(F.sum(part).alias("score"))
+    weighed = asked.join(idf(tokens, size), "term")
+    hit = posted.join(weighed, "term").crossJoin(F.broadcast(size.select("avg_len")))  # one row
+    return hit.groupBy(qid, id_).agg(F.sum(part).alias("score")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def top_k(scored: DataFrame, queries: DataFrame, candidates: DataFrame, qid: str, id_: str, k: int, digits: int = 4) -> DataFrame:
-    """(qid, id, score, rank): the k best of the candidates (qid, id) of each query, ties by id, unscored candidates as 0."""
-    all_ = candidates.join(scored, [qid, id_], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), digits))
-    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), id_)
-    return all_.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(qid, id_, "score", "rank")
-
-
-def padded_top_k(scored: DataFrame, queries: DataFrame, passages: DataFrame, qid: str, id_: str, k: int, digits: int = 4) -> DataFrame:
-    """top_k over all passages, without pairing each query with each passage.
+def top_k(scored: DataFrame, queries: DataFrame, passages: DataFrame, qid: str, id_: str, k: int, by: str | None = None, digits: int = 4) -> DataFrame:
+    """(qid, id, score, rank): the k best passages of each query, ties by id; those without any of its terms score 0.
 
-    Only queries with fewer than k positive scores need passages that score 0, and those lie among the first k + s ids, s being
-    the most passages that such a query has scores for.
+    With ``by``, a column of queries and passages (a passage may have a row for each value), only passages of the query's value
+    count. No query is paired with all passages: only queries with fewer than k positive scores need passages that score 0, and
+    those lie among the first k + s ids of their value, s being the most passages that such a query has scores for.
     """
+    by_ = by or "_by"
+    asks = queries.select(qid, *([by] if by else [F.lit(0).alias(by_)]))
+    pool = passages.select(id_, *([by] if by else [F.lit(0).alias(by_)]))
     rounded = scored.withColumn("score", F.round("score", digits))
-    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), id_)
+    if by:
+        rounded = rounded.join(asks, qid).join(pool, [id_, by_], "left_semi").select(qid, id_, "score")
     counts = rounded.groupBy(qid).agg(F.count_if(F.col("score") > 0).alias("_p"), F.count("*").alias("_s"))
-    short = queries.select(qid).join(counts, qid, "left").filter(F.coalesce("_p", F.lit(0)) < k)
+    short = asks.join(counts, qid, "left").filter(F.coalesce("_p", F.lit(0)) < k)
     most = short.agg(F.max(F.coalesce("_s", F.lit(0)))).first()[0]
     both = rounded.select(qid, id_, "score")
     if most is not None:
-        lowest = passages.select(id_).orderBy(id_).limit(k + int(most))
-        zeros = short.select(qid).crossJoin(lowest).join(scored.select(qid, id_), [qid, id_], "left_anti")
+        place = F.row_number().over(Window.partitionBy(by_).orderBy(id_))
+        lowest = pool.withColumn("_n", place).filter(F.col("_n") <= k + int(most)).drop("_n")
+        zeros = short.select(qid, by_).join(lowest, by_).join(rounded.select(qid, id_), [qid, id_], "left_anti")
         both = both.unionByName(zeros.select(qid, id_, F.lit(0.0).alias("score")))
+    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), id_)
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -1,20 +1,22 @@
 """Exact similarity search over stored vectors.
 
-The query vectors are one matrix, sent to every task (their number is checked); each Arrow batch of passages is one matrix product,
-of which only the k best a query leave the task. Filters act before the cut, never after it.
+Queries go out in blocks of ``BLOCK``, one pass over the passages a block. A task multiplies tiles of queries and passages and keeps
+the k best of each query as it goes, so its memory is bounded and k rows a query and task leave it. Filters act before the cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors that may be sent to every task.
-MOST_QUERIES = 100_000
+#: Queries sent to every task at once; queries and passages of a tile.
+BLOCK, TILE_QUERIES, TILE_ROWS = 16_384, 1024, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,46 +25,73 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(same, F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x))
 
 
-def normalised(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), norm))
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of score, whose columns have ids (one row, or a row each); ties by id, -inf last."""
+    ids = np.broadcast_to(ids, score.shape)
+    order = np.argsort(ids, axis=1, kind="stable")
+    score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def top_k(queries: DataFrame, passages: DataFrame, k: int, filtered: bool, digits: int = 6) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k passages (vec_id, embedding, version_low, version_high) nearest to each query.
+def _tile(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """_best() of a wide tile: all that ties with or beats a row's k-th score comes first, then only that is sorted."""
+    if score.shape[1] > 2 * k:
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        use = np.flatnonzero((score >= least).any(axis=0))
+        score, ids = score[:, use], ids[use]
+    return _best(score, ids, k)
 
-    Queries are (query_id, embedding, version); with ``filtered`` only passages that cover a query's version are ranked. Scores are
-    rounded before ranking; ties go by vec_id. Queries that nothing covers have no rows; no more than MOST_QUERIES queries.
-    """
-    rows = queries.select("query_id", "embedding", "version").orderBy("query_id").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one search")
-    ids = np.array([r[0] for r in rows], np.int64)
-    matrix = np.array([r[1] for r in rows], np.float64)
-    versions = np.array([r[2] if r[2] is not None else -1 for r in rows], np.int64)
-    sent = passages.sparkSession.sparkContext.broadcast((ids, matrix, versions))
+
+def _searched(block: list, passages: DataFrame, k: int, filtered: bool, digits: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each task for the queries of a block."""
+    width = len(block[0][1])
+    sent = passages.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64), np.array([-1 if r[2] is None else r[2] for r in block], np.int64), np.array([r[2] is None for r in block])))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ids, matrix, versions = sent.value
+        ids, matrix, versions, unset = sent.value
+        score = np.full((len(ids), k), -np.inf)
+        found = np.full((len(ids), k), np.iinfo(np.int64).max)
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            vectors = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(batch.num_rows, -1)
-            own = np.asarray(batch.column("vec_id"))
-            low, high = np.asarray(batch.column("version_low")), np.asarray(batch.column("version_high"))
-            score = np.round(matrix @ vectors.T, digits) + 0.0
-            if filtered:
-                score[(versions[:, None] < low[None, :]) | (versions[:, None] > high[None, :])] = -np.inf
-            order = np.argsort(own, kind="stable")
-            score, own = score[:, order], own[order]
-            first = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            q = np.repeat(np.arange(len(ids)), first.shape[1])
-            value = score[q, first.ravel()]
-            keep = value > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q][keep]), pa.array(own[first.ravel()][keep]), pa.array(value[keep])], names=["query_id", "vec_id", "score"])
-
-    best = passages.select("vec_id", "embedding", "version_low", "version_high").mapInArrow(run, "query_id long, vec_id long, score double")
+            for at in range(0, batch.num_rows, TILE_ROWS):
+                part = batch.slice(at, TILE_ROWS)
+                vectors = np.asarray(part.column("embedding").flatten(), np.float64).reshape(part.num_rows, width)
+                own, low, high = (np.asarray(part.column(c)) for c in ("vec_id", "version_low", "version_high"))
+                for q in range(0, len(ids), TILE_QUERIES):
+                    rows = slice(q, q + TILE_QUERIES)
+                    here = np.round(matrix[rows] @ vectors.T, digits) + 0.0
+                    if filtered:
+                        v = versions[rows, None]
+                        here[(v < low) | (v > high) | unset[rows, None]] = -np.inf
+                    s, i = _tile(here, own, k)
+                    score[rows], found[rows] = _best(np.hstack([score[rows], s]), np.hstack([found[rows], i]), k)
+        keep = score > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[keep]), pa.array(found[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+
+    return passages.filter(F.size("embedding") == width).mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def top_k(queries: DataFrame, passages: DataFrame, k: int, filtered: bool, digits: int = 6) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k passages (vec_id, embedding, version_low, version_high) nearest to each query.
+
+    Queries are (query_id, embedding, version); with ``filtered`` only passages that cover a query's version are ranked, none for a
+    null version. Scores are rounded before ranking; ties go by vec_id. Queries that nothing covers have no rows. Null embeddings,
+    null elements and passages of another length than a query's are left out for it.
+    """
+    whole = lambda df: df.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    rows = whole(queries).select("query_id", F.col("embedding").cast("array<double>").alias("e"), "version").orderBy(F.size("e"), "query_id").toLocalIterator()
+    ready = whole(passages.select("vec_id", "embedding", F.coalesce("version_low", F.lit(1 << 30)).alias("version_low"), F.coalesce("version_high", F.lit(-1)).alias("version_high")).filter("vec_id is not null"))
+    parts, held = [], list(islice(rows, BLOCK))
+    while held:
+        width = len(held[0][1])
+        block = [r for r in held if len(r[1]) == width]  # in order of length
+        parts.append(_searched(block, ready, k, filtered, digits))
+        held = held[len(block) :]
+        held += islice(rows, BLOCK - len(held))
+    if not parts:
+        return ready.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    best = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -1,5 +1,5 @@
 """Metrics of rankings. Input is rows only: queries (query_id, positive_id, source, version) and hits (query_id, id, rank, and the
-range version_low..version_high of the hit). Queries without hits count as zeros.
+range version_low..version_high of the hit). Queries without hits count as zeros; queries without an answer don't count (evaluable).
 """
 
 from __future__ import annotations
@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 CUTS = (1, 5, 10, 20)
 
 
+def evaluable(queries: DataFrame, passages: DataFrame, id_: str) -> DataFrame:
+    """The queries that count: with an answer (``unanswerable`` is no column, null or false) and a positive that passages have."""
+    if "unanswerable" in queries.columns:
+        queries = queries.filter(~F.coalesce("unanswerable", F.lit(False)))
+    return queries.join(passages.select(F.col(id_).alias("positive_id")), "positive_id", "left_semi")
+
+
+def skipped(queries: DataFrame, passages: DataFrame, id_: str) -> DataFrame:
+    """One row: questions, and how many of them evaluable() leaves out as unanswerable or for want of a positive."""
+    unanswerable = F.coalesce("unanswerable", F.lit(False)) if "unanswerable" in queries.columns else F.lit(False)
+    known = passages.select(F.col(id_).alias("positive_id"), F.lit(1).alias("_there")).distinct()
+    rows = queries.withColumn("_un", unanswerable).join(known, "positive_id", "left")
+    return rows.agg(F.count("*").alias("questions"), F.count_if("_un").alias("unanswerable"), F.count_if(~F.col("_un") & F.col("_there").isNull()).alias("without_positive"))
+
+
 def judged(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """A row for each query and hit (or one without a rank), with ``match`` and ``correct``."""
     q = queries.select("query_id", "positive_id", "source", "version")

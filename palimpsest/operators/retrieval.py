@@ -39,6 +39,11 @@ LADDER = (
 )
 
 
+def resolved_model(token: str, known: dict[str, str], default: str) -> tuple[str, bool]:
+    """What a configuration's encoder stands for, and whether the default had to stand in for it, which makes a run degraded."""
+    return (known[token], False) if token in known else (default, token != "base")
+
+
 def selected(names: list[str]) -> list[Config]:
     """Configurations by name; an unknown name is an error."""
     known = {c.name: c for c in LADDER}
@@ -92,3 +97,7 @@ class Pipeline:
                 raise ValueError(f"{c.name} needs a scorer")
             found = reranked(found, self.scorer(found), "query_id", "vec_id", k).withColumn("stage", F.lit("rerank"))
         return found.filter(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank", "stage")
+
+    def labelled(self, table: DataFrame) -> DataFrame:
+        """A table of this configuration's metrics, marked as degraded if a part stood in for another."""
+        return table.withColumn("degraded", F.lit(bool(self.degraded)))

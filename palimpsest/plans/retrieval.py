@@ -13,17 +13,19 @@ K = 20
 _DOT = "round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6)"
 
 
-def _ranked(name: str, where: str, k: int = K) -> str:
+def _ranked(name: str, where: str, k: int = K, dot: str = _DOT) -> str:
     return f"""{name} AS (SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
-FROM (SELECT q.query_id, v.vec_id, {_DOT} AS score FROM vq q JOIN vec v ON {where})) WHERE rank <= {k})"""
+FROM (SELECT q.query_id, v.vec_id, {dot} AS score FROM vq q JOIN vec v ON {where})) WHERE rank <= {k})"""
 
 
 COVERS = "q.version BETWEEN v.version_low AND v.version_high"
 ALL, FILTERED = _ranked("hits", "true"), _ranked("fhits", COVERS)
 
 
-def _dense(spark: SparkSession, d: str, filtered: bool, k: int = K) -> DataFrame:
-    return dense.top_k(vector_queries(spark, d), vectors(spark, d), k, filtered)
+def _dense(spark: SparkSession, d: str, filtered: bool, k: int = K, dims: int | None = None) -> DataFrame:
+    """Of whole vectors, or of their first ``dims`` numbers, which stand for another encoder."""
+    cut = (lambda df: df.withColumn("embedding", F.slice("embedding", 1, dims))) if dims else (lambda df: df)
+    return dense.top_k(cut(vector_queries(spark, d)), cut(vectors(spark, d)), k, filtered)
 
 
 @query(f"WITH {VQ}, {ALL} SELECT * FROM hits")
@@ -58,28 +60,40 @@ def _lexical(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BM25}, {_ALL_SCORES.format('')} {_TOP}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.padded_top_k(_lexical(spark, d), table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", K)
+    return bm25.top_k(_lexical(spark, d), table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", K)
 
 
 @query(f"WITH {_BM25}, {_ALL_SCORES.format(_WINDOW)} {_TOP}")
 def bm25_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Documents valid for minors id % 6 to id % 6 + 4; an item asks about id % 12."""
     low = (F.col("doc_id") % 6).cast("int")
-    docs = table(spark, d, "documents").select("doc_id", low.alias("version_low"), (low + 4).alias("version_high"))
+    docs = ranges.expanded(table(spark, d, "documents").select("doc_id", low.alias("version_low"), (low + 4).alias("version_high")))
     asks = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 12).cast("int").alias("version"))
-    return bm25.top_k(_lexical(spark, d), asks, ranges.range_join(asks, docs, []).select("item_id", "doc_id"), "item_id", "doc_id", K)
+    return bm25.top_k(_lexical(spark, d), asks, docs, "item_id", "doc_id", K, by="version")
 
 
-_LEX = "lex AS (SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.query_id, v.vec_id, round(1.0 / (1 + abs(q.query_id - v.vec_id)), 6) AS score FROM vq q JOIN vec v ON q.family = v.family)) WHERE rank <= 20)"
-_UNION = """un AS (SELECT query_id, vec_id, score, stage, CAST(row_number() OVER (PARTITION BY query_id ORDER BY stage = 'bm25', rank) AS INTEGER) AS rank FROM (
-SELECT *, 'dense' AS stage FROM hits UNION ALL SELECT *, 'bm25' FROM lex l WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = l.query_id AND h.vec_id = l.vec_id)))"""
+def _lexical_sql(name: str, where: str = "true", k: int = K) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.query_id, v.vec_id, round(1.0 / (1 + abs(q.query_id - v.vec_id)), 6) AS score FROM vq q JOIN vec v ON q.family = v.family AND {where})) WHERE rank <= {k})"
 
 
-def _stub_lexical(spark: SparkSession, d: str, k: int = K) -> DataFrame:
-    """A second ranking of the same passages: those of the query's family, nearest id first."""
+_LEX = _lexical_sql("lex")
+
+
+def _union_sql(name: str, first: str, second: str) -> str:
+    return f"""{name} AS (SELECT query_id, vec_id, score, stage, CAST(row_number() OVER (PARTITION BY query_id ORDER BY stage = 'bm25', rank) AS INTEGER) AS rank FROM (
+SELECT *, 'dense' AS stage FROM {first} UNION ALL SELECT *, 'bm25' FROM {second} l WHERE NOT EXISTS (SELECT 1 FROM {first} h WHERE h.query_id = l.query_id AND h.vec_id = l.vec_id)))"""
+
+
+_UNION = _union_sql("un", "hits", "lex")
+
+
+def _stub_lexical(spark: SparkSession, d: str, k: int = K, filtered: bool = False) -> DataFrame:
+    """A second ranking of the same passages: those of the query's family (that cover its version), nearest id first."""
     from pyspark.sql.window import Window
 
-    pairs = vector_queries(spark, d).select("query_id", "family").join(vectors(spark, d).select("vec_id", "family"), "family")
+    pairs = vector_queries(spark, d).select("query_id", "family", "version").join(vectors(spark, d).select("vec_id", "family", "version_low", "version_high"), "family")
+    if filtered:
+        pairs = pairs.filter(F.col("version").between(F.col("version_low"), F.col("version_high")))
     pairs = pairs.select("query_id", "vec_id", F.round(1.0 / (1 + F.abs(F.col("query_id") - F.col("vec_id"))), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -90,7 +104,12 @@ def hybrid_union(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.union(_dense(spark, d, False), _stub_lexical(spark, d), "query_id", "vec_id")
 
 
-_RERANKED = "rr AS (SELECT query_id, vec_id, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS INTEGER) AS rank FROM (SELECT *, CAST((vec_id * 7919 + query_id) % 97 AS DOUBLE) AS s FROM un))"
+def _reranked_sql(name: str, hits: str, k: int | None = None) -> str:
+    rows = f"SELECT query_id, vec_id, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS INTEGER) AS rank FROM (SELECT *, CAST((vec_id * 7919 + query_id) % 97 AS DOUBLE) AS s FROM {hits})"
+    return f"{name} AS ({rows})" if k is None else f"{name} AS (SELECT * FROM ({rows}) WHERE rank <= {k})"
+
+
+_RERANKED = _reranked_sql("rr", "un")
 
 
 def _stub_scorer(hits: DataFrame) -> DataFrame:
@@ -107,7 +126,7 @@ def rerank_replace(spark: SparkSession, d: str) -> DataFrame:
 
 _POS = """pos AS (SELECT q.query_id, CASE WHEN q.query_id % 100 = 0 THEN 'even' ELSE 'odd' END AS source, q.version,
 (SELECT min(v.vec_id) FROM vec v WHERE v.family = q.family AND q.version BETWEEN v.version_low AND v.version_high) AS positive_id FROM vq q)"""
-_JUDGED = "j{0} AS (SELECT p.*, h.rank, h.vec_id = p.positive_id AS m, coalesce(p.version BETWEEN v.version_low AND v.version_high, false) AS ok FROM pos p LEFT JOIN {0} h USING (query_id) LEFT JOIN vec v ON v.vec_id = h.vec_id)"
+_JUDGED = "j{0} AS (SELECT p.*, h.rank, h.vec_id = p.positive_id AS m, coalesce(p.version BETWEEN v.version_low AND v.version_high, false) AS ok FROM pos p LEFT JOIN {0} h USING (query_id) LEFT JOIN vec v ON v.vec_id = h.vec_id WHERE p.positive_id IS NOT NULL)"
 _PER = """per{0} AS (SELECT query_id, source, """ + ", ".join(f"max(CASE WHEN m AND rank <= {k} THEN CAST(1 AS DOUBLE) ELSE 0 END) AS recall_at_{k}" for k in metrics.CUTS) + """,
 coalesce(CAST(1 AS DOUBLE) / min(CASE WHEN m AND rank <= 10 THEN rank END), 0) AS mrr_at_10, sum(CASE WHEN m AND rank <= 10 THEN 1 / log2(rank + CAST(1 AS DOUBLE)) ELSE 0 END) AS ndcg_at_10,
 coalesce(avg(CASE WHEN rank <= 1 THEN CAST(ok AS DOUBLE) END), 0) AS version_correct_at_1, coalesce(avg(CASE WHEN rank <= 5 THEN CAST(ok AS DOUBLE) END), 0) AS version_correct_at_5 FROM j{0} GROUP BY query_id, source)"""
@@ -128,8 +147,17 @@ def _judgeable(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     return hits.join(vectors(spark, d).select("vec_id", "version_low", "version_high"), "vec_id").withColumnRenamed("vec_id", "id")
 
 
+def _evaluable(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.evaluable(_questions(spark, d), vectors(spark, d), "vec_id")
+
+
 def _per_query(spark: SparkSession, d: str, filtered: bool) -> DataFrame:
-    return metrics.per_query(_questions(spark, d), _judgeable(spark, d, _dense(spark, d, filtered)))
+    return metrics.per_query(_evaluable(spark, d), _judgeable(spark, d, _dense(spark, d, filtered)))
+
+
+@query(f"WITH {VQ}, {_POS} SELECT count(*) AS questions, CAST(0 AS BIGINT) AS unanswerable, count(*) FILTER (positive_id IS NULL) AS without_positive FROM pos")
+def skipped_questions(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.skipped(_questions(spark, d), vectors(spark, d), "vec_id")
 
 
 def _one(names: list[str]) -> str:
@@ -161,33 +189,64 @@ def metrics_by_source(spark: SparkSession, d: str) -> DataFrame:
     return metrics.summarised(_per_query(spark, d, True))
 
 
-_RUNS = f"{VQ}, {ALL}, {FILTERED}, {_POS}, {_metrics_sql('hits')}, {_metrics_sql('fhits')}, runs AS (SELECT 'dense' AS config, * FROM perhits UNION ALL SELECT 'dense_filtered', * FROM perfhits), " + "sums AS (SELECT config, " + _MEANS + " FROM runs GROUP BY config), flat AS (UNPIVOT sums ON " + ", ".join(metrics.NAMES) + " INTO NAME metric VALUE value)"
+# The ladder: family and id stand for BM25, the first eight numbers of a vector for a tuned encoder, a remainder for a reranker.
+
+TUNED = 8
+_DOT8 = _DOT.replace("q.embedding", f"q.embedding[1:{TUNED}]").replace("v.embedding", f"v.embedding[1:{TUNED}]")
+_LADDER = {
+    "bm25": [_lexical_sql("hits_bm25")],
+    "dense": [_ranked("hits_dense", "true")],
+    "dense_filtered": [_ranked("hits_dense_filtered", COVERS)],
+    "tuned_filtered": [_ranked("t50", COVERS, 50, _DOT8), f"hits_tuned_filtered AS (SELECT * FROM t50 WHERE rank <= {K})"],
+    "reranked": [_reranked_sql("hits_reranked", "t50", K)],
+    "hybrid_reranked": [_lexical_sql("fl50", COVERS, 50), _union_sql("un50", "t50", "fl50"), _reranked_sql("hits_hybrid_reranked", "un50", K)],
+}
+
+
+def _runs_sql(names: list[str]) -> str:
+    steps = ", ".join(x for n in names for x in _LADDER[n])
+    per = ", ".join(_metrics_sql(f"hits_{n}") for n in names)
+    runs = " UNION ALL ".join(f"SELECT '{n}' AS config, * FROM perhits_{n}" for n in names)
+    return f"{VQ}, {steps}, {_POS}, {per}, runs AS ({runs}), sums AS (SELECT config, {_MEANS} FROM runs GROUP BY config), flat AS (UNPIVOT sums ON {', '.join(metrics.NAMES)} INTO NAME metric VALUE value)"
+
+
+_RUNS, _TWO = _runs_sql(list(_LADDER)), _runs_sql(["dense", "dense_filtered"])
+
+
+def _pipeline(spark: SparkSession, d: str, config: retrieval.Config) -> retrieval.Pipeline:
+    dims, fell_back = retrieval.resolved_model(config.encoder, {"base": "", "tuned": str(TUNED)}, "")
+    return retrieval.Pipeline(config, lambda k, f: _dense(spark, d, f, k, int(dims or 0) or None), lambda k, f: _stub_lexical(spark, d, k, f), _stub_scorer, [config.encoder] if fell_back else [])
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    plain, filtered = (metrics.long(metrics.summarised(_per_query(spark, d, f)).filter("source = 'all'"), c.name) for f, c in zip((False, True), retrieval.selected(["dense", "dense_filtered"])))
-    return plain.unionByName(filtered).select("config", "metric", "value")
+def _runs(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
+    questions, out = _evaluable(spark, d), None
+    for config in retrieval.selected(names):
+        made = _pipeline(spark, d, config)
+        per = metrics.per_query(questions, _judgeable(spark, d, made.hits(K)))
+        rows = made.labelled(metrics.long(metrics.summarised(per).filter("source = 'all'"), config.name).select("config", "metric", "value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(f"WITH {_RUNS} SELECT config, metric, value, value >= max(value) OVER (PARTITION BY metric) - 1e-9 AS best FROM flat")
 def ablation_table(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.best(_runs(spark, d), ["metric"])
+    return metrics.best(_runs(spark, d, list(_LADDER)).drop("degraded"), ["metric"])
 
 
-_EXPECTED = [("dense", "recall_at_10", 0.0), ("dense", "ndcg_at_10", 0.9), ("dense", "precision", 0.5), ("dense_filtered", "version_correct_at_1", 0.2), ("dense_filtered", "recall_at_20", 1.5), ("bm25", "recall_at_10", 0.5), ("bm25", "ndcg_at_10", 0.5)]
+_EXPECTED = [("dense", "recall_at_10", 0.0), ("dense", "ndcg_at_10", 0.9), ("dense", "precision", 0.5), ("dense_filtered", "version_correct_at_1", 0.2), ("dense_filtered", "recall_at_20", 1.5), ("nowhere", "recall_at_10", 0.5), ("nowhere", "ndcg_at_10", 0.5)]
 _VALUES = ", ".join(f"('{c}', '{m}', CAST({v} AS DOUBLE))" for c, m, v in _EXPECTED)
 
 
-@query(f"""WITH {_RUNS}, base(config, metric, expected) AS (VALUES {_VALUES}), r AS (SELECT b.*, f.value AS actual, EXISTS (SELECT 1 FROM flat g WHERE g.config = b.config) AS run FROM base b LEFT JOIN flat f USING (config, metric))
+@query(f"""WITH {_TWO}, base(config, metric, expected) AS (VALUES {_VALUES}), r AS (SELECT b.*, f.value AS actual, EXISTS (SELECT 1 FROM flat g WHERE g.config = b.config) AS run FROM base b LEFT JOIN flat f USING (config, metric))
 SELECT config, metric, expected, actual, CASE WHEN actual IS NULL THEN 'missing metric' ELSE 'regression' END AS reason FROM r WHERE run AND (actual IS NULL OR actual < expected - 0.01)
 UNION ALL SELECT DISTINCT config, '*', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'missing config' FROM r WHERE NOT run""")
 def regression_gate(spark: SparkSession, d: str) -> DataFrame:
-    return gate.regressions(literal(spark, _EXPECTED, "config string, metric string, value double"), _runs(spark, d))
+    return gate.regressions(literal(spark, _EXPECTED, "config string, metric string, value double"), _runs(spark, d, ["dense", "dense_filtered"]))
 
 
-@query(f"WITH {_RUNS}, m AS (SELECT max(CASE WHEN config = 'dense' THEN value END) AS incumbent, max(CASE WHEN config = 'dense_filtered' THEN value END) AS candidate FROM flat WHERE metric = 'ndcg_at_10') SELECT incumbent, candidate, candidate >= incumbent - 0.005 AS promote FROM m")
+@query(f"WITH {_TWO}, m AS (SELECT max(CASE WHEN config = 'dense' THEN value END) AS incumbent, max(CASE WHEN config = 'dense_filtered' THEN value END) AS candidate FROM flat WHERE metric = 'ndcg_at_10') SELECT incumbent, candidate, candidate >= incumbent - 0.005 AS promote FROM m")
 def migration_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return gate.migration(_runs(spark, d), "dense", "dense_filtered")
+    return gate.migration(_runs(spark, d, ["dense", "dense_filtered"]), "dense", "dense_filtered")
 
 
 _FHITS30 = _ranked("fhits30", COVERS, 30)
@@ -318,10 +377,8 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
     return v.select(F.col("vec_id").alias("id"), F.round(F.sqrt(dense.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))
 
 
-@query(f"WITH {VQ}, {FILTERED}, {_LEX.replace('lex AS', 'lex AS')}, fl AS (SELECT l.* FROM lex l JOIN vq q USING (query_id) JOIN vec v ON v.vec_id = l.vec_id WHERE q.version BETWEEN v.version_low AND v.version_high), un AS (SELECT query_id, vec_id, score, stage, CAST(row_number() OVER (PARTITION BY query_id ORDER BY stage = 'bm25', rank) AS INTEGER) AS rank FROM (SELECT *, 'dense' AS stage FROM fhits UNION ALL SELECT *, 'bm25' FROM fl l WHERE NOT EXISTS (SELECT 1 FROM fhits h WHERE h.query_id = l.query_id AND h.vec_id = l.vec_id))), {_RERANKED} SELECT query_id, vec_id, score, rank, 'rerank' AS stage FROM rr WHERE rank <= 20")
+@query(f"WITH {VQ}, {FILTERED}, {_lexical_sql('fl', COVERS)}, {_union_sql('un', 'fhits', 'fl')}, {_RERANKED} SELECT query_id, vec_id, score, rank, 'rerank' AS stage FROM rr WHERE rank <= 20")
 def pipeline_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """The last row of the ladder with stand-ins for learned parts."""
-    versions = vector_queries(spark, d).select("query_id", "version")
-    covered = ranges.range_join(versions, vectors(spark, d).select("vec_id", "version_low", "version_high"), []).select("query_id", "vec_id")
     config = retrieval.Config("hybrid_reranked", use_bm25=True, version_filter=True, rerank=True, recall_k=K)
-    return retrieval.Pipeline(config, lambda k, f: _dense(spark, d, f, k), lambda k, f: _stub_lexical(spark, d, k).join(covered, ["query_id", "vec_id"], "left_semi"), _stub_scorer).hits()
+    return _pipeline(spark, d, config).hits()

@@ -128,7 +128,7 @@ def test_bm25_fills_up_with_zeros(spark):
     asks = spark.createDataFrame([(1, "alpha"), (2, "")], "item_id long, text string")
     t = fn.terms(F.col("text"))
     s = bm25.scores(asks, docs, "item_id", t, "doc_id", t)
-    got = bm25.padded_top_k(s, asks, docs, "item_id", "doc_id", 3).orderBy("item_id", "rank").collect()
+    got = bm25.top_k(s, asks, docs, "item_id", "doc_id", 3).orderBy("item_id", "rank").collect()
     assert [(r.item_id, r.doc_id) for r in got] == [(1, 7), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
 
 
