@@ -3,7 +3,11 @@
 ingest TREE OUT     passages and facts of a tree of Markdown by version (version=<minor>/...)
 stats OUT           statistics of ingested passages
 query NAME FOLDER   a registered query over a folder of tables
-gate BASELINE RUN   regressions of RUN against BASELINE (Parquet or JSON tables of config, metric, value); exit code 1 if any
+gate BASELINE RUN   regressions of RUN against BASELINE (tables of config, metric, value, degraded); exit code 1 if any; a BASELINE
+                    that isn't there yet is written from RUN
+dataset OUT         questions about changed sections of ingested passages, as OUT/examples
+gold SPECS OUT      questions of a YAML file bound to ingested passages, as OUT/gold; exit code 1 if any can't be bound
+report FOLDER       Markdown of the results under FOLDER
 """
 
 from __future__ import annotations
@@ -14,16 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import from_environment
-from .operators import chunking, corpus, facts, gate
+from .functions import text as fn
+from .functions import versions as vs
+from .operators import chunking, corpus, examples, facts, gate, metrics
+from .sources import files
 from .sources.files import read_tree
 
 
 def ingest(spark: SparkSession, tree: str, out: str) -> None:
     """Writes OUT/chunks and OUT/facts; facts come from the newest version's files that have any."""
     s = from_environment()
-    files = read_tree(spark, tree).filter(F.col("version").between(s.version_low, s.version_high))
-    chunking.corpus(files, chunking.Sizes(s.target_chars, s.most_chars, s.least_chars)).write.mode("overwrite").parquet(f"{out}/chunks")
-    guides = files.filter(F.col("raw").rlike("(?m)^####\\s") & F.col("raw").contains("no longer")).withColumnRenamed("raw", "markdown")
+    found = read_tree(spark, tree).filter(F.col("version").between(s.version_low, s.version_high))
+    chunking.corpus(found, chunking.Sizes(s.target_chars, s.most_chars, s.least_chars)).write.mode("overwrite").parquet(f"{out}/chunks")
+    guides = found.filter(F.col("raw").rlike("(?m)^####\\s") & F.col("raw").contains("no longer")).withColumnRenamed("raw", "markdown")
     facts.facts(facts.newest(guides)).write.mode("overwrite").parquet(f"{out}/facts")
 
 
@@ -31,14 +38,42 @@ def stats(spark: SparkSession, out: str) -> DataFrame:
     return corpus.stats(spark.read.parquet(f"{out}/chunks"), "family_id", "doc_path")
 
 
+def dataset(spark: SparkSession, out: str) -> int:
+    passages = spark.read.parquet(f"{out}/chunks").withColumnRenamed("family_id", "family")
+    made = examples.changed(passages.withColumn("topic", fn.topic(F.col("heading_path"))), from_environment().seed)
+    return files.write_examples(examples.assembled([made], from_environment().seed), f"{out}/examples")
+
+
+def gold(spark: SparkSession, specs: str, out: str) -> DataFrame:
+    """Writes OUT/gold and returns what couldn't be bound."""
+    asked = files.read_gold(spark, specs).withColumn("want_version", vs.parse(F.col("version"))["minor"]).drop("version")
+    passages = spark.read.parquet(f"{out}/chunks").withColumnRenamed("family_id", "family")
+    bound = examples.gold(asked, passages).withColumn("notes", F.lit(None).cast("string"))
+    files.write_examples(bound, f"{out}/gold")
+    return examples.unresolved(asked, passages)
+
+
+def compared(spark: SparkSession, baseline: str, run: str) -> DataFrame | None:
+    """What fails, or None where there was no baseline and the run became it."""
+    from pyspark.errors import AnalysisException
+
+    current = _table(spark, run)
+    try:
+        recorded = _table(spark, baseline)
+    except AnalysisException:
+        gate.first_baseline(current).coalesce(1).write.json(baseline)
+        return None
+    return gate.regressions(recorded.select("config", "metric", "value"), current, from_environment().tolerance)
+
+
 def _table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("config string, metric string, value double").json(path) if path.endswith(".json") else spark.read.parquet(path)
+    return spark.read.schema("config string, metric string, value double, degraded boolean").json(path) if path.endswith(".json") else spark.read.parquet(path)
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="palimpsest", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for verb, names in {"ingest": ("tree", "out"), "stats": ("out",), "query": ("name", "folder"), "gate": ("baseline", "run")}.items():
+    for verb, names in {"ingest": ("tree", "out"), "stats": ("out",), "query": ("name", "folder"), "gate": ("baseline", "run"), "dataset": ("out",), "gold": ("specs", "out"), "report": ("results",)}.items():
         sub = verbs.add_parser(verb)
         for n in names:
             sub.add_argument(n)
@@ -52,10 +87,15 @@ def main(argv: list[str] | None = None) -> int:
         from .plans import catalog, fixtures, relational, retrieval  # noqa: F401
 
         catalog.QUERIES[a.name](spark, a.folder).show(100, truncate=80)
+    elif a.verb == "dataset":
+        print(dataset(spark, a.out))
+    elif a.verb == "report":
+        print(files.results_document(spark, a.results, metrics.NAMES))
     else:
-        found = gate.regressions(_table(spark, a.baseline), _table(spark, a.run), from_environment().tolerance)
-        found.show(1000, truncate=False)
-        return int(not found.isEmpty())
+        found = gold(spark, a.specs, a.out) if a.verb == "gold" else compared(spark, a.baseline, a.run)
+        if found is not None:
+            found.show(1000, truncate=False)
+            return int(not found.isEmpty())
     return 0
 
 

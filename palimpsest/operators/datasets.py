@@ -125,6 +125,12 @@ def pairs(examples: DataFrame, family: DataFrame, retriever: DataFrame, most_fam
     return out
 
 
+def shuffled(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """(query_id, id, place): rows (query_id, id) in an order drawn by hash for each query."""
+    w = Window.partitionBy("query_id").orderBy(drawn(seed + 9, F.concat_ws("|", F.col("query_id").cast("string"), F.col("id").cast("string"))), "id")
+    return rows.select("query_id", "id", F.row_number().over(w).alias("place"))
+
+
 def random_negatives(examples: DataFrame, families: DataFrame, count: int = 2, seed: int = SEED) -> DataFrame:
     """(query_id, id, place): ``count`` passages of other families for each example, or all there are.
 

@@ -44,12 +44,16 @@ def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], version: s
     return points.join(expanded(ranges, to=version), [*keys, version])
 
 
-def overlap_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Pairs (a_<key>, b_<key>) of ranges that share a version. Either b starts inside a, or a starts inside b after b's start."""
-    left = a.select(F.col(key).alias(f"a_{key}"), F.col("version_low").alias("a_low"), F.col("version_high").alias("a_high"))
-    right = b.select(F.col(key).alias(f"b_{key}"), F.col("version_low").alias("b_low"), F.col("version_high").alias("b_high"))
-    one = expanded(left, "a_low", "a_high", "v").join(right.filter("b_low <= b_high"), F.col("v") == F.col("b_low"))
-    two = expanded(right, "b_low", "b_high", "v").join(left.filter("a_low <= a_high"), F.col("v") == F.col("a_low")).filter("a_low > b_low")
+def overlap_join(a: DataFrame, b: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
+    """Pairs (a_<key>, b_<key>) of ranges that share a version (and are equal in ``by``).
+
+    Either b starts inside a, or a starts inside b after b's start, so both halves are hash joins on (by, version).
+    """
+    by = by or []
+    left = a.select(*by, F.col(key).alias(f"a_{key}"), F.col("version_low").alias("a_low"), F.col("version_high").alias("a_high"))
+    right = b.select(*by, F.col(key).alias(f"b_{key}"), F.col("version_low").alias("b_low"), F.col("version_high").alias("b_high"))
+    one = expanded(left, "a_low", "a_high", "_v").join(right.filter("b_low <= b_high").withColumn("_v", F.col("b_low")), [*by, "_v"])
+    two = expanded(right, "b_low", "b_high", "_v").join(left.filter("a_low <= a_high").withColumn("_v", F.col("a_low")), [*by, "_v"]).filter("a_low > b_low")
     return one.select(f"a_{key}", f"b_{key}").unionByName(two.select(f"a_{key}", f"b_{key}"))
 
 

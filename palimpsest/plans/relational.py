@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..functions import versions as vs
 from ..operators import corpus, ranges
+from ..sources import files
 from .catalog import OBS, OBS1, SNAP, VEC, observations, query, settled, snapshots, table, vectors
 
 
@@ -16,10 +17,23 @@ def version_covers_filter(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).filter(vs.covers(F.col("version_low"), F.col("version_high"), F.lit(7))).select("vec_id", "family", "version_low", "version_high")
 
 
-@query(f"WITH {VEC} SELECT a.vec_id AS a_vec_id, b.vec_id AS b_vec_id FROM vec a JOIN vec b ON a.version_low <= b.version_high AND b.version_low <= a.version_high WHERE a.family = 1 AND b.family = 4")
+@query(f"WITH {SNAP} SELECT a.chunk_id AS a_chunk_id, b.chunk_id AS b_chunk_id FROM snap a JOIN snap b ON a.family = b.family AND a.chunk_id <> b.chunk_id AND a.version_low <= b.version_high + 1 AND b.version_low <= a.version_high + 1")
 def range_overlap_join(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    return ranges.overlap_join(v.filter("family = 1"), v.filter("family = 4"), "vec_id")
+    """Ranges of a family that touch or overlap: each is drawn out by a version at its end."""
+    s = snapshots(spark, d)
+    longer = s.withColumn("version_high", F.col("version_high") + 1)
+    return ranges.overlap_join(longer, longer, "chunk_id", ["family"]).filter("a_chunk_id <> b_chunk_id")
+
+
+@query("SELECT event_type AS endpoint, user_id % 3 AS status, bound, count(*) FILTER (bound IS NULL OR (event_id % 1000) / 100.0 <= bound) AS requests FROM events, (SELECT unnest([0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, NULL])::DOUBLE AS bound) GROUP BY 1, 2, 3")
+def request_histogram(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("event_type").alias("endpoint"), (F.col("user_id") % 3).alias("status"), ((F.col("event_id") % 1000) / 100.0).alias("seconds"))
+    return files.request_histogram(rows)
+
+
+@query("SELECT doc_id, round(n_chars / 7.0, 4) AS score, substr(text, 1, 240) AS text FROM documents")
+def hit_preview(spark: SparkSession, d: str) -> DataFrame:
+    return files.previewed(table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 7.0).alias("score"), "text"))
 
 
 @query(f"WITH {OBS}, g AS (SELECT *, version - row_number() OVER (PARTITION BY family, content ORDER BY version) AS g FROM obs) SELECT family, content, min(version) AS version_low, max(version) AS version_high FROM g GROUP BY family, content, g")

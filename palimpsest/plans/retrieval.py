@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import answer, bm25, datasets, dense, gate, metrics, ranges, retrieval
+from ..operators import answer, bm25, datasets, dense, examples, gate, metrics, ranges, retrieval
 from .catalog import SNAP, VEC, VQ, literal, query, snapshots, table, vector_queries, vectors
 
 K = 20
@@ -285,10 +285,13 @@ def split_by_family(spark: SparkSession, d: str) -> DataFrame:
     return datasets.split_by_family(table(spark, d, "events").select(F.col("user_id").alias("family")), "family")
 
 
-@query("SELECT user_id AS family, CAST(2 AS BIGINT) AS splits FROM events WHERE false")
+@query(f"WITH {_SPLIT}, ev AS (SELECT DISTINCT user_id AS family, event_type, s.split FROM events JOIN split s ON s.family = user_id), l AS (SELECT family, CASE WHEN event_type = 'error' AND family % 3 = 0 THEN 'test' ELSE split END AS split FROM ev) SELECT family, count(DISTINCT split) AS splits FROM l GROUP BY family HAVING count(DISTINCT split) > 1")
 def leakage_check(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks are planted: of every third family, what has an error is moved to the test split."""
     split = datasets.split_by_family(table(spark, d, "events").select(F.col("user_id").alias("family")), "family")
-    return datasets.leaks(snapshots(spark, d).join(split, "family"), "family")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("family"), "event_type").distinct().join(split, "family")
+    moved = F.when((F.col("event_type") == "error") & (F.col("family") % 3 == 0), "test").otherwise(F.col("split"))
+    return datasets.leaks(rows.withColumn("split", moved), "family")
 
 
 _CHANGED = f"""{SNAP}, many AS (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM snap), few AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY {_DRAW.format(datasets.SEED, 'chunk_id')}, chunk_id) AS k FROM many WHERE n > 1),
@@ -306,6 +309,60 @@ def changed_section_negatives(spark: SparkSession, d: str) -> DataFrame:
     return datasets.family_negatives(datasets.changed_sections(s), s)
 
 
+def _pick_sql(templates: tuple[str, ...], key: str) -> str:
+    listed = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in templates) + "]"
+    return f"{listed}[CAST('0x' || substr(sha256({key}), 1, 8) AS BIGINT) % {len(templates)} + 1]"
+
+
+_OPEN = [(1, "How does {version} schedule by moonlight?"), (2, "Which flag of {version} turns time back?"), (3, "How does {version} schedule by moonlight? ")]
+_OPEN_SQL = ", ".join(f"({i}, '{t}')" for i, t in _OPEN)
+_EXAMPLES = f"""{_CHANGED}, neg AS (SELECT chunk_id, version, string_agg(negative, ',' ORDER BY place) AS negatives FROM (SELECT c.chunk_id, c.version, s.chunk_id AS negative, row_number() OVER (PARTITION BY c.chunk_id, c.version ORDER BY s.version_low, s.chunk_id) AS place FROM ch c JOIN snap s ON s.family = c.family AND s.chunk_id <> c.chunk_id AND NOT (c.version BETWEEN s.version_low AND s.version_high)) WHERE place <= 6 GROUP BY 1, 2),
+ex AS (SELECT 0 AS part, replace(replace({_pick_sql(examples.SECTION, f"chunk_id || chr(31) || '{datasets.SEED}'")}, '{{topic}}', 'user ' || family), '{{version}}', '1.' || version) AS question, version, chunk_id AS positive_id, negatives, 'changed-section' AS source FROM ch JOIN neg USING (chunk_id, version)
+UNION ALL SELECT 1, question, version, '', '', 'unanswerable' FROM (SELECT template_id, version, replace(template, '{{version}}', '1.' || version) AS question FROM (VALUES {_OPEN_SQL}) t(template_id, template), (SELECT CAST(unnest(generate_series(24, 33)) AS INTEGER) AS version) ORDER BY substr(sha256('{datasets.SEED}|' || template_id || '|' || version), 1, 16), 1, 2 LIMIT 25)),
+one AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(question)) ORDER BY part, positive_id, version, question) AS n FROM ex)"""
+
+
+def _examples(spark: SparkSession, d: str) -> list[DataFrame]:
+    passages = snapshots(spark, d).withColumn("topic", F.concat(F.lit("user "), F.col("family").cast("string")))
+    versions = spark.range(24, 34).select(F.col("id").cast("int").alias("version"))
+    return [examples.changed(passages), examples.unanswerable(literal(spark, _OPEN, "template_id int, template string"), versions, 25)]
+
+
+@query(f"WITH {_EXAMPLES} SELECT question, version, positive_id, negatives, source FROM one WHERE n = 1")
+def assemble_examples(spark: SparkSession, d: str) -> DataFrame:
+    rows = examples.assembled(_examples(spark, d))
+    return rows.select("question", "version", "positive_id", F.array_join("negatives", ",").alias("negatives"), "source")
+
+
+@query(f"WITH {_EXAMPLES} SELECT source, count(*) AS examples FROM ex GROUP BY source")
+def example_stats(spark: SparkSession, d: str) -> DataFrame:
+    return examples.build_stats(_examples(spark, d))
+
+
+_SPECS = [(1, "q1", 2, "src1", "the", False), (2, "q2", 4, None, "de la", False), (3, "q3", 5, "src", "", False), (4, "q4", 3, "nowhere", "", False), (5, "q5", 3, None, None, True)]
+_SPECS_SQL = "s(spec_id, question, want_version, want_doc, want_text, unanswerable) AS (VALUES (1, 'q1', 2, 'src1', 'the', false), (2, 'q2', 4, '', 'de la', false), (3, 'q3', 5, 'src', '', false), (4, 'q4', 3, 'nowhere', '', false), (5, 'q5', 3, '', '', true)), d AS (SELECT doc_id, text, source, doc_id % 50 AS family, doc_id % 6 AS lo FROM documents)"
+_BOUND_SQL = "bound AS (SELECT * FROM (SELECT s.*, doc_id, family, row_number() OVER (PARTITION BY spec_id ORDER BY length(text), doc_id) AS n FROM s JOIN d ON NOT unanswerable AND want_version BETWEEN lo AND lo + 2 AND contains(source, want_doc) AND contains(text, want_text)) WHERE n = 1)"
+
+
+def _gold(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    low = F.col("doc_id") % 6
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_path"), "text", (F.col("doc_id") % 50).alias("family"), low.alias("version_low"), (low + 2).alias("version_high"))
+    return literal(spark, _SPECS, "spec_id int, question string, want_version int, want_doc string, want_text string, unanswerable boolean"), docs
+
+
+@query(f"""WITH {_SPECS_SQL}, {_BOUND_SQL}, neg AS (SELECT spec_id, id, 0 AS kind, row_number() OVER (PARTITION BY spec_id ORDER BY id) AS place FROM (SELECT b.spec_id, d.doc_id AS id FROM bound b JOIN d ON d.family = b.family AND d.doc_id <> b.doc_id AND NOT (want_version BETWEEN lo AND lo + 2))
+UNION ALL SELECT * FROM (SELECT spec_id, id, 1 AS kind, row_number() OVER (PARTITION BY spec_id ORDER BY id) AS place FROM (SELECT b.spec_id, d.doc_id AS id FROM bound b JOIN d ON want_doc <> '' AND contains(d.source, want_doc) AND d.family <> b.family)) WHERE place <= 6),
+few AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY kind, place) AS n FROM neg), lists AS (SELECT spec_id, string_agg(id, ',' ORDER BY n) AS negatives FROM few WHERE n <= 8 GROUP BY spec_id)
+SELECT question, want_version AS version, doc_id AS positive_id, coalesce(negatives, '') AS negatives, 'gold' AS source FROM bound LEFT JOIN lists USING (spec_id) UNION ALL SELECT question, want_version, NULL, '', 'gold-unanswerable' FROM s WHERE unanswerable""")
+def gold_resolve(spark: SparkSession, d: str) -> DataFrame:
+    return examples.gold(*_gold(spark, d)).select("question", "version", "positive_id", F.array_join(F.col("negatives").cast("array<string>"), ",").alias("negatives"), "source")
+
+
+@query(f"WITH {_SPECS_SQL}, {_BOUND_SQL} SELECT spec_id, 'nothing covers 1.' || want_version || ' with doc ' || chr(39) || want_doc || chr(39) || ' and text ' || chr(39) || want_text || chr(39) AS problem FROM s WHERE NOT unanswerable AND spec_id NOT IN (SELECT spec_id FROM bound)")
+def gold_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    return examples.unresolved(*_gold(spark, d))
+
+
 @query("""WITH s(spec_id, want_version, want_doc, want_text) AS (VALUES (1, 2, 'src1', 'the'), (2, 4, '', 'de la'), (3, 5, 'src', ''), (4, 3, 'nowhere', '')), d AS (SELECT doc_id, text, source, lang, doc_id % 6 AS lo FROM documents)
 SELECT spec_id, doc_id AS chunk_id, lang AS family FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY length(text), doc_id) AS n FROM s JOIN d ON want_version BETWEEN lo AND lo + 2 AND contains(source, want_doc) AND contains(text, want_text)) WHERE n = 1""")
 def gold_binding(spark: SparkSession, d: str) -> DataFrame:
@@ -327,39 +384,57 @@ def training_triplets(spark: SparkSession, d: str) -> DataFrame:
     return datasets.triplets(_questions(spark, d).select("query_id", "positive_id"), _mined(spark, d), _texts(spark, d))
 
 
-_FAMNEG = "fneg AS (SELECT * FROM (SELECT p.query_id, v.vec_id AS id, row_number() OVER (PARTITION BY p.query_id ORDER BY v.version_low, v.vec_id) AS place FROM pos p JOIN vec o ON o.vec_id = p.positive_id JOIN vec v ON v.family = o.family AND v.vec_id <> o.vec_id AND NOT (p.version BETWEEN v.version_low AND v.version_high)) WHERE place <= 4)"
-_PAIRS = "prs AS (SELECT query_id, positive_id AS id, 1 AS label, 'positive' AS kind FROM pos WHERE positive_id IS NOT NULL UNION ALL SELECT query_id, id, 0, 'family' FROM fneg UNION ALL SELECT query_id, id, 0, 'retriever' FROM mined WHERE place <= 6)"
+@query(f"WITH {VQ}, {_FHITS30}, {_POS}, {_MINED} SELECT positive_id AS id FROM pos WHERE positive_id IS NOT NULL UNION SELECT id FROM mined")
+def evaluation_documents(spark: SparkSession, d: str) -> DataFrame:
+    return datasets.evaluation_documents(_questions(spark, d).filter("positive_id is not null"), _mined(spark, d))
+
+
+_D = datasets.SEED
+
+
+def _far(i: int) -> str:
+    return f"CAST('0x' || substr({_DRAW.format(_D + 2 + i, 'query_id')}, 1, 15) AS BIGINT)"
+
+
+_PLACES = " UNION ALL ".join(f"SELECT query_id, st, size, {i} AS i, rest * {i} // 2 AS lo, rest * {i + 1} // 2 AS hi, {_far(i)} AS far FROM own" for i in range(2))
+_RANDOM = f"""fams AS (SELECT family, count(*) AS size, substr({_DRAW.format(_D, 'family')}, 1, 3) AS b FROM vec GROUP BY family), starts AS (SELECT family, size, CAST(sum(size) OVER (ORDER BY b, family) - size AS BIGINT) AS st FROM fams),
+numbered AS (SELECT vec_id AS id, s.st + row_number() OVER (PARTITION BY family ORDER BY {_DRAW.format(_D + 1, 'vec_id')}, vec_id) - 1 AS spot FROM vec JOIN starts s USING (family)),
+own AS (SELECT query_id, st, size, (SELECT count(*) FROM vec) - size AS rest FROM vq JOIN starts USING (family)), parts AS ({_PLACES}),
+drawn AS (SELECT query_id, i, lo + far % (hi - lo) + CASE WHEN lo + far % (hi - lo) >= st THEN size ELSE 0 END AS spot FROM parts WHERE hi > lo),
+rnd AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY i) AS INTEGER) AS place FROM drawn JOIN numbered USING (spot))"""
+
+
+@query(f"WITH {VQ}, {_RANDOM} SELECT * FROM rnd")
+def random_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Hash-drawn passages of other families."""
+    return datasets.random_negatives(vector_queries(spark, d).select("query_id", "family"), _families(spark, d))
+
+
+_FAMNEG = f"""fneg AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_DRAW.format(_D + 9, "query_id || '|' || id")}, id) AS INTEGER) AS place FROM (
+SELECT p.query_id, v.vec_id AS id, row_number() OVER (PARTITION BY p.query_id ORDER BY v.version_low, v.vec_id) AS place FROM pos p JOIN vec o ON o.vec_id = p.positive_id JOIN vec v ON v.family = o.family AND v.vec_id <> o.vec_id AND NOT (p.version BETWEEN v.version_low AND v.version_high)) WHERE place <= 6)"""
+_PAIRS = "prs AS (SELECT query_id, positive_id AS id, 1 AS label, 'positive' AS kind FROM pos WHERE positive_id IS NOT NULL UNION ALL SELECT query_id, id, 0, 'family' FROM fneg WHERE place <= 4 UNION ALL SELECT query_id, id, 0, 'retriever' FROM mined WHERE place <= 6 UNION ALL SELECT r.query_id, r.id, 0, 'random' FROM rnd r JOIN pos p USING (query_id) WHERE p.positive_id IS NOT NULL AND place <= 2)"
+_ALL_PAIRS = f"{VQ}, {_FHITS30}, {_POS}, {_MINED}, {_FAMNEG}, {_RANDOM}, {_PAIRS}"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    q = _questions(spark, d).filter("positive_id is not null")
+    q = _evaluable(spark, d)
     v = vectors(spark, d).withColumnRenamed("vec_id", "chunk_id")
     asks = q.select(F.col("positive_id").alias("chunk_id"), "family", "version").distinct()
     own = datasets.family_negatives(asks, v).join(q.select("query_id", F.col("positive_id").alias("chunk_id"), "version"), ["chunk_id", "version"])
-    return datasets.pairs(q, own.select("query_id", F.col("negative").alias("id"), "place"), _mined(spark, d))
+    family = datasets.shuffled(own.select("query_id", F.col("negative").alias("id")))
+    return datasets.pairs(q, family, _mined(spark, d), random=datasets.random_negatives(q.select("query_id", "family"), _families(spark, d)))
 
 
-@query(f"WITH {VQ}, {_FHITS30}, {_POS}, {_MINED}, {_FAMNEG}, {_PAIRS} SELECT * FROM prs")
+@query(f"WITH {_ALL_PAIRS} SELECT * FROM prs")
 def training_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)
 
 
-@query(f"WITH {VQ}, {_FHITS30}, {_POS}, {_MINED}, {_FAMNEG}, {_PAIRS}, c AS (SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM prs) SELECT *, greatest(CAST(1 AS DOUBLE), CAST(negatives AS DOUBLE) / positives) AS pos_weight FROM c")
+@query(f"WITH {_ALL_PAIRS}, c AS (SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM prs) SELECT *, greatest(CAST(1 AS DOUBLE), CAST(negatives AS DOUBLE) / positives) AS pos_weight FROM c")
 def pair_weights(spark: SparkSession, d: str) -> DataFrame:
     return datasets.pair_weights(_pairs(spark, d))
 
 
-@query(f"WITH {VQ}, {_FHITS30}, {_POS}, {_MINED} SELECT positive_id AS id FROM pos WHERE positive_id IS NOT NULL UNION SELECT id FROM mined")
-def evaluation_documents(spark: SparkSession, d: str) -> DataFrame:
-    return datasets.evaluation_documents(_questions(spark, d).filter("positive_id is not null"), _mined(spark, d))
-
-
-@query()
-def random_negatives(spark: SparkSession, d: str) -> DataFrame:
-    """Hash-drawn passages of other families; held to its properties in tests."""
-    return datasets.random_negatives(vector_queries(spark, d).select("query_id", "family"), _families(spark, d))
-
-
 @query(f"WITH {VQ}, {FILTERED}, b AS (SELECT q.query_id, max(score) AS best FROM vq q LEFT JOIN fhits h USING (query_id) GROUP BY 1) SELECT query_id, best, CASE WHEN best IS NULL THEN 'no_results' WHEN best < 0.9999 THEN 'low_confidence' ELSE 'answered' END AS decision FROM b")
 def refusal_decision(spark: SparkSession, d: str) -> DataFrame:
     return answer.decision(vector_queries(spark, d), _dense(spark, d, True), "query_id", 0.9999)

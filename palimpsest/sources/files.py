@@ -46,6 +46,50 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({"hard_negative_ids": F.coalesce("hard_negative_ids", none), "retriever_negative_ids": F.coalesce("retriever_negative_ids", none), "source": F.coalesce("source", F.lit("generated")), "unanswerable": F.coalesce("unanswerable", F.lit(False))})
 
 
+def write_chunks(passages: DataFrame, path: str) -> int:
+    """Passages in corpus order as JSON lines that read_chunks() reads; returns their number."""
+    from ..operators.chunking import ordered
+
+    label = lambda c: F.concat(F.coalesce(F.col("version_major").cast("string"), F.lit("1")), F.lit("."), F.col(c).cast("string")).alias(c)
+    rows = passages if "version_major" in passages.columns else passages.withColumn("version_major", F.lit(1))
+    return write_jsonl(ordered(rows).select("doc_path", "heading_path", "part", "text", label("version_low"), label("version_high")), path)
+
+
+def write_examples(examples: DataFrame, path: str) -> int:
+    """Examples (question, version, positive_id, negatives, family, source, unanswerable, notes) as lines that read_examples() reads."""
+    rows = examples.select("question", F.concat(F.lit("1."), F.col("version").cast("string")).alias("target_version"), F.col("positive_id").alias("positive_chunk_id"), F.col("negatives").alias("hard_negative_ids"), F.array().cast("array<string>").alias("retriever_negative_ids"), F.col("family").alias("family_id"), "source", "unanswerable", "notes")
+    return write_jsonl(rows, path)
+
+
+RESULT = "config string, source string, metric string, value double, degraded boolean"
+
+
+def write_results(results: DataFrame, folder: str, split: str) -> None:
+    """A run's metrics (config, source, metric, value, degraded) as one JSON-lines file a split, next to those of other splits."""
+    names = [f.split()[0] for f in RESULT.split(", ")]
+    rows = results if "degraded" in results.columns else results.withColumn("degraded", F.lit(False))
+    rows.select(*names).coalesce(1).write.mode("overwrite").json(f"{folder}/split={split}")  # a few rows a configuration
+
+
+def read_results(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_results() wrote, of all splits, with ``split``."""
+    return spark.read.schema(RESULT + ", split string").json(folder)
+
+
+def results_document(spark: SparkSession, folder: str, names: list[str]) -> str:
+    """Markdown: a table of all configurations for each split, and each configuration by source; made anew from the files."""
+    from ..operators import metrics
+
+    wide = read_results(spark, folder).groupBy("split", "source", "config").pivot("metric", names).agg(F.first("value")).orderBy("split", "source", "config").toPandas()  # as few rows as a report has
+    parts = []
+    for split, rows in wide.groupby("split"):
+        whole = rows[rows["source"] == "all"].to_dict("records")
+        parts.append(f"## {split}\n\n" + metrics.markdown(whole, names))
+        for config, own in rows[rows["source"] != "all"].groupby("config"):
+            parts.append(f"### {config}\n\n" + metrics.markdown([{**r, "config": r["source"]} for r in own.to_dict("records")], names))
+    return "\n\n".join(parts) + "\n"
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(doc_path, version, raw) of the Markdown files under ``root``/version=<minor>/..., files that aren't UTF-8 left out.
 
@@ -114,15 +158,45 @@ class Collection:
         except AnalysisException:
             return False
 
-    def search(self, version: int | None = None, doc_prefix: str | None = None) -> DataFrame:
-        """Rows that cover a version, of documents with a path prefix; both reach the scan."""
+    def nearest(self, queries: DataFrame, limit: int, filtered: bool = True) -> DataFrame:
+        """(query_id, vec_id, score, rank): the ``limit`` nearest rows (with vec_id and embedding) to each query."""
+        from ..operators import dense
+
+        return dense.top_k(queries, self.rows(), limit, filtered)
+
+    def search(self, version: int | None = None, doc_prefix: str | None = None, major: int = 1) -> DataFrame:
+        """Rows that cover a version, of documents with a path prefix; all bounds reach the scan. Rows without a major are of major 1."""
         rows = self.rows()
+        if "version_major" in rows.columns:
+            rows = rows.filter(F.col("version_major") == major)
+        elif major != 1:
+            rows = rows.filter(F.lit(False))
         if version is not None:
             rows = rows.filter((F.col("version_low") <= version) & (F.col("version_high") >= version))
         return rows.filter(F.col("doc_path").startswith(doc_prefix)) if doc_prefix else rows
 
 
-def validated_batches(requests: DataFrame, most_chars: int = 20_000) -> DataFrame:
-    """Texts to embed; an empty or over-long text or an unknown kind ends the query."""
+def validated_batches(requests: DataFrame, most_chars: int = 20_000, most_texts: int = 256) -> DataFrame:
+    """Texts to embed (request_id, kind, text); an empty or over-long text, an unknown kind or a request of too many texts ends the query."""
     good = F.length("text").between(1, most_chars) & F.col("kind").isin("query", "passage")
-    return requests.withColumn("text", F.when(good, F.col("text")).otherwise(F.raise_error(F.lit("text or kind out of bounds")).cast("string")))
+    if "request_id" in requests.columns:
+        sizes = requests.groupBy("request_id").agg(F.count("*").alias("_texts"))  # tasks count first, so a large request is a row a task
+        requests = requests.join(sizes, "request_id")
+        good = good & (F.col("_texts") <= most_texts)
+    checked = F.when(good, F.col("text")).otherwise(F.raise_error(F.lit("text, kind or number of texts out of bounds")).cast("string"))
+    return requests.withColumn("text", checked).drop("_texts")
+
+
+def previewed(hits: DataFrame, chars: int = 240) -> DataFrame:
+    """Hits as they are shown: scores at four digits, the first ``chars`` code points of the text."""
+    return hits.withColumns({"score": F.round("score", 4), "text": F.substring("text", 1, chars)})
+
+
+BOUNDS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+
+
+def request_histogram(requests: DataFrame) -> DataFrame:
+    """(endpoint, status, bound, requests): how many requests (endpoint, status, seconds) took at most each bound; a null bound counts all."""
+    bounds = F.array(*(F.lit(float(b)) for b in BOUNDS), F.lit(None).cast("double"))
+    rows = requests.select("endpoint", "status", "seconds").withColumn("bound", F.explode(bounds))
+    return rows.groupBy("endpoint", "status", "bound").agg(F.count_if(F.col("bound").isNull() | (F.col("seconds") <= F.col("bound"))).alias("requests"))

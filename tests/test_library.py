@@ -211,3 +211,58 @@ def test_sections_skip_headings_in_blocks():
 def test_normalized_text(spark):
     raw = "  a \r\n\r\n\r\n\r\nb<!-- c\nd --> {{< note >}}e{{< /note >}}\t\n\n\nf  "
     assert spark.createDataFrame([(raw,)], "r string").select(fn.normalized(F.col("r"))).first()[0] == "a\n\nb e\n\nf"
+
+
+def test_removal_examples_have_questions_and_negatives(spark):
+    from palimpsest.operators import examples
+
+    facts = spark.createDataFrame([("f", "g/v1b", ["Flow"], 31), ("n", "h/v1", ["Other"], 31)], "fact_id string, api string, resources array<string>, removed int")
+    rows = [("a", 0, "F1", "g/v1b of Flow is gone", 31, 33), ("b", 1, "F2", "Flow has g/v2", 31, 33), ("c", 2, "F1", "old text", 29, 30), ("d", 3, "F3", "h/v1 of Other", 31, 33)]
+    passages = spark.createDataFrame(rows, "chunk_id string, seq int, family string, text string, version_low int, version_high int")
+    versions = spark.createDataFrame([(v,) for v in range(29, 34)], "version int")
+    every, edge = examples.removals(facts, passages, passages, versions)
+    got = {r.version: r for r in every.collect()}
+    assert set(got) == {31, 32, 33} and all(r.positive_id == "a" and r.negatives == ["c", "b"] and "g/v1b" in r.question for r in got.values())
+    assert [(r.version, r.negatives, r.source) for r in edge.collect()] == [(31, ["b"], "deprecation-boundary")]
+    both = examples.assembled([every, edge, every])
+    assert both.count() == 4 and {r.source: r.examples for r in examples.build_stats([every, edge, every]).collect()} == {"deprecation": 6, "deprecation-boundary": 1}
+
+
+def test_results_are_written_and_read_again(spark, tmp_path):
+    rows = spark.createDataFrame([(c, s, m, v) for c, v in (("x", 0.5), ("y", 0.75)) for s in ("all", "a") for m in ("p", "q")], "config string, source string, metric string, value double")
+    files.write_results(rows, str(tmp_path), "test")
+    files.write_results(rows.filter("config = 'x'"), str(tmp_path), "dev")
+    assert files.read_results(spark, str(tmp_path)).count() == 12
+    text = files.results_document(spark, str(tmp_path), ["p", "q"])
+    assert "## test" in text and "| y | **0.750** | **0.750** |" in text and "### x" in text
+
+
+def test_passages_survive_a_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("b.md", ["T"], 0, "x", 30, 31), ("a.md", ["T"], 1, "y", 29, 29)], "doc_path string, heading_path array<string>, part int, text string, version_low int, version_high int").withColumn("chunk_id", F.lit("c"))
+    assert files.write_chunks(rows, f"{tmp_path}/c") == 2
+    assert {(r.doc_path, r.part, r.version_low, r.version_high) for r in files.read_chunks(spark, f"{tmp_path}/c").collect()} == {("b.md", 0, 30, 31), ("a.md", 1, 29, 29)}
+
+
+def test_degraded_runs_fail_the_gate(spark):
+    from palimpsest.operators import gate
+
+    base = spark.createDataFrame([("a", "m", 0.5)], "config string, metric string, value double")
+    run = spark.createDataFrame([("a", "m", 0.5, False), ("b", "m", 0.9, True)], "config string, metric string, value double, degraded boolean")
+    assert [(r.config, r.reason) for r in gate.regressions(base, run).collect()] == [("b", "degraded")]
+    assert gate.regressions(base, run, allow_degraded=True).isEmpty() and [r.config for r in gate.first_baseline(run).collect()] == ["a"]
+    assert retrieval.resolved_model("tuned", {"base": "x"}, "x") == ("x", True) and retrieval.resolved_model("base", {"base": "x"}, "x") == ("x", False)
+
+
+def test_unanswerable_questions_do_not_count(spark):
+    q = spark.createDataFrame([(1, 10, False), (2, 11, False), (3, 10, True), (4, None, None)], "query_id long, positive_id long, unanswerable boolean")
+    p = spark.createDataFrame([(10,)], "id long")
+    assert [r.query_id for r in metrics.evaluable(q, p, "id").collect()] == [1]
+    assert tuple(metrics.skipped(q, p, "id").first()) == (4, 1, 2)
+
+
+def test_dense_search_skips_odd_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], 1, 9), (2, None, 1, 9), (3, [1.0], 1, 9), (4, [1.0, None], 1, 9), (5, [1.0, 0.0], 1, 9), (6, [0.5, 0.0], 3, 4)], "vec_id long, embedding array<double>, version_low int, version_high int")
+    q = spark.createDataFrame([(1, [1.0, 0.0], 3), (2, [2.0], None), (3, None, 3)], "query_id long, embedding array<double>, version int")
+    assert {tuple(r) for r in dense.top_k(q, v, 2, True).collect()} == {(1, 1, 1.0, 1), (1, 5, 1.0, 2)}
+    assert {tuple(r) for r in dense.top_k(q, v, 3, False).collect()} == {(1, 1, 1.0, 1), (1, 5, 1.0, 2), (1, 6, 0.5, 3), (2, 3, 2.0, 1)}
+    assert dense.top_k(q.limit(0), v, 2, True).count() == 0
