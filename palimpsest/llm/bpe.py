@@ -10,7 +10,8 @@ space, if any) and white space. A single space between two non-spaces always sta
 first and each distinct chunk is encoded once per worker and remembered.
 
 Null texts count as empty; empty texts have no ids and decode to the empty text. Any length of text works: memory grows with
-the chunks of one text and a bounded cache. The string of a special token inside a text yields its id, as in the library.
+the chunks of one text and a bounded cache. The string of a special token inside a text yields its id, as in the library. Bytes that
+aren't UTF-8 become U+FFFD. Repeated rows are encoded each; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -57,13 +57,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, a temporary one on a single machine, an error on a cluster."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = sc._jsc.sc().getCheckpointDir()
         where = held.get() if held.isDefined() else None
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         sc.setCheckpointDir(where)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():

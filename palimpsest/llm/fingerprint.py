@@ -5,7 +5,9 @@ by union, and the share of one sketch found in another estimates containment how
 
 A fingerprint is text: 8 hex digits that stand for the whole word sequence, then 8 for each kept hash, ascending. Likeness is the
 share of the smaller sketch that the larger holds; if either is empty (very short texts), it is 1 for equal fingerprints, else 0.
-Words are lower-cased (A-Z). Null texts count as empty; texts under five words have one shingle, empty ones none.
+Words are lower-cased (A-Z). Null texts count as empty; texts under five words have one shingle, empty ones none. Of rows with equal ids
+the texts' order decides which is next; repeated rows get equal fingerprints. Other columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ is what the kept n-grams of a context leave, so each distribution sums to 1 but
 no kept n-grams, and contexts with them none either. The counts of the most frequent words, ``NEAR`` at most, go to the executors (12 bytes
 each); those of rarer words come by a join, so counts are exact and nothing that is sent around grows with the corpus.
 
-Null texts count as empty: one end token. With nothing to learn from, every probability is 1. Repeated rows are scored each.
+Null texts count as empty: one end token. With nothing to learn from, every probability is 1. Repeated rows are scored each. Other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -131,12 +132,12 @@ def ngram_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
 
 
 def _least(counts: DataFrame, most: int) -> tuple[int, int, int]:
-    """The least count that no more than ``most`` rows reach, and how many rows have the counts 1 and 2."""
-    top = 1 << 20
-    spread = counts.groupBy(F.least("c", F.lit(top)).alias("c")).agg(F.count("*").alias("n")).toArrow().sort_by("c")  # a row a distinct count
+    """A count that no more than ``most`` rows reach, the least but for rounding to seven bits above 127, and how many rows have the counts 1 and 2."""
+    coarse = F.expr("shiftleft(shiftright(c, greatest(length(bin(c)) - 7, 0)), greatest(length(bin(c)) - 7, 0))")
+    spread = counts.groupBy(coarse.alias("c")).agg(F.count("*").alias("n")).toArrow().sort_by("c")  # 127 and 64 a power of two
     c, n = np.asarray(spread.column("c")), np.asarray(spread.column("n"))
     reach = np.cumsum(n[::-1])[::-1]
-    return int(min(c[reach <= most], default=top + 1)), int(n[c == 1].sum()), int(n[c == 2].sum())
+    return int(min(c[reach <= most], default=1 << 62)), int(n[c == 1].sum()), int(n[c == 2].sum())
 
 
 def _kept(counts: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray, float]:

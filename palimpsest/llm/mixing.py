@@ -11,7 +11,8 @@ and start from the buckets' prefix sums, so no source is one task. What is then
 falling size, one for each power of two. Only DataFrame functions are used.
 
 Sources go by code point with null last and weigh ``WEIGHTS`` in turn. Null and empty texts have size 0, rate 1 and take nothing.
-Repeated rows are rows of their own. A source of size 0 has target 0. An empty table gives an empty result.
+Repeated rows are rows of their own. A source of size 0 has target 0. An empty table gives an empty result. Columns other than doc_id,
+source and text are ignored, whatever their names (``mixed`` hands them on).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, written
+from .common import joined_to_groups, shared_dir, written
 
 MOST, WEIGHTS = 3.0, (1, 2, 3)
 #: Rows that a bucket of the rounding holds on average at most; parts of a whole copy.
@@ -94,7 +95,8 @@ def with_copies(rows: DataFrame) -> DataFrame:
     rate = F.least(F.lit(MOST), F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate))
     step = F.when(F.col("size") > 0, F.floor(4 * F.log2(F.col("size").cast("double")))).otherwise(F.lit(-1)).cast("int")
     classes = histogram.withColumn("step", step).groupBy("key", "step").agg(F.ceil(F.sum("count") / BUCKET_ROWS).cast("int").alias("salts"))
-    rated = rows.join(solved, "key").withColumns({"rate": rate, "step": step}).join(classes, ["key", "step"])
+    groups = written(classes.join(solved, "key"), "mix-groups")  # a row a source and step of sizes
+    rated = joined_to_groups(rows.withColumn("step", step), groups, ["key", "step"]).withColumn("rate", rate)
     rated = rated.withColumns({"salt": F.pmod(F.xxhash64("doc_id", "size"), "salts").cast("int"), "whole": F.floor("rate").cast("long")})
     rated = rated.withColumn("part", F.round((F.col("rate") - F.col("whole")) * PARTS).cast("long"))
     rated = rated.select("rid", "doc_id", "key", "size", "source_size", "target", "step", "salt", "whole", "part")

@@ -1,16 +1,20 @@
 """SimHash near-duplicates through an index of positional bytes with count filtering.
 
 A 64-bit fingerprint is eight bytes, each with its place. Two fingerprints that differ in at most d bits agree in at least
-8 - d of them. By count filtering, pairs with that many common (place, byte) entries must share l = 4 of the entries at the
-first 8 - (8 - d) + l places, so the index holds each distinct fingerprint under the combinations of four of those places.
-Pairs that meet there are tallied over all eight places, kept if they reach 8 - d matches, and verified by bit count.
-
-Fingerprints that fall into an index entry with more than ``DENSE`` others (large groups of near copies) take an exact way that
-never emits the pairs of a group: two fingerprints are within two bits if and only if some value lies within one bit of both.
-Each is listed under itself and its 64 one-bit neighbours; at most 65 distinct fingerprints can meet there, all of them linked.
-
-Equal texts are folded into one fingerprint before any of this. Null and empty texts have fingerprint zero and are linked
-like any other; null ids stay in the result, and the least non-null id names a group. Extra columns are ignored.
+8 - d of them, the guaranteed minimum. Lists of single (place, byte) entries would hold a 256th of all fingerprints, so by prefix
+filtering the index lists each distinct fingerprint under the combinations of l = 4 of its first d + l places, one of which any
+such pair shares. For each pair the places of all entries it meets in are put together and tallied, its last places are added, and
+pairs that reach 8 - d matches are verified by bit count.
+
+An entry with more than ``DENSE`` fingerprints (large groups of near copies) would have too many pairs. Its fingerprints take an
+exact way that never emits the pairs of a group: two fingerprints are within two bits if and only if some value lies within one
+bit of both. Each is listed under itself and its 64 one-bit neighbours; at most 65 distinct fingerprints can meet there, all of
+them linked. Both ways find the same links; the bound decides cost, not results.
+
+Equal texts are folded into one fingerprint before any of this, and fingerprints that more than a thousandth of the rows have get
+their group by broadcast, so that copies aren't one task. Null and empty texts have fingerprint zero and are linked like any other;
+null ids stay in the result, and the least non-null id names a group. Other columns, whatever their names, are ignored (deduplicated()
+hands them on). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from .graph import connected_components
 BITS = 2
 #: An index entry with more members than this takes the exact way for dense groups.
 DENSE = 8
+#: A fingerprint that more than one in HOT rows has is joined by broadcast.
+HOT = 1000
 #: Common entries that an index key holds.
 KEY_BYTES = 4
 
@@ -75,13 +81,16 @@ def links(nodes: DataFrame) -> DataFrame:
     entries = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))
     index = nodes.select("fp", F.explode(entries).alias("e")).select("fp", "e.c", "e.key")
     sizes = written(index.groupBy("c", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "simhash-entries")
-    pairs = sizes.filter("n = 2").select("a", "b")
+    masks = [sum(1 << p for p in c) for c in combinations(range(places), KEY_BYTES)]
+    shared = F.element_at(F.array(*(F.lit(m) for m in masks)), F.col("c").cast("int") + 1)  # the places an entry stands for
+    pairs = sizes.filter("n = 2").select("a", "b", shared.alias("places"))
     met = index.join(sizes.filter("n > 2").select("c", "key", "n"), ["c", "key"])
     few = met.filter(F.col("n") <= DENSE).groupBy("c", "key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
     each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(DENSE)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = pairs.unionByName(few.select(F.explode(each).alias("p")).select("p.*")).distinct()
-    tally = sum((F.when(_byte(F.col("a"), i) == _byte(F.col("b"), i), 1).otherwise(0) for i in range(8)), F.lit(0))
-    pairs = pairs.filter(tally >= need).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
+    pairs = pairs.unionByName(few.select(shared.alias("places"), F.explode(each).alias("p")).select("p.*", "places"))
+    tallied = pairs.groupBy("a", "b").agg(F.bit_count(F.bit_or("places")).alias("matches"))
+    rest = sum((F.when(_byte(F.col("a"), i) == _byte(F.col("b"), i), 1).otherwise(0) for i in range(places, 8)), F.lit(0))
+    pairs = tallied.filter(F.col("matches") + rest >= need).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
     dense = met.filter(F.col("n") > DENSE).select("fp").distinct()
     flips = [0, *(1 << i for i in range(63)), -(1 << 63)]
     ball = dense.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(m)) for m in flips))).alias("mid"))
@@ -102,8 +111,13 @@ def grouped(docs: DataFrame, k: int = 3) -> DataFrame:
     rows = written(fingerprints(docs, k), "simhash")
     of_fp = _named(rows)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of_fp, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_fp.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    sizes = rows.groupBy("fp").agg(F.count("*").alias("n"))
+    named = written(of_fp.join(least, "root").join(sizes, "fp").select("fp", "component_id", "n"), "simhash-named")
+    most = (named.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = F.broadcast(named.filter(F.col("n") > most).select("fp", "component_id"))  # fewer than HOT
+    cold = rows.join(hot.select("fp"), "fp", "left_anti").join(named.filter(F.col("n") <= most).select("fp", "component_id"), "fp")
+    out = rows.join(hot, "fp").unionByName(cold)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _row_key(df: DataFrame) -> DataFrame:
@@ -112,7 +126,8 @@ def _row_key(df: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 3) -> DataFrame:
-    """docs with one row of each group: the least id (none after all others), of rows with that id the first by a hash of the text.
+    """docs with one row of each group: the least id (none after all others), of rows with that id the first by a hash of the text,
+    of rows equal in both the first by a hash of all columns.
 
     Groups are found on fingerprints; the texts are moved once, to meet the keys of the rows that stay, by a join that is dealt by
     key at every size.
@@ -135,5 +150,6 @@ def deduplicated(docs: DataFrame, k: int = 3) -> DataFrame:
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), "doc_id", "text")
     own = _row_key(own).select("_row", "_id", "_th").join(kept.hint("shuffle_hash"), ["_id", "_th"], "left_semi")
     if not repeated.isEmpty():
-        own = own.groupBy("_id", "_th").agg(F.first("_row").alias("_row"))
+        text = F.to_json("_row")
+        own = own.groupBy("_id", "_th").agg(F.min_by("_row", F.struct(F.xxhash64(text), text)).alias("_row"))
     return own.select("_row.*")

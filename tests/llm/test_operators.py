@@ -206,7 +206,7 @@ def brute_fences(rows):
         if len(key) == 2:
             mid, low = drawn(key, m)
             way = quality.WIDTH * (mid - low + 2 * quality.ACCURACY * mid)
-            out[key, m] = mid + way, mid - way
+            out[key, m] = mid + way, mid - way, mid
     return out
 
 
@@ -228,8 +228,8 @@ def test_quality_fences_differ_and_equal_brute_force(spark):
             continue
         inside = True
         for m, (a, b, p) in quality.MEASURES.items():
-            v, (most, least) = (c[a] + p) / (c[b] + p), fences[(lang, source), m]
-            close = 0.02 * (1 + 2 * quality.WIDTH) * most  # the sketch's error at both quantiles
+            v, (most, least, mid) = (c[a] + p) / (c[b] + p), fences[(lang, source), m]
+            close = quality.ACCURACY * (1.2 + 2 * quality.WIDTH) * mid  # the sketch's error at both quantiles
             if abs(v - most) < close or (not p and abs(v - least) < close):
                 near.add(d)
             inside &= bool((p and c[a] == 0) or (v <= most and (p or v >= least)))
@@ -616,3 +616,79 @@ def test_bootstrap_equals_brute_force_and_needs_rounds(spark):
 def test_redaction_counts_characters_anew(spark):
     rows = [(1, "mail x@y.zz now", "en", "s", 15), (2, "no data", "en", "s", 99)]
     assert by_row(pii.redacted(spark.createDataFrame(rows, SCHEMA)), "doc_id", "text", "n_chars") == Counter([(1, "mail [EMAIL] now", 16), (2, "no data", 99)])
+
+
+def test_least_count_never_lets_more_through(spark):
+    r = random.Random(4)
+    for rows in ([(1 << 21) + i for i in range(10)], [r.randrange(1, 400) for _ in range(300)], [5] * 8, []):
+        df = spark.createDataFrame([(c,) for c in rows], "c long")
+        for most in (3, 100):
+            least, ones, twos = lm._least(df, most)
+            assert sum(c >= least for c in rows) <= most and (ones, twos) == (rows.count(1), rows.count(2))
+    assert lm._least(spark.createDataFrame([(c,) for c in range(1, 121)], "c long"), 20)[0] == 101
+
+
+def test_groups_are_joined_alike_near_and_far(spark, monkeypatch):
+    from palimpsest.llm import common
+
+    rows = spark.createDataFrame([(i, (None, "a", "b", "z")[i % 4]) for i in range(50)], "i long, k string")
+    groups = spark.createDataFrame([(None, 0), ("a", 1), ("b", 2)], "k string, v int")
+    near = by_row(common.joined_to_groups(rows, groups, ["k"]), "i", "k", "v")
+    monkeypatch.setattr(common, "NEAR_GROUPS", 1)
+    assert by_row(common.joined_to_groups(rows, groups, ["k"]), "i", "k", "v") == near and sum(near.values()) == 50
+
+
+def brute_rates(sizes, target):
+    """The tilted rates of one source by bisection on the dual."""
+    mean = sum(sizes) / len(sizes)
+    rate = lambda lam: [min(3.0, np.exp(min(lam * s / mean, 2))) for s in sizes]
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(r * s for r, s in zip(rate(mid), sizes)) < target else (low, mid)
+    return rate((low + high) / 2)
+
+
+def test_mixing_rates_equal_brute_force(spark):
+    r = random.Random(2)
+    rows = [(i, "x " * r.choice((3, 9, 27, 81, 243)), None, "ab"[i % 3 == 0], 0) for i in range(3000)]
+    got = {g.doc_id: g for g in mixing.balanced(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for source in "ab":
+        own = [g for d, g in got.items() if rows[d][3] == source]
+        rates = brute_rates([g.size for g in own], own[0].target)
+        for size in (3, 9, 27, 81, 243):
+            here = [(g.copies, x) for g, x in zip(own, rates) if g.size == size]
+            assert abs(sum(c for c, _ in here) - sum(x for _, x in here)) <= 2.5, (source, size)  # rounding and the last documents
+            assert all(int(x) <= c + 1 and c - 2 <= x for c, x in here)
+
+
+def brute_sketch(text):
+    import xxhash
+
+    odd, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def mixed(h):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> shift)) * factor & mask
+        return h ^ (h >> 31)
+
+    words = [xxhash.xxh3_64_intdigest(w) for w in (text or "").encode().lower().split()]
+    out = []
+    for i in range(max(1, len(words) - 4) if words else 0):
+        h = 0
+        for w in words[i : i + 5]:
+            h = (h * odd + w) & mask
+        out.append(mixed(h))
+    return {h >> 31 for h in out if h < 1 << 62}, out
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rows = [(r[0], r[1]) for r in odd_rows() if r[0] is not None and r[0] < 100]
+    got = {g.doc_id: g for g in fingerprint.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {d: brute_sketch(t)[0] for d, t in rows}
+    for i, (d, t) in enumerate(rows):
+        following = rows[(i + 1) % len(rows)][0]
+        assert set(fingerprint.read_in(got[d].fingerprint)[1].tolist()) == kept[d]
+        a, b = kept[d], kept[following]
+        if a and b:
+            assert abs(got[d].near_next - len(a & b) / min(len(a), len(b))) < 1e-12
