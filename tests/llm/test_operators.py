@@ -216,10 +216,10 @@ def test_quality_fences_differ_and_equal_brute_force(spark):
     text = lambda signs: "\n".join(" ".join(word() + "#" * (r.random() < signs) for _ in range(r.randrange(5, 20))) for _ in range(r.randrange(3, 30)))
     rows = [(i, text((0.0, 0.6)[i % 2]), ("en", "fr", None)[i % 3], ("plain", "signs")[i % 2], 1) for i in range(1200)]
     probe = text(0.55)
-    rows += [(1000, probe, "en", "plain", 1), (1001, probe, "en", "signs", 1), (1002, probe, None, "new", 1), (1003, "x " * 40, "en", "plain", 1)]
+    rows += [(5000, probe, "en", "plain", 1), (5001, probe, "en", "signs", 1), (5002, probe, None, "new", 1), (5003, "x " * 40, "en", "plain", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {g.doc_id: g for g in quality.judged(docs).collect()}
-    assert not got[1000].kept and got[1001].kept and got[1003].base_failed  # one text, two sources, two verdicts
+    assert not got[5000].kept and got[5001].kept and got[5003].base_failed  # one text, two sources, two verdicts
     fences, near = brute_fences(rows), set()
     for d, t, lang, source, _ in rows:
         c = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"), quality.measure(t.encode())))
@@ -692,3 +692,64 @@ def test_fingerprints_equal_brute_force(spark):
         a, b = kept[d], kept[following]
         if a and b:
             assert abs(got[d].near_next - len(a & b) / min(len(a), len(b))) < 1e-12
+
+
+# the pipeline
+
+
+@pytest.fixture(scope="module")
+def pipeline():
+    return pytest.importorskip("corpus_pipeline")
+
+
+def folder(spark, tmp_path, docs, labels):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, pipeline):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    where = folder(spark, tmp_path, docs, [(i, 1, i % 2) for i in range(40)] + [(3, None, None)])
+    now = spark.read.parquet(f"{where}/documents.parquet")
+    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "pii", "mixing", "bpe"]
+    for name, stage in pipeline.STAGES:
+        before, now = now, stage(spark, now, where)
+        if name != "bpe":
+            assert now.columns == before.columns, name
+        if name == "toxicity":  # what the operator predicts toxic goes, all else stays
+            bad = toxicity.predicted(docs, spark.read.parquet(f"{where}/labels.parquet")).filter("predicted = 1").collect()
+            assert Counter(r.doc_id for r in before.collect()) - Counter(r.doc_id for r in now.collect()) == Counter(r.doc_id for r in bad)
+        elif name == "simhash_near_dedup":
+            values = {r.doc_id: brute_simhash(r.text) for r in before.collect() if r.doc_id is not None and r.doc_id != 105}
+            roots = brute_roots(set(values.values()))
+            kept = [r.doc_id for r in now.collect() if r.doc_id in values]
+            assert len({roots[values[d]] for d in kept}) == len(kept)
+        elif name == "pii":
+            spans = {g.doc_id for g in pii.found_in(before).filter("spans <> ''").collect()}
+            old = {r.doc_id: r.text for r in before.collect()}
+            assert all((r.text != old[r.doc_id]) == (r.doc_id in spans) and r.n_chars in (None, len(r.text or ""), 1, 0, 4, 9) for r in now.collect())
+        elif name == "mixing":
+            took = {g.doc_id: g.copies for g in mixing.balanced(before).collect()}
+            assert Counter(r.doc_id for r in now.collect()) == Counter({d: n for d, n in took.items() if n})
+        else:
+            from tokenizers import Tokenizer
+
+            t = Tokenizer.from_file(bpe.default_vocabulary())
+            want = Counter((r.doc_id, tuple(t.encode(r.text or "", add_special_tokens=False).ids)) for r in before.collect())
+            assert Counter((r.doc_id, tuple(r.ids)) for r in now.collect()) == want
+        now = pipeline.written(now, f"test-{name}")
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path, pipeline):
+    where = folder(spark, tmp_path, spark.createDataFrame([], SCHEMA), [])
+    assert pipeline.run(spark, where).count() == 0
+
+
+def test_pipeline_drops_toxic_and_copies(spark, data, pipeline):
+    got = pipeline.run(spark, data)
+    assert got.columns == ["doc_id", "lang", "source", "ids", "n_tokens"]
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    fp = {r.doc_id: r.component_id for r in simhash.grouped(docs).collect()}
+    kept = {r.doc_id for r in got.select("doc_id").distinct().collect()}
+    assert kept and len({fp[d] for d in kept}) == len(kept)
