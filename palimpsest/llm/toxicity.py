@@ -31,6 +31,8 @@ from .common import Cached, fold, raw_texts
 SAMPLE, LEAST, FACTORS, BUCKETS = 5000, 3, 6, 1 << 18
 #: Steps of the fit: how many, how many at first with all buckets, and how often all buckets are looked at after them.
 STEPS, FIRST, AGAIN, RATE, THRESHOLD = 45, 6, 12, 0.1, 4e-3
+#: Entries of the sample that a step of the fit works on at once.
+ENTRIES = 1 << 18
 SIGNS = b".,;:!?\"'`|*#%&$()[]{}<>=+-_~"
 
 
@@ -65,33 +67,48 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(s, -30, 30))))
 
 
+def _blocks(starts: np.ndarray, total: int) -> list[tuple[int, int]]:
+    """Runs of groups, which start at ``starts``, with about ENTRIES entries each: what is held at once stays small."""
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, total, ENTRIES)))
+    return list(zip(cuts, [*cuts[1:], len(starts)]))
+
+
 class _Entries:
     """The entries (row, column, value) of some columns, in both orders. Each of the columns has an entry."""
 
     def __init__(self, n: int, row: np.ndarray, col: np.ndarray, x: np.ndarray, columns: np.ndarray):
-        number = np.full(int(col.max(initial=0)) + 1, -1)
-        number[columns] = np.arange(len(columns))
-        use = number[col] >= 0
-        row, self.col, self.x = row[use], number[col[use]], x[use][:, None]
-        self.n, (self.rows, self.row_at) = n, np.unique(row, return_index=True)
-        order = np.argsort(self.col, kind="stable")
+        if len(columns) == int(col.max(initial=-1)) + 1:  # all of them: no copies
+            self.col, self.x = col, x
+        else:
+            number = np.full(int(col.max(initial=0)) + 1, -1, np.int32)
+            number[columns] = np.arange(len(columns), dtype=np.int32)
+            use = number[col] >= 0
+            row, self.col, self.x = row[use], number[col[use]], x[use]
+        self.n, self.row_at = n, np.flatnonzero(np.diff(row, prepend=-1))  # rows ascend
+        self.rows = row[self.row_at]
+        order = np.argsort(self.col, kind="stable").astype(np.int32)
         self.by_row, self.by_x = row[order], self.x[order]
         self.col_at = np.searchsorted(self.col[order], np.arange(len(columns)))
+        self.row_blocks, self.col_blocks = _blocks(self.row_at, len(row)), _blocks(self.col_at, len(row))
 
     def gradient(self, bias: float, theta: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray]:
         """Of the mean log loss by the bias and by theta (weight, then factors), which is zero outside these columns."""
         sums, squares = np.zeros((self.n, theta.shape[1]), np.float32), np.zeros(self.n, np.float32)
-        if len(self.rows):
-            part = theta[self.col] * self.x
-            sums[self.rows] = np.add.reduceat(part, self.row_at)
-            squares[self.rows] = np.add.reduceat((part[:, 1:] ** 2).sum(axis=1), self.row_at)
+        ends = np.append(self.row_at, len(self.col))
+        for a, b in self.row_blocks:
+            here = slice(ends[a], ends[b])
+            part = theta[self.col[here]] * self.x[here, None]
+            sums[self.rows[a:b]] = np.add.reduceat(part, self.row_at[a:b] - ends[a])
+            squares[self.rows[a:b]] = np.add.reduceat((part[:, 1:] ** 2).sum(axis=1), self.row_at[a:b] - ends[a])
         z = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)
         g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / self.n).astype(np.float32)
-        if not len(theta):
-            return float(g.sum()), theta
         sums[:, 0] = 1
-        out = np.add.reduceat((sums * g[:, None])[self.by_row] * self.by_x, self.col_at)
-        out[:, 1:] -= theta[:, 1:] * np.add.reduceat(g[self.by_row] * self.by_x[:, 0] ** 2, self.col_at)[:, None]
+        lead, out, ends = sums * g[:, None], np.zeros_like(theta), np.append(self.col_at, len(self.col))
+        for a, b in self.col_blocks:
+            here, at = slice(ends[a], ends[b]), self.col_at[a:b] - ends[a]
+            row, x = self.by_row[here], self.by_x[here]
+            out[a:b] = np.add.reduceat(lead[row] * x[:, None], at)
+            out[a:b, 1:] -= theta[a:b, 1:] * np.add.reduceat(g[row] * x * x, at)[:, None]
         return float(g.sum()), out
 
 
@@ -101,11 +118,14 @@ def fit(size: np.ndarray, flat: np.ndarray, values: np.ndarray, labels: np.ndarr
     if n == 0 or n_pos in (0, n):
         share = n_pos / n if n else 0.0
         return Machine(np.zeros(0, np.int64), float(np.clip(np.log(max(share, 1e-12) / max(1 - share, 1e-12)), -30, 30)), np.zeros(0), np.zeros((0, FACTORS)))
-    kept = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= LEAST)
-    place = np.full(BUCKETS, -1)
+    rows_of = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(flat), ENTRIES):
+        rows_of += np.bincount(flat[i : i + ENTRIES], minlength=BUCKETS)
+    kept = np.flatnonzero(rows_of >= LEAST)
+    place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     use = place[flat] >= 0
-    entry = np.repeat(np.arange(n), size)[use], place[flat[use]], values[use].astype(np.float32)
+    entry = np.repeat(np.arange(n, dtype=np.int32), size)[use], place[flat[use]].astype(np.int32), values[use].astype(np.float32)
     every = _Entries(n, *entry, np.arange(len(kept)))
     theta = np.zeros((len(kept), 1 + FACTORS), np.float32)
     theta[:, 1:] = np.random.default_rng(7).normal(0, 0.05, (len(kept), FACTORS))
@@ -130,8 +150,11 @@ def fit(size: np.ndarray, flat: np.ndarray, values: np.ndarray, labels: np.ndarr
         now[:, 1:] *= np.maximum(1 - pace[:, 1:].mean(axis=1) * threshold / np.maximum(length, 1e-9), 0)[:, None]
         theta[at] = now
         if full and step >= FIRST:
-            live = np.flatnonzero(theta.any(axis=1))
-            some = _Entries(n, *entry, live)
+            live, some = np.flatnonzero(theta.any(axis=1)), None
+            if 2 * len(live) < len(kept):
+                some = _Entries(n, *entry, live)
+            else:  # hardly less work, and as much memory again
+                live, some = np.arange(len(kept)), every
     live = np.flatnonzero(theta.any(axis=1))
     return Machine(kept[live], bias, theta[live, 0].astype(float), theta[live, 1:].astype(float))
 
@@ -155,8 +178,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> Machine:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most SAMPLE rows
     got = texts.mapInArrow(run, "doc_id long, toxic int, terms array<int>, x array<float>").toArrow().sort_by("doc_id").combine_chunks()
     terms, values = got.column("terms").combine_chunks(), got.column("x").combine_chunks()
-    size = np.asarray(terms.value_lengths()).astype(np.int64)
-    return fit(size, np.asarray(terms.flatten()), np.asarray(values.flatten()), (np.asarray(got.column("toxic")) > 0).astype(float))
+    size, labels_ = np.asarray(terms.value_lengths()).astype(np.int64), (np.asarray(got.column("toxic")) > 0).astype(float)
+    flat, x = np.asarray(terms.flatten()), np.asarray(values.flatten())
+    del got, terms, values
+    return fit(size, flat, x, labels_)
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
