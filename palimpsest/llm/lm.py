@@ -7,9 +7,9 @@ occurs at least twice in training, so it grows with the corpus:
 P(w | u v) = max(c(uvw) - D, 0) / c(uv) + left(uv) P(w | v), and likewise down to P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). D is DISCOUNT
 for n-grams that the trie holds, and left() is what they leave of a context, so each distribution sums to 1 but for quantisation.
 
-Texts are read in groups. A group sends its distinct n-grams, each with its count in training texts, to shards and keeps its texts as
-numbers. A shard (TOKENS training tokens on average, so there are more of them as the corpus grows) adds the counts up, builds its own
-trie, asks it for each distinct n-gram it was sent, and answers each group; the group puts the answers in the places of its tokens.
+Texts are read in groups. A group sends its distinct n-grams, each with its count in training texts, to shards, and its texts as numbers to
+one of them, which hands them on. A shard (TOKENS training tokens on average, so there are more of them as the corpus grows) adds the counts up, builds its own
+trie, asks it for the n-grams that occur twice (it holds no others), and answers each group; the group puts the answers in the places of its tokens.
 The most frequent words, NEAR at most, have their counts sent to all tasks. Their bigrams are dealt by both words, so no word is
 one task; bigrams that begin with another word are dealt by that word, and its shard counts it as well. Trigrams follow their
 first two words.
@@ -144,8 +144,8 @@ def unpacked(blob: bytes, kinds: str) -> list[np.ndarray]:
     return out
 
 
-#: What a group sends a shard (bigrams: both words, count; trigrams: bigram's place, word, count; other words, count), what comes back
-#: (bigrams: probability, what their trigrams leave; trigrams: probability; words: count, what their bigrams leave), and what a group keeps.
+#: What a group sends a shard (bigrams: both words, count; trigrams: bigram's place, word, count; other words, count; first words and
+#: places as steps), what comes back (bigrams: probability, what their trigrams leave; trigrams: probability; words: count, what their bigrams leave), and what a group keeps.
 ASKED, ANSWERED, KEPT = "i8 i8 i8 i4 i8 i8 i8 i8", "u2 u2 u2 i8 u2", "i8 u1 i8 i8 i4"
 
 
@@ -156,6 +156,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _numbered(codes: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, ascending, and the place of each code among them; codes up to ``near`` need no sort."""
+    small = codes <= near
+    there = np.zeros(near + 1, bool)
+    there[codes[small]] = True
+    first = np.flatnonzero(there)
+    rest, of_rest = np.unique(codes[~small], return_inverse=True)
+    at = np.empty(len(codes), np.int64)
+    at[small] = (np.cumsum(there) - 1)[codes[small]]
+    at[~small] = len(first) + of_rest
+    return np.concatenate([first, rest]), at
+
+
 class Grams:
     """Distinct n-grams of a group's texts and the shard of each; ``codes`` ascend, ``at`` are their places for each token and mark."""
 
@@ -189,10 +202,12 @@ class Grams:
 def answered(blobs: list[bytes], near: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """A shard's work: the answers to the groups' blobs, and for near words (the last of ``near`` is the start mark) what the bigrams here take of their counts."""
     asked = [unpacked(b, ASKED) for b in blobs]
+    for a in asked:
+        a[0], a[3] = np.cumsum(a[0]), np.cumsum(a[3])
     ends = [np.cumsum([0, *(len(a[i]) for a in asked)]) for i in (0, 4, 6)]
     u, v, n2, parent, w, n3, rare, n1 = (np.concatenate(x) for x in zip(*(a[:3] + [a[3] + at] + a[4:] for a, at in zip(asked, ends[0]))))
     del asked
-    words, at = np.unique(np.concatenate([u, v, w, rare]), return_inverse=True)
+    words, at = _numbered(np.concatenate([u, v, w, rare]), len(near) - 1)
     u, v, w, rare = np.split(at, np.cumsum([len(u), len(v), len(w)]))
     size = max(1, len(words))
     two, of2 = np.unique(u * size + v, return_inverse=True)
@@ -215,15 +230,11 @@ def answered(blobs: list[bytes], near: np.ndarray) -> tuple[list[bytes], np.ndar
     arrays["three.p"] = trie.quantised(p3)
     whole = trie.mapped(arrays)
     level2, level3 = trie.Level(whole, "two"), trie.Level(whole, "three")
-    found = level2.find(two // size, two % size)
-    hit = found >= 0
-    p2, left2 = np.zeros(len(two), np.uint16), np.full(len(two), trie.LEVELS + 1, np.uint16)
-    p2[hit], left2[hit] = level2.p[found[hit]], level2.left[found[hit]]
-    context = found[three // size]
-    ask = np.flatnonzero(context >= 0)
-    leaf = level3.find(context[ask], three[ask] % size)
-    p3 = np.zeros(len(three), np.uint16)
-    p3[ask[leaf >= 0]] = level3.p[leaf[leaf >= 0]]
+    p2, left2, p3 = np.zeros(len(two), np.uint16), np.full(len(two), trie.LEVELS + 1, np.uint16), np.zeros(len(three), np.uint16)
+    found = np.full(len(two), -1)
+    found[kept] = level2.find(two[kept] // size, two[kept] % size)
+    p2[kept], left2[kept] = level2.p[found[kept]], level2.left[found[kept]]
+    p3[kept3] = level3.p[level3.find(found[three[kept3] // size], three[kept3] % size)]
     left1 = trie.quantised(np.maximum(1 - taken / np.maximum(c1, 1), 1e-9))
     p2, left2, p3, count, left1 = p2[of2], left2[of2], p3[of3], c1[rare], left1[rare]
     cut = lambda k, i, *xs: [x[ends[i][k] : ends[i][k + 1]] for x in xs]
@@ -261,7 +272,7 @@ def scored(docs: DataFrame) -> DataFrame:
             size = np.array([len(s) + 1 for s in slots])
             of_word = np.where(words.at >= 0, numbers[words.at] if mark else 0, RARE | (words.h & (RARE - 1)))
             flat = np.concatenate([x for s in slots for x in (np.array([-1]), s)])
-            codes, at = np.unique(np.where(flat < 0, mark, of_word[flat]), return_inverse=True)
+            codes, at = _numbered(np.where(flat < 0, mark, of_word[flat]), mark)
             held = np.concatenate([np.asarray(b.column("held_out")) for b in group])
             learn = np.repeat(~held, size).astype(np.float64)
             ids = pa.concat_arrays([b.column("doc_id").cast(pa.int64()) for b in group])
@@ -270,22 +281,28 @@ def scored(docs: DataFrame) -> DataFrame:
             n2 = np.bincount(g.of2, learn[g.second], len(g.u)).astype(np.int64)
             n3 = np.bincount(g.of3, learn[g.third], len(g.w)).astype(np.int64)
             state = packed(np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()).astype(np.uint8) + 2 * held.astype(np.uint8), size, codes, at.astype(np.int32))
-            rows = [(-1, state)]
+            gid = task << 32 | i
+            rows = [(-1 - gid % shards, state)]
             for s, (a, b, r) in g.parts():
                 two, three, rare = g.order[0][a], g.order[1][b], g.rare[g.order[2][r]]
                 under = (g.place[g.parent[three]] - a.start).astype(np.int32)
-                rows.append((s, packed(codes[g.u[two]], codes[g.v[two]], n2[two], under, codes[g.w[three]], n3[three], codes[rare], n1[rare])))
+                rows.append((s, packed(np.diff(codes[g.u[two]], prepend=0), codes[g.v[two]], n2[two], np.diff(under, prepend=np.int32(0)), codes[g.w[three]], n3[three], codes[rare], n1[rare])))
             for k in range(0, len(rows), 256):
                 part = rows[k : k + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | i] * len(part), pa.int64()), pa.array([s for s, _ in part], pa.int32()), pa.array([x for _, x in part], pa.binary())], names=["gid", "shard", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([gid] * len(part), pa.int64()), pa.array([s for s, _ in part], pa.int32()), pa.array([x for _, x in part], pa.binary())], names=["gid", "shard", "body"])
 
     def answer(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         of: dict[int, list] = {}
         for b in batches:
+            texts = b.filter(pc.less(b.column("shard"), 0))
+            n = texts.num_rows
+            yield pa.RecordBatch.from_arrays([texts.column("gid"), texts.column("shard"), texts.column("body"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())], names=["gid", "shard", "body", "word", "taken"])
             for gid, s, body in zip(*(b.column(x).to_pylist() for x in ("gid", "shard", "body"))):
-                of.setdefault(s, []).append((gid, body))
+                if s >= 0:
+                    of.setdefault(s, []).append((gid, body))
         for s, rows in of.items():  # one shard a task
             got, word, taken = answered([body for _, body in rows], sent.value[2])
             for k in range(0, len(got), 256):
@@ -295,8 +312,8 @@ def scored(docs: DataFrame) -> DataFrame:
                 n = len(word[k : k + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(word[k : k + n]), pa.array(taken[k : k + n])], names=["gid", "shard", "body", "word", "taken"])
 
-    emitted = written(docs.mapInArrow(ask, "gid long, shard int, body binary"), "lm-asked")
-    answers = written(emitted.filter("shard >= 0").repartitionById(shards, "shard").mapInArrow(answer, "gid long, shard int, body binary, word long, taken double"), "lm-answers")
+    asked = docs.mapInArrow(ask, "gid long, shard int, body binary").repartitionById(shards, F.expr("if(shard < 0, -1 - shard, shard)"))
+    answers = written(asked.mapInArrow(answer, "gid long, shard int, body binary, word long, taken double"), "lm-answers")
     took = answers.filter("word is not null").groupBy("word").agg(F.sum("taken").alias("taken")).toArrow()  # near words only
     left = np.ones(len(near))
     word = np.asarray(took.column("word"))
@@ -346,7 +363,6 @@ def scored(docs: DataFrame) -> DataFrame:
         if state is not None:
             yield out(state, parts)
 
-    both = emitted.filter("shard < 0").unionByName(answers.filter("gid is not null").select("gid", "shard", "body"))
-    dealt = both.repartition(shards, "gid").sortWithinPartitions("gid", "shard")
+    dealt = answers.filter("gid is not null").select("gid", "shard", "body").repartition(shards, "gid").sortWithinPartitions("gid", "shard")
     out = dealt.mapInArrow(combine, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
