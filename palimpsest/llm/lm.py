@@ -38,7 +38,7 @@ NEAR = 1_000_000
 #: Taken from the count of each n-gram that the trie holds.
 DISCOUNT = 0.75
 #: Training tokens a shard holds, on average.
-TOKENS = 2_500_000
+TOKENS = 1_000_000
 #: Numbers of the other words start here; near ones are numbered by falling count, and the start mark comes after them.
 RARE = 1 << 62
 END = b"\n"  # no word holds it
