@@ -32,7 +32,7 @@ SAMPLE, LEAST, FACTORS, BUCKETS = 5000, 3, 6, 1 << 18
 #: Steps of the fit: how many, how many at first with all buckets, and how often all buckets are looked at after them.
 STEPS, FIRST, AGAIN, RATE, THRESHOLD = 45, 6, 12, 0.1, 4e-3
 #: Entries of the sample that a step of the fit works on at once.
-ENTRIES = 1 << 18
+ENTRIES = 1 << 16
 SIGNS = b".,;:!?\"'`|*#%&$()[]{}<>=+-_~"
 
 
@@ -86,9 +86,17 @@ class _Entries:
             row, self.col, self.x = row[use], number[col[use]], x[use]
         self.n, self.row_at = n, np.flatnonzero(np.diff(row, prepend=-1))  # rows ascend
         self.rows = row[self.row_at]
-        order = np.argsort(self.col, kind="stable").astype(np.int32)
-        self.by_row, self.by_x = row[order], self.x[order]
-        self.col_at = np.searchsorted(self.col[order], np.arange(len(columns)))
+        ends = np.cumsum(np.bincount(self.col, minlength=len(columns)))
+        self.col_at = np.concatenate([[0], ends])[: len(columns)]
+        self.by_row, self.by_x = np.empty_like(row), np.empty_like(self.x)
+        for a, b in _blocks(self.col_at, len(row)):  # in order of columns, some of them at a time
+            if a == b:
+                continue
+            last = b - 1
+            here = np.flatnonzero((self.col >= a) & (self.col <= last))
+            here = here[np.argsort(self.col[here], kind="stable")]
+            at = slice(self.col_at[a], ends[last])
+            self.by_row[at], self.by_x[at] = row[here], self.x[here]
         self.row_blocks, self.col_blocks = _blocks(self.row_at, len(row)), _blocks(self.col_at, len(row))
 
     def gradient(self, bias: float, theta: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray]:
@@ -124,8 +132,11 @@ def fit(size: np.ndarray, flat: np.ndarray, values: np.ndarray, labels: np.ndarr
     kept = np.flatnonzero(rows_of >= LEAST)
     place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    use = place[flat] >= 0
-    entry = np.repeat(np.arange(n, dtype=np.int32), size)[use], place[flat[use]].astype(np.int32), values[use].astype(np.float32)
+    col = place[flat]
+    del flat  # the caller holds no other: what is kept of them is enough
+    use = col >= 0
+    entry = np.repeat(np.arange(n, dtype=np.int32), size)[use], col[use], values[use].astype(np.float32)
+    del col, use, values
     every = _Entries(n, *entry, np.arange(len(kept)))
     theta = np.zeros((len(kept), 1 + FACTORS), np.float32)
     theta[:, 1:] = np.random.default_rng(7).normal(0, 0.05, (len(kept), FACTORS))
@@ -161,6 +172,8 @@ def fit(size: np.ndarray, flat: np.ndarray, values: np.ndarray, labels: np.ndarr
 
 def trained(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine learned from at most SAMPLE labelled rows of docs whose fold of 5 is not 0."""
+    import pyarrow as pa
+
     known = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id"), 5) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -179,9 +192,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> Machine:
     got = texts.mapInArrow(run, "doc_id long, toxic int, terms array<int>, x array<float>").toArrow().sort_by("doc_id").combine_chunks()
     terms, values = got.column("terms").combine_chunks(), got.column("x").combine_chunks()
     size, labels_ = np.asarray(terms.value_lengths()).astype(np.int64), (np.asarray(got.column("toxic")) > 0).astype(float)
-    flat, x = np.asarray(terms.flatten()), np.asarray(values.flatten())
+    columns = [np.asarray(terms.flatten()), np.asarray(values.flatten())]
     del got, terms, values
-    return fit(size, flat, x, labels_)
+    pa.default_memory_pool().release_unused()
+    return fit(size, columns.pop(0), columns.pop(), labels_)
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
