@@ -108,16 +108,14 @@ def transformed(docs: DataFrame, rate: int = RATE, suffix_first: int = SUFFIX_FI
     added = {f.name for f in ADDED}
     own = [f for f in docs.schema.fields if f.name.lower() not in added]
     kept = [f.name for f in own]
-    key = "_key"
-    while key in docs.columns:
-        key = f"_{key}"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            cuts = [cut(t, k, rate, suffix_first) for t, k in zip(texts, batch.column(key).to_pylist())]
+            *held, keys = batch.columns
+            texts = texts_of(held[kept.index("text")])
+            cuts = [cut(t, k, rate, suffix_first) for t, k in zip(texts, keys.to_pylist())]
             plain = [c.form == PLAIN for c in cuts]
             columns = [
                 pa.array([c.n for c in cuts], pa.int64()),
@@ -126,9 +124,10 @@ def transformed(docs: DataFrame, rate: int = RATE, suffix_first: int = SUFFIX_FI
                 pa.array([None if p else len(c.middle) for c, p in zip(cuts, plain)], pa.int64()),
                 pa.array([c.output(t) for c, t in zip(cuts, texts)], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *ADDED.names])
+            yield pa.RecordBatch.from_arrays([*held, *columns], names=[*kept, *ADDED.names])
 
-    keyed = docs.select(*(F.col(f"`{c}`") for c in kept), F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(key))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), key.alias("key"))  # names with dots can't be handed on
     return keyed.mapInArrow(run, T.StructType([*own, *ADDED.fields]))
 
 
