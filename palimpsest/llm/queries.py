@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, fingerprint, infill, langid, lm, mixing, phrases, pii, quality, simhash, toxicity
+from . import bitplane, bpe, fingerprint, infill, langid, lm, mixing, phrases, pii, quality, setsketch, simhash, toxicity
 from .common import documents
 
 
@@ -58,6 +58,10 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(documents(spark, sf_dir))
 
 
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.grouped(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,8 +69,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_quality, op5_simhash, op6_language, op7_bitplane, op8_lm, op9_bpe, op10_pii, op11_phrases, op12_infill, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_quality, op5_simhash, op6_language, op7_bitplane, op8_lm, op9_bpe, op10_pii, op11_phrases, op12_infill, op13_setsketch, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_phrases": phrases.SQL, "op12_infill": infill.SQL}
+    return {"op11_phrases": phrases.SQL, "op12_infill": infill.SQL, "op13_setsketch": setsketch.SQL}
