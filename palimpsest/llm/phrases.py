@@ -24,7 +24,7 @@ columns are ignored, whatever their names. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import itemgetter
 
@@ -33,48 +33,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Cached, numbers, raw_texts, written
+from .common import raw_texts, written
 
 #: Words of the longest phrase; occurrences that a candidate needs; phrases of a language in the result.
 WORDS, LEAST, TOP = 4, 30, 2000
 #: A phrase goes if one that holds it occurs so many hundredths as often.
 HELD = 80
 #: Candidates of an automaton, about (its nodes take some 60 bytes a letter).
-PART = 60_000
+PART = 80_000
 #: Bytes of stretches that a task scans, about; cells of a shard of the sketch; the fewest and the most cells, as powers of two.
 SCAN_BYTES, SHARD_CELLS, FEWEST_CELLS, MOST_CELLS = 32 << 20, 20, 20, 29
 #: Runs that a task gathers before it counts them; blobs of a shard that one task adds up.
 GATHERED, BLOBS = 3_000_000, 2048
+#: Phrases that a task gathers before it hands them on; phrases of a row; bytes of text that are looked at together, about.
+HANDED, ROW_PHRASES, CHUNK = 400_000, 5_000, 1 << 20
 _BREAKS = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = [np.ones(1, np.uint64)]
 
 
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each piece that has any."""
-    for piece in text.lower().translate(_BREAKS).split(b"\n"):
-        words = piece.split()
-        if words:
-            yield words
+def _powers(n: int, odd: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    """odd**0 .. odd**(n - 1) modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            _POWERS[0] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, odd, np.uint64)]), dtype=np.uint64)
+    return _POWERS[0][:n]
+
+
+def _inverse(odd: np.ndarray) -> np.ndarray:
+    """x with x * odd = 1 modulo 2**64."""
+    x = odd.copy()
+    for _ in range(5):
+        x *= np.uint64(2) - odd * x
+    return x
+
+
+def chunks(texts: list[bytes]) -> Iterator[bytes]:
+    """The texts lower-cased, breaks as line ends and tabs as spaces, in chunks that end at breaks."""
+    joined = b"\n".join(texts).lower().translate(_BREAKS)
+    at = 0
+    while at < len(joined):
+        end = joined.find(b"\n", at + CHUNK) if at + CHUNK < len(joined) else -1
+        end = len(joined) if end < 0 else end + 1
+        yield joined[at:end]
+        at = end
 
 
 class Runs:
-    """Texts of one language as words with their hashes and pieces, and the hashes of their runs."""
+    """A chunk's words, with single spaces between those of a piece, and the hashes of their runs."""
 
-    def __init__(self, lang: str, texts: list[bytes], hash_of: Cached):
+    def __init__(self, lang: str, chunk: bytes):
         import xxhash
 
-        self.words: list[bytes] = []
-        lengths = []
-        for t in texts:
-            for words in pieces(t):
-                self.words += words
-                lengths.append(len(words))
-        n = len(self.words)
-        self.h = numbers(hash_of, self.words, np.uint64)
-        self.end = np.repeat(np.cumsum(lengths, dtype=np.int64), lengths) if lengths else np.zeros(0, np.int64)
-        self.left = self.end - np.arange(n)  # words from here to the end of the piece
+        raw = np.frombuffer(b"\n" + chunk + b"\n", np.uint8)
+        gap = (raw == 32) | (raw == 10)
+        keep = ~gap
+        keep[0] = True
+        keep[1:] |= gap[1:] & ~gap[:-1] | (raw[1:] == 10)
+        raw = raw[keep]
+        gap = (raw == 32) | (raw == 10)
+        self.text = raw.tobytes()
+        self.start = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+        self.stop = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+        n = len(self.start)
+        piece = np.cumsum(raw == 10)[self.start] if n else np.zeros(0, np.int64)
+        edges = np.flatnonzero(np.concatenate([piece[1:] != piece[:-1], [True]])) + 1 if n else np.zeros(0, np.int64)
+        self.left = np.repeat(edges, np.diff(edges, prepend=0)) - np.arange(n)  # words from here to the end of the piece
+        with np.errstate(over="ignore"):
+            pw = _powers(len(raw) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * pw[:-1], dtype=np.uint64)])
+            h = (sums[self.stop] - sums[self.start]) * _inverse(pw[self.start])
+            h = (h ^ (h >> np.uint64(32))) * _ODD
+            self.h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         self.seed = np.uint64(xxhash.xxh64_intdigest(lang.encode(), 7))
 
+    def part(self, parts: int) -> np.ndarray:
+        """The part of the phrases that start at each word."""
+        return ((self.h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
     def hashes(self, most: int) -> list[np.ndarray]:
         """For 1 to ``most`` words: the hash of the run from each place on, whether or not it leaves the piece."""
         out, acc, n = [], np.full(len(self.h), self.seed), len(self.h)
@@ -102,17 +138,14 @@ class Runs:
         return out
 
 
-def _by_lang(batch) -> dict[str, list[bytes]]:
-    out: dict[str, list[bytes]] = {}
+def _runs(batch) -> Iterator[tuple[str, Runs]]:
+    """The chunks of a batch, each of one language."""
+    by_lang: dict[str, list[bytes]] = {}
     for lang, text in zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text"))):
-        out.setdefault(lang, []).append(text)
-    return out
-
-
-def _hash_cache() -> Cached:
-    import xxhash
-
-    return Cached(lambda w: xxhash.xxh64_intdigest(w, 42))
+        by_lang.setdefault(lang, []).append(text)
+    for lang, some in by_lang.items():
+        for chunk in chunks(some):
+            yield lang, Runs(lang, chunk)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -131,6 +164,11 @@ def _packed(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
 
+def _gaps(places: np.ndarray) -> bytes:
+    """Ascending places of a shard as gaps, their low bytes first."""
+    return _packed(np.diff(places.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T[: SHARD_CELLS + 7 >> 3])
+
+
 def _unpacked(blob: bytes, kind) -> np.ndarray:
     import zstandard
 
@@ -138,48 +176,38 @@ def _unpacked(blob: bytes, kind) -> np.ndarray:
 
 
 def _cells(docs: DataFrame, cells: int, most: int) -> DataFrame:
-    """(shard, lang, n, gaps, counts): partial counts of the cells of a shard; for shard -1, n words of a language."""
+    """(shard, gaps, counts): partial counts of the cells of a shard."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hash_of, held, gathered, words = _hash_cache(), [], 0, Counter()
+        held, gathered = [], 0
 
-        def flushed() -> list[tuple]:
+        def flushed():
             at = np.concatenate(held)
             at.sort()
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             n = np.minimum(np.diff(np.append(first, len(at))), 255).astype(np.uint8)
             at = at[first]
             shard = at >> np.uint32(SHARD_CELLS)
-            bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-            out = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                inner = at[a:b] & np.uint32((1 << SHARD_CELLS) - 1)
-                out.append((int(shard[a]), None, None, _packed(np.diff(inner, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T), _packed(n[a:b])))
+            bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])).tolist()
+            gaps = [_gaps(at[a:b] & np.uint32((1 << SHARD_CELLS) - 1)) for a, b in zip(bounds, bounds[1:])]
+            counts = [_packed(n[a:b]) for a, b in zip(bounds, bounds[1:])]
             held.clear()
-            return out
-
-        def batch_of(rows: list[tuple]):
-            kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["shard", "lang", "n", "gaps", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(shard[bounds[:-1]].astype(np.int32)), pa.array(gaps, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "gaps", "counts"])
 
         for batch in batches:
-            for lang, some in _by_lang(batch).items():
-                runs = Runs(lang, some, hash_of)
-                words[lang] += len(runs.words)
+            for lang, runs in _runs(batch):
                 for k, acc in enumerate(runs.hashes(most)):
                     held.append((acc[runs.left[: len(acc)] > k] & np.uint64((1 << cells) - 1)).astype(np.uint32))
                     gathered += len(held[-1])
-            if gathered >= GATHERED:
-                yield batch_of(flushed())
-                gathered = 0
+                if gathered >= GATHERED:
+                    yield flushed()
+                    gathered = 0
         if gathered:
-            yield batch_of(flushed())
-        if words:
-            yield batch_of([(-1, lang, n, None, None) for lang, n in words.items()])
+            yield flushed()
 
-    return texts(docs).mapInArrow(run, "shard int, lang string, n long, gaps binary, counts binary")
+    return texts(docs).mapInArrow(run, "shard int, gaps binary, counts binary")
 
 
 def _added(parts: DataFrame, least: int | None = None) -> DataFrame:
@@ -193,7 +221,7 @@ def _added(parts: DataFrame, least: int | None = None) -> DataFrame:
         def out():
             if least is None:
                 at = np.flatnonzero(total)
-                gaps = _packed(np.diff(at.astype(np.uint32), prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+                gaps = _gaps(at)
                 counts = _packed(np.minimum(total[at], 255).astype(np.uint8))
             else:
                 gaps, counts = _packed(np.packbits(total >= least, bitorder="little")), None
@@ -206,55 +234,101 @@ def _added(parts: DataFrame, least: int | None = None) -> DataFrame:
                         yield out()
                     now = shard
                     total[:] = 0
-                places = np.ascontiguousarray(_unpacked(gaps, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-                total[np.cumsum(places, dtype=np.int64)] += _unpacked(counts, np.uint8)
+                places = sum(p.astype(np.int64) << 8 * i for i, p in enumerate(_unpacked(gaps, np.uint8).reshape(SHARD_CELLS + 7 >> 3, -1)))
+                total[np.cumsum(places)] += _unpacked(counts, np.uint8)
         if now is not None:
             yield out()
 
     return parts.mapInArrow(run, "shard int, gaps binary, counts binary")
 
 
-def sketched(docs: DataFrame, cells: int, most: int = WORDS, least: int = LEAST) -> tuple[np.ndarray, DataFrame]:
-    """A bit a cell, set if the cell reaches ``least`` (at most 255), and (lang, n): all words of a language."""
-    parts = written(_cells(docs, cells, most), "phrase-cells")
-    n = parts.filter("shard < 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    blobs = parts.filter("shard >= 0").select("shard", "gaps", "counts")
-    salts = 1 + blobs.count() // (BLOBS << max(0, cells - SHARD_CELLS))
+def sketched(docs: DataFrame, cells: int, most: int = WORDS, least: int = LEAST) -> np.ndarray:
+    """A bit a cell, set if the cell reaches ``least`` (at most 255)."""
+    blobs = _cells(docs, cells, most)
+    salts = 1 + int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6 * most / GATHERED / BLOBS)
     if salts > 1:
         blobs = _added(blobs.withColumn("salt", F.pmod(F.xxhash64("gaps"), F.lit(salts))).repartition("shard", "salt").sortWithinPartitions("shard").drop("salt"))
     bits = np.zeros(max(1, 1 << cells >> 3), np.uint8)
     width = 1 << SHARD_CELLS >> 3
     for r in _added(blobs.repartition("shard").sortWithinPartitions("shard"), least).select("shard", "gaps").toLocalIterator():  # at most 2**MOST_CELLS bits
         bits[r["shard"] * width : (r["shard"] + 1) * width] = _unpacked(r["gaps"], np.uint8)[: len(bits)]
-    return bits, n
+    return bits
+
+
+def _listed(phrases: Iterable[bytes]) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(phrases))
 
-def candidates(docs: DataFrame, bits: np.ndarray, cells: int, most: int = WORDS) -> DataFrame:
-    """Distinct (lang, phrase) of one to ``most`` words that may reach the threshold: every one that does is there."""
+
+def _unlisted(blob: bytes) -> list[bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
+
+
+def candidates(docs: DataFrame, bits: np.ndarray, cells: int, parts: int, most: int = WORDS) -> DataFrame:
+    """(lang, part, n, payload): lists of the runs of one to ``most`` words that may reach the threshold, each once in its part; every one that does is
+    there. Rows of part -1 have n words of a language."""
     held = docs.sparkSession.sparkContext.broadcast(bits)  # 2**MOST_CELLS bits at most
+    names, kinds = ["lang", "part", "n", "payload"], "lang string, part int, n long, payload binary"
 
-    def run(batches: Iterator) -> Iterator:
+    def batch_of(rows: list[tuple]):
         import pyarrow as pa
 
-        hash_of, seen = _hash_cache(), set()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=names)
+
+    def found(batches: Iterator) -> Iterator:
+        words, own, seen = Counter(), {}, set()
+
+        def handed():
+            rows = [(lang, part, None, _listed(sorted(some))) for (lang, part), some in own.items()]
+            own.clear()
+            return batch_of(rows)
+
         for batch in batches:
-            langs, found = [], []
-            for lang, some in _by_lang(batch).items():
-                runs = Runs(lang, some, hash_of)
-                longest = runs.admitted(held.value, cells, most)
+            for lang, runs in _runs(batch):
+                words[lang] += len(runs.start)
+                longest, part = runs.admitted(held.value, cells, most), runs.part(parts)
                 for k, acc in enumerate(runs.hashes(most)):
                     at = np.flatnonzero(longest[: len(acc)] > k)
-                    own, first = np.unique(acc[at], return_index=True)
-                    for h, i in zip(own.tolist(), at[first].tolist()):
+                    hashes, first = np.unique(acc[at], return_index=True)
+                    at = at[first]
+                    for h, p, a, b in zip(hashes.tolist(), part[at].tolist(), runs.start[at].tolist(), runs.stop[at + k].tolist()):
                         if h not in seen:
                             seen.add(h)
-                            langs.append(lang)
-                            found.append(b" ".join(runs.words[i : i + k + 1]).decode("utf-8", "replace"))
-            if len(seen) > 2_000_000:  # what was seen may be told again
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string())], names=["lang", "phrase"])
+                            own.setdefault((lang, p), []).append(runs.text[a:b])
+                if len(seen) > HANDED and own:  # what was seen may be told again
+                    yield handed()
+                    seen.clear()
+        if own:
+            yield handed()
+        if words:
+            yield batch_of([(lang, -1, n, None) for lang, n in words.items()])
+
+    def together(batches: Iterator) -> Iterator:
+        now, n, own = None, 0, set()
+
+        def ended():
+            if now[1] < 0:
+                return [(*now, n, None)]
+            some = sorted(own)
+            return [(*now, None, _listed(some[i : i + ROW_PHRASES])) for i in range(0, len(some), ROW_PHRASES)]
+
+        for batch in batches:
+            for lang, part, more, blob in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (lang, part) != now:
+                    if now is not None:
+                        yield batch_of(ended())
+                    now, n = (lang, part), 0
+                    own.clear()
+                n += more or 0
+                if blob is not None:
+                    own.update(_unlisted(blob))
+        if now is not None:
+            yield batch_of(ended())
 
-    return texts(docs).mapInArrow(run, "lang string, phrase string").distinct()
+    return texts(docs).mapInArrow(found, kinds).repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(together, kinds)
 
 
 def _stretches(docs: DataFrame, bits: np.ndarray, cells: int, parts: int, most: int) -> DataFrame:
@@ -263,32 +337,32 @@ def _stretches(docs: DataFrame, bits: np.ndarray, cells: int, parts: int, most:
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
-        hash_of = _hash_cache()
+        press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             rows = []
-            for lang, some in _by_lang(batch).items():
-                runs = Runs(lang, some, hash_of)
+            for lang, runs in _runs(batch):
                 longest = runs.admitted(held.value, cells, most)
                 at = np.flatnonzero(longest)
                 if not len(at):
                     continue
-                part = (runs.h[at].view(np.int64) % parts).astype(np.int64)  # as pmod(xxhash64(word), parts)
-                order = np.argsort(part, kind="stable")
+                part = runs.part(parts)[at]
+                order = np.argsort(part.astype(np.uint16 if parts <= 65536 else np.int64), kind="stable")
                 at, part = at[order], part[order]
-                far = len(runs.words) + 1
+                far = len(longest) + 1
                 reach = np.maximum.accumulate(at + longest[at] + part * far)  # how far the part's stretches go up to here
-                fresh = np.concatenate([[True], at[1:] + part[1:] * far >= reach[:-1]])
-                first = np.flatnonzero(fresh)
+                first = np.flatnonzero(np.concatenate([[True], at[1:] + part[1:] * far >= reach[:-1]]))
                 last = np.append(first[1:], len(at)) - 1
-                begin, until, of = at[first].tolist(), (reach[last] - part[last] * far).tolist(), part[first]
-                strings = [b" ".join(runs.words[a:b]) for a, b in zip(begin, until)]
+                of = part[first]
+                begin, until = runs.start[at[first]].tolist(), runs.stop[reach[last] - of * far - 1].tolist()
                 edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])).tolist()
-                rows += [(lang, int(of[a]), (b" " + b" \n ".join(strings[a:b]) + b" ").decode("utf-8", "replace")) for a, b in zip(edges, edges[1:])]
+                text = runs.text
+                rows += [(lang, int(of[a]), press(b" " + b" \n ".join([text[i:j] for i, j in zip(begin[a:b], until[a:b])]) + b" ")) for a, b in zip(edges, edges[1:])]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string()))], names=["lang", "part", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary()))], names=["lang", "part", "payload"])
 
-    return texts(docs).mapInArrow(run, "lang string, part int, payload string")
+    return texts(docs).mapInArrow(run, "lang string, part int, payload binary")
 
 
 def _scanned(dealt: DataFrame) -> DataFrame:
@@ -297,7 +371,9 @@ def _scanned(dealt: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import ahocorasick
         import pyarrow as pa
+        import zstandard
 
+        press = zstandard.ZstdDecompressor().decompress
         state: dict = {"key": None}
 
         def begun(key) -> None:
@@ -315,14 +391,16 @@ def _scanned(dealt: DataFrame) -> DataFrame:
                     if state["key"] is not None:
                         yield ended()
                     begun((lang, part, salt))
+                text = press(payload).decode("utf-8", "replace")
                 if not stretch:
-                    state["automaton"].add_word(f" {payload} ", len(state["own"]))
-                    state["own"].append(payload)
+                    for phrase in text.split("\n"):
+                        state["automaton"].add_word(f" {phrase} ", len(state["own"]))
+                        state["own"].append(phrase)
                 elif state["own"]:
                     if not state["ready"]:
                         state["automaton"].make_automaton()
                         state["ready"] = True
-                    state["seen"].update(map(itemgetter(1), state["automaton"].iter(payload)))
+                    state["seen"].update(map(itemgetter(1), state["automaton"].iter(text)))
         if state["key"] is not None:
             yield ended()
 
@@ -332,15 +410,16 @@ def _scanned(dealt: DataFrame) -> DataFrame:
 def counted(docs: DataFrame, most: int = WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of every run of one to ``most`` words that occurs ``least`` times or more, and (lang, n) of all words."""
     cells = cell_count(docs, most)
-    bits, n = sketched(docs, cells, most, min(least, 255))
-    found = written(candidates(docs, bits, cells, most), "phrase-candidates")
-    parts = 1 + found.count() // PART
+    bits = sketched(docs, cells, most, min(least, 255))
+    parts = 1 + int(np.bitwise_count(bits).sum()) // PART
+    found = written(candidates(docs, bits, cells, parts, most), "phrase-candidates")
     salts = 1 + int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / parts / SCAN_BYTES)
-    words = found.select("lang", F.pmod(F.xxhash64(F.substring_index("phrase", " ", 1)), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(False).alias("stretch"), F.col("phrase").alias("payload"))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    lists = found.filter("part >= 0").select("lang", "part", salt, F.lit(False).alias("stretch"), "payload")
     text = _stretches(docs, bits, cells, parts, most).select("lang", "part", F.pmod(F.xxhash64("payload"), F.lit(salts)).cast("int").alias("salt"), F.lit(True).alias("stretch"), "payload")
-    dealt = words.unionByName(text).repartition("lang", "part", "salt").sortWithinPartitions("lang", "part", "salt", "stretch")
+    dealt = lists.unionByName(text).repartition("lang", "part", "salt").sortWithinPartitions("lang", "part", "salt", "stretch")
     f = _scanned(dealt).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return written(f, "phrase-counts"), n
+    return written(f, "phrase-counts"), found.filter("part < 0").select("lang", "n")
 
 
 def _slices(words: str, size: int) -> Column:
