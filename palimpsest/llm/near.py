@@ -3,14 +3,15 @@
 An index lists each node (a distinct set of shingles) under several keys. Keys with up to ``DENSE`` nodes give all their pairs. A key with more takes
 this way, which finds the same components:
 
-1. All its nodes are held against two pivots. In a group of near copies that mostly joins them all.
-2. Where nodes of more than one component are left under a key, they meet again under the key and a rare shingle: of two sets whose similarity is
-   t or more, the first n - ceil(t n) + 1 shingles of each, rarest first, share one. Only nodes of different components are paired.
-3. Keys that are dense even then take further pivots, ``PIVOTS`` a round, from all components but the key's largest, each held against every
-   node under the key, until no two components are left that weren't compared whole.
+1. All its nodes are held against two pivots, the same for all keys that these are under. In a group of near copies that mostly joins them all.
+2. Keys that hold nodes of more than one component then belong to the largest of these. Their nodes outside it, the rest, are held in blocks
+   against all nodes of keys that belong to it: a task keeps the sets of a block and streams the others past them, so only links leave it, never
+   pairs. That goes on, with the components found meanwhile, until no key has two nodes of different components that weren't compared.
 
-So every pair that shares a key is joined or compared, or lies within one component. Every pair is verified on whole sets of
+So every pair that shares a key is compared or lies within one component. Every pair is verified on whole sets of
 shingle hashes (64 bits); what sketches say only spares pairs this. Values of nodes that are in many pairs are dealt in copies.
+Time grows with the product of a key's nodes and its rest; the rest of a group of near copies is what is linked to none of the
+others, or to few.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql.window import Window
 from .common import joined_to_groups, raw_texts, written
 from .graph import connected_components
 
-#: A key with more nodes than this takes the way for dense ones; pivots of such a key in a round of the last step.
-DENSE, PIVOTS = 8, 256
+#: A key with more nodes than this takes the way for dense ones; shingles in a block's sets, about; nodes that a task streams past it, about.
+DENSE, BLOCK, STREAMED = 8, 2_000_000, 20_000
 #: Pairs of one node that one task gets its values for.
 SPREAD = 64
 
@@ -103,7 +104,7 @@ def _few(met: DataFrame) -> DataFrame:
 
 def _met(index: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Pairs under keys that are not dense, with two pivots under those that are; and (g, node, c) under the dense keys."""
-    ends = F.struct(F.xxhash64("g", "node").alias("h"), "node")
+    ends = F.struct(F.xxhash64("node").alias("h"), "node")
     sizes = index.groupBy("g").agg(F.count("*").alias("n"), F.min(ends).alias("p"), F.max(ends).alias("q"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     sizes = written(sizes.filter("c0 <> c1").select("g", "n", F.col("p.node").alias("p"), F.col("q.node").alias("q")), f"{name}-keys")
     met = written(joined_to_groups(index, sizes.filter("n > 2"), ["g"]).filter("n is not null"), f"{name}-met")
@@ -134,16 +135,57 @@ class Links:
         return joined_to_groups(now, written(open_keys.select("g", F.lit(True).alias("open")), f"{name}-open"), ["g"]).filter("open").drop("open")
 
 
-def rare_first(members: DataFrame, nodes: DataFrame, docs: DataFrame, hashes: Hashes, hundredths: int) -> DataFrame:
-    """members (g, node, c) under keys made of g and each of the node's first shingles, rarest first among the members' sets."""
-    sets = sets_of(members.select("node"), nodes, docs, hashes)
-    each = sets.select("node", F.explode("s").alias("t"))
-    counts = each.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")  # what no other set has can't be shared
-    ranked = each.join(counts, "t", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "t"))).alias("s"))
-    size = F.size("s")
-    most = size - F.ceil(size * F.lit(hundredths) / 100).cast("int") + 1
-    first = ranked.select("node", F.explode(F.slice("s", F.lit(1), most)).alias("e")).filter("e.f > 1").select("node", "e.t")
-    return members.join(first, "node").select(F.xxhash64("g", "t").alias("g"), "node", "c").distinct()
+def compared(members: DataFrame, pivots: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
+    """Edges (a, b) from ``members`` (m, node, c) to ``pivots`` (m, node, c) of the same m whose sets are similar, one for each component c
+    of pivots but the member's own."""
+    salts = 1 + members.count() // STREAMED
+    own = pivots.select("m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(False).alias("streamed"), "node", "c")
+    rest = members.select("m", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("salt"), F.lit(True).alias("streamed"), "node", "c")
+    dealt = own.unionByName(rest).join(sets, "node").select("m", "salt", "streamed", "node", "c", "s")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        key, held, block = None, [], None
+
+        def laid_out():
+            """The block's distinct hashes, and which pivots have each."""
+            hashes = np.concatenate([x for _, _, x in held])
+            of = np.repeat(np.arange(len(held)), [len(x) for _, _, x in held])
+            order = np.argsort(hashes, kind="stable")
+            own, first = np.unique(hashes[order], return_index=True)
+            return own, np.append(first, len(hashes)), of[order], np.array([len(x) for _, _, x in held]), np.array([x[0] for x in held]), np.array([x[1] for x in held])
+
+        for batch in batches:
+            found = ([], [])
+            m, salt, streamed, node, c = (batch.column(x).to_pylist() for x in ("m", "salt", "streamed", "node", "c"))
+            sets = batch.column("s")
+            for i in range(batch.num_rows):
+                if (m[i], salt[i]) != key:
+                    key, held, block = (m[i], salt[i]), [], None
+                s = sets[i].values.to_numpy()
+                if not streamed[i]:
+                    held.append((node[i], c[i], s))
+                    continue
+                if block is None:
+                    if not held:
+                        continue
+                    block = laid_out()
+                own, first, of, sizes, nodes, comps = block
+                at = np.searchsorted(own, s)
+                at[at == len(own)] = 0
+                at = at[own[at] == s]
+                begin, n = first[at], first[at + 1] - first[at]
+                where = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else n
+                both = np.bincount(of[where], minlength=len(sizes))
+                hit = np.flatnonzero((100 * both >= hundredths * (len(s) + sizes - both)) & (comps != c[i]))
+                if len(hit):
+                    hit = hit[np.unique(comps[hit], return_index=True)[1]]
+                    found[0].extend([node[i]] * len(hit))
+                    found[1].extend(nodes[hit].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+    return dealt.repartition("m", "salt").sortWithinPartitions("m", "salt", "streamed").mapInArrow(run, "a long, b long")
 
 
 def links(index: DataFrame, nodes: DataFrame, docs: DataFrame, hashes: Hashes, hundredths: int, check: Check) -> DataFrame:
@@ -151,33 +193,26 @@ def links(index: DataFrame, nodes: DataFrame, docs: DataFrame, hashes: Hashes, h
 
     ``check`` leaves out pairs that sketches show to be unlike; what it keeps is verified.
     """
-    sure = lambda pairs: verified(check(pairs), nodes, docs, hashes, hundredths)
     out = Links()
     pairs, dense = _met(index.select("g", "node", F.col("node").alias("c")), "near")
-    out.add(sure(pairs), "near-links")
-    if dense.isEmpty():
-        return out.all()
-    left = written(out.named(dense, "near-dense"), "near-left")
-    if left.isEmpty():
-        return out.all()
-    pairs, dense = _met(rare_first(left, nodes, docs, hashes, hundredths), "near-rare")
-    out.add(sure(pairs), "near-links")
-    used = None
+    out.add(verified(check(pairs), nodes, docs, hashes, hundredths), "near-links")
+    sets = used = None
     while not dense.isEmpty():
         left = out.named(dense, "near-dense")
-        sizes = left.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+        sizes = left.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("m"))
         left = written(joined_to_groups(left, written(sizes, "near-main"), ["g"]), "near-left")
-        rest = left.filter("c <> main").select("g", "node", "c")
+        rest = left.filter("c <> m").select("g", "m", "node", "c")
         rest = rest if used is None else rest.join(used, ["g", "node"], "left_anti")
-        order = Window.partitionBy("g").orderBy(F.xxhash64("g", "node"), "node")
-        pivots = written(rest.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= PIVOTS).drop("i"), "near-pivots")
-        if pivots.isEmpty():
+        if rest.isEmpty():
             break
-        used = written(pivots.select("g", "node") if used is None else used.unionByName(pivots.select("g", "node")), "near-used")
-        lists = written(pivots.groupBy("g").agg(F.collect_list(F.struct("node", "c")).alias("ps")), "near-lists")  # PIVOTS of a key at most
-        met = joined_to_groups(left.select("g", "node", "c"), lists, ["g"]).filter("ps is not null")
-        pairs = met.select("node", "c", F.explode("ps").alias("p")).filter("p.c <> c").select(*_ordered(F.col("node"), F.col("p.node"))).distinct()
-        out.add(sure(pairs), "near-links")
+        if sets is None:
+            sets = sets_of(left, nodes, docs, hashes)
+        order = Window.partitionBy("m").orderBy(F.xxhash64("node"), "node").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = rest.select("m", "node", "c").distinct().join(sets.select("node", F.size("s").alias("n")), "node").withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+        pivots = written(ranked.filter(F.col("before") < BLOCK).select("m", "node", "c"), "near-pivots")
+        out.add(compared(left.select("m", "node", "c").distinct(), pivots, sets, hundredths), "near-links")
+        asked = rest.join(pivots.select("m", "node"), ["m", "node"], "left_semi").select("g", "node")
+        used = written(asked if used is None else used.unionByName(asked), "near-used")
         dense = left.select("g", "node")
     return out.all()
 
