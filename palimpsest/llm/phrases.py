@@ -161,7 +161,7 @@ def cell_count(docs: DataFrame, most: int = WORDS) -> int:
 def _packed(values: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
 
 
 def _gaps(places: np.ndarray) -> bytes:
@@ -339,7 +339,7 @@ def _stretches(docs: DataFrame, bits: np.ndarray, cells: int, parts: int, most:
         import pyarrow as pa
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1).compress
+        press = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             rows = []
             for lang, runs in _runs(batch):
