@@ -11,13 +11,12 @@ exact way that never emits the pairs of a group: two fingerprints are within two
 bit of both. Each is listed under itself and its 64 one-bit neighbours; at most 65 distinct fingerprints can meet there, all of
 them linked. Both ways find the same links; the bound decides cost, not results.
 
-Texts that share 0.8 of their five-word shingles differ in about ten of 64 SimHash bits: hardly a byte stays. deduplicated(), which
-takes that similarity, therefore fills the same kind of index otherwise: a byte in each of 80 places, taken from the least
+Texts that share 0.8 of their five-word shingles differ in about ten of 64 SimHash bits: hardly a byte stays, so SimHash bits can't find them. deduplicated(),
+which takes that similarity, fills the same kind of index otherwise: a byte in each of 80 places, taken from the least
 shingle hash of a place, agrees with a probability equal to the similarity. Entries are 16 keys of five neighbouring places, and a pair
-at 0.8 meets in one with probability 0.998. Matching bytes are tallied over all places, pairs with too few go, and what the
-tally leaves in doubt is verified on the whole sets of shingles. In an entry with more than ``DENSE`` fingerprints all are held against two pivots;
-unless that joins all of them, all meet again under keys one band longer and other pivots. So the pairs of a group are never emitted.
-A link can be lost only if every entry the pair shares is dense, nothing else joins its ends, and its longer keys differ.
+at 0.8 meets in one with probability 0.998. Matching bytes are tallied over all places, pairs with fewer than the number that linked ones reach go (one in
+ten million of those doesn't), and all others are verified on the whole sets of shingles. Texts are one node only if their
+whole sets are equal, by a digest of 128 bits; dense entries take the way of ``near``, which loses no link.
 
 Equal texts are folded into one fingerprint before any of this, and fingerprints that more than a thousandth of the rows have get
 their group by broadcast, so that copies aren't one task. Null and empty texts have fingerprint zero and are linked like any other;
@@ -28,14 +27,15 @@ hands them on). An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial
 from itertools import combinations, repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_to_groups, raw_texts, written
+from . import near
+from .common import raw_texts, written
 from .graph import connected_components
 
 #: Differing bits up to which fingerprints are linked; the exact way for dense entries rests on it being 2.
@@ -50,9 +50,8 @@ KEY_BYTES = 4
 SHINGLE, SIMILAR = 5, 0.8
 #: Its fingerprint has so many places of a byte, so many neighbouring ones make an index key.
 PLACES, BAND = 80, 5
-#: Matching places below which a pair is out (a pair at SIMILAR falls there once in 12,000), from which it needs no exact check (one
-#: below SIMILAR gets there once in 1,000 at most).
-LEAST, SURE = 50, 75
+#: Matching places below which a pair is out: a pair at SIMILAR falls there once in ten million.
+LEAST = 44
 
 
 def simhash(text: bytes, k: int = 3) -> int:
@@ -136,11 +135,6 @@ def grouped(docs: DataFrame, k: int = 3) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _row_key(df: DataFrame) -> DataFrame:
-    """df with ``_id`` and ``_th``, which tell rows apart by id and text without moving either."""
-    return df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_th": F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))})
-
-
 def shingle_hashes(text: bytes, k: int = SHINGLE) -> np.ndarray:
     """XXH64 (seed 42) of the k-word shingles of a text, repeats included; fewer words are one shingle, and so is no word."""
     import xxhash
@@ -150,86 +144,37 @@ def shingle_hashes(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(42)), np.uint64)
 
 
-def least_bytes(text: bytes, k: int = SHINGLE) -> bytes:
-    """One byte at each of PLACES places: the low byte of the least of the shingles' hashes, multiplied by the place's odd number."""
-    hashes = shingle_hashes(text, k)
+def least_bytes(hashes: np.ndarray) -> bytes:
+    """One byte at each of PLACES places: of the least of the hashes, multiplied by the place's odd number, a byte that all its bits decide."""
     odd = np.random.default_rng(42).integers(0, 2**63, PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(PLACES, np.iinfo(np.uint64).max)
     for i in range(0, len(hashes), 1024):
         np.minimum(least, (hashes[i : i + 1024] * odd[:, None]).min(axis=1), out=least)
-    return (least & np.uint64(255)).astype(np.uint8).tobytes()
-
-
-def _turned_key(size: int) -> Column:
-    """The bytes of ``size`` bands from band c on, around the end."""
-    return F.expr(f"substring(concat(sig, sig), c * {BAND} + 1, {size * BAND})")
+    return ((least ^ (least >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _tallied(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, matches): in how many places the fingerprints of each distinct pair agree; pairs below LEAST go."""
+    """The pairs (a, b) whose fingerprints agree in LEAST places or more."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in ("x", "y"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).sum(axis=1).astype(np.int32))], names=["a", "b", "matches"])
+            keep = pa.array((x == y).sum(axis=1) >= LEAST)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-    met = pairs.distinct().join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, matches int").filter(F.col("matches") >= LEAST)
-
-
-def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingle hashes have a Jaccard similarity of SIMILAR or more, from whole texts."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, k)).view(np.int64) for t in raw_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    asked = written(asked.select("node", "b._id", "b._th"), "near-asked")
-    texts = joined_to_groups(_row_key(docs.select("doc_id", "text")).select("_id", "_th", "text"), asked, ["_id", "_th"]).filter("node is not null")
-    sets = written(texts.select("node", "text").mapInArrow(run, "node long, s array<bigint>").dropDuplicates(["node"]), "near-sets")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return met.filter(both >= F.lit(SIMILAR) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    pairs = written(pairs, "near-pairs")
+    met = near.with_values(near.with_values(pairs, "a", nodes, {"sig": "x"}), "b", nodes, {"sig": "y"})
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Edges (a, b) between ``nodes`` (node, sig, b: keys of one row of docs with it) at a similarity of SIMILAR or more."""
-    bands = PLACES // BAND
-    of = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("c"))
-    pool, found = of.select("c", _turned_key(1).alias("key"), "node", F.xxhash64("sig").alias("h")), []
-    for size in range(1, bands + 1):
-        sizes = pool.groupBy("c", "key").agg(F.count("*").alias("n"), F.min(F.struct("h", "node")).alias("p"), F.max(F.struct("h", "node")).alias("q"))
-        sizes = written(sizes.filter("n > 1").select("c", "key", "n", F.col("p.node").alias("p"), F.col("q.node").alias("q")), "near-entries")
-        met = written(joined_to_groups(pool, sizes.filter("n > 2"), ["c", "key"]).filter("n > 2"), "near-met")
-        few = met.filter(F.col("n") <= DENSE).groupBy("c", "key").agg(F.sort_array(F.collect_list("node")).alias("m"))
-        each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(DENSE)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        dense = met.filter(F.col("n") > DENSE)
-        star = dense.select("node", F.explode(F.array("p", "q")).alias("o")).filter("node <> o")
-        pairs = sizes.filter("n = 2").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-        pairs = pairs.unionByName(few.select(F.explode(each).alias("e")).select("e.*"))
-        pairs = pairs.unionByName(star.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")))
-        close = written(_tallied(pairs, nodes), "near-tallied")
-        doubtful = close.filter(F.col("matches") < SURE).select("a", "b")
-        edges = close.filter(F.col("matches") >= SURE).select("a", "b").unionByName(_exact(doubtful, nodes, docs, k))
-        found.append(written(edges, "near-links"))
-        if size == bands:
-            break
-        apart = dense.filter("node <> p")  # members that neither pivot is linked to, or the second pivot if the first isn't linked to it
-        for o in ("p", "q"):
-            apart = apart.join(found[-1], (F.least("node", o) == F.col("a")) & (F.greatest("node", o) == F.col("b")), "left_anti")
-        open_entries = written(apart.select("c", "key").distinct(), "near-open")
-        if open_entries.isEmpty():
-            break
-        left = joined_to_groups(dense.select("c", "key", "node"), open_entries.withColumn("open", F.lit(True)), ["c", "key"]).filter("open")
-        left = left.join(nodes.select("node", "sig"), "node")
-        pool = written(left.select("c", _turned_key(size + 1).alias("key"), "node", F.xxhash64("sig", F.lit(size)).alias("h")), "near-left")
-    return reduce(DataFrame.unionByName, found).distinct()
+    """Edges (a, b) between ``nodes`` (node, n: its shingles, sig, b: keys of one row of docs with its text) at a similarity of SIMILAR or more."""
+    keys = F.array(*(F.xxhash64(F.lit(c), F.substring("sig", c * BAND + 1, BAND)) for c in range(PLACES // BAND)))
+    hundredths = round(100 * SIMILAR)
+    index = nodes.filter(F.col("n") >= near.least_needed(hundredths)).select(F.explode(keys).alias("g"), "node")
+    return near.links(index, nodes, docs, partial(shingle_hashes, k=k), hundredths, lambda pairs: _tallied(pairs, nodes))
 
 
 def deduplicated(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -237,27 +182,30 @@ def deduplicated(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     others), of rows with that id the first by a hash of the text, of rows equal in both the first by a hash of all columns.
 
     Groups are found on fingerprints; the texts are moved once, to meet the keys of the rows that stay, by a join that is dealt by
-    key at every size. Texts of pairs in doubt are read again.
+    key at every size. Texts of pairs that may be near are read again.
     """
     names = docs.columns
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
-            sig = [least_bytes(t, k) for t in raw_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), batch.column("_none"), pa.array(sig, pa.binary())], names=["_id", "_th", "_none", "sig"])
-
-    keyed = _row_key(docs.select("doc_id", "text")).select("_id", "_th", F.col("doc_id").isNull().alias("_none"), "text")
-    rows = written(keyed.mapInArrow(run, "_id long, _th long, _none boolean, sig binary"), "near")
-    nodes = rows.groupBy("sig").agg(F.min(F.struct("_none", "_id", "_th")).alias("b")).withColumn("node", F.monotonically_increasing_id())
-    nodes = written(nodes, "near-nodes")
+            sets = [np.unique(shingle_hashes(t, k)) for t in raw_texts(batch.column("text"))]
+            k1, k2 = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), "<i8") for x in sets], np.int64).reshape(-1, 2).T
+            more = [pa.array([len(x) for x in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array(map(least_bytes, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_th", "_none")), *more], names=["_id", "_th", "_none", "n", "k1", "k2", "sig"])
+
+    keyed = near.row_key(docs.select("doc_id", "text")).select("_id", "_th", F.col("doc_id").isNull().alias("_none"), "text")
+    rows = written(keyed.mapInArrow(run, "_id long, _th long, _none boolean, n long, k1 long, k2 long, sig binary"), "near")
+    nodes = rows.groupBy("k1", "k2").agg(F.min(F.struct("_none", "_id", "_th")).alias("b"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     roots = connected_components(near_links(nodes, docs, k))
     best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("b").alias("b"))
     kept = written(best.select("b._id", "b._th"), "near-kept")
     repeated = rows.join(kept, ["_id", "_th"]).groupBy("_id", "_th").agg(F.count("*").alias("n")).filter("n > 1")
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), "doc_id", "text")
-    own = _row_key(own).select("_row", "_id", "_th").join(kept.hint("shuffle_hash"), ["_id", "_th"], "left_semi")
+    own = near.row_key(own).select("_row", "_id", "_th").join(kept.hint("shuffle_hash"), ["_id", "_th"], "left_semi")
     if not repeated.isEmpty():
         text = F.to_json("_row")
         own = own.groupBy("_id", "_th").agg(F.min_by("_row", F.struct(F.xxhash64(text), text)).alias("_row"))

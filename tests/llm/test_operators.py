@@ -344,6 +344,13 @@ def test_near_copies_on_odd_rows(spark, odd, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def test_short_unrelated_texts_all_stay(spark):
+    """5,000 distinct texts of one to five words, whose only shingle is the whole text, and one copy of each tenth."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1 + i % 5))) for i in range(5000)]
+    docs = spark.createDataFrame(rows + [(9000 + i, rows[i][1]) for i in range(0, 5000, 10)], "doc_id long, text string")
+    assert Counter(d.doc_id for d in simhash.deduplicated(docs).collect()) == Counter(range(5000))
+
+
 @pytest.mark.parametrize("dense", [False, True])
 def test_near_copies_equal_brute_force(spark, dense):
     """Copies with one to many words changed, in small groups and, dense, in groups that share entries with dozens."""
