@@ -20,7 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
+    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8), by the index of positional bytes over
+    bytes of least hashes: SimHash bits can't reach that similarity (see simhash.deduplicated)."""
     return simhash.deduplicated(bounded_batches(docs))
 
 
@@ -42,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
-    ("simhash_near_dedup", drop_near_copies),
+    ("positional_byte_near_dedup", drop_near_copies),
     ("pii", mask_personal_data),
     ("mixing", mix_sources),
     ("bpe", encode),
