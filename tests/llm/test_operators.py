@@ -782,7 +782,7 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path, pipeline):
     docs = spark.createDataFrame(odd_rows(), SCHEMA)
     where = folder(spark, tmp_path, docs, [(i, 1, i % 2) for i in range(40)] + [(3, None, None)])
     now = spark.read.parquet(f"{where}/documents.parquet")
-    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "pii", "mixing", "bpe"]
+    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "positional_byte_near_dedup", "pii", "mixing", "bpe"]
     for name, stage in pipeline.STAGES:
         before, now = now, stage(spark, now, where)
         if name != "bpe":
@@ -790,7 +790,7 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path, pipeline):
         if name == "toxicity":  # what the operator predicts toxic goes, all else stays
             bad = toxicity.predicted(docs, spark.read.parquet(f"{where}/labels.parquet")).filter("predicted = 1").collect()
             assert Counter(r.doc_id for r in before.collect()) - Counter(r.doc_id for r in now.collect()) == Counter(r.doc_id for r in bad)
-        elif name == "simhash_near_dedup":
+        elif name == "positional_byte_near_dedup":
             assert Counter(r.doc_id for r in now.collect()) == brute_kept([(r.doc_id, r.text) for r in before.collect()])
         elif name == "pii":
             spans = {g.doc_id for g in pii.found_in(before).filter("spans <> ''").collect()}
