@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,5 +67,47 @@ def digest(rows: DataFrame, id_: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *parts).select("n", F.sha2(F.concat_ws("-", *(F.coalesce(F.col(f"d{i}").cast("string"), F.lit("0")) for i in range(4))), 256).alias("digest"))
 
 
+#: Fixed values of the ordered digest: a Mersenne prime below 2^61 and a base below it.
+PRIME, RADIX = (1 << 61) - 1, 1_099_511_628_211
+
+
+def ordered_digest(rows: DataFrame, id_: str, order: list[str]) -> DataFrame:
+    """One row: count and a digest of the ids in their order, as two numbers modulo a prime.
+
+    Each id's hash is a digit of a number to the base RADIX, so swapping two ids changes it. Digests of neighbouring stretches combine as
+    d * RADIX^m + e, where m ids follow: each task folds its sorted range, and ranges are put together in their order, so the result doesn't
+    depend on how many there are. ``order`` must be total but for rows with equal ids. Null ids count as the empty text.
+    """
+    h = F.sha2(F.coalesce(F.col(id_).cast("string"), F.lit("")), 256)
+    digits = [F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("long").alias(f"h{i}") for i in range(2)]
+    dealt = rows.select(*order, *digits).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        n, d, e, at = 0, 0, 0, None
+        for batch in batches:
+            for place, x, y in zip(*(batch.column(c).to_pylist() for c in ("at", "h0", "h1"))):
+                n, d, e, at = n + 1, (d * RADIX + x) % PRIME, (e * RADIX + y) % PRIME, place
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (at, n, d, e)], names=["at", "n", "d", "e"])
+
+    parts = dealt.select(F.spark_partition_id().cast("long").alias("at"), "h0", "h1").mapInArrow(fold, "at long, n long, d long, e long")
+    n, d, e = 0, 0, 0
+    for r in parts.orderBy("at").collect():  # a row a partition
+        lift = pow(RADIX, r["n"], PRIME)
+        n, d, e = n + r["n"], (d * lift + r["d"]) % PRIME, (e * lift + r["e"]) % PRIME
+    return rows.sparkSession.createDataFrame([(n, d, e)], "n long, d0 long, d1 long")
+
+
+def vector_facts(rows: DataFrame, id_: str, order: list[str], vector: str, model: str, most_length: int) -> dict:
+    """What a vector cache was made from: its manifest. Vectors of different lengths are an error."""
+    sizes = rows.agg(F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
+    if sizes["a"] != sizes["b"]:
+        raise ValueError(f"vectors of {sizes['a']} to {sizes['b']} numbers")
+    d = ordered_digest(rows, id_, order).first()
+    return {"model": model, "max_length": most_length, "dimension": sizes["a"], "count": d["n"], "digest": f"{d['d0']:016x}{d['d1']:016x}"}
+
+
 def missing(requested: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return requested.join(present, key, "left_anti")

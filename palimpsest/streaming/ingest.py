@@ -1,34 +1,111 @@
-"""Incremental ingestion: observations arrive as files, touched families are folded anew."""
+"""Incremental ingestion: each family's validity ranges are state, and only what changes of them is written.
+
+Observations (family, content, version, payload) arrive as files in any order, late ones and repeats included. The state of a (family,
+content) is its list of disjoint ranges; an observation extends one, joins two, or starts one. A batch hands on the ranges that went and the ranges that came,
+and these are merged into a table of copy-on-write buckets (sources.snapshots), each batch as one snapshot. So state read, rows handed on and buckets
+written are in proportion to the families that a batch touches. A batch that runs again after a failure hands on the same changes, which are
+put in by key and so change nothing more.
+
+The payload of a range is that of its earliest version, the least where several were seen. Observations without a version are ignored; null
+families and contents are keys like any other.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..sources.snapshots import Snapshots
+
+SCHEMA = "family long, content string, version int, payload string"
+STATE = "lows array<int>, highs array<int>, payloads array<string>"
+CHANGE = "family long, content string, version_low int, version_high int, payload string, present boolean"
+
+
+def _least(a: str | None, b: str | None) -> str | None:
+    return b if a is None else a if b is None else min(a, b)
+
 
-from ..operators.ranges import islands
+class Ranges:
+    """Disjoint ranges of whole numbers, never adjacent, each with the payload of its first."""
 
-SCHEMA = "family long, content string, version int"
+    def __init__(self, lows=(), highs=(), payloads=()):
+        self.lows, self.highs, self.payloads = list(lows), list(highs), list(payloads)
 
+    def add(self, v: int, payload: str | None) -> None:
+        i = bisect_right(self.lows, v) - 1
+        if i >= 0 and v <= self.highs[i]:
+            if v == self.lows[i]:
+                self.payloads[i] = _least(self.payloads[i], payload)
+            return
+        after, before = i + 1 < len(self.lows) and self.lows[i + 1] == v + 1, i >= 0 and self.highs[i] == v - 1
+        if before and after:
+            self.highs[i] = self.highs[i + 1]
+            for held in (self.lows, self.highs, self.payloads):
+                del held[i + 1]
+        elif before:
+            self.highs[i] = v
+        elif after:
+            self.lows[i + 1], self.payloads[i + 1] = v, payload
+        else:
+            for held, x in ((self.lows, v), (self.highs, v), (self.payloads, payload)):
+                held.insert(i + 1, x)
 
-def start(spark: SparkSession, source: str, observed: str, ranges: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Streams observation files (SCHEMA) into the table ``observed`` and keeps ``ranges`` = islands of all observations.
+    def rows(self) -> list[tuple]:
+        return list(zip(self.lows, self.highs, self.payloads))
 
-    A batch rewrites only the families it touches; a batch that runs again after a failure writes the same rows, since
-    observations are a set and each batch goes to a folder of its own.
-    """
 
-    def fold(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        batch.select("family", "content", "version").distinct().write.mode("overwrite").parquet(f"{observed}/batch={number}")
-        everything = session.read.parquet(observed).drop("batch").distinct()
-        touched = session.read.parquet(f"{observed}/batch={number}").select("family").distinct()
-        fresh = islands(everything.join(touched, "family", "left_semi"), ["family", "content"])
-        out = fresh
-        if number:
-            old = session.read.parquet(f"{ranges}/state={number - 1}")
-            out = old.join(touched, "family", "left_anti").unionByName(fresh)
-        out.write.mode("overwrite").parquet(f"{ranges}/state={number}")
+def folded(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+    """The changes to the ranges of one (family, content)."""
+    import pandas as pd
 
-    stream = spark.readStream.schema(SCHEMA).parquet(source)
-    writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    ranges = Ranges(*state.get) if state.exists else Ranges()
+    before = ranges.rows()
+    seen: dict[int, str | None] = {}
+    for frame in frames:
+        for v, p in zip(frame["version"], frame["payload"]):
+            if not pd.isna(v):
+                v, p = int(v), None if pd.isna(p) else p
+                seen[v] = _least(seen[v], p) if v in seen else p
+    for v in sorted(seen):
+        ranges.add(v, seen[v])
+    after = ranges.rows()
+    if after == before:
+        return
+    state.update((ranges.lows, ranges.highs, ranges.payloads))
+    changes = [(*key, *r, False) for r in before if r not in set(after)] + [(*key, *r, True) for r in after if r not in set(before)]
+    yield pd.DataFrame(changes, columns=["family", "content", "version_low", "version_high", "payload", "present"])
+
+
+def changes(observed: DataFrame) -> DataFrame:
+    """A stream of changes (CHANGE) of ranges from a stream of observations (SCHEMA)."""
+    return observed.groupBy("family", "content").applyInPandasWithState(folded, CHANGE, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def merged(table: Snapshots, batch: DataFrame) -> None:
+    """Puts a batch of changes into the table: one new snapshot, or none if nothing changed."""
+    keyed = batch.withColumn("range_id", F.sha2(F.to_json(F.struct("family", "content", "version_low")), 256)).persist()
+    try:
+        came = keyed.filter("present").select("range_id", "family", "content", "version_low", "version_high", "payload")
+        table.merge(came, keyed.filter("not present").select("range_id"))
+    finally:
+        keyed.unpersist()
+
+
+def start(spark: SparkSession, source: str, ranges: str, checkpoint: str, available_now: bool = True, files_a_batch: int | None = None, buckets: int = 64) -> StreamingQuery:
+    """Streams observation files (SCHEMA, Parquet) and keeps the table ``ranges`` (Snapshots by range_id) at the ranges of all of them."""
+    table = Snapshots(spark, ranges, "range_id", buckets)
+    reader = spark.readStream.schema(SCHEMA)
+    stream = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(source)
+    writer = changes(stream).writeStream.outputMode("update").foreachBatch(lambda batch, number: merged(table, batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current(spark: SparkSession, ranges: str) -> DataFrame:
+    """family, content, version_low, version_high, payload as of the last batch."""
+    return Snapshots(spark, ranges, "range_id").rows().drop("range_id")

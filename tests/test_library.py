@@ -10,7 +10,6 @@ from palimpsest.functions import versions as vs
 from palimpsest.operators import bm25, chunking, datasets, dense, metrics, ranges, retrieval
 from palimpsest.plans import catalog, retrieval as _queries  # noqa: F401
 from palimpsest.sources import files
-from palimpsest.streaming import ingest
 
 
 def test_jsonl_round_trip(spark, tmp_path):
@@ -90,19 +89,6 @@ def test_first_minor_has_none_before(spark):
         spark.range(1).select(vs.preceding(F.col("id").cast("int"))).collect()
 
 
-def test_streamed_ranges_equal_batch(spark, tmp_path):
-    src = str(tmp_path / "in")
-    rows = [(1, "a", 1), (1, "a", 2), (2, "b", 1)], [(1, "a", 3), (1, "c", 7)], [(2, "b", 3), (1, "a", 2)]
-    for part in rows:
-        spark.createDataFrame(list(part), ingest.SCHEMA).coalesce(1).write.mode("append").parquet(src)
-        q = ingest.start(spark, src, str(tmp_path / "obs"), str(tmp_path / "ranges"), str(tmp_path / "ck"))
-        q.awaitTermination(120)
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "ranges").glob("state=*"))
-    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/ranges/state={last}").collect()}
-    everything = spark.createDataFrame([r for p in rows for r in p], ingest.SCHEMA)
-    assert got == {tuple(r) for r in ranges.islands(everything, ["family", "content"]).collect()}
-
-
 def test_islands_of_a_family_are_disjoint(spark, data):
     snaps = catalog.snapshots(spark, data)
     assert ranges.overlap_count(snaps, "family").filter("overlaps > 0").count() == 0
