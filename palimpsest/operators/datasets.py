@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import range_join
+from .substrings import contains_join
+
 SEED, MOST_NEGATIVES, PER_FAMILY, GOLD_NEGATIVES, SIBLINGS = 20260805, 6, 3, 8, 6
 MINED_FROM, MINED = 30, 8
 
@@ -41,15 +44,22 @@ def family_negatives(examples: DataFrame, passages: DataFrame, most: int = MOST_
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("chunk_id", "version", "negative", "place")
 
 
+def _named(facts: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fact_id, chunk_id) of the passages that name a fact's API, and of those that name one of its resources."""
+    apis = contains_join(passages, facts, "chunk_id", "text", "fact_id", "api")
+    resources = facts.select("fact_id", F.explode("resources").alias("resource"))
+    return apis, contains_join(passages, resources, "chunk_id", "text", "fact_id", "resource").distinct()
+
+
 def removal_examples(facts: DataFrame, passages: DataFrame, versions: DataFrame) -> DataFrame:
     """(fact_id, version, positive, boundary) of every fact and version from its removal on that a guide passage covers.
 
-    Facts (fact_id, api, resources, removed) and guide passages (chunk_id, seq, text, range) are as many as a guide has. A passage is a
-    candidate if it names the API and one of the resources; the first by seq that covers the version is the positive.
+    A passage (chunk_id, seq, text, range) is a candidate if it names the API and one of the resources of a fact (fact_id, api, resources, removed); the
+    first by seq that covers the version is the positive. A passage's versions are listed, so that no range is joined by a loop.
     """
-    names = F.contains(F.col("text"), F.col("api")) & F.exists("resources", lambda r: F.contains(F.col("text"), r))
-    pairs = facts.join(passages, names)
-    at = pairs.join(versions, (F.col("version") >= F.col("removed")) & F.col("version").between(F.col("version_low"), F.col("version_high")))
+    apis, resources = _named(facts, passages)
+    pairs = apis.join(resources, ["fact_id", "chunk_id"]).join(facts.select("fact_id", "removed"), "fact_id")
+    at = pairs.join(range_join(versions, passages.select("chunk_id", "seq", "version_low", "version_high"), []), "chunk_id").filter("version >= removed")
     w = Window.partitionBy("fact_id", "version").orderBy("seq")
     first = at.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     return first.select("fact_id", "version", F.col("chunk_id").alias("positive"), (F.col("version") == F.col("removed")).alias("boundary"))
@@ -57,11 +67,12 @@ def removal_examples(facts: DataFrame, passages: DataFrame, versions: DataFrame)
 
 def sibling_negatives(examples: DataFrame, facts: DataFrame, passages: DataFrame, most: int = MOST_NEGATIVES) -> DataFrame:
     """(fact_id, version, negative, place): guide passages of other families that name a resource of the fact but not its API."""
+    apis, resources = _named(facts, passages)
     own = passages.select(F.col("chunk_id").alias("positive"), F.col("family").alias("_own"))
-    rows = examples.join(facts.select("fact_id", "api", "resources"), "fact_id").join(own, "positive")
-    named = ~F.contains(F.col("text"), F.col("api")) & F.exists("resources", lambda r: F.contains(F.col("text"), r)) & (F.col("family") != F.col("_own"))
+    others = resources.join(apis, ["fact_id", "chunk_id"], "left_anti").join(passages.select("chunk_id", "seq", "family"), "chunk_id")
+    rows = examples.select("fact_id", "version", "positive").join(own, "positive").join(others, "fact_id").filter("family <> _own")
     w = Window.partitionBy("fact_id", "version").orderBy("seq")
-    return rows.join(passages, named).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("fact_id", "version", F.col("chunk_id").alias("negative"), "place")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("fact_id", "version", F.col("chunk_id").alias("negative"), "place")
 
 
 def unanswerable(templates: DataFrame, versions: DataFrame, count: int, seed: int = SEED) -> DataFrame:
