@@ -44,7 +44,7 @@ PART = 80_000
 #: Bytes of stretches that a task scans, about; cells of a shard of the sketch; the fewest and the most cells, as powers of two.
 SCAN_BYTES, SHARD_CELLS, FEWEST_CELLS, MOST_CELLS = 32 << 20, 20, 20, 29
 #: Runs that a task gathers before it counts them; blobs of a shard that one task adds up.
-GATHERED, BLOBS = 3_000_000, 2048
+GATHERED, BLOBS = 8_000_000, 2048
 #: Phrases that a task gathers before it hands them on; phrases of a row; bytes of text that are looked at together, about.
 HANDED, ROW_PHRASES, CHUNK = 400_000, 5_000, 1 << 20
 _BREAKS = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
