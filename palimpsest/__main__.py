@@ -13,6 +13,7 @@ report FOLDER       Markdown of the results under FOLDER
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +22,23 @@ from .config import from_environment
 from .functions import text as fn
 from .functions import versions as vs
 from .operators import chunking, corpus, examples, facts, gate, metrics
-from .sources import files
-from .sources.files import read_tree
+from .sources import files, trees
 
 
 def ingest(spark: SparkSession, tree: str, out: str) -> None:
     """Writes OUT/chunks and OUT/facts; facts come from the newest version's files that have any."""
     s = from_environment()
-    found = read_tree(spark, tree).filter(F.col("version").between(s.version_low, s.version_high))
+    rows = trees.read(spark, tree, s.versions).persist()
+    for r in trees.skipped(rows).orderBy("version", "problem").collect():  # a row a version and problem
+        print(f"1.{r['version']}: {r['problem']} ({r['n']})", file=sys.stderr)
+    found = rows.filter("raw is not null").select("doc_path", "version", "raw")
     chunking.corpus(found, chunking.Sizes(s.target_chars, s.most_chars, s.least_chars)).write.mode("overwrite").parquet(f"{out}/chunks")
-    guides = found.filter(F.col("raw").rlike("(?m)^####\\s") & F.col("raw").contains("no longer")).withColumnRenamed("raw", "markdown")
-    facts.facts(facts.newest(guides)).write.mode("overwrite").parquet(f"{out}/facts")
+    guides = facts.newest(found.filter(F.col("raw").rlike("(?m)^####\\s") & F.col("raw").contains("no longer")).withColumnRenamed("raw", "markdown"))
+    facts.facts(guides).write.mode("overwrite").parquet(f"{out}/facts")
+    covered = facts.alerted(facts.coverage(guides)).first()
+    if covered["alert"]:
+        print(f"only {covered['facts']} of {covered['blocks']} blocks became facts", file=sys.stderr)
+    rows.unpersist()
 
 
 def stats(spark: SparkSession, out: str) -> DataFrame:

@@ -22,6 +22,14 @@ def decision(queries: DataFrame, hits: DataFrame, qid: str, floor: float = FLOOR
     return out.withColumn("decision", F.when(F.col("best").isNull(), "no_results").when(F.col("best") < floor, "low_confidence").otherwise("answered"))
 
 
+def outcome(decided: DataFrame, answers: DataFrame, qid: str) -> DataFrame:
+    """decided with what became of each query: its decision, or model_declined where an answer was asked for and the model (qid, stop_reason)
+    stopped by refusing."""
+    refused = answers.filter("stop_reason = 'refusal'").select(qid, F.lit(True).alias("_refused")).distinct()
+    out = decided.join(refused, qid, "left")
+    return out.withColumn("decision", F.when((F.col("decision") == "answered") & F.col("_refused"), "model_declined").otherwise(F.col("decision"))).drop("_refused")
+
+
 def scale_warning(decided: DataFrame, floor: float = FLOOR) -> DataFrame:
     """One row: whether the scores look as if they were on another scale than the floor (logits under a cosine floor, or the reverse)."""
     row = decided.agg(F.min("best").alias("least"), F.max("best").alias("most"))

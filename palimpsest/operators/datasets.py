@@ -95,6 +95,19 @@ def split_by_family(families: DataFrame, family: str, dev: float = 0.10, test: f
     return ranked.select(family, F.when(F.col("_r") <= cut[0], "dev").when(F.col("_r") <= cut[0] + cut[1], "test").otherwise("train").alias("split"))
 
 
+def split_examples(examples: DataFrame, dev: float = 0.10, test: float = 0.15, seed: int = SEED) -> DataFrame:
+    """examples (question, family, ...) with ``split``: by family, and those without a family (null or empty) each on its own, in the same shares.
+
+    A question without a family has no positive that could leak, so equal questions only stay together.
+    """
+    attached = F.coalesce(F.col("family").cast("string"), F.lit("")) != ""
+    key = F.when(attached, F.col("family").cast("string")).otherwise(F.col("question")).alias("_key")
+    rows = examples.select("*", attached.alias("_attached"), key)
+    by_family = split_by_family(rows.filter("_attached"), "_key", dev, test, seed).withColumn("_attached", F.lit(True))
+    alone = split_by_family(rows.filter("not _attached"), "_key", dev, test, seed).withColumn("_attached", F.lit(False))
+    return rows.join(by_family.unionByName(alone), ["_attached", "_key"]).drop("_attached", "_key")
+
+
 def leaks(examples: DataFrame, family: str) -> DataFrame:
     """Families in more than one split."""
     return examples.groupBy(family).agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
@@ -177,6 +190,29 @@ def pair_weights(labelled: DataFrame) -> DataFrame:
     return row.withColumn("pos_weight", F.greatest(F.lit(1.0), F.coalesce(F.try_divide("negatives", "positives"), F.lit(1.0))))
 
 
+#: Share of an example's texts that may be missing before pairs are of no use.
+MOST_MISSING = 0.5
+
+
+def with_texts(labelled: DataFrame, texts: DataFrame, most_missing: float = MOST_MISSING) -> DataFrame:
+    """Labelled pairs (query_id, id, label, ...) with the text of each id; pairs without one are left out, and too large a share of them is an error.
+
+    The shares are counted in one pass before anything is returned.
+    """
+    met = labelled.join(texts.select("id", "text"), "id", "left")
+    seen = met.agg(F.count("*").alias("all"), F.count_if(F.col("text").isNull()).alias("bare")).first()
+    if seen["bare"] > most_missing * seen["all"]:
+        raise ValueError(f"{seen['bare']} of {seen['all']} pairs have no text: the examples are of another corpus")
+    return met.filter("text is not null")
+
+
+def mined_shares(mined_rows: DataFrame, positives: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: mined negatives, those of the positive's own document, and their share."""
+    doc = lambda name, to: documents.select(F.col("id").alias(name), F.col("doc_path").alias(to))
+    rows = mined_rows.join(positives, "query_id").join(doc("id", "_a"), "id", "left").join(doc("positive_id", "_b"), "positive_id", "left")
+    return rows.agg(F.count("*").alias("negatives"), F.count_if(F.col("_a") == F.col("_b")).alias("same_document")).withColumn("share", F.round(F.try_divide("same_document", "negatives"), 6))
+
+
 def evaluation_documents(examples: DataFrame, negatives: DataFrame) -> DataFrame:
     """Distinct ids of positives and negatives."""
     return examples.select(F.col("positive_id").alias("id")).unionByName(negatives.select("id")).distinct()

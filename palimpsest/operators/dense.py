@@ -73,6 +73,15 @@ def _searched(block: list, passages: DataFrame, k: int, filtered: bool, digits:
     return passages.filter(F.size("embedding") == width).mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+def same_length(queries: DataFrame, passages: DataFrame) -> int | None:
+    """The one length of all vectors (embedding), null ones apart; an index of one model has no other, so a second length is an error."""
+    sizes = lambda df: df.filter("embedding is not null").agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    found = {n for df in (queries, passages) for n in sizes(df) if n is not None}
+    if len(found) > 1:
+        raise ValueError(f"vectors of {min(found)} to {max(found)} numbers")
+    return next(iter(found), None)
+
+
 def top_k(queries: DataFrame, passages: DataFrame, k: int, filtered: bool, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, score, rank): the k passages (vec_id, embedding, version_low, version_high) nearest to each query.
 

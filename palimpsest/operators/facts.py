@@ -64,6 +64,15 @@ def coverage(guides: DataFrame) -> DataFrame:
     return seen.crossJoin(facts(guides).agg(F.count("*").alias("facts"))).withColumn("coverage", F.coalesce(F.try_divide("facts", "blocks"), F.lit(0.0)))
 
 
+#: Share of blocks that become facts below which a guide's form has likely changed.
+LEAST_COVERAGE = 0.9
+
+
+def alerted(covered: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
+    """coverage() with ``alert``: whether there are blocks and too few of them became facts."""
+    return covered.withColumn("alert", (F.col("blocks") > 0) & (F.col("coverage") < least))
+
+
 def newest(guides: DataFrame) -> DataFrame:
     """The guides of the one newest version."""
     last = guides.agg(F.max("version").alias("_last"))  # one row

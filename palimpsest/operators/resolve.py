@@ -41,8 +41,13 @@ def inferred(queries: DataFrame, facts: DataFrame, least: int, qid: str, text: s
 
 
 def resolved(queries: DataFrame, facts: DataFrame, least: int, most: int, qid: str = "query_id", text: str = "query", compatible: bool = True, param: str | None = None) -> DataFrame:
-    """(qid, version, source, evidence) with the version clamped to the window; a column ``param`` overrides what the text says."""
+    """(qid, version, source, evidence) with the version clamped to the window; a column ``param`` overrides what the text says.
+
+    An override is a minor number, or text like "1.31"; text that is no version ends the query, a null one overrides nothing.
+    """
     fixed = F.col(param) if param else F.lit(None).cast("int")
+    if param and queries.schema[param].dataType.simpleString() == "string":
+        fixed = F.when(fixed.isNotNull(), vs.parse(fixed)["minor"])
     clamped = lambda c: vs.clamp(c, F.lit(least), F.lit(most))
     out = queries.withColumns({"_s": stated(F.col(text), compatible), "_p": fixed}).join(inferred(queries, facts, least, qid, text), qid, "left")
     source = F.when(F.col("_p").isNotNull() | F.col("_s").isNotNull(), "explicit").when(F.col("bound").isNotNull(), "inferred").otherwise("defaulted")
