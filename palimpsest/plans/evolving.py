@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus
+from ..operators import corpus, intervals
 from ..sources import scratch
 from ..sources.snapshots import Snapshots
 from ..streaming import ingest
@@ -48,3 +48,20 @@ SELECT count(*) AS n, {_horner('a')} AS d0, {_horner('b')} AS d1 FROM x""")
 def ordered_digest(spark: SparkSession, d: str) -> DataFrame:
     """Digest of the vectors' ids in the order of label and id."""
     return corpus.ordered_digest(table(spark, d, "embeddings"), "vec_id", ["label", "vec_id"])
+
+
+@query("""SELECT a.event_id, count(*) AS followed FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 36 HOUR GROUP BY a.event_id""")
+def events_within(spark: SparkSession, d: str) -> DataFrame:
+    """How many events of the same user follow each event within 36 hours, itself included: intervals of 129,600,000,001 microseconds."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    spans = e.select("user_id", "event_id", F.col("at").alias("low"), (F.col("at") + 36 * 3_600_000_000).alias("high"))
+    return intervals.stabbing_join(e.select("user_id", "at"), spans, ["user_id"], "at", "low", "high").groupBy("event_id").agg(F.count("*").alias("followed"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, epoch_us(CAST(l_shipdate AS TIMESTAMP)) AS low, epoch_us(CAST(l_shipdate AS TIMESTAMP)) + CAST(l_quantity AS BIGINT) * 3600000000 AS high FROM lineitem)
+SELECT a.l_suppkey, count(*) AS pairs FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND a.low <= b.high AND b.low <= a.high AND (a.l_orderkey, a.l_linenumber) < (b.l_orderkey, b.l_linenumber) GROUP BY a.l_suppkey""")
+def shipments_at_once(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs of a supplier's shipments are on the way at once, each for as many hours as its quantity."""
+    low = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    spans = table(spark, d, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("line"), low.alias("low"), (low + F.col("l_quantity").cast("long") * 3_600_000_000).alias("high"))
+    return intervals.overlapping(spans, spans, ["l_suppkey"], "line", "low", "high").filter("a_line < b_line").groupBy("l_suppkey").agg(F.count("*").alias("pairs"))
