@@ -5,7 +5,10 @@ stats OUT           statistics of ingested passages
 query NAME FOLDER   a registered query over a folder of tables
 gate BASELINE RUN   regressions of RUN against BASELINE (tables of config, metric, value, degraded); exit code 1 if any; a BASELINE
                     that isn't there yet is written from RUN
-dataset OUT         questions about changed sections of ingested passages, as OUT/examples
+dataset OUT         questions of all kinds about ingested passages, as OUT/examples and OUT/splits/<train, dev, test>
+mine-negatives OUT SPLIT
+                    hard negatives of other families for a split's questions, as OUT/mined/<split>
+eval OUT SPLIT      lexical retrieval on a split, with and without the version filter, as OUT/results
 gold SPECS OUT      questions of a YAML file bound to ingested passages, as OUT/gold; exit code 1 if any can't be bound
 report FOLDER       Markdown of the results under FOLDER
 """
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from .config import from_environment
 from .functions import text as fn
 from .functions import versions as vs
-from .operators import chunking, corpus, examples, facts, gate, metrics
+from .operators import chunking, corpus, examples, facts, gate, metrics, workflow
 from .sources import files, trees
 
 
@@ -45,12 +48,6 @@ def stats(spark: SparkSession, out: str) -> DataFrame:
     return corpus.stats(spark.read.parquet(f"{out}/chunks"), "family_id", "doc_path")
 
 
-def dataset(spark: SparkSession, out: str) -> int:
-    passages = spark.read.parquet(f"{out}/chunks").withColumnRenamed("family_id", "family")
-    made = examples.changed(passages.withColumn("topic", fn.topic(F.col("heading_path"))), from_environment().seed)
-    return files.write_examples(examples.assembled([made], from_environment().seed), f"{out}/examples")
-
-
 def gold(spark: SparkSession, specs: str, out: str) -> DataFrame:
     """Writes OUT/gold and returns what couldn't be bound."""
     asked = files.read_gold(spark, specs).withColumn("want_version", vs.parse(F.col("version"))["minor"]).drop("version")
@@ -80,7 +77,7 @@ def _table(spark: SparkSession, path: str) -> DataFrame:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="palimpsest", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for verb, names in {"ingest": ("tree", "out"), "stats": ("out",), "query": ("name", "folder"), "gate": ("baseline", "run"), "dataset": ("out",), "gold": ("specs", "out"), "report": ("results",)}.items():
+    for verb, names in {"ingest": ("tree", "out"), "stats": ("out",), "query": ("name", "folder"), "gate": ("baseline", "run"), "dataset": ("out",), "mine-negatives": ("out", "split"), "eval": ("out", "split"), "gold": ("specs", "out"), "report": ("results",)}.items():
         sub = verbs.add_parser(verb)
         for n in names:
             sub.add_argument(n)
@@ -91,11 +88,13 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "stats":
         stats(spark, a.out).show(truncate=False)
     elif a.verb == "query":
-        from .plans import catalog, fixtures, relational, retrieval  # noqa: F401
+        from .plans import catalog, evolving, fixtures, relational, retrieval, texts  # noqa: F401
 
         catalog.QUERIES[a.name](spark, a.folder).show(100, truncate=80)
     elif a.verb == "dataset":
-        print(dataset(spark, a.out))
+        workflow.build(spark, a.out, from_environment()).show(truncate=False)
+    elif a.verb in ("mine-negatives", "eval"):
+        (workflow.mine if a.verb == "mine-negatives" else workflow.evaluate)(spark, a.out, a.split).show(1000, truncate=False)
     elif a.verb == "report":
         print(files.results_document(spark, a.results, metrics.NAMES))
     else:

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Parts in which the first ids of a value are looked for.
+PARTS = 64
 #: Asked terms that may be sent to every task.
 NEAR_TERMS = 1_000_000
 
@@ -66,8 +68,9 @@ def top_k(scored: DataFrame, queries: DataFrame, passages: DataFrame, qid: str,
     most = short.agg(F.max(F.coalesce("_s", F.lit(0)))).first()[0]
     both = rounded.select(qid, id_, "score")
     if most is not None:
-        place = F.row_number().over(Window.partitionBy(by_).orderBy(id_))
-        lowest = pool.withColumn("_n", place).filter(F.col("_n") <= k + int(most)).drop("_n")
+        first = lambda df, *keys: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(id_))).filter(F.col("_n") <= k + int(most)).drop("_n")
+        dealt = pool.withColumn("_part", F.pmod(F.xxhash64(id_), F.lit(PARTS)))  # the first of each part first, so that no task ranks all ids
+        lowest = first(first(dealt, by_, "_part").drop("_part"), by_)
         zeros = short.select(qid, by_).join(lowest, by_).join(rounded.select(qid, id_), [qid, id_], "left_anti")
         both = both.unionByName(zeros.select(qid, id_, F.lit(0.0).alias("score")))
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), id_)
