@@ -88,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "stats":
         stats(spark, a.out).show(truncate=False)
     elif a.verb == "query":
-        from .plans import catalog, evolving, fixtures, relational, retrieval, texts  # noqa: F401
+        from .plans import catalog, evolving, fixtures, relational, retrieval, texts, written  # noqa: F401
 
         catalog.QUERIES[a.name](spark, a.folder).show(100, truncate=80)
     elif a.verb == "dataset":
