@@ -1,9 +1,10 @@
 """Joins of points with long intervals, and of intervals with each other, as equi-joins.
 
-A whole-number interval is cut into blocks of 16**level points that lie on multiples of their size, the largest that fit: at most 30 a level, so a few
-dozen rows however long it is. A point lies in one block of each level; it is listed under those levels that any interval uses, and lies in
-exactly one block of each interval that holds it. So the join on (keys, level, block) gives every pair once, with rows shuffled near the input's, and no
-version-by-version listing (ranges.expanded) or nested loop. Timestamps go in as microseconds.
+A level's blocks are 4**level points long and lie on multiples of that. An interval takes the lowest level at which it touches at most BLOCKS blocks, and
+is listed under each of them, so it has two to eight rows however long it is. A point is listed once for each level that any interval
+takes, which is one where intervals are of one length. Rows meet on (keys, level, block); the bounds then decide at an interval's two end blocks. A point
+has one block a level, so every pair comes once. Rows shuffled stay near the input's, there is no version-by-version listing
+(ranges.expanded) and no nested loop. Timestamps go in as microseconds.
 
 Bounds are inclusive. Intervals with a null bound, or that end before they begin, hold nothing; null points lie in none; null keys match none. Values must lie
 within 2**59 of zero. Repeated rows pair each time.
@@ -11,36 +12,23 @@ within 2**59 of zero. Repeated rows pair each time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits by which a level's blocks are larger than those of the level below; levels.
-STEP, LEVELS = 4, 15
-
-
-def _blocks(low: Column, end: Column) -> Column:
-    """Array of (level, block) of the points from low up to before end."""
-    first = [F.shiftright(low + F.lit((1 << STEP * i) - 1), STEP * i) for i in range(LEVELS + 1)]
-    last = [F.shiftright(end, STEP * i) for i in range(LEVELS + 1)]
-    listed = lambda i, a, b: F.transform(F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>")), lambda x: F.struct(F.lit(i).alias("level"), x.alias("block")))
-    out = []
-    for i in range(LEVELS):
-        above = first[i + 1] < last[i + 1]  # larger blocks take the middle
-        left = listed(i, first[i], F.when(above, first[i + 1] * (1 << STEP)).otherwise(last[i]))
-        right = listed(i, F.when(above, last[i + 1] * (1 << STEP)).otherwise(last[i]), last[i])
-        out.append(F.concat(left, right))
-    return F.concat(*out)
+#: Blocks that an interval touches at most, and levels.
+BLOCKS, LEVELS = 8, 32
 
 
 def stabbing_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, low: str, high: str) -> DataFrame:
     """Points with the intervals of the same keys that hold them: all columns of both, keys once. Other column names must differ."""
-    whole = intervals.filter(F.col(low) <= F.col(high))
-    cut = whole.withColumn("_b", F.explode(_blocks(F.col(low).cast("long"), F.col(high).cast("long") + 1))).select("*", "_b.level", "_b.block").drop("_b")
-    cut = cut.withColumnsRenamed({"level": "_level", "block": "_block"})
-    levels = sorted(r[0] for r in cut.select("_level").distinct().collect())  # LEVELS at most
-    place = F.array(*(F.struct(F.lit(i).alias("level"), F.shiftright(F.col(at).cast("long"), STEP * i).alias("block")) for i in levels)) if levels else F.array().cast("array<struct<level:int,block:bigint>>")
-    listed = points.withColumn("_b", F.explode(place)).select("*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).drop("_b")
-    return listed.join(cut, [*keys, "_level", "_block"]).drop("_level", "_block")
+    whole = intervals.filter(F.col(low) <= F.col(high)).withColumns({"_lo": F.col(low).cast("long"), "_hi": F.col(high).cast("long")})
+    level = F.expr(f"array_min(filter(sequence(0, {LEVELS - 1}), i -> shiftright(_hi, 2 * i) - shiftright(_lo, 2 * i) < {BLOCKS}))")
+    listed = whole.withColumn("_level", level).withColumn("_block", F.explode(F.expr("sequence(shiftright(_lo, 2 * _level), shiftright(_hi, 2 * _level))")))
+    levels = sorted(r[0] for r in whole.select(level.alias("l")).distinct().collect())  # LEVELS at most
+    place = F.array(*(F.lit(i) for i in levels)) if levels else F.array().cast("array<int>")
+    asked = points.withColumn("_at", F.col(at).cast("long")).withColumn("_level", F.explode(place)).withColumn("_block", F.expr("shiftright(_at, 2 * _level)"))
+    met = asked.join(listed, [*keys, "_level", "_block"]).filter(F.col("_at").between(F.col("_lo"), F.col("_hi")))
+    return met.drop("_level", "_block", "_at", "_lo", "_hi")
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], id_: str, low: str, high: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions import versions as vs
-from ..operators import answer, chunking, facts, resolve
+from ..operators import answer, chunking, datasets, facts, resolve
 from .catalog import query, table
 
 #: Sizes that keep every section whole.
@@ -120,3 +120,34 @@ def removed_parts(spark: SparkSession, d: str) -> DataFrame:
     guides = rows.groupBy(F.col("p_brand").alias("doc_path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "b"))), lambda x: x["b"]), "\n").alias("markdown"))
     out = facts.facts(guides)
     return out.select("removed_in", "api", F.array_join("resources", ",").alias("resources"), "replacement_since").distinct()
+
+
+_REMOVED = """f AS (SELECT p_brand || '|' || p_type AS fact_id, p_brand AS api, p_type AS resource, CAST(min(p_size % 12 + 24) AS INTEGER) AS removed FROM part GROUP BY p_brand, p_type),
+p AS (SELECT p_partkey AS chunk_id, p_size % 7 AS family, 'About ' || p_brand || ' of ' || p_type AS body, p_size % 6 + 24 AS lo, p_size % 6 + 24 + p_partkey % 8 AS hi FROM part),
+m AS (SELECT fact_id, CAST(v AS INTEGER) AS version, chunk_id AS positive, v = removed AS boundary, row_number() OVER (PARTITION BY fact_id, v ORDER BY chunk_id) AS n FROM f JOIN p ON contains(body, api) AND contains(body, resource) JOIN range(24, 36) AS r(v) ON v >= removed AND v BETWEEN lo AND hi)"""
+
+
+def _removed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts, passages and versions: a brand counts as an API, a part's type as its resource, and every part is a passage."""
+    part = table(spark, d, "part")
+    known = part.groupBy("p_brand", "p_type").agg(F.min(F.col("p_size") % 12 + 24).cast("int").alias("removed"))
+    known = known.select(F.concat("p_brand", F.lit("|"), "p_type").alias("fact_id"), F.col("p_brand").alias("api"), F.array("p_type").alias("resources"), "removed")
+    low = (F.col("p_size") % 6 + 24).cast("int")
+    body = F.concat(F.lit("About "), "p_brand", F.lit(" of "), "p_type")
+    passages = part.select(F.col("p_partkey").alias("chunk_id"), F.col("p_partkey").alias("seq"), (F.col("p_size") % 7).alias("family"), body.alias("text"), low.alias("version_low"), (low + (F.col("p_partkey") % 8).cast("int")).alias("version_high"))
+    return known, passages, spark.range(24, 36).select(F.col("id").cast("int").alias("version"))
+
+
+@query(f"WITH {_REMOVED} SELECT fact_id, version, positive, boundary FROM m WHERE n = 1")
+def part_removals(spark: SparkSession, d: str) -> DataFrame:
+    """For every fact and version from its removal on, the first passage that names it and covers the version."""
+    return datasets.removal_examples(*_removed(spark, d))
+
+
+@query(f"""WITH {_REMOVED}, s AS (SELECT m.fact_id, m.version, p.chunk_id AS negative, CAST(row_number() OVER (PARTITION BY m.fact_id, m.version ORDER BY p.chunk_id) AS INTEGER) AS place
+FROM m JOIN f ON f.fact_id = m.fact_id JOIN p AS o ON o.chunk_id = m.positive JOIN p ON contains(p.body, f.resource) AND NOT contains(p.body, f.api) AND p.family <> o.family WHERE m.n = 1)
+SELECT fact_id, version, negative, place FROM s WHERE place <= 6""")
+def part_siblings(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of other families that name a fact's resource but not its API, the first six of each example."""
+    known, passages, versions = _removed(spark, d)
+    return datasets.sibling_negatives(datasets.removal_examples(known, passages, versions), known, passages)
