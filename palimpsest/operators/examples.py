@@ -18,7 +18,7 @@ from . import corpus, datasets
 
 REMOVED = ("Does {version} still serve {api} for {resource}?", "What do I use for {resource} in {version} instead of {api}?", "A manifest of {resource} names {api}. Will {version} accept it?")
 BOUNDARY = ("Which release was the first without {api} for {resource}?", "Until when could {resource} use {api}?")
-SECTION = ("How does {topic} work in {version}?", "What should I know about {topic} in {version}?", "Explain {topic} as of {version}.")
+SECTION = ("Which rules hold for {topic} with {version}?", "I use {version}: where do I begin with {topic}?", "Summarise {topic} for readers on {version}.")
 
 
 def rendered(templates: tuple[str, ...], key: list[Column], **slots: Column) -> Column:

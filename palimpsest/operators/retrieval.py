@@ -10,32 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Hits that a search hands on, hits of a finished ranking.
+SEARCHED, SHOWN = 50, 20
+
+
 @dataclass(frozen=True)
 class Config:
-    """What one row of an ablation turns on."""
+    """One row of an ablation: its steps in order ("dense", "lexical", "rerank"), each with how many hits it gives, whether searches see only
+    passages that cover the question's version, and what encodes."""
 
     name: str
-    use_dense: bool = True
-    use_bm25: bool = False
-    version_filter: bool = False
-    rerank: bool = False
+    steps: tuple[tuple[str, int], ...] = (("dense", SEARCHED),)
+    covering: bool = False
     encoder: str = "base"
-    recall_k: int = 50
-    final_k: int = 20
 
     @property
     def cache_key(self) -> str:
         return "".join(c if c.isalnum() else "_" for c in self.encoder)
 
 
-#: Each row turns on one thing more than the row it builds on.
+_DENSE, _LEXICAL, _RERANK = ("dense", SEARCHED), ("lexical", SEARCHED), ("rerank", SHOWN)
+#: Each row takes one thing more than the row it builds on.
 LADDER = (
-    Config("bm25", use_dense=False, use_bm25=True),
-    Config("dense"),
-    Config("dense_filtered", version_filter=True),
-    Config("tuned_filtered", version_filter=True, encoder="tuned"),
-    Config("reranked", version_filter=True, encoder="tuned", rerank=True),
-    Config("hybrid_reranked", version_filter=True, encoder="tuned", rerank=True, use_bm25=True),
+    Config("bm25", (_LEXICAL,)),
+    Config("dense", (_DENSE,)),
+    Config("dense_filtered", (_DENSE,), True),
+    Config("tuned_filtered", (_DENSE,), True, "tuned"),
+    Config("reranked", (_DENSE, _RERANK), True, "tuned"),
+    Config("hybrid_reranked", (_DENSE, _LEXICAL, _RERANK), True, "tuned"),
 )
 
 
@@ -79,23 +81,23 @@ class Pipeline:
 
     def hits(self, top_k: int = 0) -> DataFrame:
         """(query_id, vec_id, score, rank, stage) with at most top_k (or the configuration's number of) hits a query."""
-        c, k = self.config, top_k or self.config.final_k
-        found = None
-        if c.use_dense:
-            if self.dense is None:
-                raise ValueError(f"{c.name} needs a dense index")
-            found = self.dense(c.recall_k, c.version_filter).withColumn("stage", F.lit("dense"))
-        if c.use_bm25:
-            if self.lexical is None:
-                raise ValueError(f"{c.name} needs a lexical index")
-            lexical = self.lexical(c.recall_k, c.version_filter)
-            found = union(found.drop("stage"), lexical, "query_id", "vec_id") if found is not None else lexical.withColumn("stage", F.lit("bm25"))
+        c, k, found = self.config, top_k or SHOWN, None
+        for step, n in c.steps:
+            part = {"dense": self.dense, "lexical": self.lexical, "rerank": self.scorer}[step]
+            if part is None:
+                raise ValueError(f"{c.name} has nothing for its step {step}")
+            if step == "rerank":
+                if found is None:
+                    raise ValueError(f"{c.name} reranks before it searches")
+                found = reranked(found, part(found), "query_id", "vec_id", top_k or n)
+            elif found is None:
+                found = part(n, c.covering)
+            else:
+                found = union(found, part(n, c.covering), "query_id", "vec_id")
+            if "stage" not in found.columns or step == "rerank":
+                found = found.withColumn("stage", F.lit({"lexical": "bm25"}.get(step, step)))
         if found is None:
             raise ValueError(f"{c.name} retrieves nothing")
-        if c.rerank:
-            if self.scorer is None:
-                raise ValueError(f"{c.name} needs a scorer")
-            found = reranked(found, self.scorer(found), "query_id", "vec_id", k).withColumn("stage", F.lit("rerank"))
         return found.filter(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank", "stage")
 
     def labelled(self, table: DataFrame) -> DataFrame:

@@ -455,5 +455,5 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {VQ}, {FILTERED}, {_lexical_sql('fl', COVERS)}, {_union_sql('un', 'fhits', 'fl')}, {_RERANKED} SELECT query_id, vec_id, score, rank, 'rerank' AS stage FROM rr WHERE rank <= 20")
 def pipeline_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """The last row of the ladder with stand-ins for learned parts."""
-    config = retrieval.Config("hybrid_reranked", use_bm25=True, version_filter=True, rerank=True, recall_k=K)
+    config = retrieval.Config("hybrid_reranked", (("dense", K), ("lexical", K), ("rerank", retrieval.SHOWN)), True)
     return _pipeline(spark, d, config).hits()

@@ -132,7 +132,7 @@ def test_table_marks_the_best_of_several():
 
 def test_ladder_changes_one_thing_a_row():
     by = {c.name: c for c in retrieval.LADDER}
-    flags = lambda c: (c.use_dense, c.use_bm25, c.version_filter, c.rerank, c.encoder)
+    flags = lambda c: (*(s in dict(c.steps) for s in ("dense", "lexical", "rerank")), c.covering, c.encoder)
     for a, b in (("dense", "dense_filtered"), ("dense_filtered", "tuned_filtered"), ("tuned_filtered", "reranked"), ("reranked", "hybrid_reranked")):
         assert sum(x != y for x, y in zip(flags(by[a]), flags(by[b]))) == 1
     with pytest.raises(ValueError):
