@@ -1,21 +1,22 @@
 """Exact similarity search over stored vectors.
 
-Queries go out in blocks of ``BLOCK``, one pass over the passages a block. A task multiplies tiles of queries and passages and keeps
+Up to ``BLOCK`` queries are sent to every task, in one pass over the passages. A task multiplies tiles of queries and passages and keeps
 the k best of each query as it goes, so its memory is bounded and k rows a query and task leave it. Filters act before the cut.
+More queries stay a table and meet the passages on a grid of blocks (``grid``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries sent to every task at once; queries and passages of a tile.
+#: Most queries that are sent to every task; queries and passages of a tile.
 BLOCK, TILE_QUERIES, TILE_ROWS = 16_384, 1024, 4096
 
 
@@ -90,15 +91,15 @@ def top_k(queries: DataFrame, passages: DataFrame, k: int, filtered: bool, digit
     null elements and passages of another length than a query's are left out for it.
     """
     whole = lambda df: df.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
-    rows = whole(queries).select("query_id", F.col("embedding").cast("array<double>").alias("e"), "version").orderBy(F.size("e"), "query_id").toLocalIterator()
+    asks = whole(queries).select("query_id", F.col("embedding").cast("array<double>").alias("e"), "version")
+    rows = asks.limit(BLOCK + 1).collect()
+    if len(rows) > BLOCK:
+        from . import grid
+
+        return grid.top_k(queries, passages, k, filtered, digits)
     ready = whole(passages.select("vec_id", "embedding", F.coalesce("version_low", F.lit(1 << 30)).alias("version_low"), F.coalesce("version_high", F.lit(-1)).alias("version_high")).filter("vec_id is not null"))
-    parts, held = [], list(islice(rows, BLOCK))
-    while held:
-        width = len(held[0][1])
-        block = [r for r in held if len(r[1]) == width]  # in order of length
-        parts.append(_searched(block, ready, k, filtered, digits))
-        held = held[len(block) :]
-        held += islice(rows, BLOCK - len(held))
+    by_length = groupby(sorted(rows, key=lambda r: len(r[1])), key=lambda r: len(r[1]))
+    parts = [_searched(list(block), ready, k, filtered, digits) for _, block in by_length]
     if not parts:
         return ready.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     best = reduce(DataFrame.unionByName, parts)

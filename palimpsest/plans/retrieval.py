@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import answer, bm25, datasets, dense, examples, gate, metrics, ranges, retrieval
+from ..operators import answer, bm25, datasets, dense, examples, gate, grid, metrics, ranges, retrieval
 from .catalog import SNAP, VEC, VQ, literal, query, snapshots, table, vector_queries, vectors
 
 K = 20
@@ -38,6 +38,13 @@ def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d, True)
 
 
+@query(f"WITH {VEC}, vq AS (SELECT vec_id AS query_id, embedding, version_low AS version FROM vec), {_ranked('hits', COVERS, 6)} SELECT * FROM hits")
+def dense_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector's six nearest among those that cover its first version, itself included: the queries are a whole table, so they meet on a grid."""
+    v = vectors(spark, d)
+    return grid.top_k(v.select(F.col("vec_id").alias("query_id"), "embedding", F.col("version_low").alias("version")), v, 6, True)
+
+
 # BM25: every benchmark text asks, all documents answer.
 
 
