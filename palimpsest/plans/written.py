@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions import versions as vs
-from ..operators import answer, chunking, datasets, facts, resolve
+from ..operators import answer, chunking, datasets, facts, outline, resolve
 from .catalog import query, table
 
 #: Sizes that keep every section whole.
@@ -151,3 +151,41 @@ def part_siblings(spark: SparkSession, d: str) -> DataFrame:
     """Passages of other families that name a fact's resource but not its API, the first six of each example."""
     known, passages, versions = _removed(spark, d)
     return datasets.sibling_negatives(datasets.removal_examples(known, passages, versions), known, passages)
+
+
+# Conversations as outlines: a turn is a heading, its depth the role's, and its text follows; every fifth turn quotes it in a fence, behind a false heading.
+
+_DEPTHS = {"system": 1, "user": 2, "assistant": 3}
+_TURNS = f"""t AS (SELECT conv_id, turn, coalesce(text, '') AS text, role || ' ' || turn AS h, CASE role {' '.join(f"WHEN '{r}' THEN {n}" for r, n in _DEPTHS.items())} ELSE 4 END AS d, turn % 5 = 4 AS quoted FROM conversations),
+tw AS (SELECT *, {', '.join(f"max(CASE WHEN d = {n} THEN turn END) OVER w AS l{n}, max(CASE WHEN d < {n} THEN turn END) OVER w AS a{n}" for n in (1, 2, 3, 4))}, row_number() OVER w AS section FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT tw.conv_id, tw.section, tw.quoted, tw.text, {', '.join(f"(SELECT u.h FROM t u WHERE u.conv_id = tw.conv_id AND u.turn = tw.l{n} AND coalesce(tw.l{n} > tw.a{n}, true)) AS h{n}" for n in (1, 2, 3, 4))} FROM tw),
+q AS (SELECT conv_id, section, quoted, text, array_to_string(list_filter([h1, h2, h3, h4], lambda h: h IS NOT NULL), ' > ') AS heading_path FROM p)"""
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """(conv_id, turn, part): each turn's Markdown."""
+    depth = F.lit(4)
+    for role, n in _DEPTHS.items():
+        depth = F.when(F.col("role") == role, n).otherwise(depth)
+    text = F.coalesce("text", F.lit(""))
+    body = F.when(F.col("turn") % 5 == 4, _text("~~~\n# quoted\n```\n", text, "\n~~~")).otherwise(text)
+    return table(spark, d, "conversations").select("conv_id", "turn", _text(F.repeat(F.lit("#"), depth.cast("int")), " ", F.col("role"), " ", F.col("turn"), "\n", body).alias("part"))
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, CAST(section AS INTEGER) AS section, heading_path, CASE WHEN quoted THEN '~~~' || chr(10) || '# quoted' || chr(10) || '```' || chr(10) || text || chr(10) || '~~~' ELSE text END AS body FROM q")
+def conversation_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of conversations, each a text of Markdown, by a lateral table function; the empty one before the first heading is left out."""
+    parts = F.array_sort(F.collect_list(F.struct("turn", "part")))
+    texts = _turns(spark, d).groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n").alias("text"))
+    found = outline.sections_of(texts, "text").filter("section > 0")
+    return found.select("conv_id", "section", F.array_join("heading_path", " > ").alias("heading_path"), F.regexp_replace("body", "^\n|\n$", "").alias("body"))
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, CAST(section AS INTEGER) AS section, heading_path, CAST(1 + len(text) - len(replace(text, chr(10), '')) + CASE WHEN quoted THEN 4 ELSE 0 END AS BIGINT) AS lines,
+CAST(CASE WHEN quoted THEN 5 + len(text) - len(replace(text, chr(10), '')) ELSE 0 END AS BIGINT) AS fenced FROM q""")
+def conversation_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Lines and fenced lines under each heading, by a table function over the lines in order."""
+    lines = outline.lines_of(_turns(spark, d), "conv_id", "turn", text="part")
+    rows = outline.outlined(lines, F.col("conv_id"), F.col("turn") * (1 << 32) + F.col("line"), F.col("text"))
+    path = F.array_join(F.max("heading_path"), " > ").alias("heading_path")
+    return rows.groupBy("key", "section").agg(path, F.count_if(~F.col("heading")).alias("lines"), F.count_if("fenced").alias("fenced")).select(F.col("key").cast("long").alias("conv_id"), "section", "heading_path", "lines", "fenced")

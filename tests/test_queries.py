@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from palimpsest.plans import catalog, fixtures, relational, retrieval  # noqa: F401
+from palimpsest.plans import catalog, evolving, fixtures, relational, retrieval, texts, written  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
