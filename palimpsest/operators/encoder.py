@@ -113,9 +113,10 @@ def untrained(settings: Settings = Settings()) -> Encoder:
 
 def _batches(pairs: DataFrame, question: Column, positive: Column, s: Settings) -> tuple[DataFrame, str]:
     """One row a batch, written; and its folder."""
-    rows = pairs.select(bucketed(question, s.buckets).alias("q"), bucketed(positive, s.buckets).alias("p")).filter("size(q) > 0 and size(p) > 0")
-    rows = rows.groupBy(F.xxhash64("q", "p").alias("key")).agg(F.first("q").alias("q"), F.first("p").alias("p"))  # equal pairs before they meet in a batch
     folder = scratch.folder(pairs.sparkSession, "encoder")
+    pairs.select(bucketed(question, s.buckets).alias("q"), bucketed(positive, s.buckets).alias("p")).write.parquet(f"{folder}/buckets")  # once: terms are dear
+    rows = pairs.sparkSession.read.parquet(f"{folder}/buckets").filter("size(q) > 0 and size(p) > 0")
+    rows = rows.groupBy(F.xxhash64("q", "p").alias("key")).agg(F.first("q").alias("q"), F.first("p").alias("p"))  # equal pairs before they meet in a batch
     rows.write.parquet(f"{folder}/pairs")
     rows = pairs.sparkSession.read.parquet(f"{folder}/pairs")
     number = max(1, -(-rows.count() // s.batch))
