@@ -44,35 +44,45 @@ def family_negatives(examples: DataFrame, passages: DataFrame, most: int = MOST_
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("chunk_id", "version", "negative", "place")
 
 
-def _named(facts: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fact_id, chunk_id) of the passages that name a fact's API, and of those that name one of its resources."""
-    apis = contains_join(passages, facts, "chunk_id", "text", "fact_id", "api")
-    resources = facts.select("fact_id", F.explode("resources").alias("resource"))
-    return apis, contains_join(passages, resources, "chunk_id", "text", "fact_id", "resource").distinct()
+def _named(facts: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunk_id, api) and (chunk_id, resource): what each passage names, each name once, however many facts share it; (fact_id, removed, api, resource)."""
+    known = facts.select("fact_id", "removed", "api", F.explode("resources").alias("resource"))
+    hits = lambda c: contains_join(passages, known.select(c, F.col(c).alias("needle")).distinct(), "chunk_id", "text", c, "needle").distinct()
+    return hits("api"), hits("resource"), known
 
 
 def removal_examples(facts: DataFrame, passages: DataFrame, versions: DataFrame) -> DataFrame:
     """(fact_id, version, positive, boundary) of every fact and version from its removal on that a guide passage covers.
 
     A passage (chunk_id, seq, text, range) is a candidate if it names the API and one of the resources of a fact (fact_id, api, resources, removed); the
-    first by seq that covers the version is the positive. A passage's versions are listed, so that no range is joined by a loop.
+    first by seq that covers the version is the positive. A passage's versions are listed, so that no range is joined by a loop. The first passage is
+    found for each API, resource and version, so facts that share names don't multiply passages. Spark can't tell how many names a
+    passage has, so tables of passages are never sent to all tasks.
     """
-    apis, resources = _named(facts, passages)
-    pairs = apis.join(resources, ["fact_id", "chunk_id"]).join(facts.select("fact_id", "removed"), "fact_id")
-    at = pairs.join(range_join(versions, passages.select("chunk_id", "seq", "version_low", "version_high"), []), "chunk_id").filter("version >= removed")
-    w = Window.partitionBy("fact_id", "version").orderBy("seq")
-    first = at.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    return first.select("fact_id", "version", F.col("chunk_id").alias("positive"), (F.col("version") == F.col("removed")).alias("boundary"))
+    apis, resources, known = _named(facts, passages)
+    found = passages.select("chunk_id", "seq", "version_low", "version_high").join(apis.hint("merge"), "chunk_id").join(resources.hint("merge"), "chunk_id")
+    first = range_join(versions.select("version"), found, []).groupBy("api", "resource", "version").agg(F.min(F.struct("seq", "chunk_id")).alias("b"))
+    at = first.join(known, ["api", "resource"]).filter("version >= removed").groupBy("fact_id", "removed", "version").agg(F.min("b").alias("b"))
+    return at.select("fact_id", "version", F.col("b.chunk_id").alias("positive"), (F.col("version") == F.col("removed")).alias("boundary"))
 
 
 def sibling_negatives(examples: DataFrame, facts: DataFrame, passages: DataFrame, most: int = MOST_NEGATIVES) -> DataFrame:
-    """(fact_id, version, negative, place): guide passages of other families that name a resource of the fact but not its API."""
-    apis, resources = _named(facts, passages)
-    own = passages.select(F.col("chunk_id").alias("positive"), F.col("family").alias("_own"))
-    others = resources.join(apis, ["fact_id", "chunk_id"], "left_anti").join(passages.select("chunk_id", "seq", "family"), "chunk_id")
-    rows = examples.select("fact_id", "version", "positive").join(own, "positive").join(others, "fact_id").filter("family <> _own")
-    w = Window.partitionBy("fact_id", "version").orderBy("seq")
-    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("fact_id", "version", F.col("chunk_id").alias("negative"), "place")
+    """(fact_id, version, negative, place): guide passages of other families that name a resource of the fact but not its API.
+
+    Passages of a family that name the same APIs are alike to every fact, so the first ``most`` of them for each resource are enough. So are the first
+    ``most`` of a fact's families, and of these its first 2 * ``most``: leaving out one family leaves ``most``.
+    """
+    apis, resources, known = _named(facts, passages)
+    first = lambda rows, n, *keys: rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "chunk_id"))).filter(F.col("place") <= n)
+    sets = apis.groupBy("chunk_id").agg(F.sort_array(F.collect_set("api")).alias("apis"))  # a passage's APIs
+    own = passages.select("chunk_id", "seq", "family").filter("family is not null")
+    named = own.join(resources.hint("merge"), "chunk_id").join(sets.hint("merge"), "chunk_id", "left").withColumn("apis", F.coalesce("apis", F.array().cast("array<string>")))
+    few = first(named, most, "resource", "apis", "family").drop("place")
+    others = few.join(known, "resource").filter(~F.coalesce(F.array_contains("apis", F.col("api")), F.lit(False))).select("fact_id", "family", "seq", "chunk_id").distinct()
+    others = first(first(others, most, "fact_id", "family"), 2 * most, "fact_id")
+    mine = own.select(F.col("chunk_id").alias("positive"), F.col("family").alias("_own")).hint("merge")
+    rows = examples.select("fact_id", "version", "positive").join(mine, "positive").join(others.drop("place"), "fact_id").filter("family <> _own")
+    return first(rows, most, "fact_id", "version").select("fact_id", "version", F.col("chunk_id").alias("negative"), "place")
 
 
 def unanswerable(templates: DataFrame, versions: DataFrame, count: int, seed: int = SEED) -> DataFrame:

@@ -252,3 +252,27 @@ def test_dense_search_skips_odd_vectors(spark):
     assert {tuple(r) for r in dense.top_k(q, v, 2, True).collect()} == {(1, 1, 1.0, 1), (1, 5, 1.0, 2)}
     assert {tuple(r) for r in dense.top_k(q, v, 3, False).collect()} == {(1, 1, 1.0, 1), (1, 5, 1.0, 2), (1, 6, 0.5, 3), (2, 3, 2.0, 1)}
     assert dense.top_k(q.limit(0), v, 2, True).count() == 0
+
+
+def test_facts_that_share_names_multiply_no_passages(spark, monkeypatch):
+    """40 facts of two APIs and 20 resources over 300 passages: what the search hands on, and the results of a plain search."""
+    from palimpsest.operators import datasets
+
+    facts = [(f"f{i}", f"api{i % 2}", [f"res{i % 20:02d}", f"res{(i + 7) % 20:02d}"], 30 + i % 3) for i in range(40)]
+    passages = [(1000 + i, i, None if i % 19 == 0 else i % 4, f"api{i % 3} of res{i % 20:02d} and res{i % 9:02d}", 29 + i % 3, 31 + i % 4) for i in range(300)]
+    fd = spark.createDataFrame(facts, "fact_id string, api string, resources array<string>, removed int")
+    pd = spark.createDataFrame(passages, "chunk_id long, seq int, family int, text string, version_low int, version_high int")
+    plain, handed = datasets.contains_join, []
+    monkeypatch.setattr(datasets, "contains_join", lambda *a: handed.append(plain(*a)) or handed[-1])
+    at = datasets.removal_examples(fd, pd, spark.createDataFrame([(v,) for v in range(29, 35)], "version int"))
+    examples, siblings = {}, {}
+    for f, api, names, removed in facts:
+        for v in range(removed, 35):
+            own = [p for p in passages if api in p[3] and any(n in p[3] for n in names) and p[4] <= v <= p[5]]
+            if own:
+                examples[f, v] = (own[0][0], v == removed)
+                fits = [p[0] for p in passages if any(n in p[3] for n in names) and api not in p[3] and None not in (p[2], own[0][2]) and p[2] != own[0][2]]
+                siblings |= {(f, v, c): n for n, c in enumerate(fits[:6], 1)}
+    assert {(r.fact_id, r.version): (r.positive, r.boundary) for r in at.collect()} == examples
+    assert {(r.fact_id, r.version, r.negative): r.place for r in datasets.sibling_negatives(at, fd, pd).collect()} == siblings
+    assert max(h.count() for h in handed) <= 2 * len(passages)
