@@ -218,5 +218,5 @@ def links(index: DataFrame, nodes: DataFrame, docs: DataFrame, hashes: Hashes, h
 
 
 def least_needed(hundredths: int) -> int:
-    """The fewest shingles of a set that can be linked to another one: below it only equal sets are."""
-    return math.ceil(100 / (100 - hundredths)) if hundredths < 100 else 1 << 30
+    """The fewest shingles of a set that can be linked to another one, as part of one with a shingle more: below it only equal sets are."""
+    return math.ceil(hundredths / (100 - hundredths)) if hundredths < 100 else 1 << 30

@@ -10,7 +10,7 @@ similarity. A pair goes unverified only if the best similarity of 0.85 or more i
 (which happens to a linked pair about once in a million); all others are verified on whole sets.
 
 Equal sets are one node from the start (a 128-bit digest of the sorted set), so copies cost nothing further. Dense keys take the way of
-``near``, which loses no link. A set of fewer than seven shingles can only be linked to equal ones and isn't listed.
+``near``, which loses no link. A set of fewer than six shingles can only be linked to equal ones and isn't listed.
 
 Shingles are three words of the text with A-Z lower-cased; a text with fewer words is one shingle. Null and blank texts have an empty set and are
 linked with nothing: their component is their own id. Of rows with null ids the component is the least id of the group, null if it has none,
@@ -120,9 +120,9 @@ def estimated(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, simila
     return estimate, short
 
 
-def sketched(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def sketched(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """(_id, _th, _none: keys of the row; n: shingles, k1, k2: digest of the set, sig: registers) of every row."""
-    listed = near.least_needed(SIMILAR)
+    listed = near.least_needed(similar)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -169,7 +169,7 @@ def index(nodes: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; see the module for nulls and empty texts."""
-    rows = written(sketched(docs, k), "setsketch")
+    rows = written(sketched(docs, k, similar), "setsketch")
     own = F.when(~F.col("_none"), F.col("_id"))
     nodes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("_none", "_id", "_th")).alias("b"), F.min(own).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "setsketch-nodes")

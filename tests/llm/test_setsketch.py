@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import near, setsketch
+from palimpsest.llm import near, setsketch, simhash
 
 SCHEMA = "doc_id long, text string, n int, node long, sig string, a int, g int"
 
@@ -83,6 +83,20 @@ def test_components_equal_brute_force(spark, kind):
     assert Counter(map(tuple, setsketch.grouped(df).collect())) == brute(rows(kind))
 
 
+def test_smallest_sets_that_can_be_linked(spark):
+    """Six shingles of seven are 0.857 of them, four of five 0.8: the smaller set must be listed."""
+    words = [[f"{w}{i}" for i in range(9)] for w in "abcdefghijklmnopqrst"]
+    texts = [(100 * i + n, " ".join(w[:n]), 1, 2, "s", 3, 4) for i, w in enumerate(words) for n in (7, 8, 9)]
+    got = setsketch.grouped(spark.createDataFrame(texts, SCHEMA))
+    assert Counter(map(tuple, got.collect())) == brute(texts) and got.filter("kept").count() == 40
+    for hundredths in range(1, 100):
+        assert near.least_needed(hundredths) == next(n for n in range(1, 100) if 100 * n >= hundredths * (n + 1))
+    got = setsketch.grouped(spark.createDataFrame(texts, SCHEMA), similar=83)  # five of six are 0.833
+    assert Counter(map(tuple, got.collect())) == brute(texts, 83) and got.filter("kept").count() == 20
+    texts = [(100 * i + n, " ".join(w[:n]), 1, 2, "s", 3, 4) for i, w in enumerate(words) for n in (8, 9)]
+    assert simhash.deduplicated(spark.createDataFrame(texts, SCHEMA)).count() == 20
+
+
 def test_dense_keys_lose_no_link(spark, monkeypatch):
     """One key holds all nodes, so only the way of dense keys finds links; in small blocks."""
     monkeypatch.setattr(near, "BLOCK", 1500)
