@@ -84,11 +84,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df as a side of a merge join. Scratch tables of ids are small on disk and large in memory, so by their files' size Spark would broadcast them."""
+    return df.hint("merge")
+
+
 def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """rows with the columns of groups (one row for each value of keys, nulls are values), left as they are where it has none.
 
     The groups are sent to all tasks while they are at most NEAR_GROUPS, which is counted. Beyond that both sides are dealt by keys
-    and a salt, so that one key with many rows isn't one task.
+    and a salt, so that one key with many rows isn't one task. That join is a merge join whatever Spark thinks of its sizes: it takes the
+    copies for a table of one file's size and would send them all through the driver.
     """
     few = groups.count() <= NEAR_GROUPS
     own = groups.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
@@ -100,7 +106,7 @@ def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> Dat
     else:
         dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(GROUP_SALTS)).cast("int"))
         own = own.withColumn("_s", F.explode(F.array(*(F.lit(i) for i in range(GROUP_SALTS)))))
-        out = dealt.join(own, same & (F.col("_salt") == F.col("_s")), "left").drop("_salt", "_s")
+        out = dealt.join(merged(own), same & (F.col("_salt") == F.col("_s")), "left").drop("_salt", "_s")
     return out.drop(*(f"_k{i}" for i in range(len(keys))))
 
 

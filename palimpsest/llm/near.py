@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import joined_to_groups, raw_texts, written
+from .common import joined_to_groups, merged, raw_texts, written
 from .graph import connected_components
 
 #: A key with more nodes than this takes the way for dense ones; shingles in a block's sets, about; nodes that a task streams past it, about.
@@ -50,7 +50,7 @@ def with_values(pairs: DataFrame, side: str, values: DataFrame, names: dict[str,
     dealt = joined_to_groups(pairs, many, [side]).withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
     own = values.select(F.col("node").alias(side), *(F.col(c).alias(n) for c, n in names.items()))
     own = joined_to_groups(own, many, [side]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
-    return dealt.join(own, [side, "_part"]).drop("_part")
+    return dealt.join(merged(own), [side, "_part"]).drop("_part")
 
 
 def sets_of(asked: DataFrame, nodes: DataFrame, docs: DataFrame, hashes: Hashes) -> DataFrame:
@@ -63,7 +63,7 @@ def sets_of(asked: DataFrame, nodes: DataFrame, docs: DataFrame, hashes: Hashes)
             sets = [np.unique(hashes(t)).view(np.int64) for t in raw_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
-    keys = written(asked.select("node").distinct().join(nodes, "node").select("node", "b._id", "b._th"), "near-asked")
+    keys = written(asked.select("node").distinct().join(merged(nodes), "node").select("node", "b._id", "b._th"), "near-asked")
     texts = joined_to_groups(row_key(docs.select("doc_id", "text")).select("_id", "_th", "text"), keys, ["_id", "_th"]).filter("node is not null")
     return written(texts.select("node", "text").mapInArrow(run, "node long, s array<bigint>").dropDuplicates(["node"]), "near-sets")
 
@@ -130,7 +130,7 @@ class Links:
     def named(self, members: DataFrame, name: str) -> DataFrame:
         """members (g, node) with their component c, under keys that hold more than one."""
         roots = connected_components(self.all())
-        now = written(members.select("g", "node").join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("c")), name)
+        now = written(members.select("g", "node").join(merged(roots), "node", "left").select("g", "node", F.coalesce("root", "node").alias("c")), name)
         open_keys = now.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1")
         return joined_to_groups(now, written(open_keys.select("g", F.lit(True).alias("open")), f"{name}-open"), ["g"]).filter("open").drop("open")
 
@@ -141,7 +141,7 @@ def compared(members: DataFrame, pivots: DataFrame, sets: DataFrame, hundredths:
     salts = 1 + members.count() // STREAMED
     own = pivots.select("m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(False).alias("streamed"), "node", "c")
     rest = members.select("m", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("salt"), F.lit(True).alias("streamed"), "node", "c")
-    dealt = own.unionByName(rest).join(sets, "node").select("m", "salt", "streamed", "node", "c", "s")
+    dealt = own.unionByName(rest).join(merged(sets), "node").select("m", "salt", "streamed", "node", "c", "s")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -202,16 +202,16 @@ def links(index: DataFrame, nodes: DataFrame, docs: DataFrame, hashes: Hashes, h
         sizes = left.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("m"))
         left = written(joined_to_groups(left, written(sizes, "near-main"), ["g"]), "near-left")
         rest = left.filter("c <> m").select("g", "m", "node", "c")
-        rest = rest if used is None else rest.join(used, ["g", "node"], "left_anti")
+        rest = rest if used is None else rest.join(merged(used), ["g", "node"], "left_anti")
         if rest.isEmpty():
             break
         if sets is None:
             sets = sets_of(left, nodes, docs, hashes)
         order = Window.partitionBy("m").orderBy(F.xxhash64("node"), "node").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = rest.select("m", "node", "c").distinct().join(sets.select("node", F.size("s").alias("n")), "node").withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+        ranked = rest.select("m", "node", "c").distinct().join(merged(sets.select("node", F.size("s").alias("n"))), "node").withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
         pivots = written(ranked.filter(F.col("before") < BLOCK).select("m", "node", "c"), "near-pivots")
         out.add(compared(left.select("m", "node", "c").distinct(), pivots, sets, hundredths), "near-links")
-        asked = rest.join(pivots.select("m", "node"), ["m", "node"], "left_semi").select("g", "node")
+        asked = rest.join(merged(pivots.select("m", "node")), ["m", "node"], "left_semi").select("g", "node")
         used = written(asked if used is None else used.unionByName(asked), "near-used")
         dense = left.select("g", "node")
     return out.all()

@@ -27,8 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import near
-from .common import Cached, joined_to_groups, numbers, raw_texts, written
+from . import common, near
+from .common import Cached, numbers, raw_texts, written
 from .graph import connected_components
 
 #: Words of a shingle; hundredths of the union that must be shared.
@@ -175,15 +175,15 @@ def grouped(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -> DataFr
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "setsketch-nodes")
     edges = near.links(index(nodes), nodes, docs, Shingles(k), similar, lambda pairs: likely(pairs, nodes, similar))
     roots = connected_components(edges)
-    of = nodes.join(roots, "node", "left").select("k1", "k2", "copies", "least", F.coalesce("root", "node").alias("root"))
+    of = nodes.join(common.merged(roots), "node", "left").select("k1", "k2", "copies", "least", F.coalesce("root", "node").alias("root"))
     of = written(of, "setsketch-roots")
-    named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("k1", "k2", "copies", "component_id")
+    named = of.join(common.merged(of.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("k1", "k2", "copies", "component_id")
     named = written(named, "setsketch-named")
     most = (named.agg(F.sum("copies")).first()[0] or 0) / HOT
     hot = F.broadcast(named.filter(F.col("copies") > most).drop("copies"))  # fewer than HOT
     slim = rows.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), "k1", "k2")
     full = slim.filter("n_shingles > 0")
-    cold = full.join(hot, ["k1", "k2"], "left_anti").join(named.filter(F.col("copies") <= most).drop("copies"), ["k1", "k2"])
+    cold = full.join(hot, ["k1", "k2"], "left_anti").join(common.merged(named.filter(F.col("copies") <= most).drop("copies")), ["k1", "k2"])
     out = full.join(hot, ["k1", "k2"]).unionByName(cold).drop("k1", "k2")
     out = out.unionByName(slim.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import near, setsketch, simhash
+from palimpsest.llm import common, near, setsketch, simhash
 
 SCHEMA = "doc_id long, text string, n int, node long, sig string, a int, g int"
 
@@ -107,6 +107,21 @@ def test_dense_keys_lose_no_link(spark, monkeypatch):
         assert Counter(map(tuple, setsketch.grouped(df).collect())) == brute(rows(kind, 9))
 
 
+def test_small_files_with_many_rows_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Past the count that may be sent, and for values of nodes, no join sends a side to all tasks, however small its file."""
+    monkeypatch.setattr(common, "NEAR_GROUPS", 5)
+    spark.range(60).selectExpr("id % 20 as g", "id as a", "id + 1 as b").write.parquet(f"{tmp_path}/rows")
+    spark.range(10).selectExpr("id as g", "id * 7 as n", "id as node").write.parquet(f"{tmp_path}/groups")
+    rows, groups = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("rows", "groups"))
+    got = common.joined_to_groups(rows, groups.select("g", "n"), ["g"])
+    valued = near.with_values(rows.select("a", "b"), "a", groups, {"n": "x"})
+    assert Counter((r.g, r.n) for r in got.collect()) == Counter({(i, 7 * i if i < 10 else None): 3 for i in range(20)})
+    assert {tuple(r) for r in valued.collect()} == {(i, i + 1, 7 * i) for i in range(10)}
+    for df in (got, valued.select("a", "x")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastExchange") == (0 if df is got else 2) and "SortMergeJoin" in plan  # the copies of hot nodes are counted and sent
+
+
 def test_values_of_a_hot_node_are_dealt_in_copies(spark, monkeypatch):
     monkeypatch.setattr(near, "SPREAD", 4)
     pairs = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(1, 2)], "a long, b long")
