@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import raw_texts, written
+from .common import merged, raw_texts, written
 from .graph import connected_components
 
 #: Differing bits up to which fingerprints are linked; the exact way for dense entries rests on it being 2.
@@ -99,7 +99,7 @@ def links(nodes: DataFrame) -> DataFrame:
     masks = [sum(1 << p for p in c) for c in combinations(range(places), KEY_BYTES)]
     shared = F.element_at(F.array(*(F.lit(m) for m in masks)), F.col("c").cast("int") + 1)  # the places an entry stands for
     pairs = sizes.filter("n = 2").select("a", "b", shared.alias("places"))
-    met = index.join(sizes.filter("n > 2").select("c", "key", "n"), ["c", "key"])
+    met = index.join(merged(sizes.filter("n > 2").select("c", "key", "n")), ["c", "key"])
     few = met.filter(F.col("n") <= DENSE).groupBy("c", "key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
     each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(DENSE)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = pairs.unionByName(few.select(shared.alias("places"), F.explode(each).alias("p")).select("p.*", "places"))
@@ -118,19 +118,19 @@ def _named(rows: DataFrame) -> DataFrame:
     """(fp, root) of every distinct fingerprint in ``rows``."""
     nodes = written(rows.select("fp").distinct(), "simhash-nodes")
     roots = connected_components(links(nodes))
-    return written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    return written(nodes.join(merged(roots), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
 
 
 def grouped(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id) of every row; see the module for nulls and empty texts."""
     rows = written(fingerprints(docs, k), "simhash")
     of_fp = _named(rows)
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of_fp, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(merged(of_fp), "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     sizes = rows.groupBy("fp").agg(F.count("*").alias("n"))
-    named = written(of_fp.join(least, "root").join(sizes, "fp").select("fp", "component_id", "n"), "simhash-named")
+    named = written(of_fp.join(merged(least), "root").join(merged(sizes), "fp").select("fp", "component_id", "n"), "simhash-named")
     most = (named.agg(F.sum("n")).first()[0] or 0) / HOT
     hot = F.broadcast(named.filter(F.col("n") > most).select("fp", "component_id"))  # fewer than HOT
-    cold = rows.join(hot.select("fp"), "fp", "left_anti").join(named.filter(F.col("n") <= most).select("fp", "component_id"), "fp")
+    cold = rows.join(hot.select("fp"), "fp", "left_anti").join(merged(named.filter(F.col("n") <= most).select("fp", "component_id")), "fp")
     out = rows.join(hot, "fp").unionByName(cold)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -201,9 +201,9 @@ def deduplicated(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     nodes = rows.groupBy("k1", "k2").agg(F.min(F.struct("_none", "_id", "_th")).alias("b"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     roots = connected_components(near_links(nodes, docs, k))
-    best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("b").alias("b"))
+    best = nodes.join(merged(roots), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("b").alias("b"))
     kept = written(best.select("b._id", "b._th"), "near-kept")
-    repeated = rows.join(kept, ["_id", "_th"]).groupBy("_id", "_th").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = rows.join(merged(kept), ["_id", "_th"]).groupBy("_id", "_th").agg(F.count("*").alias("n")).filter("n > 1")
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), "doc_id", "text")
     own = near.row_key(own).select("_row", "_id", "_th").join(kept.hint("shuffle_hash"), ["_id", "_th"], "left_semi")
     if not repeated.isEmpty():
