@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,6 +69,43 @@ def reranked(hits: DataFrame, scored: DataFrame, qid: str, id_: str, k: int) ->
     return out.select(qid, id_, F.coalesce("rerank_score", "score").alias("score"), F.col("_n").alias("rank"))
 
 
+#: Ids of a block within which places are counted: a power of two.
+PLACES_BITS = 12
+
+
+def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, _at, _mark) with ``_n``: how many of the marked ones (1, not 0) of the same keys come before by _at, null ones last. Places are
+    counted in blocks of ids, so that no window holds all ids of a key."""
+    rows = rows.withColumn("_block", F.coalesce(F.expr(f"shiftright(_at, {PLACES_BITS})"), F.lit((1 << 63) - 1)))
+    sizes = rows.groupBy(*keys, "_block").agg(F.sum("_mark").alias("_c"))
+    before = sizes.select(*keys, "_block", (F.sum("_c").over(Window.partitionBy(*keys).orderBy("_block")) - F.col("_c")).alias("_before"))
+    w = Window.partitionBy(*keys, "_block").orderBy(F.col("_at").asc_nulls_last(), "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.sum("_mark").over(w) - F.col("_mark")
+    return rows.withColumn("_own", own).join(before, [*keys, "_block"]).withColumn("_n", F.col("_before") + F.col("_own")).drop("_block", "_own", "_before")
+
+
+def nearest(points: DataFrame, rows: DataFrame, keys: list[str], qid: str, id_: str, k: int, alike: Callable[[Column], Column]) -> DataFrame:
+    """(qid, id): for each point those of the rows of its keys among which its k best lie, if nearer ids (to the point's own, qid) score higher
+    and ties go to the smaller id. Rows are never paired with all points of their keys.
+
+    alike(distance) is the largest distance that scores what this one does, null if there is no largest. The k best with larger ids are the k nearest. Those with
+    smaller ids are the k nearest, or tie with the k-th of these: of such ties the smallest ids win, so the first k that score alike come too. A null id
+    is farthest.
+    """
+    points = points.groupBy(*keys, qid).agg(F.count("*").alias("_times"))
+    ids = rows.select(*keys, F.col(id_).alias("_at"), F.lit(1).alias("_mark"), F.lit(None).cast("long").alias(qid))
+    asked = lambda df: ids.unionByName(df.select(*keys, F.col("_at"), F.lit(0).alias("_mark"), qid))
+    placed = _placed(asked(points.withColumn("_at", F.col(qid))), keys)
+    pool = placed.filter("_mark = 1").select(*keys, "_n", F.col("_at").alias(id_))
+    spots = placed.filter("_mark = 0").select(*keys, qid, F.explode(F.sequence(F.col("_n") - k, F.col("_n") + k - 1)).alias("_n"))
+    below = spots.join(pool, [*keys, "_n"]).filter(F.col(id_) < F.col(qid)).groupBy(*keys, qid).agg(F.min(id_).alias("_far"), F.count("*").alias("_c")).filter(F.col("_c") >= k)
+    first = F.coalesce(F.col(qid) - alike(F.col(qid) - F.col("_far")), F.lit(-(1 << 63)))
+    tied = _placed(asked(below.withColumn("_at", first).filter("_at < _far")), keys).filter("_mark = 0")
+    more = tied.select(*keys, qid, F.explode(F.sequence(F.col("_n"), F.col("_n") + k - 1)).alias("_n"))
+    met = spots.unionByName(more).distinct().join(pool, [*keys, "_n"]).join(points, [*keys, qid])
+    return met.select(qid, id_, F.explode(F.expr("sequence(1, _times)")).alias("_time")).drop("_time")
+
+
 @dataclass
 class Pipeline:
     """A configuration with what it needs. dense and lexical take (k, filtered) and return (query_id, vec_id, score, rank)."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -94,14 +94,27 @@ SELECT *, 'dense' AS stage FROM {first} UNION ALL SELECT *, 'bm25' FROM {second}
 _UNION = _union_sql("un", "hits", "lex")
 
 
+def _nearness(distance: Column) -> Column:
+    return F.round(1.0 / (1 + distance), 6)
+
+
+def _alike(distance: Column) -> Column:
+    """The largest distance of the same nearness: near the one at which 1 / (1 + distance) rounds down; none at nearness 0."""
+    steps = F.round(_nearness(distance) * 1_000_000).cast("long")
+    about = F.floor(1_000_000 / F.greatest(steps - 0.5, F.lit(0.5))).cast("long")
+    near = F.sequence(F.greatest(about - 3, distance), F.greatest(about + 3, distance))
+    return F.when(steps > 0, F.array_max(F.filter(near, lambda x: _nearness(x) == _nearness(distance))))
+
+
 def _stub_lexical(spark: SparkSession, d: str, k: int = K, filtered: bool = False) -> DataFrame:
     """A second ranking of the same passages: those of the query's family (that cover its version), nearest id first."""
     from pyspark.sql.window import Window
 
-    pairs = vector_queries(spark, d).select("query_id", "family", "version").join(vectors(spark, d).select("vec_id", "family", "version_low", "version_high"), "family")
+    keys, rows = ["family"], vectors(spark, d).select("vec_id", "family", "version_low", "version_high")
     if filtered:
-        pairs = pairs.filter(F.col("version").between(F.col("version_low"), F.col("version_high")))
-    pairs = pairs.select("query_id", "vec_id", F.round(1.0 / (1 + F.abs(F.col("query_id") - F.col("vec_id"))), 6).alias("score"))
+        keys, rows = ["family", "version"], ranges.expanded(rows)
+    met = retrieval.nearest(vector_queries(spark, d).select("query_id", *keys), rows, keys, "query_id", "vec_id", k, _alike)
+    pairs = met.withColumn("score", _nearness(F.abs(F.col("query_id") - F.col("vec_id"))))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -146,8 +159,8 @@ def _metrics_sql(hits: str) -> str:
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     q = vector_queries(spark, d).select("query_id", "family", "version", F.when(F.col("query_id") % 100 == 0, "even").otherwise("odd").alias("source"))
-    first = ranges.range_join(q.select("query_id", "family", "version"), vectors(spark, d).select("vec_id", "family", "version_low", "version_high"), ["family"])
-    return q.join(first.groupBy("query_id").agg(F.min("vec_id").alias("positive_id")), "query_id", "left")
+    first = ranges.expanded(vectors(spark, d).select("vec_id", "family", "version_low", "version_high")).groupBy("family", "version").agg(F.min("vec_id").alias("positive_id"))
+    return q.join(first, ["family", "version"], "left").select(*q.columns, "positive_id")
 
 
 def _judgeable(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:

@@ -276,3 +276,28 @@ def test_facts_that_share_names_multiply_no_passages(spark, monkeypatch):
     assert {(r.fact_id, r.version): (r.positive, r.boundary) for r in at.collect()} == examples
     assert {(r.fact_id, r.version, r.negative): r.place for r in datasets.sibling_negatives(at, fd, pd).collect()} == siblings
     assert max(h.count() for h in handed) <= 2 * len(passages)
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_the_nearest_ids_are_those_of_all_pairs_and_no_pairs_are_made(spark, filtered, monkeypatch):
+    """Ids lie so far apart that rounded scores tie, some repeat, one is null; a family has twenty queries that no longer meet all of it."""
+    import random
+
+    from pyspark.sql.window import Window
+
+    plan, draw = _queries, random.Random(5)
+    ids = [None, *(draw.choice([draw.randrange(2_000) * 1_000, draw.randrange(-5_000_000, 5_000_000) * 400, draw.randrange(200)]) for _ in range(500))]
+    v = spark.createDataFrame([(i, [], f, low, low + 2) for i in [*ids, *ids[:40]] for f, low in [(draw.randrange(3), draw.randrange(4))]], "vec_id long, embedding array<float>, family long, version_low int, version_high int")
+    v = spark.createDataFrame(v.collect(), v.schema)
+    q = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "family", F.lit(3).alias("version"))
+    monkeypatch.setattr(plan, "vectors", lambda *_: v)
+    monkeypatch.setattr(plan, "vector_queries", lambda *_: q)
+    pairs = ranges.range_join(q, v, ["family"]) if filtered else q.join(v, "family")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    scored = pairs.withColumn("score", F.round(1.0 / (1 + F.abs(F.col("query_id") - F.col("vec_id"))), 6)).withColumn("rank", F.row_number().over(w))
+    for k in (6,):
+        want = sorted(map(tuple, scored.filter(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank").collect()), key=repr)
+        assert sorted(map(tuple, plan._stub_lexical(spark, "", k, filtered).collect()), key=repr) == want
+    dense_ids = spark.range(2_000).select(F.col("id").alias("vec_id"), F.lit(1).alias("family"))
+    met = retrieval.nearest(dense_ids.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), dense_ids, ["family"], "query_id", "vec_id", 5, plan._alike)
+    assert met.count() <= 20 * 3 * 5
