@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most queries that are sent to every task; queries and passages of a tile.
-BLOCK, TILE_QUERIES, TILE_ROWS = 16_384, 1024, 4096
+#: Most queries that are sent to every task; queries and passages of a tile, which a task holds a few times; versions for which they are told apart.
+BLOCK, TILE_QUERIES, TILE_ROWS, VERSIONS = 16_384, 256, 2048, 8
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,22 +26,63 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(same, F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x))
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row of score, whose columns have ids (one row, or a row each); ties by id, -inf last."""
-    ids = np.broadcast_to(ids, score.shape)
-    order = np.argsort(ids, axis=1, kind="stable")
-    score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-
-
-def _tile(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """_best() of a wide tile: all that ties with or beats a row's k-th score comes first, then only that is sorted."""
-    if score.shape[1] > 2 * k:
-        least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-        use = np.flatnonzero((score >= least).any(axis=0))
-        score, ids = score[:, use], ids[use]
-    return _best(score, ids, k)
+def slack(digits: int, size: np.ndarray | float) -> np.ndarray | float:
+    """What rounding of scores and of a bound itself may hide; size is about the largest product."""
+    return 10.0**-digits + 1e-9 * (1.0 + size)
+
+
+def _taken(score: np.ndarray, found: np.ndarray, rows: np.ndarray, here: np.ndarray, ids: np.ndarray, digits: int, least: np.ndarray | None) -> None:
+    """Puts into the k best scores and ids of ``rows`` what of here (rows x ids, not rounded) beats them, ties by id. Only what may reach a row's k-th
+    score, or ``least`` if that is more, is rounded and sorted: a tile is walked through, not ordered."""
+    k = score.shape[1]
+    bar = score[rows, k - 1]
+    if least is not None:
+        bar = np.maximum(bar, least)
+    new = np.isneginf(bar)
+    if here.shape[1] > k and new.any():
+        bar[new] = np.partition(here[new], -k, axis=1)[:, -k]
+    size = np.where(np.isfinite(bar), np.abs(bar), 0.0)
+    reach = here >= (bar - slack(digits, size))[:, None]
+    reach &= here > -np.inf
+    at, column = np.nonzero(reach)
+    if not len(at):
+        return
+    touched, at = np.unique(at, return_inverse=True)
+    own = rows[touched]
+    at = np.concatenate([at, np.repeat(np.arange(len(own)), k)])
+    value = np.concatenate([np.round(here[touched[at[: len(column)]], column], digits) + 0.0, score[own].ravel()])
+    name = np.concatenate([ids[column], found[own].ravel()])
+    order = np.lexsort((name, -value, at))
+    at = at[order]
+    keep = order[np.arange(len(at)) - np.searchsorted(at, np.arange(len(own)))[at] < k]  # k of each row, as each had k
+    score[own], found[own] = value[keep].reshape(-1, k), name[keep].reshape(-1, k)
+
+
+def compare(queries: tuple, rows: np.ndarray, passages: tuple, score: np.ndarray, found: np.ndarray, filtered: bool, digits: int, least: np.ndarray | None = None) -> None:
+    """The k best of ``rows`` of queries (matrix, version, unset) among passages (matrix, id, low, high), into score and found, in tiles.
+
+    Where a tile's queries ask for few versions, each version's queries meet only the passages that cover it.
+    """
+    matrix, versions, unset = queries
+    for q in range(0, len(rows), TILE_QUERIES):
+        asks = rows[q : q + TILE_QUERIES]
+        if filtered:
+            asks = asks[~unset[asks]]
+        kinds = np.unique(versions[asks]) if filtered else []
+        for p in range(0, len(passages[0]), TILE_ROWS):
+            vectors, ids, low, high = (x[p : p + TILE_ROWS] for x in passages)
+            if filtered and len(kinds) <= VERSIONS:
+                parts = [(asks[versions[asks] == v], np.flatnonzero((low <= v) & (v <= high))) for v in kinds]
+            else:
+                parts = [(asks, None)]
+            for own, cover in parts:
+                if not len(own) or (cover is not None and not len(cover)):
+                    continue
+                here = matrix[own] @ (vectors if cover is None else vectors[cover]).T
+                if filtered and cover is None:
+                    v = versions[own, None]
+                    here[(v < low) | (v > high)] = -np.inf
+                _taken(score, found, own, here, ids if cover is None else ids[cover], digits, None if least is None else least[own])
 
 
 def _searched(block: list, passages: DataFrame, k: int, filtered: bool, digits: int) -> DataFrame:
@@ -55,19 +96,10 @@ def _searched(block: list, passages: DataFrame, k: int, filtered: bool, digits:
         ids, matrix, versions, unset = sent.value
         score = np.full((len(ids), k), -np.inf)
         found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        rows = np.argsort(versions, kind="stable")  # a tile's queries ask for few versions
         for batch in batches:
-            for at in range(0, batch.num_rows, TILE_ROWS):
-                part = batch.slice(at, TILE_ROWS)
-                vectors = np.asarray(part.column("embedding").flatten(), np.float64).reshape(part.num_rows, width)
-                own, low, high = (np.asarray(part.column(c)) for c in ("vec_id", "version_low", "version_high"))
-                for q in range(0, len(ids), TILE_QUERIES):
-                    rows = slice(q, q + TILE_QUERIES)
-                    here = np.round(matrix[rows] @ vectors.T, digits) + 0.0
-                    if filtered:
-                        v = versions[rows, None]
-                        here[(v < low) | (v > high) | unset[rows, None]] = -np.inf
-                    s, i = _tile(here, own, k)
-                    score[rows], found[rows] = _best(np.hstack([score[rows], s]), np.hstack([found[rows], i]), k)
+            vectors = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(batch.num_rows, width)
+            compare((matrix, versions, unset), rows, (vectors, *(np.asarray(batch.column(c)) for c in ("vec_id", "version_low", "version_high"))), score, found, filtered, digits)
         keep = score > -np.inf
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[keep]), pa.array(found[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
 

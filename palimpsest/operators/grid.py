@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources import scratch
-from .dense import _best, _tile, dot
+from .dense import compare, dot, slack
 
 #: Passages of the sample; pivots among them; vectors of a block; bytes a task holds before it closes its largest block.
 SAMPLE, PIVOTS, ROWS, QUERY_ROWS, HELD = 2048, 64, 4096, 1024, 1 << 26
@@ -44,11 +44,6 @@ class Counts:
         return self.compared_.value
 
 
-def _slack(digits: int, size):
-    """What rounding of scores and of the bound itself may hide; size is about the largest product."""
-    return 10.0**-digits + 1e-9 * (1.0 + size)
-
-
 def _first_bounds(matrix: np.ndarray, low: np.ndarray, high: np.ndarray, sample: tuple | None, k: int, filtered: bool, digits: int) -> np.ndarray:
     """The k-th score of each query within the sample, -inf where it has fewer."""
     if sample is None or len(sample[0]) < k:
@@ -127,20 +122,15 @@ def _compared(k: int, filtered: bool, digits: int, counted):
             bound = of(row, "bounds", np.float64)
             length = np.linalg.norm(matrix, axis=1)
             reach = np.stack([matrix @ b[4] + length * b[5] for b in blocks])  # blocks x queries
-            slack = _slack(digits, np.abs(reach))
+            spare = slack(digits, np.abs(reach))
             score, best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for at in np.argsort(-reach.max(axis=1), kind="stable").tolist():
-                asks = np.flatnonzero(reach[at] + slack[at] >= np.maximum(bound, score[:, k - 1]))
+                asks = np.flatnonzero(reach[at] + spare[at] >= np.maximum(bound, score[:, k - 1]))
                 if not len(asks):
                     continue
                 counted.add(1)
                 own, vectors, low, high = blocks[at][:4]
-                here = np.round(matrix[asks] @ vectors.T, digits) + 0.0
-                if filtered:
-                    v = version[asks, None]
-                    here[(v < low) | (v > high) | unset[asks, None]] = -np.inf
-                s, i = _tile(here, own, k)
-                score[asks], best[asks] = _best(np.hstack([score[asks], s]), np.hstack([best[asks], i]), k)
+                compare((matrix, version, unset), asks, (vectors, own, low, high), score, best, filtered, digits, bound)
             keep = (score > -np.inf) & (score >= bound[:, None])
             found.append((np.repeat(ids, k).reshape(-1, k)[keep], best[keep], score[keep]))
         columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, np.float64))]
@@ -183,7 +173,7 @@ def top_k(queries: DataFrame, passages: DataFrame, k: int, filtered: bool, digit
     theirs = p.select("width", "stripe", "block", F.col("centre").alias("b"), F.col("radius").alias("rb"))
     middle = dot(F.col("a"), F.col("b"))
     reach = middle + F.col("ra") * F.sqrt(dot(F.col("b"), F.col("b"))) + F.col("la") * F.col("rb")
-    met = ours.join(theirs, ["width", "stripe"]).filter(F.coalesce(reach, F.lit(0.0)) + _slack(digits, F.abs(F.coalesce(reach, F.lit(0.0)))) >= F.col("least"))
+    met = ours.join(theirs, ["width", "stripe"]).filter(F.coalesce(reach, F.lit(0.0)) + slack(digits, F.abs(F.coalesce(reach, F.lit(0.0)))) >= F.col("least"))
     met.groupBy("run", "stripe", "block").agg(F.count("*").alias("n")).write.parquet(f"{packs}/met")
     met = spark.read.parquet(f"{packs}/met")
     counts.met = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
