@@ -31,7 +31,7 @@ def slack(digits: int, size: np.ndarray | float) -> np.ndarray | float:
     return 10.0**-digits + 1e-9 * (1.0 + size)
 
 
-def _taken(score: np.ndarray, found: np.ndarray, rows: np.ndarray, here: np.ndarray, ids: np.ndarray, digits: int, least: np.ndarray | None) -> None:
+def take(score: np.ndarray, found: np.ndarray, rows: np.ndarray, here: np.ndarray, ids: np.ndarray, digits: int, least: np.ndarray | None = None) -> None:
     """Puts into the k best scores and ids of ``rows`` what of here (rows x ids, not rounded) beats them, ties by id. Only what may reach a row's k-th
     score, or ``least`` if that is more, is rounded and sorted: a tile is walked through, not ordered."""
     k = score.shape[1]
@@ -82,7 +82,7 @@ def compare(queries: tuple, rows: np.ndarray, passages: tuple, score: np.ndarray
                 if filtered and cover is None:
                     v = versions[own, None]
                     here[(v < low) | (v > high)] = -np.inf
-                _taken(score, found, own, here, ids if cover is None else ids[cover], digits, None if least is None else least[own])
+                take(score, found, own, here, ids if cover is None else ids[cover], digits, None if least is None else least[own])
 
 
 def _searched(block: list, passages: DataFrame, k: int, filtered: bool, digits: int) -> DataFrame:

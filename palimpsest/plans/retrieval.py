@@ -60,23 +60,19 @@ _TOP = "SELECT * FROM (SELECT item_id, doc_id, score, CAST(row_number() OVER (PA
 _WINDOW = " WHERE (b.item_id % 12) BETWEEN d.doc_id % 6 AND d.doc_id % 6 + 4"
 
 
-def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    t = fn.terms(F.col("text"))
-    return bm25.scores(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", t, "doc_id", t)
-
-
 @query(f"WITH {_BM25}, {_ALL_SCORES.format('')} {_TOP}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.top_k(_lexical(spark, d), table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", K)
+    t = fn.terms(F.col("text"))
+    return bm25.search(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", t, "doc_id", t, K)
 
 
 @query(f"WITH {_BM25}, {_ALL_SCORES.format(_WINDOW)} {_TOP}")
 def bm25_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Documents valid for minors id % 6 to id % 6 + 4; an item asks about id % 12."""
-    low = (F.col("doc_id") % 6).cast("int")
-    docs = ranges.expanded(table(spark, d, "documents").select("doc_id", low.alias("version_low"), (low + 4).alias("version_high")))
-    asks = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 12).cast("int").alias("version"))
-    return bm25.top_k(_lexical(spark, d), asks, docs, "item_id", "doc_id", K, by="version")
+    t, low = fn.terms(F.col("text")), (F.col("doc_id") % 6).cast("int")
+    docs = table(spark, d, "documents").select("doc_id", "text", low.alias("version_low"), (low + 4).alias("version_high"))
+    asks = table(spark, d, "benchmark").select("item_id", "text", (F.col("item_id") % 12).cast("int").alias("version"))
+    return bm25.search(asks, docs, "item_id", t, "doc_id", t, K, True)
 
 
 def _lexical_sql(name: str, where: str = "true", k: int = K) -> str:

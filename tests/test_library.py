@@ -301,3 +301,25 @@ def test_the_nearest_ids_are_those_of_all_pairs_and_no_pairs_are_made(spark, fil
     dense_ids = spark.range(2_000).select(F.col("id").alias("vec_id"), F.lit(1).alias("family"))
     met = retrieval.nearest(dense_ids.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), dense_ids, ["family"], "query_id", "vec_id", 5, plan._alike)
     assert met.count() <= 20 * 3 * 5
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_bm25_search_ranks_in_tasks_as_the_join_does_and_shuffles_no_pairs(spark, filtered, monkeypatch):
+    """Equal to the join of postings: null and empty texts, zeros, ties, a query without a version; few documents come out of a task for a query."""
+    from palimpsest.operators.ranges import expanded
+
+    words = [f"w{i % 23}" for i in range(400)] + ["a/bcd", "x.y-z"]
+    docs = [(i, None if i % 50 == 3 else " ".join(words[(i * j * j) % 402] for j in range(i % 9)), i % 4, i % 4 + i % 3) for i in range(600)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, version_low int, version_high int")
+    asks = spark.createDataFrame([(1, "w1 w2 w2", 2), (2, "", 3), (3, None, 1), (4, "w5 nowhere a/bcd", None), (5, "w7", 9), (6, "nowhere", 0)], "item_id long, text string, version int")
+    t = fn.terms(F.col("text"))
+    pool = expanded(docs.select("doc_id", "version_low", "version_high")) if filtered else docs
+    want = bm25.top_k(bm25.scores(asks, docs, "item_id", t, "doc_id", t), asks, pool, "item_id", "doc_id", 7, "version" if filtered else None)
+    want = sorted(map(tuple, want.collect()))
+    left = []
+    inner = bm25._searched
+    monkeypatch.setattr(bm25, "_searched", lambda *a: left.append(inner(*a)) or left[-1])
+    got = bm25.search(asks, docs.repartition(3), "item_id", t, "doc_id", t, 7, filtered)
+    assert sorted(map(tuple, got.collect())) == want and left[0].count() <= 3 * 7 * 6
+    monkeypatch.setattr(bm25, "MOST_TERMS", 1)
+    assert sorted(map(tuple, bm25.search(asks, docs, "item_id", t, "doc_id", t, 7, filtered).collect())) == want and len(left) == 1
