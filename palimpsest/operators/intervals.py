@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Blocks that an interval touches at most, and levels.
 BLOCKS, LEVELS = 8, 32
@@ -39,3 +40,19 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], id_: str, low: str,
     two = stabbing_join(left, right, keys, "a_low", "b_low", "b_high").filter("a_low > b_low")
     names = [*keys, f"a_{id_}", f"b_{id_}"]
     return one.select(*names).unionByName(two.select(*names))
+
+
+def overlap_pairs(rows: DataFrame, keys: list[str], id_: str, low: str, high: str) -> DataFrame:
+    """(keys, pairs): how many pairs of different ids share a point, where any do. No pair is made: of all pairs of a key those are taken off of which
+    one ends before the other begins, which a running count of the ends tells, and those of equal ids."""
+    whole = rows.filter(F.col(low) <= F.col(high)).dropna(subset=keys).select(*keys, F.col(id_).alias("_id"), F.col(low).alias("_low"), F.col(high).alias("_high"))
+
+    def counted(df: DataFrame, by: list[str]) -> DataFrame:
+        points = df.select(*by, F.inline(F.array(F.struct(F.col("_low").alias("_at"), F.lit(0).alias("_end")), F.struct(F.col("_high").alias("_at"), F.lit(1).alias("_end")))))
+        over = F.sum("_end").over(Window.partitionBy(*by).orderBy("_at", "_end").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a start before an end at the same point
+        return points.withColumn("_over", over).groupBy(*by).agg(F.expr("sum(_end) * (sum(_end) - 1) div 2 - coalesce(sum(_over) filter (where _end = 0), 0)").alias("pairs"))
+
+    several = whole.groupBy(*keys, "_id").agg(F.count("*").alias("_c")).filter("_c > 1").select(*keys, "_id")
+    same = counted(whole.join(several, [*keys, "_id"]), [*keys, "_id"]).groupBy(*keys).agg(F.sum("pairs").alias("_same"))
+    out = counted(whole, keys).join(same, keys, "left")
+    return out.select(*keys, (F.col("pairs") - F.coalesce("_same", F.lit(0))).alias("pairs")).filter("pairs > 0")

@@ -64,4 +64,4 @@ def shipments_at_once(spark: SparkSession, d: str) -> DataFrame:
     """How many pairs of a supplier's shipments are on the way at once, each for as many hours as its quantity."""
     low = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
     spans = table(spark, d, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("line"), low.alias("low"), (low + F.col("l_quantity").cast("long") * 3_600_000_000).alias("high"))
-    return intervals.overlapping(spans, spans, ["l_suppkey"], "line", "low", "high").filter("a_line < b_line").groupBy("l_suppkey").agg(F.count("*").alias("pairs"))
+    return intervals.overlap_pairs(spans, ["l_suppkey"], "line", "low", "high")

@@ -46,3 +46,18 @@ def test_long_intervals_have_few_rows(spark):
     assert out.count() == 1000
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_overlapping_pairs_are_counted_as_all_pairs_are_and_none_is_made(spark):
+    """Equal points, repeated ids, one interval in all others, null bounds and keys; 40,000 intervals of one key, 800 million pairs, are counted too."""
+    draw = random.Random(8)
+    rows = [(draw.choice([1, 2, None]), draw.randrange(60), low, None if draw.random() < 0.05 else low + draw.choice([-1, 0, 0, 3, 40])) for low in (draw.randrange(50) for _ in range(160))]
+    want = {}
+    for i, (k, a, lo, hi) in enumerate(rows):
+        for k2, b, lo2, hi2 in rows[i + 1 :]:
+            if k is not None and k == k2 and a != b and None not in (hi, hi2) and lo <= hi and lo2 <= hi2 and lo <= hi2 and lo2 <= hi:
+                want[k] = want.get(k, 0) + 1
+    df = spark.createDataFrame([*rows, (3, 1, 5, 6), (3, 1, 5, 6), (4, 1, 5, 6), (4, 2, 7, 8)], "k long, id int, low long, high long")
+    assert {r.k: r.pairs for r in intervals.overlap_pairs(df, ["k"], "id", "low", "high").collect()} == want
+    many = spark.range(40_000).selectExpr("1L as k", "id", "id as low", "id + 40000 as high")
+    assert [tuple(r) for r in intervals.overlap_pairs(many, ["k"], "id", "low", "high").collect()] == [(1, 40_000 * 39_999 // 2)]
