@@ -50,12 +50,15 @@ def counted(rows: list, buckets: int) -> np.ndarray:
 _ENTRY = np.dtype([("row", "<i4"), ("bucket", "<i4"), ("value", "<f8")])
 
 
-def _entries(rows: list, buckets: int) -> bytes:
-    """What isn't zero in counted(rows), so that steps don't count again."""
-    full = counted(rows, buckets)
-    at = np.nonzero(full)
-    out = np.empty(len(at[0]), _ENTRY)
-    out["row"], out["bucket"], out["value"] = *at, full[at]
+def _entries(rows, buckets: int) -> bytes:
+    """What isn't zero in counted(rows), so that steps don't count again; rows may be an Arrow list column."""
+    import pyarrow as pa
+
+    rows = rows if isinstance(rows, pa.Array) else pa.array(rows, pa.list_(pa.int32()))
+    size = np.asarray(rows.value_lengths(), np.int64)
+    at, n = np.unique(np.repeat(np.arange(len(size)), size) * buckets + np.asarray(rows.flatten(), np.int64), return_counts=True)
+    out = np.empty(len(at), _ENTRY)
+    out["row"], out["bucket"], out["value"] = at // buckets, at % buckets, np.log1p(n.astype(np.float64))
     return out.tobytes()
 
 
@@ -66,6 +69,20 @@ def _matrix(entries: bytes, n: int, buckets: int) -> np.ndarray:
     return out
 
 
+def _used(asked: bytes, own: bytes, n: int, buckets: int, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a batch has, and its counts in them, laid out in ``room``: n questions, then their texts."""
+    q, p = (np.frombuffer(x, _ENTRY) for x in (asked, own))
+    bucket = np.concatenate([q["bucket"], p["bucket"]])
+    place = np.zeros(buckets, np.int64)
+    place[bucket] = 1
+    used = np.flatnonzero(place)
+    place[used] = np.arange(len(used))
+    out = room[: 2 * n * len(used)].reshape(2 * n, len(used))
+    out[:] = 0
+    out[np.concatenate([q["row"], p["row"] + n]), place[bucket]] = np.concatenate([q["value"], p["value"]])
+    return used, out
+
+
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     length = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     return x / length, length
@@ -73,7 +90,13 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def gradient(weights: np.ndarray, asked: np.ndarray, own: np.ndarray, temperature: float) -> tuple[np.ndarray, float]:
     """(gradient, loss) summed over a batch's questions: -log of each one's share of exp(cosine / temperature) over all texts of the batch."""
-    (q, q_length), (p, p_length) = _unit(asked @ weights), _unit(own @ weights)
+    return _gradient(weights, np.concatenate([asked, own]), temperature)
+
+
+def _gradient(weights: np.ndarray, both: np.ndarray, temperature: float) -> tuple[np.ndarray, float]:
+    """gradient() of questions and, below them, their texts: one product there and one back."""
+    unit, lengths = _unit(both @ weights)
+    (q, p), (q_length, p_length) = np.split(unit, 2), np.split(lengths, 2)
     score = q @ p.T / temperature
     score -= score.max(axis=1, keepdims=True)
     share = np.exp(score)
@@ -81,7 +104,7 @@ def gradient(weights: np.ndarray, asked: np.ndarray, own: np.ndarray, temperatur
     loss = -np.log(np.maximum(np.diagonal(share), 1e-300)).sum()
     slope = (share - np.eye(len(q))) / temperature
     back = lambda unit, length, d: (d - unit * (unit * d).sum(axis=1, keepdims=True)) / length
-    return asked.T @ back(q, q_length, slope @ p) + own.T @ back(p, p_length, slope.T @ q), float(loss)
+    return both.T @ np.concatenate([back(q, q_length, slope @ p), back(p, p_length, slope.T @ q)]), float(loss)
 
 
 @dataclass
@@ -90,8 +113,8 @@ class Encoder:
     weights: np.ndarray
     losses: list[float] = field(default_factory=list)
 
-    def encoded(self, df: DataFrame, terms: Column, into: str = "embedding") -> DataFrame:
-        """df with the unit vector of a column of terms."""
+    def encoded(self, df: DataFrame, terms: Column, into: str = "embedding", ready: bool = False) -> DataFrame:
+        """df with the unit vector of a column of terms, or of their buckets if it is ``ready``."""
         sent = df.sparkSession.sparkContext.broadcast(self.weights)
 
         @F.pandas_udf("array<double>")
@@ -99,10 +122,11 @@ class Encoder:
             out = []
             for row in lists:  # one text's counts at a time, as a column of texts is wide
                 known = row is not None and len(row) > 0
-                out.append(_unit(counted([row], len(sent.value)) @ sent.value)[0][0].tolist() if known else None)
+                at, n = np.unique(row, return_counts=True) if known else ((), ())
+                out.append(_unit(np.log1p(n.astype(np.float64))[None] @ sent.value[at])[0][0].tolist() if known else None)
             return lists.__class__(out, index=lists.index, dtype=object)
 
-        return df.withColumn(into, vectors(bucketed(terms, self.settings.buckets)))
+        return df.withColumn(into, vectors(terms if ready else bucketed(terms, self.settings.buckets)))
 
 
 def untrained(settings: Settings = Settings()) -> Encoder:
@@ -111,11 +135,14 @@ def untrained(settings: Settings = Settings()) -> Encoder:
     return Encoder(settings, np.random.default_rng(settings.seed).normal(size=shape) / math.sqrt(settings.dimensions))
 
 
-def _batches(pairs: DataFrame, question: Column, positive: Column, s: Settings) -> tuple[DataFrame, str]:
+def _batches(pairs: DataFrame, question: Column, positive: Column, s: Settings, ready: bool = False) -> tuple[DataFrame, str]:
     """One row a batch, written; and its folder."""
     folder = scratch.folder(pairs.sparkSession, "encoder")
-    pairs.select(bucketed(question, s.buckets).alias("q"), bucketed(positive, s.buckets).alias("p")).write.parquet(f"{folder}/buckets")  # once: terms are dear
-    rows = pairs.sparkSession.read.parquet(f"{folder}/buckets").filter("size(q) > 0 and size(p) > 0")
+    rows = pairs.select(question.alias("q"), positive.alias("p"))
+    if not ready:
+        rows.select(*(bucketed(F.col(c), s.buckets).alias(c) for c in "qp")).write.parquet(f"{folder}/buckets")  # once: terms are dear
+        rows = pairs.sparkSession.read.parquet(f"{folder}/buckets")
+    rows = rows.filter("size(q) > 0 and size(p) > 0")
     rows = rows.groupBy(F.xxhash64("q", "p").alias("key")).agg(F.first("q").alias("q"), F.first("p").alias("p"))  # equal pairs before they meet in a batch
     rows.write.parquet(f"{folder}/pairs")
     rows = pairs.sparkSession.read.parquet(f"{folder}/pairs")
@@ -128,8 +155,8 @@ def _batches(pairs: DataFrame, question: Column, positive: Column, s: Settings)
 
         for part in arrow:
             for rows in part.column("rows"):
-                rows = rows.as_py()
-                sides = [_entries([r[c] for r in rows], s.buckets) for c in ("q", "p")]
+                rows = rows.values
+                sides = [_entries(rows.field(c), s.buckets) for c in ("q", "p")]
                 yield pa.RecordBatch.from_pylist([{"n": len(rows), "q": sides[0], "p": sides[1]}], pa.schema([("n", pa.int32()), ("q", pa.binary()), ("p", pa.binary())]))
 
     held.select("rows").mapInArrow(packed, "n int, q binary, p binary").write.parquet(f"{folder}/batches")
@@ -148,12 +175,16 @@ def _step(batches: DataFrame, weights: np.ndarray, s: Settings) -> tuple[np.ndar
         return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([loss]), pa.array([n], pa.int64())], names=["task", "total", "loss", "n"])
 
     def sums(arrow: Iterator) -> Iterator:
-        total, loss, n = np.zeros_like(sent.value), 0.0, 0
+        total, loss, n, room = np.zeros_like(sent.value), 0.0, 0, np.empty(0)
         for part in arrow:
             for m, q, p in zip(part.column("n").to_pylist(), part.column("q").to_pylist(), part.column("p").to_pylist()):
                 if m > 1:
-                    slope, lost = gradient(sent.value, _matrix(q, m, s.buckets), _matrix(p, m, s.buckets), s.temperature)
-                    total, loss, n = total + slope, loss + lost, n + m
+                    if 2 * m * s.buckets > len(room):
+                        room = np.empty(2 * m * s.buckets)  # taken once: fresh pages cost as much as the products
+                    used, both = _used(q, p, m, s.buckets, room)
+                    slope, lost = _gradient(sent.value[used], both, s.temperature)
+                    total[used] += slope
+                    loss, n = loss + lost, n + m
         if n:
             yield out(TaskContext.get().partitionId(), total, loss, n)
 
@@ -175,10 +206,10 @@ def _step(batches: DataFrame, weights: np.ndarray, s: Settings) -> tuple[np.ndar
     return total, sum(r.loss for r in found), sum(r.n for r in found)
 
 
-def trained(pairs: DataFrame, question: Column, positive: Column, settings: Settings = Settings()) -> Encoder:
-    """The encoder learned from columns of terms; its ``losses`` hold the mean loss before each step."""
+def trained(pairs: DataFrame, question: Column, positive: Column, settings: Settings = Settings(), ready: bool = False) -> Encoder:
+    """The encoder learned from columns of terms, or of their buckets if they are ``ready``; its ``losses`` hold the mean loss before each step."""
     made = untrained(settings)
-    batches, folder = _batches(pairs, question, positive, settings)
+    batches, folder = _batches(pairs, question, positive, settings, ready)
     mean, spread = np.zeros_like(made.weights), np.zeros_like(made.weights)
     for step in range(1, settings.steps + 1):
         total, loss, n = _step(batches, made.weights, settings)

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import dense, encoder
+from ..sources import scratch
 from .catalog import query, table
 
 
 def _halves(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the terms at odd places, which ask, and those at even places, which answer."""
+    """Documents with the buckets of the terms at odd places, which ask, and of those at even places, which answer. Written once: terms are dear, and
+    training, both encodings and the count of questions read them."""
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("same"), fn.terms(F.col("text")).alias("t"))
     place = lambda odd: F.filter("t", lambda x, i: i % 2 == odd)
-    return docs.select("doc_id", "same", place(1).alias("q"), place(0).alias("p"))
+    buckets = encoder.Settings().buckets
+    where = scratch.folder(spark, "encoder-halves")
+    docs.select("doc_id", "same", encoder.bucketed(place(1), buckets).alias("q"), encoder.bucketed(place(0), buckets).alias("p")).write.parquet(f"{where}/halves")
+    return spark.read.parquet(f"{where}/halves")
 
 
 @query()
@@ -25,9 +30,9 @@ def encoder_recall(spark: SparkSession, d: str) -> DataFrame:
     asked = halves.filter("doc_id % 50 = 0 and size(q) > 0 and size(p) > 0")
     learned = halves.filter("doc_id % 50 <> 0").join(asked.select("same").distinct(), "same", "left_anti")
     tables = []
-    for config, made in (("base", encoder.untrained()), ("tuned", encoder.trained(learned, F.col("q"), F.col("p")))):
-        q = made.encoded(asked.select(F.col("doc_id").alias("query_id"), "q"), F.col("q")).select("query_id", "embedding", F.lit(1).alias("version"))
-        p = made.encoded(halves.select(F.col("doc_id").alias("vec_id"), "p"), F.col("p")).select("vec_id", "embedding", F.lit(1).alias("version_low"), F.lit(1).alias("version_high"))
+    for config, made in (("base", encoder.untrained()), ("tuned", encoder.trained(learned, F.col("q"), F.col("p"), ready=True))):
+        q = made.encoded(asked.select(F.col("doc_id").alias("query_id"), "q"), F.col("q"), ready=True).select("query_id", "embedding", F.lit(1).alias("version"))
+        p = made.encoded(halves.select(F.col("doc_id").alias("vec_id"), "p"), F.col("p"), ready=True).select("vec_id", "embedding", F.lit(1).alias("version_low"), F.lit(1).alias("version_high"))
         own = dense.top_k(q, p, 10, False).filter("query_id = vec_id").select("query_id", "rank")
         at = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 4)
         scored = asked.select(F.col("doc_id").alias("query_id")).join(own, "query_id", "left")

@@ -71,3 +71,19 @@ def test_odd_texts(spark):
     got = {r.id: r.embedding for r in made.encoded(df, F.col("q")).collect()}
     assert got[1] is None and got[2] is None and abs(sum(x * x for x in got[3]) - 1) < 1e-9
     assert encoder.trained(df.limit(0), F.col("q"), F.col("p"), S).losses == []
+
+
+def test_buckets_that_are_ready_teach_the_same(spark):
+    df = pairs(spark, 100)
+    made = encoder.trained(df, F.col("q"), F.col("p"), S)
+    ready = df.select("id", *(encoder.bucketed(F.col(c), S.buckets).alias(c) for c in "qp"))
+    again = encoder.trained(ready, F.col("q"), F.col("p"), S, ready=True)
+    assert np.allclose(made.weights, again.weights, atol=1e-9)
+    x, y = ({r.id: r.embedding for r in made.encoded(d, F.col("q"), ready=k).collect()} for d, k in ((df, False), (ready, True)))
+    assert x == y
+
+
+def test_terms_of_documents_are_made_once(spark, data):
+    from palimpsest.plans import learned
+
+    assert all("encoder-halves" in f for f in learned._halves(spark, data).inputFiles())
