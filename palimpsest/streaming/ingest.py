@@ -1,9 +1,11 @@
 """Incremental ingestion: each family's validity ranges are state, and only what changes of them is written.
 
 Observations (family, content, version, payload) arrive as files in any order, late ones and repeats included. The state of a (family,
-content) is its list of disjoint ranges; an observation extends one, joins two, or starts one. A batch hands on the ranges that went and the ranges that came,
-and these are merged into a table of copy-on-write buckets (sources.snapshots), each batch as one snapshot. So state read, rows handed on and buckets
-written are in proportion to the families that a batch touches. A batch that runs again after a failure hands on the same changes, which are
+content) is its list of disjoint ranges; an observation extends one, joins two, or starts one. Spark calls Python once for each key of its state, which takes
+milliseconds however little there is to do, so a key is a slot: a hash of (family, content), whose state is read and written whole if the batch touches it.
+A batch hands on the ranges that went and the ranges that came, and these are merged into a table of copy-on-write buckets (sources.snapshots), each batch as
+one snapshot. So rows handed on are in proportion to the families that a batch touches, state read and buckets written to the slots and buckets of these.
+The number of slots is fixed with the checkpoint: raise it where a slot's share of all ranges is much for one task. A batch that runs again after a failure hands on the same changes, which are
 put in by key and so change nothing more.
 
 The payload of a range is that of its earliest version, the least where several were seen. Observations without a version are ignored; null
@@ -12,6 +14,8 @@ families and contents are keys like any other.
 
 from __future__ import annotations
 
+import json
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -23,8 +27,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources.snapshots import Snapshots
 
 SCHEMA = "family long, content string, version int, payload string"
-STATE = "lows array<int>, highs array<int>, payloads array<string>"
+STATE = "held binary"
 CHANGE = "family long, content string, version_low int, version_high int, payload string, present boolean"
+#: Keys of the stream's state, each with the ranges of many families.
+SLOTS = 1024
 
 
 def _least(a: str | None, b: str | None) -> str | None:
@@ -60,31 +66,48 @@ class Ranges:
         return list(zip(self.lows, self.highs, self.payloads))
 
 
-def folded(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-    """The changes to the ranges of one (family, content)."""
+def _kept(held: dict[tuple, Ranges]) -> bytes:
+    rows = [(*key, r.lows, r.highs, r.payloads if any(p is not None for p in r.payloads) else None) for key, r in held.items()]
+    return zlib.compress(json.dumps(rows, separators=(",", ":")).encode(), 1)
+
+
+def _held(kept: bytes) -> dict[tuple, Ranges]:
+    return {(f, c): Ranges(low, high, [None] * len(low) if p is None else p) for f, c, low, high, p in json.loads(zlib.decompress(kept))}
+
+
+def folded(slot: tuple, frames: Iterator, state: GroupState) -> Iterator:
+    """The changes to the ranges of one slot's families; families are texts, as pandas has no whole numbers with nulls."""
     import pandas as pd
 
-    ranges = Ranges(*state.get) if state.exists else Ranges()
-    before = ranges.rows()
-    seen: dict[int, str | None] = {}
+    held = _held(state.get[0]) if state.exists else {}
+    seen: dict[tuple, dict[int, str | None]] = {}
     for frame in frames:
-        for v, p in zip(frame["version"], frame["payload"]):
-            if not pd.isna(v):
-                v, p = int(v), None if pd.isna(p) else p
-                seen[v] = _least(seen[v], p) if v in seen else p
-    for v in sorted(seen):
-        ranges.add(v, seen[v])
-    after = ranges.rows()
-    if after == before:
-        return
-    state.update((ranges.lows, ranges.highs, ranges.payloads))
-    changes = [(*key, *r, False) for r in before if r not in set(after)] + [(*key, *r, True) for r in after if r not in set(before)]
-    yield pd.DataFrame(changes, columns=["family", "content", "version_low", "version_high", "payload", "present"])
-
-
-def changes(observed: DataFrame) -> DataFrame:
+        texts = ([x if isinstance(x, str) else None for x in frame[c].tolist()] for c in ("family", "content", "payload"))
+        for family, content, p, v in zip(*texts, frame["version"].tolist()):
+            own = seen.setdefault((family, content), {})
+            own[v] = _least(own[v], p) if v in own else p
+    changes = []
+    for key, own in seen.items():
+        ranges = held.get(key) or Ranges()
+        before = ranges.rows()
+        for v in sorted(own):
+            ranges.add(v, own[v])
+        after = ranges.rows()
+        if after != before:
+            held[key] = ranges
+            family = None if key[0] is None else int(key[0])
+            were, now = set(before), set(after)
+            changes += [(family, key[1], *r, False) for r in before if r not in now] + [(family, key[1], *r, True) for r in after if r not in were]
+    if changes:
+        state.update((_kept(held),))
+        yield pd.DataFrame(changes, columns=["family", "content", "version_low", "version_high", "payload", "present"], dtype=object)
+
+
+def changes(observed: DataFrame, slots: int = SLOTS) -> DataFrame:
     """A stream of changes (CHANGE) of ranges from a stream of observations (SCHEMA)."""
-    return observed.groupBy("family", "content").applyInPandasWithState(folded, CHANGE, STATE, "update", GroupStateTimeout.NoTimeout)
+    slot = F.pmod(F.xxhash64("family", "content"), F.lit(slots)).cast("int")
+    rows = observed.filter("version is not null").select(slot.alias("slot"), F.col("family").cast("string").alias("family"), "content", "version", "payload")
+    return rows.groupBy("slot").applyInPandasWithState(folded, CHANGE, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def merged(table: Snapshots, batch: DataFrame) -> None:
@@ -97,12 +120,12 @@ def merged(table: Snapshots, batch: DataFrame) -> None:
         keyed.unpersist()
 
 
-def start(spark: SparkSession, source: str, ranges: str, checkpoint: str, available_now: bool = True, files_a_batch: int | None = None, buckets: int = 64) -> StreamingQuery:
+def start(spark: SparkSession, source: str, ranges: str, checkpoint: str, available_now: bool = True, files_a_batch: int | None = None, buckets: int = 64, slots: int = SLOTS) -> StreamingQuery:
     """Streams observation files (SCHEMA, Parquet) and keeps the table ``ranges`` (Snapshots by range_id) at the ranges of all of them."""
     table = Snapshots(spark, ranges, "range_id", buckets)
     reader = spark.readStream.schema(SCHEMA)
     stream = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(source)
-    writer = changes(stream).writeStream.outputMode("update").foreachBatch(lambda batch, number: merged(table, batch)).option("checkpointLocation", checkpoint)
+    writer = changes(stream, slots).writeStream.outputMode("update").foreachBatch(lambda batch, number: merged(table, batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -64,3 +64,22 @@ def test_vector_facts(spark):
         raise AssertionError("lengths differ")
     except ValueError:
         pass
+
+
+def test_one_call_folds_many_families():
+    """Python is called once a slot; families beyond doubles, none at all, and no payload keep what they are."""
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state, columns = State(), ["family", "content", "version", "payload"]
+    large = str(2**53 + 1)
+    fold = lambda rows: [tuple(x) for d in ingest.folded((0,), iter([pd.DataFrame(rows, columns=columns)]), state) for x in d.itertuples(index=False)]
+    first = fold([(large, "a", 1, None), (None, "a", 2, "p"), (large, None, 5, "q"), (large, "a", 2, None)])
+    assert set(first) == {(2**53 + 1, "a", 1, 2, None, True), (None, "a", 2, 2, "p", True), (2**53 + 1, None, 5, 5, "q", True)}
+    assert set(fold([(large, "a", 3, "x")])) == {(2**53 + 1, "a", 1, 2, None, False), (2**53 + 1, "a", 1, 3, None, True)}
+    assert fold([(large, "a", 2, None), (None, "a", 2, "p")]) == []
