@@ -26,7 +26,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Cached, texts_of
+from .common import Cached, freed, texts_of
 
 #: Fixed value: the public byte-level pre-tokenizer's pattern.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -233,6 +233,11 @@ def encoder(path: str, remember: int) -> Encoder:
     return _ENCODERS[path, remember]
 
 
+def forget() -> None:
+    """Drops the process's encoder."""
+    _ENCODERS.clear()
+
+
 def with_encoding(docs: DataFrame, path: str | None = None, text: str = "text", remember: int = 100_000) -> DataFrame:
     """docs with ``ids`` array<int> and ``decoded`` string, which take the place of columns that have these names (in any case)."""
     path = path or default_vocabulary()
@@ -245,15 +250,18 @@ def with_encoding(docs: DataFrame, path: str | None = None, text: str = "text",
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        enc = encoder(path, remember)
-        for batch in grouped(batches, text, 15 * remember):
-            coded = enc.encode_batch(texts_of(batch.column(text)))
-            decoded = pa.array([decode(ids.tolist(), enc.v.bytes_of) for ids in coded], pa.string())
-            ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids, decoded], names=[*kept, "ids", "decoded"])
-
-    return docs.select(*kept).mapInArrow(run, schema)
+        try:
+            enc = encoder(path, remember)
+            for batch in grouped(batches, text, 15 * remember):
+                coded = enc.encode_batch(texts_of(batch.column(text)))
+                decoded = pa.array([decode(ids.tolist(), enc.v.bytes_of) for ids in coded], pa.string())
+                ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids, decoded], names=[*kept, "ids", "decoded"])
+        finally:
+            forget()  # a worker lives on, and would hold it beside all later stages
+
+    return docs.select(*kept).mapInArrow(freed(run), schema)
 
 
 def digests(docs: DataFrame, path: str | None = None, remember: int = 250_000) -> DataFrame:

@@ -110,6 +110,20 @@ def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> Dat
     return out.drop(*(f"_k{i}" for i in range(len(keys))))
 
 
+def freed(run: Callable) -> Callable:
+    """run, a function for mapInArrow, whose task gives Arrow's unused memory back at its end: a worker lives on, and would hold its most for later stages."""
+
+    def done(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return done
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)

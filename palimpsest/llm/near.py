@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import joined_to_groups, merged, raw_texts, written
+from .common import freed, joined_to_groups, merged, raw_texts, written
 from .graph import connected_components
 
 #: A key with more nodes than this takes the way for dense ones; shingles in a block's sets, about; nodes that a task streams past it, about.
@@ -65,7 +65,7 @@ def sets_of(asked: DataFrame, nodes: DataFrame, docs: DataFrame, hashes: Hashes)
 
     keys = written(asked.select("node").distinct().join(merged(nodes), "node").select("node", "b._id", "b._th"), "near-asked")
     texts = joined_to_groups(row_key(docs.select("doc_id", "text")).select("_id", "_th", "text"), keys, ["_id", "_th"]).filter("node is not null")
-    return written(texts.select("node", "text").mapInArrow(run, "node long, s array<bigint>").dropDuplicates(["node"]), "near-sets")
+    return written(texts.select("node", "text").mapInArrow(freed(run), "node long, s array<bigint>").dropDuplicates(["node"]), "near-sets")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, hashes: Hashes, hundredths: int) -> DataFrame:
@@ -88,7 +88,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, hashes: Hashes
                 keep.append(100 * both >= hundredths * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "x", "y").mapInArrow(freed(run), "a long, b long")
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:

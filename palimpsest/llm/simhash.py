@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import merged, raw_texts, written
+from .common import freed, merged, raw_texts, written
 from .graph import connected_components
 
 #: Differing bits up to which fingerprints are linked; the exact way for dense entries rests on it being 2.
@@ -197,7 +197,7 @@ def deduplicated(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_th", "_none")), *more], names=["_id", "_th", "_none", "n", "k1", "k2", "sig"])
 
     keyed = near.row_key(docs.select("doc_id", "text")).select("_id", "_th", F.col("doc_id").isNull().alias("_none"), "text")
-    rows = written(keyed.mapInArrow(run, "_id long, _th long, _none boolean, n long, k1 long, k2 long, sig binary"), "near")
+    rows = written(keyed.mapInArrow(freed(run), "_id long, _th long, _none boolean, n long, k1 long, k2 long, sig binary"), "near")
     nodes = rows.groupBy("k1", "k2").agg(F.min(F.struct("_none", "_id", "_th")).alias("b"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     roots = connected_components(near_links(nodes, docs, k))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cached, fold, raw_texts
+from .common import Cached, fold, freed, raw_texts
 
 SAMPLE, LEAST, FACTORS, BUCKETS = 5000, 3, 6, 1 << 18
 #: Steps of the fit: how many, how many at first with all buckets, and how often all buckets are looked at after them.
@@ -234,4 +234,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [model.score(t, of) < 0.5 for t in raw_texts(batch.column("text"))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*names).mapInArrow(freed(run), docs.schema)

@@ -820,3 +820,22 @@ def test_pipeline_drops_toxic_and_copies(spark, data, pipeline):
     group = {d: g for (d, _), g in zip(rows, brute_near(rows))}
     kept = {r.doc_id for r in got.select("doc_id").distinct().collect()}
     assert kept and len({group[d] for d in kept}) == len(kept)
+
+
+def test_encoding_leaves_nothing_in_the_workers(spark):
+    """Workers live on from stage to stage: what one holds after encoding adds to the memory of all later stages."""
+    from palimpsest.llm import bpe
+
+    df = spark.createDataFrame([(i, f"some words {i}") for i in range(64)], "doc_id long, text string").repartition(4)
+    assert bpe.with_encoding(df).filter("size(ids) > 0").count() == 64
+
+    def held(batches):
+        import pyarrow as pa
+
+        from palimpsest.llm import bpe
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(bpe._ENCODERS)], pa.int64())], names=["n"])
+
+    assert not any(r.n for r in df.select("doc_id").mapInArrow(held, "n long").collect())
