@@ -63,6 +63,27 @@ def test_clustered_vectors_skip_blocks(spark, small, monkeypatch):
     assert 0 < counts.compared <= counts.met < counts.pairs / 2
 
 
+def test_blocks_are_full_however_the_rows_come(spark, small):
+    """Blocks were made by each task on its own: 30 tasks made 30 times as many, and pairs of blocks are their square."""
+    passages = rows(5, 600, 6, 0.4)
+    asked = [(i, e, i % 7) for i, e, _, _ in passages]
+    found = []
+    for parts in (1, 30):
+        counts = grid.Counts(spark)
+        q, p = (df.repartition(parts) for df in frames(spark, asked, passages))
+        got = [tuple(r) for r in grid.top_k(q, p, 5, True, counts=counts).collect()]
+        found.append((sorted(got), counts.pairs))
+    assert found[0] == found[1] and set(found[0][0]) == brute(asked, passages, 5, True)
+    assert counts.pairs <= 4 * (600 / 16) * (600 / 8)
+
+
+def test_blocks_hold_vectors_that_single_precision_would_cut(spark, small):
+    passages = [(i, [1 + i * 2.0**-40, 1e300 if i == 3 else 0.5], 0, 9) for i in range(40)]
+    queries = [(i, [2.0**30, 0.0], 1) for i in range(3)]
+    got = [tuple(r) for r in grid.top_k(*frames(spark, queries, passages), 5, True).collect()]
+    assert set(got) == brute(queries, passages, 5, True)
+
+
 def test_empty_tables(spark):
     q, p = frames(spark, [(1, [1.0], 1)], [(1, [1.0], 0, 9)])
     assert grid.top_k(q.limit(0), p, 3, False).count() == 0 and grid.top_k(q, p.limit(0), 3, False).count() == 0
