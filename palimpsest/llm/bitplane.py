@@ -183,18 +183,22 @@ class Ids:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         cut = [cuts(t) for t in texts]
-        heads = self._asked([c.pop(0) for c in cut])
-        every = set().union(*cut)
-        if len(self.seen) + len(every) > self.remember:  # two generations: frequent chunks stay, memory is bounded
+        heads = list(self._asked([c.pop(0) for c in cut]))
+        got = [list(map(self.seen.get, c)) for c in cut]
+        missed = [[i for i, x in enumerate(g) if x is None] for g in got]
+        new = {c[i] for c, m in zip(cut, missed) for i in m}
+        if len(self.seen) + len(new) > self.remember:  # two generations: frequent chunks stay, memory is bounded
             self.before, self.seen = self.seen, {}
-        new = every.difference(self.seen)
         if self.before:
             old = self.before.keys() & new
             self.seen.update(zip(old, map(self.before.__getitem__, old)))
             new -= old
         self._learn(list(new))
         look = self.seen.__getitem__
-        return [head + b"".join(map(look, c)) for head, c in zip(heads, cut)]
+        for c, g, m in zip(cut, got, missed):
+            for i in m:
+                g[i] = look(c[i])
+        return [head + b"".join(g) for head, g in zip(heads, got)]
 
 
 _SOURCES: dict[str, Ids] = {}
