@@ -70,7 +70,11 @@ class Vocabulary:
             whole = named[a + b]
             self.merge_of.setdefault((left, right), (rank, whole))
             self.parts_of.setdefault(whole, (rank, left, right))
-        self.longest = max(map(len, self.id_of))
+        lengths: dict[bytes, set[int]] = {}
+        for k in self.id_of:
+            if len(k) > 2:
+                lengths.setdefault(k[-3:], {1, 2}).add(len(k))
+        self.lengths = {k: tuple(sorted(n, reverse=True)) for k, n in lengths.items()}  # of the tokens that end in three bytes
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merged(self, ids: list[int]) -> list[int]:
@@ -121,7 +125,7 @@ class Trie:
         Sorted order visits the trie so; the current path is a stack of last tokens and their lengths.
         """
         out: dict[bytes, bytes] = {}
-        id_of, longest, good = self.v.id_of.get, self.v.longest, self.good
+        id_of, lengths, good = self.v.id_of.get, self.v.lengths.get, self.good
         ids: list[int] = [-1]
         back: list[int] = [0]
         path = b""
@@ -132,14 +136,17 @@ class Trie:
                 shared += 1
             del ids[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, n + 1):
-                for start in range(end - longest if end > longest else 0, end):
+                for length in lengths(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):  # only as long as a token with this end is
+                    start = end - length
+                    if start < 0:
+                        continue
                     token = id_of(word[start:end])
                     if token is not None and (good[ids[start] << 20 | token] if start else self.whole(token)):
                         break
                 else:
                     raise ValueError("a byte is not in the vocabulary")
                 ids.append(token)
-                back.append(end - start)
+                back.append(length)
             path = word
             found, end = [], n
             while end:
@@ -188,24 +195,30 @@ class Encoder:
         self.chunks = Cached(lambda c: None, remember)
         self.words = Cached(lambda w: None, remember)
 
-    def pieces(self, chunk: str) -> list[bytes | int]:
-        if self.v.cut is not None and any(s in chunk for s in self.v.special):
+    def pieces(self, chunk: str, marked: bool = True) -> list[bytes | int]:
+        """The pieces of a chunk, with the ids of special tokens where it may be ``marked`` by any."""
+        if marked and self.v.cut is not None and any(s in chunk for s in self.v.special):
             parts = [x for x in self.v.cut.split(chunk) if x]
             return [y for x in parts for y in ([self.v.special[x]] if x in self.v.special else [p.encode() for p in PIECES.findall(x)])]
+        if chunk.isascii() and chunk[1:].isalpha() and (chunk[:1] == " " or chunk[:1].isalpha()):
+            return [chunk.encode()]
         return [p.encode() for p in PIECES.findall(chunk)]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        cut = [chunks(t) for t in texts]
+        cut = [cuts(t) for t in texts]
+        for c in cut:
+            c[0] = " " + c[0]  # others never begin with a space: their own is left out, so that no text is copied chunk by chunk
         entries, fresh = self.chunks.fresh(set().union(*cut))
-        split = {c: self.pieces(c) for c in fresh}
+        marked = any(s in t for s in self.v.special for t in texts)
+        split = {c: self.pieces(c[1:] if c[:1] == " " else " " + c, marked) for c in fresh}
         coded, unseen = self.words.fresh({p for ps in split.values() for p in ps if isinstance(p, bytes)})
         found = self.trie.encode(unseen)
         self.words.learn(found)
         coded.update(found)
         made = {}
         for c, ps in split.items():
-            made[c] = b"".join([array("I", [p]).tobytes() if isinstance(p, int) else coded[p] for p in ps])
+            made[c] = coded[ps[0]] if len(ps) == 1 and isinstance(ps[0], bytes) else b"".join([array("I", [p]).tobytes() if isinstance(p, int) else coded[p] for p in ps])
         self.chunks.learn(made)
         entries.update(made)
         look = entries.__getitem__
@@ -282,12 +295,13 @@ def digests(docs: DataFrame, path: str | None = None, remember: int = 250_000) -
         import pyarrow as pa
 
         enc = encoder(path, remember)
+        named = {i: b"%d" % i for i in enc.v.bytes_of}.__getitem__
         for batch in grouped(batches, "text", 15 * remember):
             count, shas, back = [], [], []
             for doc in enc.encode_batch(texts_of(batch.column("text"))):
                 ids = doc.tolist()
                 count.append(len(ids))
-                shas.append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
+                shas.append(hashlib.sha256(b",".join(map(named, ids))).hexdigest())
                 back.append(hashlib.sha256(decode(ids, enc.v.bytes_of).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

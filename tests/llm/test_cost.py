@@ -18,6 +18,27 @@ def test_doubled_white_space_is_found_as_by_the_pattern():
         assert bpe.doubled(text) == (bpe.DOUBLE_SPACE.search(text) is not None), repr(text)
 
 
+def test_trie_asks_only_for_lengths_that_a_token_has():
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            Asked.n += 1
+            return super().get(*a)
+
+    v = bpe.Vocabulary(bpe.default_vocabulary())
+    v.id_of = Asked(v.id_of)
+    r = random.Random(2)
+    words = {bytes(r.choice(b"qxzjkv") for _ in range(12)) for _ in range(300)}
+    found = bpe.Trie(v).encode(words)
+    assert Asked.n <= 4 * 12 * len(words)  # was about 6 a byte
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    for w in words:
+        assert list(memoryview(found[w]).cast("I")) == t.encode(w.decode(), add_special_tokens=False).ids
+
+
 def test_known_chunks_are_looked_up_once_a_batch():
     ids = bitplane.Ids(bpe.default_vocabulary())
     texts = ["x one two three", "y one two\nthree one"]
