@@ -115,6 +115,34 @@ def same_length(queries: DataFrame, passages: DataFrame) -> int | None:
     return next(iter(found), None)
 
 
+def in_reach(queries: DataFrame, own: str, sample: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """Queries whose own passage, with the vector in ``own``, may be among the k nearest: those that no k passages of a sample beat by more than rounding
+    can hide. The sample (embedding) is sent to every task, a part of what is searched; it decides how many are left, not which own passages are found."""
+    import pyarrow as pa
+
+    vectors = sample.filter(F.col("embedding").isNotNull()).select("embedding").toArrow().column("embedding").combine_chunks()
+    matrix = np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+    sent = queries.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for i in range(0, batch.num_rows, TILE_QUERIES):
+                some = batch.slice(i, TILE_QUERIES)
+                asks, wanted = (np.asarray(some.column(c).flatten(), np.float64).reshape(some.num_rows, -1) for c in ("embedding", own))
+                bar = (asks * wanted).sum(axis=1)
+                bar += 2 * slack(digits, np.abs(bar))
+                beaten = np.zeros(len(bar), np.int64)
+                for p in range(0, len(sent.value), TILE_ROWS):
+                    open_ = np.flatnonzero(beaten < k)
+                    if not len(open_):
+                        break
+                    beaten[open_] += (asks[open_] @ sent.value[p : p + TILE_ROWS].T > bar[open_, None]).sum(axis=1)
+                yield some.filter(pa.array(beaten < k))
+
+    whole = queries.filter(F.col("embedding").isNotNull() & F.col(own).isNotNull())
+    return whole.mapInArrow(run, whole.schema).drop(own)
+
+
 def top_k(queries: DataFrame, passages: DataFrame, k: int, filtered: bool, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, score, rank): the k passages (vec_id, embedding, version_low, version_high) nearest to each query.
 

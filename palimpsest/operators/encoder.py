@@ -16,13 +16,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import scratch
 
-#: Sums that a task of the tree adds up.
-FAN = 8
+#: Sums that a task of the tree adds up; texts that are projected at once.
+FAN, TILE = 8, 256
+#: Bytes of a row group of batches, and of a task of a step at most; tasks of a step a core, at least.
+GROUP, SPLIT, WAVES = 2 << 20, 32 << 20, 4
+#: Logs of 1 + 0 to 255 times.
+LOGS = np.log1p(np.arange(256, dtype=np.float64))
 
 
 @dataclass(frozen=True)
@@ -47,40 +51,65 @@ def counted(rows: list, buckets: int) -> np.ndarray:
     return np.log1p(np.stack([np.bincount(np.asarray(r, np.int64), minlength=buckets) for r in rows]).astype(np.float64))
 
 
-_ENTRY = np.dtype([("row", "<i4"), ("bucket", "<i4"), ("value", "<f8")])
+_ENTRY = np.dtype([("at", "<u4"), ("times", "<u4")])
+
+
+def _counts(rows, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row * buckets + bucket, times) of what isn't zero; rows are an Arrow list column."""
+    size = np.asarray(rows.value_lengths().fill_null(0), np.int64)
+    return np.unique(np.repeat(np.arange(len(size)), size) * buckets + np.asarray(rows.flatten(), np.int64), return_counts=True)
 
 
 def _entries(rows, buckets: int) -> bytes:
     """What isn't zero in counted(rows), so that steps don't count again; rows may be an Arrow list column."""
     import pyarrow as pa
 
-    rows = rows if isinstance(rows, pa.Array) else pa.array(rows, pa.list_(pa.int32()))
-    size = np.asarray(rows.value_lengths(), np.int64)
-    at, n = np.unique(np.repeat(np.arange(len(size)), size) * buckets + np.asarray(rows.flatten(), np.int64), return_counts=True)
+    at, n = _counts(rows if isinstance(rows, pa.Array) else pa.array(rows, pa.list_(pa.int32())), buckets)
     out = np.empty(len(at), _ENTRY)
-    out["row"], out["bucket"], out["value"] = at // buckets, at % buckets, np.log1p(n.astype(np.float64))
+    out["at"], out["times"] = at, n
     return out.tobytes()
 
 
 def _matrix(entries: bytes, n: int, buckets: int) -> np.ndarray:
     found = np.frombuffer(entries, _ENTRY)
     out = np.zeros((n, buckets))
-    out[found["row"], found["bucket"]] = found["value"]
+    out.ravel()[found["at"]] = _logs(found["times"])
+    return out
+
+
+def _logs(times: np.ndarray) -> np.ndarray:
+    """log(1 + times), most of which are looked up."""
+    out = LOGS[np.minimum(times, len(LOGS) - 1)]
+    large = times >= len(LOGS)
+    if large.any():
+        out[large] = np.log1p(times[large].astype(np.float64))
     return out
 
 
-def _used(asked: bytes, own: bytes, n: int, buckets: int, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that a batch has, and its counts in them, laid out in ``room``: n questions, then their texts."""
-    q, p = (np.frombuffer(x, _ENTRY) for x in (asked, own))
-    bucket = np.concatenate([q["bucket"], p["bucket"]])
-    place = np.zeros(buckets, np.int64)
-    place[bucket] = 1
-    used = np.flatnonzero(place)
-    place[used] = np.arange(len(used))
-    out = room[: 2 * n * len(used)].reshape(2 * n, len(used))
-    out[:] = 0
-    out[np.concatenate([q["row"], p["row"] + n]), place[bucket]] = np.concatenate([q["value"], p["value"]])
-    return used, out
+class _Room:
+    """Memory for log counts, taken once and zero between uses: fresh pages, and zeroing all of them, cost as much as the products."""
+
+    def __init__(self):
+        self.held, self.at = np.zeros(0), np.zeros(0, np.int64)
+
+    def laid(self, at: np.ndarray, times: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray | slice, np.ndarray]:
+        """The buckets that n rows have, all if they have most, and the rows' log counts in them; good until the next call."""
+        self.held[self.at] = 0
+        if n * buckets > len(self.held):
+            self.held = np.zeros(n * buckets)
+        bucket = at % buckets
+        place = np.zeros(buckets, np.int64)
+        place[bucket] = 1
+        used, width = np.flatnonzero(place), buckets
+        if 2 * len(used) < buckets:
+            width = len(used)
+            place[used] = np.arange(width)
+            at = at // buckets * width + place[bucket]
+        else:
+            used = slice(None)
+        self.at = at
+        self.held[at] = _logs(times)
+        return used, self.held[: n * width].reshape(n, width)
 
 
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +133,8 @@ def _gradient(weights: np.ndarray, both: np.ndarray, temperature: float) -> tupl
     loss = -np.log(np.maximum(np.diagonal(share), 1e-300)).sum()
     slope = (share - np.eye(len(q))) / temperature
     back = lambda unit, length, d: (d - unit * (unit * d).sum(axis=1, keepdims=True)) / length
-    return both.T @ np.concatenate([back(q, q_length, slope @ p), back(p, p_length, slope.T @ q)]), float(loss)
+    wide = np.concatenate([back(q, q_length, slope @ p), back(p, p_length, slope.T @ q)]).T @ both  # this way round rows of both are read as they lie
+    return wide.T, float(loss)
 
 
 @dataclass
@@ -115,18 +145,22 @@ class Encoder:
 
     def encoded(self, df: DataFrame, terms: Column, into: str = "embedding", ready: bool = False) -> DataFrame:
         """df with the unit vector of a column of terms, or of their buckets if it is ``ready``."""
-        sent = df.sparkSession.sparkContext.broadcast(self.weights)
+        sent, buckets = df.sparkSession.sparkContext.broadcast(self.weights), self.settings.buckets
 
-        @F.pandas_udf("array<double>")
         def vectors(lists):
-            out = []
-            for row in lists:  # one text's counts at a time, as a column of texts is wide
-                known = row is not None and len(row) > 0
-                at, n = np.unique(row, return_counts=True) if known else ((), ())
-                out.append(_unit(np.log1p(n.astype(np.float64))[None] @ sent.value[at])[0][0].tolist() if known else None)
-            return lists.__class__(out, index=lists.index, dtype=object)
+            import pyarrow as pa
 
-        return df.withColumn(into, vectors(terms if ready else bucketed(terms, self.settings.buckets)))
+            known = np.asarray(lists.value_lengths().fill_null(0)) > 0
+            texts, room, out = lists.filter(pa.array(known)), _Room(), [np.zeros((0, sent.value.shape[1]))]
+            for i in range(0, len(texts), TILE):
+                some = texts.slice(i, TILE)
+                used, both = room.laid(*_counts(some, buckets), len(some), buckets)
+                out.append(_unit(both @ sent.value[used])[0])
+            offsets = np.concatenate([[0], np.cumsum(known)]) * sent.value.shape[1]
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out).ravel()), mask=pa.array(~known))
+
+        # Not said to be deterministic: a filter on the vectors would then be moved below them and make them once more.
+        return df.withColumn(into, F.arrow_udf(vectors, "array<double>").asNondeterministic()(terms if ready else bucketed(terms, buckets)))
 
 
 def untrained(settings: Settings = Settings()) -> Encoder:
@@ -135,32 +169,53 @@ def untrained(settings: Settings = Settings()) -> Encoder:
     return Encoder(settings, np.random.default_rng(settings.seed).normal(size=shape) / math.sqrt(settings.dimensions))
 
 
-def _batches(pairs: DataFrame, question: Column, positive: Column, s: Settings, ready: bool = False) -> tuple[DataFrame, str]:
+def _batches(pairs: DataFrame, question: Column, positive: Column, s: Settings, ready: bool = False, text: Column | None = None, held: Column | None = None) -> tuple[DataFrame, str]:
     """One row a batch, written; and its folder."""
-    folder = scratch.folder(pairs.sparkSession, "encoder")
-    rows = pairs.select(question.alias("q"), positive.alias("p"))
-    if not ready:
-        rows.select(*(bucketed(F.col(c), s.buckets).alias(c) for c in "qp")).write.parquet(f"{folder}/buckets")  # once: terms are dear
-        rows = pairs.sparkSession.read.parquet(f"{folder}/buckets")
-    rows = rows.filter("size(q) > 0 and size(p) > 0")
-    rows = rows.groupBy(F.xxhash64("q", "p").alias("key")).agg(F.first("q").alias("q"), F.first("p").alias("p"))  # equal pairs before they meet in a batch
-    rows.write.parquet(f"{folder}/pairs")
-    rows = pairs.sparkSession.read.parquet(f"{folder}/pairs")
-    number = max(1, -(-rows.count() // s.batch))
-    dealt = rows.groupBy(F.pmod(F.xxhash64("key", F.lit(s.seed)), F.lit(number)).alias("batch"))
-    held = dealt.agg(F.sort_array(F.collect_list(F.struct("key", "q", "p"))).alias("rows"))  # about s.batch pairs
+    folder, spark = scratch.folder(pairs.sparkSession, "encoder"), pairs.sparkSession
+    rows = pairs.select(question.alias("q"), positive.alias("p"), (F.lit(None).cast("string") if text is None else text).alias("text"), F.coalesce(F.lit(False) if held is None else held, F.lit(False)).alias("held"))
+    if not ready:  # terms are dear, so they are made once
+        rows.select(*(bucketed(F.col(c), s.buckets).alias(c) for c in "qp"), "text", "held").write.parquet(f"{folder}/pairs")
+        rows = spark.read.parquet(f"{folder}/pairs")
+    rows = rows.filter("size(q) > 0 and size(p) > 0").withColumn("key", F.xxhash64("q", "p"))
+    if held is not None:
+        free = rows.groupBy("key", "text").agg(F.max("held").alias("held")).filter("not held")
+    else:
+        free = rows
+    number = max(1, -(-free.select("key").distinct().count() // s.batch))  # keys alone are shuffled
+    # Equal pairs and copies of those that are held have one key, so they meet in one batch; a set drops equal ones before that.
+    kept = lambda c: F.when(~F.col("held"), F.col(c)).alias(c)  # noqa: E731 - of a pair that is held, what tells its copies is needed alone
+    dealt = rows.select("key", "text", "held", kept("q"), kept("p")).groupBy(F.pmod(F.xxhash64("key", F.lit(s.seed)), F.lit(number)).alias("batch"))
+    found = dealt.agg(F.sort_array(F.collect_set(F.struct("key", "text", "held", "q", "p"))).alias("rows"))  # about s.batch pairs
 
     def packed(arrow: Iterator) -> Iterator:
         import pyarrow as pa
 
         for part in arrow:
             for rows in part.column("rows"):
-                rows = rows.values
+                rows, taken = rows.values, {}
+                keys, texts, out = (rows.field(c).to_pylist() for c in ("key", "text", "held"))
+                never = {(k, t) for k, t, h in zip(keys, texts, out) if h}
+                for i, (k, t) in enumerate(zip(keys, texts)):
+                    if (k, t) not in never:
+                        taken.setdefault(k, i)
+                rows = rows.take(pa.array(list(taken.values()), pa.int64()))
                 sides = [_entries(rows.field(c), s.buckets) for c in ("q", "p")]
                 yield pa.RecordBatch.from_pylist([{"n": len(rows), "q": sides[0], "p": sides[1]}], pa.schema([("n", pa.int32()), ("q", pa.binary()), ("p", pa.binary())]))
 
-    held.select("rows").mapInArrow(packed, "n int, q binary, p binary").write.parquet(f"{folder}/batches")
-    return pairs.sparkSession.read.parquet(f"{folder}/batches"), folder
+    small = {"parquet.block.size": GROUP, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": False}  # a size is looked at after 100 rows else
+    found.select("rows").mapInArrow(packed, "n int, q binary, p binary").write.options(**small).parquet(f"{folder}/batches")
+    return _evenly(spark).read.parquet(f"{folder}/batches"), folder
+
+
+def _evenly(spark: SparkSession) -> SparkSession:
+    """A session like this that reads files in small parts: batches are much work for their bytes, so with a task or two a core some cores would wait."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.get(name, None) != value:
+            own.conf.set(name, value)
+    for name, value in (("maxPartitionBytes", SPLIT), ("openCostInBytes", GROUP // 8), ("minPartitionNum", WAVES * spark.sparkContext.defaultParallelism)):
+        own.conf.set(f"spark.sql.files.{name}", str(value))
+    return own
 
 
 def _step(batches: DataFrame, weights: np.ndarray, s: Settings) -> tuple[np.ndarray, float, int]:
@@ -175,13 +230,13 @@ def _step(batches: DataFrame, weights: np.ndarray, s: Settings) -> tuple[np.ndar
         return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([loss]), pa.array([n], pa.int64())], names=["task", "total", "loss", "n"])
 
     def sums(arrow: Iterator) -> Iterator:
-        total, loss, n, room = np.zeros_like(sent.value), 0.0, 0, np.empty(0)
+        total, loss, n, room = np.zeros(sent.value.shape, order="F"), 0.0, 0, _Room()
         for part in arrow:
-            for m, q, p in zip(part.column("n").to_pylist(), part.column("q").to_pylist(), part.column("p").to_pylist()):
+            for m, *sides in zip(part.column("n").to_pylist(), part.column("q"), part.column("p")):
                 if m > 1:
-                    if 2 * m * s.buckets > len(room):
-                        room = np.empty(2 * m * s.buckets)  # taken once: fresh pages cost as much as the products
-                    used, both = _used(q, p, m, s.buckets, room)
+                    q, p = (np.frombuffer(side.as_buffer(), _ENTRY) for side in sides)
+                    at = np.concatenate([q["at"], p["at"] + np.uint32(m * s.buckets)])  # questions, and below them their texts
+                    used, both = room.laid(at, np.concatenate([q["times"], p["times"]]), 2 * m, s.buckets)
                     slope, lost = _gradient(sent.value[used], both, s.temperature)
                     total[used] += slope
                     loss, n = loss + lost, n + m
@@ -206,10 +261,12 @@ def _step(batches: DataFrame, weights: np.ndarray, s: Settings) -> tuple[np.ndar
     return total, sum(r.loss for r in found), sum(r.n for r in found)
 
 
-def trained(pairs: DataFrame, question: Column, positive: Column, settings: Settings = Settings(), ready: bool = False) -> Encoder:
-    """The encoder learned from columns of terms, or of their buckets if they are ``ready``; its ``losses`` hold the mean loss before each step."""
+def trained(pairs: DataFrame, question: Column, positive: Column, settings: Settings = Settings(), ready: bool = False, text: Column | None = None, held: Column | None = None) -> Encoder:
+    """The encoder learned from columns of terms, or of their buckets if they are ``ready``; its ``losses`` hold the mean loss before each step.
+
+    Pairs that are ``held`` teach nothing, nor do equal pairs with the ``text`` of one (a digest will do)."""
     made = untrained(settings)
-    batches, folder = _batches(pairs, question, positive, settings, ready)
+    batches, folder = _batches(pairs, question, positive, settings, ready, text, held)
     mean, spread = np.zeros_like(made.weights), np.zeros_like(made.weights)
     for step in range(1, settings.steps + 1):
         total, loss, n = _step(batches, made.weights, settings)

@@ -87,3 +87,55 @@ def test_terms_of_documents_are_made_once(spark, data):
     from palimpsest.plans import learned
 
     assert all("encoder-halves" in f for f in learned._halves(spark, data).inputFiles())
+
+
+def test_held_pairs_and_their_copies_teach_nothing(spark):
+    """A held pair, and an equal one of the same text, go; an equal pair of another text stays, and equal pairs count once."""
+    df = pairs(spark, 60).withColumn("text", F.col("id").cast("string")).withColumn("held", F.col("id") < 20)
+    copies = df.filter("id < 40").withColumn("held", F.lit(False))
+    others = df.filter("id < 5").withColumn("text", F.lit("another")).withColumn("held", F.lit(False))
+    want = encoder.trained(df.filter("id >= 20 or id < 5"), F.col("q"), F.col("p"), S)
+    got = encoder.trained(df.union(copies).union(others).repartition(5), F.col("q"), F.col("p"), S, text=F.col("text"), held=F.col("held"))
+    assert np.allclose(want.losses, got.losses) and np.allclose(want.weights, got.weights, atol=1e-6)
+
+
+def test_a_step_has_tasks_for_all_cores(spark):
+    """Much work for few bytes: files in large parts left cores without any."""
+    r = np.random.default_rng(3)
+    rows = [(i, *(r.integers(0, 4096, 300).tolist() for _ in "qp")) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "id long, q array<int>, p array<int>")
+    batches, _ = encoder._batches(df, F.col("q"), F.col("p"), encoder.Settings(), ready=True)
+    sizes = batches.select(F.spark_partition_id().alias("at")).groupBy("at").count().collect()
+    assert len(sizes) >= 2 * spark.sparkContext.defaultParallelism and max(x["count"] for x in sizes) <= batches.count() / 4
+
+
+def test_room_is_zero_again_and_holds_all_counts():
+    room, r = encoder._Room(), np.random.default_rng(5)
+    for n, width in ((7, 64), (3, 5), (9, 64), (2, 3)):  # most buckets, then few
+        rows = [r.integers(0, width, 400 if i else 900).tolist() for i in range(n)]
+        found = np.frombuffer(encoder._entries(rows, 64), encoder._ENTRY)
+        used, got = room.laid(found["at"], found["times"], n, 64)
+        want = encoder.counted(rows, 64)
+        assert np.array_equal(got, want[:, used]) and np.isclose(got.sum(), want.sum())
+
+
+def test_vectors_are_made_once_a_row(spark):
+    made = encoder.untrained(S)
+    df = made.encoded(pairs(spark, 30), F.col("q")).filter(F.size("embedding") > 0).filter(~F.exists("embedding", lambda x: x.isNull()))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and df.count() == 30
+
+
+def test_questions_out_of_reach_have_no_rank(spark):
+    """in_reach leaves every question whose own passage is among the k nearest, copies and ties included, and few others."""
+    r = np.random.default_rng(2)
+    p = r.normal(size=(400, 8))
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    p[100:130] = p[7]  # copies of a passage that is found
+    q = p + r.normal(size=p.shape) * np.where(np.arange(400) < 60, 0.05, 2.0)[:, None]
+    passages = spark.createDataFrame([(i, p[i].tolist(), 1, 1) for i in range(400)], "vec_id long, embedding array<double>, version_low int, version_high int")
+    queries = spark.createDataFrame([(i, q[i].tolist(), p[i].tolist(), 1) for i in range(400)] + [(400, None, None, 1)], "query_id long, embedding array<double>, own array<double>, version int")
+    ranks = lambda asks: sorted(dense.top_k(asks.drop("own"), passages, 10, False).filter("query_id = vec_id").select("query_id", "rank").collect())
+    for part in (passages, passages.filter("vec_id % 2 = 0"), passages.limit(0)):
+        left = dense.in_reach(queries, "own", part.select("embedding"), 10)
+        assert ranks(left) == ranks(queries)
+    assert dense.in_reach(queries, "own", passages.select("embedding"), 10).count() < 250
