@@ -254,7 +254,8 @@ def _step(batches: DataFrame, weights: np.ndarray, s: Settings) -> tuple[np.ndar
     tree, parts = batches.mapInArrow(sums, schema), batches.rdd.getNumPartitions()
     while parts > FAN:
         parts = -(-parts // FAN)
-        tree = tree.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(added, schema)
+        near = tree.withColumn("near", F.pmod("task", F.lit(parts)))  # sums that meet, in however many partitions they are dealt
+        tree = near.repartition(parts, "near").sortWithinPartitions("task").mapInArrow(added, schema)
     found = sorted(tree.collect())  # FAN sums at most
     sent.destroy()
     total = sum((np.frombuffer(r.total, np.float64).reshape(weights.shape) for r in found), np.zeros_like(weights))

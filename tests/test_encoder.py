@@ -139,3 +139,15 @@ def test_questions_out_of_reach_have_no_rank(spark):
         left = dense.in_reach(queries, "own", part.select("embedding"), 10)
         assert ranks(left) == ranks(queries)
     assert dense.in_reach(queries, "own", passages.select("embedding"), 10).count() < 250
+
+
+def test_the_driver_gets_few_sums_in_any_number_of_partitions(spark, monkeypatch):
+    batches, _ = encoder._batches(pairs(spark, 300), F.col("q"), F.col("p"), S)
+    batches, w = batches.repartition(12), encoder.untrained(S).weights
+    want, kind, got = encoder._step(batches, w, S), type(batches), []
+    deal, collect = kind.repartition, kind.collect
+    monkeypatch.setattr(encoder, "FAN", 3)
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *c: deal(self, max(n, 50), *c))
+    monkeypatch.setattr(kind, "collect", lambda self: got.append(collect(self)) or got[-1])
+    total, loss, n = encoder._step(batches, w, S)
+    assert len(got[-1]) <= 3 and np.allclose(total, want[0]) and np.isclose(loss, want[1]) and n == want[2]
